@@ -185,14 +185,15 @@ def item_blocks(benchmark: DataFrame, limit: int) -> list[tuple[list, list]]:
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Per document: n_words, spans of words that lie in occurrences of windows, and the sorted ids of their items.
+    """Per document: n_words, spans of words that lie in occurrences of windows, the sorted ids of their items, and
+    text_key, a hash of the text that tells rows which share a doc_id apart.
 
     docs: doc_id and text. benchmark: item_id and text. Other columns of either are ignored. A null text has no
     words, an item without words no window. Items with a null id hit words but aren't listed; items that repeat an
     id count once. Repeated rows of docs remain separate rows. Empty tables give no rows, or rows without hits.
     """
     blocks = [Windows(ids, texts, window) for ids, texts in item_blocks(benchmark, block_chars)]
-    rows = docs.select("doc_id", "text")
+    rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
     if len(blocks) > 1:
         # a row's text and id needn't be unique, so rows are told apart by their place
         rows = rows.withColumn("row_key", F.monotonically_increasing_id())
@@ -206,7 +207,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_chars: i
     for more in found[1:]:
         out = out.unionByName(more)
     out = out.groupBy("row_key").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
+        F.first("doc_id").alias("doc_id"), F.first("text_key").alias("text_key"), F.first("n_words").alias("n_words"),
         merged_spans(F.flatten(F.collect_list("spans"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import decontaminate, lines, packing, quality, warc
+from vellum.llm import decontaminate, lines, ngram_join, packing, quality, warc
 from vellum.session import table
 
 
@@ -23,6 +23,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.cluster(table(spark, sf_dir, "documents"))
+
+
 def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -36,4 +40,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": lines.ORACLE_SQL, "op3_decontamination": decontaminate.ORACLE_SQL, "op9_warc_round_trip": warc.ORACLE_SQL}
+    return {"op2_line_dedup": lines.ORACLE_SQL, "op3_decontamination": decontaminate.ORACLE_SQL, "op4_ngram_jaccard": ngram_join.ORACLE_SQL, "op9_warc_round_trip": warc.ORACLE_SQL}
