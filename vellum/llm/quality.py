@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import let, words
+from vellum.llm.common import let, staged, words
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -48,13 +48,13 @@ def repeat_words(w: Column) -> Column:
 
     def places(s: Column) -> Column:
         twice = F.filter(s, lambda x, k: (F.get(s, k - 1)["h"] == x["h"]) | (F.get(s, k + 1)["h"] == x["h"]))
-        return F.array_sort(F.transform(twice, lambda x: x["i"]))
+        return F.sort_array(F.transform(twice, lambda x: x["i"]))
 
     def covered(p: Column) -> Column:
         step = F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3))))
         return F.aggregate(step, F.lit(0).cast("long"), lambda a, x: a + x)
 
-    known = F.coalesce(let(let(F.array_sort(hashed), places), covered), F.lit(0).cast("long"))
+    known = F.coalesce(let(let(F.sort_array(hashed), places), covered), F.lit(0).cast("long"))
     return F.when(F.size(w) < 4, F.lit(0).cast("long")).otherwise(known)
 
 
@@ -62,27 +62,29 @@ def measured(docs: DataFrame) -> DataFrame:
     """docs with the counts that the rules look at, each named m_*."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
-    w = F.col("m_words")
-    out = docs.withColumn("m_words", words(F.col("text")))
+    w, rest = F.col("m_words"), F.col("m_rest")
+    # most characters are blanks or a to z; the classes of the others are counted in what is left
+    out = docs.withColumns({"m_words": words(F.col("text")), "m_lines": lines, "m_solid": F.translate(text, BLANKS, "")})
+    out = out.withColumn("m_rest", F.translate("m_solid", LOWER, ""))
     out = out.withColumns(
         {
             "m_n_words": F.size(w).cast("long"),
-            "m_word_chars": F.length(F.translate(text, BLANKS, "")).cast("long"),
-            "m_n_symbols": chars_of(text, SYMBOLS),
-            "m_n_lines": let(lines, lambda x: F.size(x).cast("long")),
-            "m_n_dup_lines": let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
+            "m_word_chars": F.length("m_solid").cast("long"),
+            "m_n_symbols": chars_of(rest, SYMBOLS),
+            "m_n_lines": F.size("m_lines").cast("long"),
+            "m_n_dup_lines": (F.size("m_lines") - F.size(F.array_distinct("m_lines"))).cast("long"),
             "m_n_repeat_words": repeat_words(w),
             "m_n_distinct": F.size(F.array_distinct(w)).cast("long"),
             "m_n_function": F.size(F.array_intersect(w, F.lit(sorted(set(FUNCTION_WORDS.split()))))).cast("long"),
-            "m_n_marks": chars_of(text, MARKS),
-            "m_n_stops": chars_of(text, ".!?"),
-            "m_n_shouts": chars_of(text, "!?"),
-            "m_n_upper": chars_of(text, UPPER),
-            "m_n_lower": chars_of(text, LOWER),
-            "m_n_digits": chars_of(text, "0123456789"),
+            "m_n_marks": chars_of(rest, MARKS),
+            "m_n_stops": chars_of(rest, ".!?"),
+            "m_n_shouts": chars_of(rest, "!?"),
+            "m_n_upper": chars_of(rest, UPPER),
+            "m_n_lower": (F.length("m_solid") - F.length(rest)).cast("long"),
+            "m_n_digits": chars_of(rest, "0123456789"),
         }
     )
-    return out.drop("m_words")
+    return out.drop("m_words", "m_lines", "m_solid", "m_rest")
 
 
 def vote(good: Column, bad: Column) -> Column:
@@ -140,17 +142,11 @@ def posterior(names: list[str]) -> Column:
     return 1 / (1 + F.exp(-odds))
 
 
-def judge(docs: DataFrame, threshold: float = 0.5, rounds: int = 25, prior: float = 0.8, good: float = 0.95, bad: float = 0.4, strength: float = 20) -> DataFrame:
-    """docs with m_* counts, v_* votes, base_failed, quality (the posterior) and kept.
-
-    docs: text, and any other columns but those of these names. A null text has no words; texts of under 50 words,
-    or with more than half of the words in repeated windows, fail at once. Empty tables give no rows; repeated rows
-    are judged alike.
-    """
-    seen = measured(docs)
+def decided(seen: DataFrame, threshold: float = 0.5, rounds: int = 25, prior: float = 0.8, good: float = 0.95, bad: float = 0.4, strength: float = 20) -> DataFrame:
+    """measured() documents with base_failed, quality (the posterior) and kept. seen is written once, as it is read twice."""
     votes = {f"v_{k}": v for k, v in rules().items()}
     names = list(votes)
-    seen = seen.withColumns(votes)
+    seen = staged(seen, "measured").withColumns(votes)
     model = estimated(seen.groupBy(*names).agg(F.count("*").alias("n")), names, rounds, prior, good, bad, strength)
     # one row of so many numbers as there are rules
     seen = seen.crossJoin(F.broadcast(model)).withColumn("quality", posterior(names)).drop("prior", "good", "bad")
@@ -158,7 +154,17 @@ def judge(docs: DataFrame, threshold: float = 0.5, rounds: int = 25, prior: floa
     return seen.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
 
 
+def judge(docs: DataFrame, **parameters: float) -> DataFrame:
+    """docs with m_* counts, v_* votes, base_failed, quality (the posterior) and kept.
+
+    docs: text, and any other columns but those of these names. A null text has no words; texts of under 50 words,
+    or with more than half of the words in repeated windows, fail at once. Empty tables give no rows; repeated rows
+    are judged alike. parameters: those of decided().
+    """
+    return decided(measured(docs), **parameters)
+
+
 def report(docs: DataFrame) -> DataFrame:
-    found = judge(docs.select("doc_id", "text"))
+    found = decided(measured(docs.select("doc_id", "text")).drop("text"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return found.select("doc_id", *[F.col(f"m_{x}").alias(x) for x in names], "base_failed", "kept", F.round("quality", 6).alias("quality"))
