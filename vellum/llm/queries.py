@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import decontaminate, language, lines, ngram_join, packing, quality, secrets, urls, warc
+from vellum.llm import decontaminate, language, lines, ngram_join, packing, quality, secrets, substrings, urls, warc
 from vellum.session import table
 
 
@@ -31,6 +31,10 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.report(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.report(table(spark, sf_dir, "documents"))
 
