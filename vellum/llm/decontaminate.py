@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import NOT_WORD
+from vellum.llm.common import NOT_WORD, plain_texts
 
 FOUND = "doc_id long, n_words long, spans array<struct<first:long,after:long>>, items array<string>"
 #: Code points of items in a block: the bound of what is broadcast.
@@ -31,7 +31,7 @@ ROWS = 2000
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words of the texts, and where each text's words begin (one more than there are texts)."""
-    texts = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    texts = pc.ascii_lower(plain_texts(texts))
     split = pc.split_pattern_regex(texts, NOT_WORD)
     flat, bounds = split.flatten(), split.offsets.to_numpy() - split.offsets[0].as_py()
     full = pc.not_equal(flat, "")

@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.llm.common import plain_texts
+
 BUCKETS = 1 << 16
 ROWS = 2000
 
@@ -28,7 +30,7 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashed trigrams of all texts, lower-cased and with one space for each run of other characters than letters;
     and where each text's begin. A text without letters has none."""
-    texts = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    texts = pc.utf8_lower(plain_texts(texts))
     texts = pc.utf8_trim_whitespace(pc.replace_substring_regex(texts, r"[^\pL\pM]+", " "))
     space, none = (pa.scalar(x, pa.large_string()) for x in (" ", ""))
     joined = pc.binary_join_element_wise(space, texts, space, none)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import staged
+from vellum.llm.common import plain_texts, staged
 from vellum.llm.components import components
 
 #: Documents whose sets are made at once.
@@ -49,7 +49,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     """Per text the sorted hashes of its distinct shingles: of all words if they are fewer than size, else of each size words."""
-    texts = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    texts = pc.ascii_lower(plain_texts(texts))
     split = pc.ascii_split_whitespace(texts)
     flat, bounds = split.flatten(), split.offsets.to_numpy()
     full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)

@@ -23,6 +23,8 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from vellum.llm.common import plain_texts
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 PIECES_IDS = f"{PIECES}, ids array<int>"
 #: Room for the pieces of one task: sequence ids are the task's number times this, plus a count.
@@ -160,7 +162,7 @@ class WordTokenizer:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where each text's ids begin (one more than there are texts)."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = plain_texts(texts)
         odd = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
         plain = pc.ascii_lower(pc.if_else(pa.array(odd), "", texts))
         # a single stop or comma that ends a word is a token of its own anyway

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import staged
+from vellum.llm.common import plain_texts, staged
 from vellum.llm.suffixes import permuted_prefixes, suffix_array
 
 PIECE = 32
@@ -103,7 +103,7 @@ def runs_of(data: np.ndarray, bounds: np.ndarray, docs: np.ndarray, least: int)
 def joined_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
     """Rows of batches whose second column is a text, with their bytes joined and where each begins, CHUNK bytes at once."""
     for batch in batches:
-        texts = pc.fill_null(batch.column(1).cast(pa.large_string()), "")
+        texts = plain_texts(batch.column(1))
         size = pc.binary_length(texts).to_numpy().astype(np.int64)
         group = (np.cumsum(size) - size) // CHUNK
         for first, n in zip(*np.unique(group, return_index=True, return_counts=True)[1:], strict=True):
