@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from vellum.plans import scores
+
 FLAGSHIP = "token_f1_pairs"
+MODULES = (scores,)
 
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
