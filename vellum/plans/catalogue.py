@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from vellum.plans import scores
+from vellum.plans import scores, training
 
 FLAGSHIP = "token_f1_pairs"
-MODULES = (scores,)
+MODULES = (scores, training)
 
 
 def queries() -> dict:
