@@ -36,6 +36,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_bounded(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", most: int = 500_000, salts: int = 32) -> DataFrame:
+    """big joined with a table of one short row a key: sent to all tasks if it has at most so many rows, so that hot keys
+    of big stay where they are; otherwise each key of big is dealt over several tasks, and small repeated for them."""
+    if small.count() <= most:
+        return big.join(F.broadcast(small), keys, how)
+    rest = [c for c in big.columns if c not in keys]
+    big = big.withColumn("salt_", F.pmod(F.xxhash64(*rest), F.lit(salts)))
+    small = small.withColumn("salt_", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return big.join(small, [*keys, "salt_"], how).drop("salt_")
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value computed once a row."""
     return F.transform(F.array(value), body)[0]

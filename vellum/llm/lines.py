@@ -6,8 +6,8 @@ carry is one small row a task. Lines whose estimate lies clearly above the thres
 four standard errors of it get exact distinct counts. A boilerplate line stays in the document with the smallest
 doc_id that has it, where it stands first, and goes from all others.
 
-The lines table is written once and read by each step. The boilerplate lines meet the lines in an equi-join whose
-hot keys adaptive execution splits; only the places of removed lines go back to the documents.
+The lines table is written once and read by each step. Boilerplate lines are sent to the lines while they are few, and
+meet them in a salted join beyond that; only the places of removed lines go back to the documents.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import let, staged, words
+from vellum.llm.common import join_bounded, let, staged, words
 
 KEY = ["k1", "k2"]
 
@@ -47,7 +47,7 @@ def spread(lines: DataFrame, min_sites: int, lg_k: int = 12, errors: float = 4)
     margin = errors * 1.04 / math.sqrt(2**lg_k) * min_sites
     low, high = math.floor(min_sites - margin), math.ceil(min_sites + margin)
     near = seen.where(F.col("sites").between(low, high))
-    exact = lines.join(near.select(*KEY), KEY, "left_semi").groupBy(*KEY).agg(F.count_distinct("site").alias("exact"))
+    exact = join_bounded(lines, near.select(*KEY), KEY, "left_semi").groupBy(*KEY).agg(F.count_distinct("site").alias("exact"))
     counted = near.join(exact, KEY).where(F.col("exact") >= min_sites).select(*KEY, "first")
     return seen.where(F.col("sites") > high).select(*KEY, "first").unionByName(counted)
 
@@ -61,7 +61,7 @@ def dedup(docs: DataFrame, min_sites: int = 8, min_words: int = 3) -> DataFrame:
     """
     lines = staged(line_table(docs, min_words), "lines")
     found = staged(spread(lines, min_sites), "boilerplate")
-    hit = lines.join(found, KEY).where(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
+    hit = join_bounded(lines, found, KEY).where(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
     gone = hit.groupBy("doc_id", "text_key").agg(F.array_distinct(F.collect_list("pos")).alias("gone_"))
     gone = gone.select(F.col("doc_id").alias("doc_id_"), F.col("text_key").alias("text_key_"), "gone_")
     own = docs.withColumn("text_key__", text_key(F.col("text")))
