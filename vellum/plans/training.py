@@ -54,10 +54,10 @@ def rloo_advantage(spark, sf_dir):
 WITH c AS (SELECT event_id, event_id % 4 > 0 AS k, value - CASE WHEN n = 1 THEN 0 ELSE m END AS a
   FROM (SELECT *, count(*) OVER w AS n, avg(value) OVER w AS m FROM ({GROUPS}) WINDOW w AS (PARTITION BY uid))),
 t AS (SELECT avg(a) AS m, var_samp(a) AS v FROM c WHERE k)
-SELECT event_id, round((a - m) / sqrt(v + 1e-8), 9) AS advantage FROM c, t""")
+SELECT event_id, round((a - m) / sqrt(v + 1e-8), 6) AS advantage FROM c, t""")
 def rfpp_baseline(spark, sf_dir):
     rows = rollouts(spark, sf_dir).withColumn("mask", (F.col("event_id") % 4 > 0).cast("double"))
-    return advantage.rfpp_baseline(rows, "uid", "value", "mask").select("event_id", F.round("advantage", 9).alias("advantage"))
+    return advantage.rfpp_baseline(rows, "uid", "value", "mask").select("event_id", F.round("advantage", 6).alias("advantage"))
 
 
 @query("""
