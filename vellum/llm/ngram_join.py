@@ -7,6 +7,8 @@
 3. Each list first proposes its smallest node to all others (a star); proposed pairs are verified and components
    taken. Only lists that still hold nodes of several components go on: short ones propose their pairs between
    components, long ones are cut into blocks of bounded size, and each pair of blocks is searched by one task.
+   A proposed pair is dropped first if its parity bitmaps differ in more bits than the two sets may differ in elements:
+   each element flips one bit, so this loses no link, and a bitmap is a small part of a set.
 4. Verification is a T-occurrence search. The shingles of a query node select inverted lists over a block of
    candidates; DivideSkip sets the L longest lists aside, merges the short ones, keeps candidates that reach T - L
    there, and probes the long lists for these alone. A candidate links if it reaches its own T, the least overlap
@@ -77,6 +79,42 @@ def node_of(own: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).astype(np.int64))
 
 
+def parity(own: np.ndarray) -> bytes:
+    """A bitmap of two to four bits an element (64 to 16384 bits): each bit is how many elements fall on it, modulo two."""
+    bits = 1 << min(max(6, int(2 * len(own)).bit_length()), 14)
+    return np.packbits((np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """In how many elements two sets differ at least, by their bitmaps; the longer one is folded to the shorter."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, n = int.from_bytes(a, "little"), 8 * len(a)
+    while n > 8 * len(b):
+        n //= 2
+        x = (x >> n) ^ (x & ((1 << n) - 1))
+    return (x ^ int.from_bytes(b, "little")).bit_count()
+
+
+def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (u, v) that sizes and bitmaps of nodes (node, n, bits) don't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v, n, m, a, b = (c.to_pylist() for c in batch.columns)
+            keep = []
+            for k in range(len(u)):
+                # sets of n and m elements that overlap in at least o differ in at most n + m - 2 o
+                o = -(-percent * (n[k] + m[k]) // (100 + percent))
+                keep.append(o <= min(n[k], m[k]) and least_difference(a[k], b[k]) <= n[k] + m[k] - 2 * o)
+            mask = pa.array(keep, pa.bool_())
+            yield table_of(u=batch.column(0).filter(mask), v=batch.column(1).filter(mask))
+
+    of = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"b_{c}"))
+    both = pairs.join(of("u"), "u").join(of("v"), "v")
+    return both.select("u", "v", "n_u", "n_v", "b_u", "b_v").mapInArrow(run, "u long, v long")
+
+
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, ROWS):
@@ -88,7 +126,7 @@ def table_of(**columns) -> pa.RecordBatch:
 
 
 def nodes_and_counts(docs: DataFrame, size: int) -> DataFrame:
-    """kind 0: a document's doc_id, text key, node and set size; kind 1: a shingle and how many of some nodes have it."""
+    """kind 0: a document's doc_id, text key, node, set size and bitmap; kind 1: a shingle and how many of some nodes have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in chunks(batches):
@@ -96,15 +134,16 @@ def nodes_and_counts(docs: DataFrame, size: int) -> DataFrame:
             nodes = [node_of(x) for x in sets]
             n = [len(x) for x in sets]
             zero = pa.array(np.zeros(len(n), np.int32))
-            yield table_of(kind=zero, doc_id=some.column(0), key=some.column(1), node=pa.array(nodes, pa.int64()), n=pa.array(n, pa.int64()))
+            bits = pa.array([parity(x) for x in sets], pa.binary())
+            yield table_of(kind=zero, doc_id=some.column(0), key=some.column(1), node=pa.array(nodes, pa.int64()), n=pa.array(n, pa.int64()), bits=bits)
             own = list(dict(zip(nodes, sets, strict=True)).values())
             seen, count = np.unique(np.concatenate(own), return_counts=True)
             seen, count = seen[count >= SEEN_NEAR].view(np.int64), count[count >= SEEN_NEAR]
             if len(seen):
                 none = pa.nulls(len(seen), pa.int64())
-                yield table_of(kind=pa.array(np.ones(len(seen), np.int32)), doc_id=none, key=none, node=pa.array(seen), n=pa.array(count))
+                yield table_of(kind=pa.array(np.ones(len(seen), np.int32)), doc_id=none, key=none, node=pa.array(seen), n=pa.array(count), bits=pa.nulls(len(seen), pa.binary()))
 
-    return docs.select("doc_id", "key", "text").mapInArrow(run, "kind int, doc_id long, key long, node long, n long")
+    return docs.select("doc_id", "key", "text").mapInArrow(run, "kind int, doc_id long, key long, node long, n long, bits binary")
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -224,6 +263,11 @@ def divide_skip(query: np.ndarray, others: list[np.ndarray], percent: int, mu: f
     return reached[counts[reached] >= need[reached]]
 
 
+def keys_of(single: DataFrame, nodes: DataFrame) -> DataFrame:
+    """A text key for each of nodes."""
+    return staged(single.join(nodes.distinct(), "node", "left_semi").select("key").distinct(), "keys")
+
+
 def sets_of(docs: DataFrame, keys: DataFrame, size: int) -> DataFrame:
     """node and its shingles, once each, of the documents with these text keys."""
 
@@ -352,10 +396,15 @@ def cluster(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     packed = postings(docs, size, percent, np.ascontiguousarray(frequent), parts).repartition("part")
     lists = staged(lists_of(packed), "lists")
     pairs = staged(lists.where("kind = 0").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "pairs")
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    keys = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key")).select("key").distinct()
-    sets = staged(sets_of(docs, staged(keys, "keys"), size), "sets")
-    links = staged(verified(pairs, sets, percent), "links")
+    single = first.where("kind = 0 AND n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("key").alias("key"))
+    single = staged(single, "single")
+
+    def linked(some: DataFrame) -> DataFrame:
+        some = staged(plausible(some, single, percent), "plausible")
+        sets = sets_of(docs, keys_of(single, some.select(F.explode(F.array("u", "v")).alias("node"))), size)
+        return staged(verified(some, staged(sets, "sets"), percent), "links")
+
+    links = linked(pairs)
     known = components(links)
     members = lists.where("kind = 1").select(F.col("a").alias("list"), F.col("b").alias("node")).distinct()
     members = members.join(known, "node", "left").select("list", "node", F.coalesce("root", "node").alias("comp"))
@@ -365,9 +414,9 @@ def cluster(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     held = members.where(F.col("n") <= SHORT).groupBy("list").agg(F.collect_list(F.struct("node", "comp")).alias("m"))
     met = F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (y["node"] > x["node"]) & (y["comp"] != x["comp"])), lambda y: F.struct(x["node"].alias("u"), y["node"].alias("v"))))
     more = held.select(F.inline(F.flatten(met))).distinct().join(pairs, ["u", "v"], "left_anti")
-    found = verified(staged(more, "more"), sets, percent)
-    found = found.unionByName(block_links(members.where(F.col("n") > SHORT), sets, percent))
-    links = links.unionByName(staged(found, "found"))
+    long_lists = members.where(F.col("n") > SHORT)
+    sets = staged(sets_of(docs, keys_of(single, long_lists.select("node")), size), "sets")
+    links = links.unionByName(linked(more)).unionByName(staged(block_links(long_lists, sets, percent), "links"))
     roots = components(links)
     named = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left")
     named = staged(named.select("node", "least", F.coalesce("root", "node").alias("root")), "named")
