@@ -214,7 +214,7 @@ def reasoning_and_answer(text: Column) -> Column:
 
 
 def human_count(n: Column) -> Column:
-    """Counts with two decimals and K, M, B or T."""
+    """Counts with two decimals, halves rounded up, and K, M, B or T."""
     steps = [(1e12, "T"), (1e9, "B"), (1e6, "M"), (1e3, "K")]
     out = n.cast("string")
     for size, unit in reversed(steps):

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from vellum.plans import scores, training
+from vellum.plans import answers, scores, training
 
 FLAGSHIP = "token_f1_pairs"
-MODULES = (scores, training)
+MODULES = (scores, training, answers)
 
 
 def queries() -> dict:
