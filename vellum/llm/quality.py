@@ -168,3 +168,56 @@ def report(docs: DataFrame) -> DataFrame:
     found = decided(measured(docs.select("doc_id", "text")).drop("text"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return found.select("doc_id", *[F.col(f"m_{x}").alias(x) for x in names], "base_failed", "kept", F.round("quality", 6).alias("quality"))
+
+
+def oracle_sql(rounds: int = 25, prior: float = 0.8, good: float = 0.95, bad: float = 0.4, strength: float = 20) -> str:
+    """DuckDB SQL of report(): the counts over exploded words and lines, and the same estimate as a fold."""
+    quoted = lambda chars: "'" + chars.replace("'", "''") + "'"
+    blanks = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    of = lambda chars: f"length(rest) - length(translate(rest, {quoted(chars)}, ''))"
+    vote = lambda good, bad: f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END"
+    n, chars = "n_words", "word_chars"
+    votes = [
+        vote(f"100 * n_symbols <= {n}", f"10 * n_symbols >= {n}"),
+        vote(f"10 * marks <= {chars}", f"20 * marks >= 3 * {chars}"),
+        vote("fn >= 3", f"{n} >= 20 AND fn = 0"),
+        vote(f"20 * n_repeat_words <= {n}", f"10 * n_repeat_words >= 3 * {n}"),
+        vote("20 * n_dup_lines <= n_lines", "n_dup_lines >= 3 AND 10 * n_dup_lines >= 3 * n_lines"),
+        vote("mean BETWEEN 4 AND 7", "mean < 3 OR mean > 10"),
+        vote(f"{n} >= 20 AND 10 * n_distinct >= 4 * {n}", f"{n} >= 20 AND 5 * n_distinct <= {n}"),
+        vote(f"50 * stops >= {n} AND 4 * stops <= {n}", f"{n} >= 20 AND 200 * stops < {n}"),
+        vote(f"share <= 0.2 AND 20 * shouts <= {n}", f"share >= 0.5 OR 3 * shouts >= {n}"),
+        vote(f"20 * digits <= {chars}", f"4 * digits >= {chars}"),
+    ]
+    m = len(votes)
+    odds = "ln({s}.prior / (1 - {s}.prior)) + list_sum(list_transform(range(1, {m} + 1), lambda j: CASE {v}[j] WHEN 1 THEN ln({s}.good[j] / (1 - {s}.bad[j])) WHEN -1 THEN ln((1 - {s}.good[j]) / {s}.bad[j]) ELSE 0 END))"
+    total = lambda what: f"list_sum(list_transform(r, lambda x: {what}))"
+    smooth = lambda part, whole, start: f"least(0.999, greatest(0.001, ({part} + {start * strength}::DOUBLE) / ({whole} + {strength}::DOUBLE)))"
+    on_good = smooth(total("CASE WHEN x.v[k] = 1 THEN x.y ELSE 0 END"), total("abs(x.v[k]) * x.y"), good)
+    on_bad = smooth(total("CASE WHEN x.v[k] = -1 THEN x.n - x.y ELSE 0 END"), total("abs(x.v[k]) * (x.n - x.y)"), bad)
+    each = f"range(1, {m} + 1)"
+    step = f"""list_transform([list_transform(p, lambda x: struct_pack(v := x.v, n := x.n, y := x.n / (1 + exp(-({odds.format(s='s', m=m, v='x.v')})))))],
+      lambda r: struct_pack(prior := {smooth(total('x.y'), total('x.n'), prior)}, good := list_transform({each}, lambda k: {on_good}), bad := list_transform({each}, lambda k: {on_bad})))[1]"""
+    start = f"struct_pack(prior := {prior}::DOUBLE, good := list_transform({each}, lambda k: {good}::DOUBLE), bad := list_transform({each}, lambda k: {bad}::DOUBLE))"
+    return f"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: length(translate(x, {blanks}, '')) > 0) AS ls, translate(coalesce(text, ''), {blanks}, '') AS solid FROM documents
+), g AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS k FROM (
+    SELECT doc_id, i, struct_pack(a := w[i], b := w[i + 1], c := w[i + 2]) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t WHERE len(w) >= 3))
+), rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM g WHERE k > 1) GROUP BY doc_id
+), c AS (
+  SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(solid) AS BIGINT) AS word_chars, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, len(ls) AS n_lines, len(list_distinct(w)) AS n_distinct,
+    len(list_filter(list_distinct(w), lambda x: list_contains(string_split({quoted(FUNCTION_WORDS)}, ' '), x))) AS fn, solid, translate(solid, {quoted(LOWER)}, '') AS rest
+  FROM t LEFT JOIN rep USING (doc_id)
+), f AS (
+  SELECT *, CAST({of(SYMBOLS)} AS BIGINT) AS n_symbols, {of(MARKS)} AS marks, {of('.!?')} AS stops, {of('!?')} AS shouts, {of('0123456789')} AS digits,
+    word_chars / greatest(n_words, 1) AS mean, ({of(UPPER)}) / greatest(({of(UPPER)}) + length(solid) - length(rest), 1) AS share FROM c
+), v AS (SELECT *, [{', '.join(votes)}] AS v FROM f
+), p AS (SELECT list(struct_pack(v := v, n := n)) AS p FROM (SELECT v, CAST(count(*) AS DOUBLE) AS n FROM v GROUP BY v)
+), m AS (SELECT list_reduce(range(1, {rounds + 1}), lambda s, i: {step}, {start}) AS m FROM p
+), q AS (SELECT v.*, 1 / (1 + exp(-({odds.format(s='m', m=m, v='v')}))) AS q, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM v, m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND q >= 0.5 AS kept, round(q, 6) AS quality FROM q
+"""

@@ -56,4 +56,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": lines.ORACLE_SQL, "op3_decontamination": decontaminate.ORACLE_SQL, "op4_ngram_jaccard": ngram_join.ORACLE_SQL, "op9_warc_round_trip": warc.ORACLE_SQL}
+    """SQL of the queries that it can express: not the tokenizer, language model, forest or URL classifier."""
+    return {
+        "op1_quality_rules": quality.oracle_sql(),
+        "op2_line_dedup": lines.ORACLE_SQL,
+        "op3_decontamination": decontaminate.ORACLE_SQL,
+        "op4_ngram_jaccard": ngram_join.ORACLE_SQL,
+        "op6_suffix_dedup": substrings.ORACLE_SQL,
+        "op9_warc_round_trip": warc.ORACLE_SQL,
+    }

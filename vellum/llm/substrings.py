@@ -315,3 +315,23 @@ def report(docs: DataFrame) -> DataFrame:
         "doc_id", n.alias("n_bytes"), (n - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+ORACLE_SQL = """
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents), w AS (
+  SELECT doc_id, i, md5(array_slice(b, i, i + 99)) AS h FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 98)) AS i FROM b WHERE octet_length(b) >= 100)
+), again AS (
+  SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1
+), marked AS (
+  SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM again
+), spans AS (
+  SELECT doc_id, min(i) AS first, max(i) + 100 AS after FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM marked) GROUP BY doc_id, k
+), cuts AS (
+  SELECT doc_id, coalesce(lag(after) OVER (PARTITION BY doc_id ORDER BY first), 1) AS a, first AS z FROM spans
+  UNION ALL SELECT b.doc_id, coalesce(max(after), 1), any_value(octet_length(b)) + 1 FROM b LEFT JOIN spans USING (doc_id) GROUP BY b.doc_id
+), kept AS (
+  SELECT doc_id, sha256(unhex(string_agg(CASE WHEN z > a THEN hex(array_slice(b, a, z - 1)) ELSE '' END, '' ORDER BY a))) AS kept_sha256 FROM cuts JOIN b USING (doc_id) GROUP BY doc_id
+), sums AS (SELECT doc_id, sum(after - first) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT b.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256
+FROM b JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)
+"""
