@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from vellum.plans import answers, scores, training
+from vellum.plans import answers, scores, shapes, training
 
 FLAGSHIP = "token_f1_pairs"
-MODULES = (scores, training, answers)
+MODULES = (scores, training, answers, shapes)
 
 
 def queries() -> dict:
