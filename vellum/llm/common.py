@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,9 +32,13 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: later uses don't compute it again."""
-    path = new_path(df.sparkSession, name)
+    spark, schema, path = df.sparkSession, df.schema, new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    # shuffle files go once nothing refers to them; the written table needs none of those before it
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def join_bounded(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", most: int = 500_000, salts: int = 32) -> DataFrame:

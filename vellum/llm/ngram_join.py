@@ -6,7 +6,8 @@
    short inverted lists. The order decides speed only: any order loses nothing.
 3. Each list first proposes its smallest node to all others (a star); proposed pairs are verified and components
    taken. Only lists that still hold nodes of several components go on: short ones propose their pairs between
-   components, long ones are cut into blocks of bounded size, and each pair of blocks is searched by one task.
+   components, of which one for each two components is verified first and all that still matter in the end; long
+   ones are cut into blocks of bounded size, and each pair of blocks is searched by one task.
    A proposed pair is dropped first if its parity bitmaps differ in more bits than the two sets may differ in elements:
    each element flips one bit, so this loses no link, and a bitmap is a small part of a set.
 4. Verification is a T-occurrence search. The shingles of a query node select inverted lists over a block of
@@ -14,7 +15,7 @@
    there, and probes the long lists for these alone. A candidate links if it reaches its own T, the least overlap
    that the two set sizes allow.
 
-Shingles are known by 64-bit hashes, and nodes by 64-bit hashes of their sets. The merge of the short lists counts
+Shingles are known by 64-bit hashes (48 of these bits where sets meet), and nodes by 64-bit hashes of their sets. The merge of the short lists counts
 with numpy where the textbook has a heap: the same counts, without an interpreted step an entry.
 """
 
@@ -38,7 +39,9 @@ ROWS = 2000
 FREQUENT, SEEN_NEAR, SEEN = 200_000, 8, 64
 #: Nodes of a list whose pairs are proposed one by one, and of a block beyond that.
 SHORT, BLOCK = 64, 256
-#: Keys of documents that may be broadcast: 8 bytes each.
+#: Rounds in which one pair for each two components is verified, before all that are left.
+TRIES = 2
+#: Keys of documents that may be broadcast: 16 bytes each.
 SENT = 1_000_000
 MULTIPLY = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -79,6 +82,18 @@ def node_of(own: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).astype(np.int64))
 
 
+def packed_set(own: np.ndarray) -> bytes:
+    """The upper six bytes of each hash, in order."""
+    return (own >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked_set(data) -> np.ndarray:
+    six = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    eight = np.zeros((len(six), 8), np.uint8)
+    eight[:, :6] = six
+    return eight.reshape(-1).view("<u8").astype(np.uint64)
+
+
 def parity(own: np.ndarray) -> bytes:
     """A bitmap of two to four bits an element (64 to 16384 bits): each bit is how many elements fall on it, modulo two."""
     bits = 1 << min(max(6, int(2 * len(own)).bit_length()), 14)
@@ -263,35 +278,29 @@ def divide_skip(query: np.ndarray, others: list[np.ndarray], percent: int, mu: f
     return reached[counts[reached] >= need[reached]]
 
 
-def keys_of(single: DataFrame, nodes: DataFrame) -> DataFrame:
-    """A text key for each of nodes."""
-    return staged(single.join(nodes.distinct(), "node", "left_semi").select("key").distinct(), "keys")
-
-
-def sets_of(docs: DataFrame, keys: DataFrame, size: int) -> DataFrame:
-    """node and its shingles, once each, of the documents with these text keys."""
+def sets_of(docs: DataFrame, single: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """node and its packed set for each of nodes, from one document each; repeated rows may give it repeatedly."""
+    keys = staged(single.join(nodes.distinct(), "node", "left_semi").select(F.col("one.key").alias("key_"), F.col("one.doc_id").alias("doc_id_")), "keys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in chunks(batches):
             sets = shingle_sets(some.column(0), size)
-            yield table_of(node=pa.array([node_of(x) for x in sets], pa.int64()), own=pa.array([x.tobytes() for x in sets], pa.binary()))
+            yield table_of(node=pa.array([node_of(x) for x in sets], pa.int64()), own=pa.array([packed_set(x) for x in sets], pa.binary()))
 
     if keys.count() <= SENT:
         keys = F.broadcast(keys)
-    # texts with equal keys are equal, or give other nodes than were asked for, which no join meets
-    found = docs.join(keys, "key", "left_semi").select("text").mapInArrow(run, "node long, own binary")
-    return found.dropDuplicates(["node"])
+    met = (docs["key"] == keys["key_"]) & docs["doc_id"].eqNullSafe(keys["doc_id_"])
+    return docs.join(keys, met, "left_semi").select("text").mapInArrow(run, "node long, own binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The linked ones of pairs (u, v). A node with many partners is met in several groups, with its set in each."""
     degree = pairs.groupBy("u").agg(F.ceil(F.count("*") / BLOCK).alias("groups"))
-    dealt = pairs.join(degree, "u").withColumn("salt", F.pmod(F.xxhash64("v"), F.col("groups")))
-    queries = degree.join(sets, degree["u"] == sets["node"]).select(
-        "u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("salt"), F.lit(0).alias("kind"), "node", "own"
-    )
-    others = dealt.join(sets, dealt["v"] == sets["node"]).select("u", "salt", F.lit(1).alias("kind"), "node", "own")
-    rows = queries.unionByName(others).repartition("u", "salt").sortWithinPartitions("u", "salt", "kind")
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("salt")
+    queries = degree.select("u", salts, F.lit(0).alias("kind"), F.col("u").alias("node"))
+    others = pairs.join(degree, "u").select("u", F.pmod(F.xxhash64("v"), F.col("groups")).alias("salt"), F.lit(1).alias("kind"), F.col("v").alias("node"))
+    rows = queries.unionByName(others).join(sets, "node").select("u", "salt", "kind", "node", "own")
+    rows = rows.repartition("u", "salt").sortWithinPartitions("u", "salt", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query, u = None, None
@@ -307,16 +316,15 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
         for batch in batches:
             for u_, kind, node, own in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), batch.column(4), strict=True):
-                own = np.frombuffer(own.as_buffer(), np.uint64)
+                own = unpacked_set(own.as_buffer())
                 if kind == 0:
                     search()
                     query, u = own, u_
                 elif u_ == u:
                     names.append(node)
-                    held.append(own.copy())
+                    held.append(own)
                     if len(held) >= BLOCK:
                         search()
-            query = query if query is None else query.copy()
             if len(links) > 10_000:
                 yield as_links(links)
                 links = []
@@ -364,7 +372,7 @@ def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         block, node, comp = (group[c].to_pylist() for c in ("block", "node", "comp"))
-        own = [np.frombuffer(x, np.uint64) for x in group["own"].to_pylist()]
+        own = [unpacked_set(x) for x in group["own"].to_pylist()]
         i, j = group["i"][0].as_py(), group["j"][0].as_py()
         forest, links = Forest(), []
         left = [k for k, b in enumerate(block) if b == i]
@@ -396,15 +404,23 @@ def cluster(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     packed = postings(docs, size, percent, np.ascontiguousarray(frequent), parts).repartition("part")
     lists = staged(lists_of(packed), "lists")
     pairs = staged(lists.where("kind = 0").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "pairs")
-    single = first.where("kind = 0 AND n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("key").alias("key"))
+    single = first.where("kind = 0 AND n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min(F.struct("key", "doc_id")).alias("one"))
     single = staged(single, "single")
 
     def linked(some: DataFrame) -> DataFrame:
-        some = staged(plausible(some, single, percent), "plausible")
-        sets = sets_of(docs, keys_of(single, some.select(F.explode(F.array("u", "v")).alias("node"))), size)
-        return staged(verified(some, staged(sets, "sets"), percent), "links")
-
-    links = linked(pairs)
+        nodes = some.select(F.explode(F.array("u", "v")).alias("node"))
+        return staged(verified(some, sets_of(docs, single, nodes, size), percent), "links")
+
+    def across(some: DataFrame) -> DataFrame:
+        """Pairs of which the links so far don't join both nodes, with the components a and b, a below b."""
+        found = components(links)
+        for c in ("u", "v"):
+            own = found.select(F.col("node").alias(c), F.col("root").alias(f"r_{c}"))
+            some = some.join(own, c, "left").withColumn(f"r_{c}", F.coalesce(f"r_{c}", c))
+        parts = some.where("r_u <> r_v").select("u", "v", F.least("r_u", "r_v").alias("a"), F.greatest("r_u", "r_v").alias("b"))
+        return staged(parts, "across")
+
+    links = linked(staged(plausible(pairs, single, percent), "plausible"))
     known = components(links)
     members = lists.where("kind = 1").select(F.col("a").alias("list"), F.col("b").alias("node")).distinct()
     members = members.join(known, "node", "left").select("list", "node", F.coalesce("root", "node").alias("comp"))
@@ -414,9 +430,24 @@ def cluster(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     held = members.where(F.col("n") <= SHORT).groupBy("list").agg(F.collect_list(F.struct("node", "comp")).alias("m"))
     met = F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (y["node"] > x["node"]) & (y["comp"] != x["comp"])), lambda y: F.struct(x["node"].alias("u"), y["node"].alias("v"))))
     more = held.select(F.inline(F.flatten(met))).distinct().join(pairs, ["u", "v"], "left_anti")
+    left = staged(plausible(more, single, percent), "plausible")
+    for _ in range(TRIES):
+        # one pair for each two components first: where it links, the others need no search
+        left = across(left)
+        if left.isEmpty():
+            break
+        one = staged(left.groupBy("a", "b").agg(F.min(F.struct("u", "v")).alias("x")).select("x.u", "x.v"), "one")
+        links = links.unionByName(linked(one))
+        left = left.select("u", "v").join(one, ["u", "v"], "left_anti")
+    else:
+        links = links.unionByName(linked(across(left).select("u", "v")))
     long_lists = members.where(F.col("n") > SHORT)
-    sets = staged(sets_of(docs, keys_of(single, long_lists.select("node")), size), "sets")
-    links = links.unionByName(linked(more)).unionByName(staged(block_links(long_lists, sets, percent), "links"))
+    if not long_lists.isEmpty():
+        found = components(links)
+        long_lists = long_lists.drop("comp").join(found, "node", "left").select("list", "node", F.coalesce("root", "node").alias("comp"), "n")
+        long_lists = staged(long_lists, "long")
+        sets = sets_of(docs, single, long_lists.select("node"), size)
+        links = links.unionByName(staged(block_links(long_lists, sets, percent), "links"))
     roots = components(links)
     named = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left")
     named = staged(named.select("node", "least", F.coalesce("root", "node").alias("root")), "named")
