@@ -6,7 +6,7 @@
    short inverted lists. The order decides speed only: any order loses nothing.
 3. Each list first proposes its smallest node to all others (a star); proposed pairs are verified and components
    taken. Only lists that still hold nodes of several components go on: short ones propose their pairs between
-   components, of which one for each two components is verified first and all that still matter in the end; long
+   components, of which the likeliest of each component is verified first and all that still matter in the end; long
    ones are cut into blocks of bounded size, and each pair of blocks is searched by one task.
    A proposed pair is dropped first if its parity bitmaps differ in more bits than the two sets may differ in elements:
    each element flips one bit, so this loses no link, and a bitmap is a small part of a set.
@@ -39,8 +39,10 @@ ROWS = 2000
 FREQUENT, SEEN_NEAR, SEEN = 200_000, 8, 64
 #: Nodes of a list whose pairs are proposed one by one, and of a block beyond that.
 SHORT, BLOCK = 64, 256
-#: Rounds in which one pair for each two components is verified, before all that are left.
-TRIES = 2
+#: Rounds in which the likeliest pair of each component is verified, before all that are left.
+TRIES = 4
+#: Slices in which the rest is verified.
+SLICES = 4
 #: Keys of documents that may be broadcast: 16 bytes each.
 SENT = 1_000_000
 MULTIPLY = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -112,22 +114,23 @@ def least_difference(a: bytes, b: bytes) -> int:
 
 
 def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (u, v) that sizes and bitmaps of nodes (node, n, bits) don't rule out."""
+    """Those of pairs (u, v) that sizes and bitmaps of nodes (node, n, bits) don't rule out, with their least difference over both sizes as d."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u, v, n, m, a, b = (c.to_pylist() for c in batch.columns)
-            keep = []
+            keep, differ = [], []
             for k in range(len(u)):
                 # sets of n and m elements that overlap in at least o differ in at most n + m - 2 o
-                o = -(-percent * (n[k] + m[k]) // (100 + percent))
-                keep.append(o <= min(n[k], m[k]) and least_difference(a[k], b[k]) <= n[k] + m[k] - 2 * o)
+                o, d = -(-percent * (n[k] + m[k]) // (100 + percent)), least_difference(a[k], b[k])
+                keep.append(o <= min(n[k], m[k]) and d <= n[k] + m[k] - 2 * o)
+                differ.append(d / (n[k] + m[k]))
             mask = pa.array(keep, pa.bool_())
-            yield table_of(u=batch.column(0).filter(mask), v=batch.column(1).filter(mask))
+            yield table_of(u=batch.column(0).filter(mask), v=batch.column(1).filter(mask), d=pa.array(differ, pa.float64()).filter(mask))
 
     of = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"b_{c}"))
     both = pairs.join(of("u"), "u").join(of("v"), "v")
-    return both.select("u", "v", "n_u", "n_v", "b_u", "b_v").mapInArrow(run, "u long, v long")
+    return both.select("u", "v", "n_u", "n_v", "b_u", "b_v").mapInArrow(run, "u long, v long, d double")
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -411,44 +414,47 @@ def cluster(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
         nodes = some.select(F.explode(F.array("u", "v")).alias("node"))
         return staged(verified(some, sets_of(docs, single, nodes, size), percent), "links")
 
-    def across(some: DataFrame) -> DataFrame:
-        """Pairs of which the links so far don't join both nodes, with the components a and b, a below b."""
-        found = components(links)
+    def across(some: DataFrame, known: DataFrame) -> DataFrame:
+        """Pairs whose nodes are in different components, with these as a and b."""
         for c in ("u", "v"):
-            own = found.select(F.col("node").alias(c), F.col("root").alias(f"r_{c}"))
+            own = known.select(F.col("node").alias(c), F.col("root").alias(f"r_{c}"))
             some = some.join(own, c, "left").withColumn(f"r_{c}", F.coalesce(f"r_{c}", c))
-        parts = some.where("r_u <> r_v").select("u", "v", F.least("r_u", "r_v").alias("a"), F.greatest("r_u", "r_v").alias("b"))
+        parts = some.where("r_u <> r_v").select("u", "v", "d", F.col("r_u").alias("a"), F.col("r_v").alias("b"))
         return staged(parts, "across")
 
-    links = linked(staged(plausible(pairs, single, percent), "plausible"))
-    known = components(links)
+    def joined(known: DataFrame, new: DataFrame) -> DataFrame:
+        return components(known.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(new))
+
+    roots = components(linked(staged(plausible(pairs, single, percent), "plausible").select("u", "v")))
     members = lists.where("kind = 1").select(F.col("a").alias("list"), F.col("b").alias("node")).distinct()
-    members = members.join(known, "node", "left").select("list", "node", F.coalesce("root", "node").alias("comp"))
+    members = members.join(roots, "node", "left").select("list", "node", F.coalesce("root", "node").alias("comp"))
     members = staged(members, "members")
     open_ = members.groupBy("list").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("n")).where("a <> b")
     members = staged(members.join(open_.select("list", "n"), "list"), "open")
     held = members.where(F.col("n") <= SHORT).groupBy("list").agg(F.collect_list(F.struct("node", "comp")).alias("m"))
     met = F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (y["node"] > x["node"]) & (y["comp"] != x["comp"])), lambda y: F.struct(x["node"].alias("u"), y["node"].alias("v"))))
     more = held.select(F.inline(F.flatten(met))).distinct().join(pairs, ["u", "v"], "left_anti")
-    left = staged(plausible(more, single, percent), "plausible")
+    left = across(staged(plausible(more, single, percent), "plausible"), roots)
     for _ in range(TRIES):
-        # one pair for each two components first: where it links, the others need no search
-        left = across(left)
         if left.isEmpty():
             break
-        one = staged(left.groupBy("a", "b").agg(F.min(F.struct("u", "v")).alias("x")).select("x.u", "x.v"), "one")
-        links = links.unionByName(linked(one))
-        left = left.select("u", "v").join(one, ["u", "v"], "left_anti")
-    else:
-        links = links.unionByName(linked(across(left).select("u", "v")))
-    long_lists = members.where(F.col("n") > SHORT)
+        # the likeliest pair of each component first: where it links, most of the others need no search
+        each = left.select(F.explode(F.array("a", "b")).alias("c"), F.struct("d", "u", "v").alias("x")).groupBy("c").agg(F.min("x").alias("x"))
+        one = staged(each.select("x.u", "x.v").distinct(), "one")
+        roots = joined(roots, linked(one))
+        left = across(left.select("u", "v", "d").join(one, ["u", "v"], "left_anti"), roots)
+    for k in range(SLICES):
+        if left.isEmpty():
+            break
+        # slice by slice, as the sets of all at once would fill the disks
+        some = F.pmod(F.xxhash64("u"), F.lit(SLICES)) == k
+        roots = joined(roots, linked(left.where(some).select("u", "v")))
+        left = across(left.where(~some).select("u", "v", "d"), roots)
+    long_lists = members.where(F.col("n") > SHORT).drop("comp").join(roots, "node", "left")
+    long_lists = staged(long_lists.select("list", "node", F.coalesce("root", "node").alias("comp"), "n"), "long")
     if not long_lists.isEmpty():
-        found = components(links)
-        long_lists = long_lists.drop("comp").join(found, "node", "left").select("list", "node", F.coalesce("root", "node").alias("comp"), "n")
-        long_lists = staged(long_lists, "long")
         sets = sets_of(docs, single, long_lists.select("node"), size)
-        links = links.unionByName(staged(block_links(long_lists, sets, percent), "links"))
-    roots = components(links)
+        roots = joined(roots, staged(block_links(long_lists, sets, percent), "links"))
     named = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left")
     named = staged(named.select("node", "least", F.coalesce("root", "node").alias("root")), "named")
     lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
