@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import staged
+from vellum.llm.common import join_bounded, staged
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: verdict, host, path. Fixed by the contract.
@@ -23,7 +23,7 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 BLOCKED = (
     "casino-win.com/slots cheap-pills.com/buy free-bets.com/bonus adult-cams.com/live sexy-singles.com/dating "
     "payday-loans.com/cash online-poker.com/jackpot replica-watches.com/cheap buy-viagra.com/pills ads-track.com/click "
-    "casino-bonus.com/free win-cash.com/prize cheap-meds.com/pharmacy xxx-videos.com/porn bet-win.com/odds "
+    "spam-links.com/farm casino-bonus.com/free win-cash.com/prize cheap-meds.com/pharmacy xxx-videos.com/porn bet-win.com/odds "
     "click-ads.com/track free-casino.com/spin track-pixel.com/ads hot-cams.com/xxx lottery-win.com/claim"
 ).split()
 ALLOWED = (
@@ -150,9 +150,9 @@ def judge(pages: DataFrame, docs: DataFrame, labelled: DataFrame | None = None,
     odds, prior = weights(labelled, cuts, blocked_share)
     table = F.create_map(*[F.lit(x) for pair in odds.items() for x in pair]) if odds else F.create_map().cast("map<string,double>")
     value = lambda words: F.aggregate(words, F.lit(0.0), lambda a, w: a + F.coalesce(F.try_element_at(table, w), F.lit(0.0)))
-    hosts = tokens_of(rows, cuts).withColumn("host_score", value(F.col("host_words")))
+    hosts = staged(tokens_of(rows, cuts).withColumn("host_score", value(F.col("host_words"))), "hosts")
     name, verdict = ruled(F.col("host"), F.col("path"), rules)
-    out = rows.join(hosts, "host", "left").withColumn("score", F.lit(prior) + F.coalesce("host_score", F.lit(0.0)) + value(path_words(F.col("path"))))
+    out = join_bounded(rows, hosts, ["host"], "left").withColumn("score", F.lit(prior) + F.coalesce("host_score", F.lit(0.0)) + value(path_words(F.col("path"))))
     verdict = F.coalesce(verdict, F.when(F.col("score") > 0, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", name.alias("rule"), verdict.alias("verdict"), "score", "host_words")
 
