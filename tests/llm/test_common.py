@@ -23,4 +23,5 @@ def test_plain_texts_of_a_slice():
 
 def test_staged_tables_keep_rows_and_lie_in_the_shared_folder(spark):
     df = common.staged(spark.range(5).withColumn("s", F.lit(None).cast("string")), "x")
-    assert df.count() == 5 and all(f.startswith(common.shared_dir(spark).replace("file://", "file:")[:12]) for f in df.inputFiles())
+    folder = common.shared_dir(spark).split("file:")[-1].strip("/")
+    assert df.count() == 5 and all(folder in f for f in df.inputFiles())
