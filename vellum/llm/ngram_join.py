@@ -7,7 +7,7 @@
 3. Each list first proposes its smallest node to all others (a star); proposed pairs are verified and components
    taken. Only lists that still hold nodes of several components go on: short ones propose their pairs between
    components, of which the likeliest of each component is verified first and all that still matter in the end; long
-   ones are cut into blocks of bounded size, and each pair of blocks is searched by one task.
+   ones are cut into blocks of bounded size, and each pair of blocks proposes what its bitmaps don't rule out.
    A proposed pair is dropped first if its parity bitmaps differ in more bits than the two sets may differ in elements:
    each element flips one bit, so this loses no link, and a bitmap is a small part of a set.
 4. Verification is a T-occurrence search. The shingles of a query node select inverted lists over a block of
@@ -343,51 +343,33 @@ def as_links(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return table_of(u=pa.array(u, pa.int64()), v=pa.array(v, pa.int64()))
 
 
-class Forest:
-    """Union-find over whatever names come."""
-
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        path = []
-        while (y := self.up.get(x, x)) != x:
-            path.append(x)
-            x = y
-        for p in path:
-            self.up[p] = x
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
-def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components within long lists: rows (list, node, comp, n of the list); a pair of blocks a group."""
+def block_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """As plausible(), the pairs between components within long lists: rows (list, node, comp, n of the list); a pair of blocks a group."""
     blocks = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK))
     blocks = blocks.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     cells = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     cells = cells.select("list", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp")
-    rows = cells.join(sets, "node").select("list", "i", "j", "block", "node", "comp", "own")
+    rows = cells.join(nodes.select("node", F.col("n").alias("size"), "bits"), "node")
 
     def run(group: pa.Table) -> pa.Table:
-        block, node, comp = (group[c].to_pylist() for c in ("block", "node", "comp"))
-        own = [unpacked_set(x) for x in group["own"].to_pylist()]
+        block, node, comp, size = (group[c].to_numpy() for c in ("block", "node", "comp", "size"))
+        bits = group["bits"].to_pylist()
         i, j = group["i"][0].as_py(), group["j"][0].as_py()
-        forest, links = Forest(), []
-        left = [k for k, b in enumerate(block) if b == i]
-        right = [k for k, b in enumerate(block) if b == j]
-        for q in left:
-            some = [k for k in right if (i != j or node[k] > node[q]) and forest.root(comp[k]) != forest.root(comp[q])]
-            for f in divide_skip(own[q], [own[k] for k in some], percent) if some else ():
-                if forest.join(comp[q], comp[some[f]]):
-                    links.append((node[q], node[some[f]]))
-        return pa.Table.from_batches([as_links(links)] if links else [], pa.schema([("u", pa.int64()), ("v", pa.int64())]))
-
-    return rows.groupBy("list", "i", "j").applyInArrow(run, "u long, v long")
+        right = np.flatnonzero(block == j)
+        u, v, differ = [], [], []
+        for q in np.flatnonzero(block == i):
+            need = least_overlap(int(size[q]), size[right], percent)
+            able = (comp[right] != comp[q]) & (need <= np.minimum(size[right], size[q])) & ((i != j) | (node[right] > node[q]))
+            for k, o in zip(right[able].tolist(), need[able].tolist(), strict=True):
+                both = int(size[q] + size[k])
+                d = least_difference(bits[q], bits[k])
+                if d <= both - 2 * o:
+                    u.append(min(node[q], node[k]))
+                    v.append(max(node[q], node[k]))
+                    differ.append(d / both)
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "d": pa.array(differ, pa.float64())})
+
+    return rows.groupBy("list", "i", "j").applyInArrow(run, "u long, v long, d double")
 
 
 def cluster(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
@@ -434,7 +416,11 @@ def cluster(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     held = members.where(F.col("n") <= SHORT).groupBy("list").agg(F.collect_list(F.struct("node", "comp")).alias("m"))
     met = F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (y["node"] > x["node"]) & (y["comp"] != x["comp"])), lambda y: F.struct(x["node"].alias("u"), y["node"].alias("v"))))
     more = held.select(F.inline(F.flatten(met))).distinct().join(pairs, ["u", "v"], "left_anti")
-    left = across(staged(plausible(more, single, percent), "plausible"), roots)
+    long_lists = staged(members.where(F.col("n") > SHORT), "long")
+    more = plausible(more, single, percent)
+    if not long_lists.isEmpty():
+        more = more.unionByName(block_pairs(long_lists, single, percent)).join(pairs, ["u", "v"], "left_anti")
+    left = across(staged(more.distinct(), "plausible"), roots)
     for _ in range(TRIES):
         if left.isEmpty():
             break
@@ -450,11 +436,6 @@ def cluster(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
         some = F.pmod(F.xxhash64("u"), F.lit(SLICES)) == k
         roots = joined(roots, linked(left.where(some).select("u", "v")))
         left = across(left.where(~some).select("u", "v", "d"), roots)
-    long_lists = members.where(F.col("n") > SHORT).drop("comp").join(roots, "node", "left")
-    long_lists = staged(long_lists.select("list", "node", F.coalesce("root", "node").alias("comp"), "n"), "long")
-    if not long_lists.isEmpty():
-        sets = sets_of(docs, single, long_lists.select("node"), size)
-        roots = joined(roots, staged(block_links(long_lists, sets, percent), "links"))
     named = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left")
     named = staged(named.select("node", "least", F.coalesce("root", "node").alias("root")), "named")
     lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
