@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Distinct values of large groups that are ranked in one task, about.
+CELL = 20_000
+
 
 def islands(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """Runs of equal neighbours: their number in the key's order, value and length."""
@@ -29,24 +35,97 @@ def bootstrap(rows: DataFrame, keys: list[str], value: str, draws: int, seed: in
     return rows.select(*keys, value).groupBy(*keys).applyInPandas(run, f"{kinds}, n long, mean double, low double, high double")
 
 
-def validation_metrics(rows: DataFrame, source: str, prompt: str, value: str, order: str, most: int, draws: int, seed: int) -> DataFrame:
-    """source, metric and value: mean@n, the population std@n, and best and worst of k resampled responses (k = 2, 4, ..., most),
-    for each prompt and then averaged over the prompts of a source. Every metric draws from the same seed."""
+@lru_cache(maxsize=64)
+def few_draws(n: int, draws: int, seed: int) -> np.ndarray:
+    """Places drawn from n responses, a column a draw; draws of fewer are the first of the same numbers."""
+    return np.random.RandomState(seed).randint(0, n, draws * n).astype(np.int32)
+
+
+def drawn_ends(x: np.ndarray, k: int, draws: int, seed: int, block: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """The most and the least of k responses, in each draw. Blocks hold so many numbers, or one draw."""
+    if len(x) <= 64:
+        own = x[few_draws(len(x), draws, seed)[: draws * k].reshape(draws, k).T]
+        return own.max(0), own.min(0)
+    state, most, least = np.random.RandomState(seed), [], []
+    rows = max(1, block // k)
+    for first in range(0, draws, rows):
+        own = x[state.randint(0, len(x), (min(rows, draws - first), k))]
+        most.append(own.max(1))
+        least.append(own.min(1))
+    return np.concatenate(most), np.concatenate(least)
+
+
+def sizes_of(n: int) -> list[int]:
+    """2, 4, ... below n, and n."""
+    return [1 << b for b in range(1, n.bit_length()) if 1 << b < n] + [n]
+
+
+def expected_metrics(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, metric and v of large groups: what validation_metrics draws for, from order statistics instead.
+
+    Equal values are counted first; the distinct ones are ranked in cells of the values' range, so no task sees a whole group.
+    """
+    counted = rows.groupBy(*keys, value).agg(F.count("*").alias("c"))
+    total = counted.groupBy(*keys).agg(F.sum("c").alias("n"), (F.sum(F.col(value) * F.col("c")) / F.sum("c")).alias("mean"))
+    cells = min(1000, 1 + counted.count() // CELL)
+    bounds = sorted(set(counted.approxQuantile(value, [i / cells for i in range(1, cells)], 0.1 / cells))) if cells > 1 else []
+    splits = [-float("inf"), *[x for x in bounds if np.isfinite(x)], float("inf")]
+    if len(splits) > 2:
+        dealt = Bucketizer(splits=splits, inputCol=value, outputCol="cell", handleInvalid="keep").transform(counted)
+    else:
+        dealt = counted.withColumn("cell", F.lit(0.0))
+    before = Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    offset = dealt.groupBy(*keys, "cell").agg(F.sum("c").alias("n_cell")).withColumn("offset", F.coalesce(F.sum("n_cell").over(before), F.lit(0)))
+    inside = Window.partitionBy(*keys, "cell").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    below = F.col("offset") + F.coalesce(F.sum("c").over(inside), F.lit(0))
+    ranks = dealt.join(F.broadcast(offset.drop("n_cell")), [*keys, "cell"]).withColumn("below", below).join(F.broadcast(total), keys)
+    y, share = F.col(value) - F.col("mean"), lambda m: m / F.col("n")
+    whole = total.join(ranks.groupBy(*keys).agg(F.sqrt(F.sum(y * y * F.col("c")) / F.sum("c")).alias("std")), keys)
+    powers = F.filter(F.transform(F.sequence(F.lit(1), F.lit(62)), lambda b: F.pow(F.lit(2.0), b).cast("long")), lambda k: k < F.col("n"))
+    at_k = ranks.withColumn("k", F.explode(F.concat(powers, F.array("n"))))
+    k = F.col("k")
+    best = F.pow(share(F.col("below") + F.col("c")), k) - F.pow(share(F.col("below")), k)
+    worst = F.pow(share(F.col("n") - F.col("below")), k) - F.pow(share(F.col("n") - F.col("below") - F.col("c")), k)
+    sums = at_k.groupBy(*keys, "k", "mean").agg(*[F.sum(f * w).alias(a) for a, f, w in (("b1", y, best), ("b2", y * y, best), ("w1", y, worst), ("w2", y * y, worst))])
+    pair = lambda name, v: F.struct(name.alias("metric"), v.alias("v"))
+    ends = lambda end, one, two: [
+        pair(F.concat(F.lit(f"{end}@"), k, F.lit("/mean")), F.col("mean") + F.col(one)),
+        pair(F.concat(F.lit(f"{end}@"), k, F.lit("/std")), F.sqrt(F.greatest(F.col(two) - F.col(one) * F.col(one), F.lit(0.0)))),
+    ]
+    of_k = sums.select(*keys, F.inline(F.array(*ends("best", "b1", "b2"), *ends("worst", "w1", "w2"))))
+    of_all = whole.select(*keys, F.inline(F.array(pair(F.concat(F.lit("mean@"), "n"), F.col("mean")), pair(F.concat(F.lit("std@"), "n"), F.col("std")))))
+    return of_all.unionByName(of_k)
+
+
+def validation_metrics(rows: DataFrame, source: str, prompt: str, value: str, order: str, draws: int, seed: int, hot: int = 20_000) -> DataFrame:
+    """source, metric and value: mean@n, the population std@n, and mean and population std of the best and worst of k resampled
+    responses (k = 2, 4, ..., n), for each prompt with all its n responses and then averaged over the prompts of a source.
+
+    Every metric draws from the same seed. A prompt of over ``hot`` responses gets the values that draws estimate, by closed form.
+    """
+    rows = rows.select(source, prompt, F.coalesce(F.col(value).cast("double"), F.lit(float("nan"))).alias(value), order)
+    many = rows.groupBy(source, prompt).agg(F.count("*").alias("n_")).where(F.col("n_") > hot).select(F.col(source).alias("s_"), F.col(prompt).alias("p_"))
+    met = F.col(source).eqNullSafe(F.col("s_")) & F.col(prompt).eqNullSafe(F.col("p_"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        x = group.sort_values(order)[value].to_numpy(float)[:most]
+        x = group.sort_values(order)[value].to_numpy(float)
         n = len(x)
-        out = [(f"mean@{n}", x.mean())]
-        if n > 1:
-            out.append((f"std@{n}", x.std()))
-            sizes = [1 << b for b in range(1, n.bit_length()) if 1 << b < n] + [n]
-            for k in sizes:
-                drawn = x[np.random.RandomState(seed).randint(0, n, (draws, k))]
-                out += [(f"best@{k}", drawn.max(1).mean()), (f"worst@{k}", drawn.min(1).mean())]
+        out = [(f"mean@{n}", x.mean()), (f"std@{n}", x.std())]
+        for k in sizes_of(n):
+            for end, drawn in zip(("best", "worst"), drawn_ends(x, k, draws, seed), strict=True):
+                out += [(f"{end}@{k}/mean", drawn.mean()), (f"{end}@{k}/std", drawn.std())]
         return pd.DataFrame([(group[source].iloc[0], m, v) for m, v in out], columns=[source, "metric", "v"])
 
     kind = rows.schema[source].dataType.simpleString()
-    per = rows.select(source, prompt, value, order).groupBy(source, prompt).applyInPandas(run, f"{source} {kind}, metric string, v double")
+    found = many.collect()
+    some = rows
+    if found:
+        # few: each has over hot rows
+        many = F.broadcast(rows.sparkSession.createDataFrame(found, many.schema))
+        some = rows.join(many, met, "left_anti")
+    per = some.groupBy(source, prompt).applyInPandas(run, f"{source} {kind}, metric string, v double")
+    if found:
+        per = per.unionByName(expected_metrics(rows.join(many, met, "left_semi"), [source, prompt], value).select(source, "metric", "v"))
     return per.groupBy(source, "metric").agg(F.avg("v").alias("value"))
 
 

@@ -311,4 +311,4 @@ def bootstrap_ci(spark, sf_dir):
 
 @query()
 def bootstrap_best_at_k(spark, sf_dir):
-    return resample.validation_metrics(table(spark, sf_dir, "events"), "event_type", "user_id", "value", "event_id", most=16, draws=200, seed=42)
+    return resample.validation_metrics(table(spark, sf_dir, "events"), "event_type", "user_id", "value", "event_id", draws=1000, seed=42)
