@@ -1,11 +1,13 @@
 """Operators on inputs that reach past any prefix: every response, every character, every word counts."""
 
 import random
+from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
 
 from vellum.operators import resample
+from vellum.plans import answers
 
 
 def by_draws(x, draws, seed):
@@ -53,3 +55,12 @@ def test_validation_metrics_of_hot_prompts(spark, monkeypatch):
     drawn = resample.validation_metrics(rows.where("s = 'a'"), "s", "p", "v", "i", draws=4000, seed=42)
     assert all(r.value == pytest.approx(got["a", r.metric], abs=1.5) for r in drawn.collect())
     assert got["b", "mean@1"] == 1.0 and got["b", "best@1/std"] == 0.0
+
+
+def test_mrcr_ratio_compares_whole_texts(spark, tmp_path):
+    rng = random.Random(7)
+    texts = ["", "short", *["".join(rng.choice("abcdefgh é\n") for _ in range(n)) for n in (150, 190, 900, 3000)]]
+    texts += ["".join(map(chr, range(200, 1000))), "".join(map(chr, range(200, 520))) + "x" * 500, "y" * 310 + "".join(map(chr, range(200, 700)))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.ratio for r in answers.mrcr_ratio(spark, str(tmp_path)).collect()}
+    assert got == {i: pytest.approx(SequenceMatcher(None, t, t[10:]).ratio(), abs=1e-6) for i, t in enumerate(texts)}

@@ -24,7 +24,7 @@ def query(sql: str | None = None):
 
 @query()
 def mrcr_ratio(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("k7 "), F.substring("text", 1, 300)).alias("a"), F.concat(F.lit("k7 "), F.substring("text", 11, 300)).alias("b"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("k7 "), "text").alias("a"), F.concat(F.lit("k7 "), F.expr("substring(text, 11)")).alias("b"))
     return rows.select("doc_id", F.round(grading.prefixed_ratio_udf("a", "b", F.lit("k7 ")), 6).alias("ratio"))
 
 
