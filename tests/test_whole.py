@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from vellum.operators import resample
-from vellum.plans import answers
+from vellum.plans import answers, scores
 
 
 def by_draws(x, draws, seed):
@@ -64,3 +64,35 @@ def test_mrcr_ratio_compares_whole_texts(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.ratio for r in answers.mrcr_ratio(spark, str(tmp_path)).collect()}
     assert got == {i: pytest.approx(SequenceMatcher(None, t, t[10:]).ratio(), abs=1e-6) for i, t in enumerate(texts)}
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        row = [i + 1, *row[1:]] if not b else edits_row(row, x, b, i + 1)
+    return row[-1]
+
+
+def edits_row(row, x, b, first):
+    out = [first]
+    for j, y in enumerate(b):
+        out.append(min(out[-1] + 1, row[j + 1] + 1, row[j] + (x != y)))
+    return out
+
+
+def test_scores_over_whole_texts(spark, tmp_path):
+    rng = random.Random(8)
+    said = [" ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(n)) for n in (1, 5, 20, 45, 150)]
+    spark.createDataFrame(list(enumerate(said)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(said[:4])), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    gold = "x" * 24 + " and then more"
+    turns = [(1, 0, "user", gold), (1, 1, "assistant", "holds " + gold[:30]), (1, 2, "user", "q" * 40), (1, 3, "assistant", "Holds " + gold.upper())]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    cer = {r.doc_id: r.cer for r in scores.char_error_rate_whole(spark, str(tmp_path)).collect()}
+    assert cer == {i: pytest.approx(edits(t, t[10:].strip()) / max(1, len(t[10:].strip())), abs=1e-6) for i, t in enumerate(said)}
+    wer = {r.item_id: (r.edits, r.wer) for r in scores.wer_hit_whole(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(said[:4]):
+        n = edits(t.split(" "), t.split(" ")[::-1])
+        assert wer[i] == (n, pytest.approx(n / len(t.split(" ")), abs=1e-6))
+    best = {r.turn: (r.n_golds, r.best) for r in scores.multi_gold_best_whole(spark, str(tmp_path)).collect()}
+    assert best == {1: (2, pytest.approx(1 / (1 + len(gold)), abs=1e-6)), 3: (2, 1.0)}

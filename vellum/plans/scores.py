@@ -134,6 +134,34 @@ def char_error_rate(spark, sf_dir):
     return rows.select("doc_id", F.round(text.char_error_rate(F.col("a"), F.col("b")), 6).alias("cer"))
 
 
+@query()
+def multi_gold_best_whole(spark, sf_dir):
+    """multi_gold_best over whole golds."""
+    turns = table(spark, sf_dir, "conversations")
+    golds = turns.where("role = 'user'").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("g")))).alias("x"))
+    golds = golds.select("conv_id", F.transform("x", lambda s: s["g"]).alias("golds"))
+    metric = lambda p, g: F.when(F.contains(F.lower(p), F.lower(g)), F.lit(1.0)).otherwise(F.round(F.lit(1.0) / (F.length(g) + 1), 6))
+    rows = turns.where("role = 'assistant'").join(golds, "conv_id")
+    return rows.select("conv_id", "turn", F.size("golds").alias("n_golds"), F.round(text.best_of(F.col("text"), F.col("golds"), metric), 6).alias("best"))
+
+
+@query()
+def wer_hit_whole(spark, sf_dir):
+    """wer_hit over all words of each item, against the same words in reverse."""
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.split(F.lower(F.regexp_replace("text", "[^ -~]", "")), " ").alias("h"))
+    rows = rows.withColumn("g", F.reverse("h"))
+    edits = text.edit_distance(F.col("h"), F.col("g"))
+    return rows.select("item_id", edits.cast("long").alias("edits"), F.round(text.word_error_rate(F.col("h"), F.col("g")), 6).alias("wer"))
+
+
+@query()
+def char_error_rate_whole(spark, sf_dir):
+    """char_error_rate over whole texts, against the text without its first ten characters."""
+    plain = text.squeeze(F.regexp_replace("text", r"[^ -~\n]", ""))
+    rows = table(spark, sf_dir, "documents").select("doc_id", plain.alias("a"), F.substr(plain, F.lit(11)).alias("b"))
+    return rows.select("doc_id", F.round(text.char_error_rate(F.col("a"), F.col("b")), 6).alias("cer"))
+
+
 @query("""
 SELECT doc_id, chr(CAST(65 + doc_id % 5 AS INT)) AS letter FROM documents""")
 def mc_letter(spark, sf_dir):
