@@ -35,8 +35,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that many sites share."""
-    found = lines.dedup(docs)
+    """All documents, without the lines that many sites share, short ones too."""
+    found = lines.dedup(docs, min_words=1)
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return like(found, docs)
