@@ -94,7 +94,7 @@ def headers(block: bytes) -> dict[bytes, bytes]:
 def inflate(read, at: int, until: bytes | None, chunk: int = 1 << 16) -> tuple[bytes, int] | None:
     """What the member at a place inflates to, and where it ends; with until, stop once that was seen. None: no member."""
     coder, out, place = zlib.decompressobj(31), [], at
-    tail = b""
+    tail = bytearray()
     while not coder.eof:
         data = read(place, chunk)
         if not data:
@@ -105,12 +105,13 @@ def inflate(read, at: int, until: bytes | None, chunk: int = 1 << 16) -> tuple[b
         except zlib.error:
             return None
         if until:
-            tail = b"".join(out)
-            if until in tail:
-                return tail, place
-            if len(tail) > 1 << 20 or not tail.startswith(b"WARC/"[: len(tail)]):
+            fresh = max(0, len(tail) - len(until) + 1)
+            tail += out.pop()
+            if tail.find(until, fresh) >= 0:
+                return bytes(tail), place
+            if not tail.startswith(b"WARC/"[: len(tail)]):
                 return None
-    return b"".join(out), place - len(coder.unused_data)
+    return bytes(tail) if until else b"".join(out), place - len(coder.unused_data)
 
 
 def page_of(value: bytes | None) -> int | None:
