@@ -166,17 +166,17 @@ def near_copies(seed, n):
     return out
 
 
-@pytest.mark.parametrize("short,block", [(64, 256), (2, 3)])
-def test_ngram_join(spark, docs, awkward, monkeypatch, short, block):
-    monkeypatch.setattr(ngram_join, "SHORT", short)
-    monkeypatch.setattr(ngram_join, "BLOCK", block)
+@pytest.mark.parametrize("cell,shingles", [(256, 500_000), (3, 500_000), (4, 300)])
+def test_ngram_join(spark, docs, awkward, monkeypatch, cell, shingles):
+    monkeypatch.setattr(ngram_join, "CELL", cell)
+    monkeypatch.setattr(ngram_join, "CELL_SHINGLES", shingles)
     rows = [*awkward, *[(i + 100, t) for i, t in near_copies(3, 60)]]
     got = {r.doc_id: r for r in ngram_join.cluster(frame(spark, rows)).collect()}
     for (i, _), (n, k) in zip(rows, brute_components(rows), strict=True):
         assert (got[i].n_shingles, got[i].component_id) == (n, rows[k][0]), i
 
 
-def test_divide_skip_equals_counting():
+def test_divide_skip_equals_counting(monkeypatch):
     import numpy as np
 
     rng = np.random.default_rng(2)
@@ -184,10 +184,35 @@ def test_divide_skip_equals_counting():
         base = np.unique(rng.integers(0, 90, 60).astype(np.uint64))
         others = [np.unique(np.concatenate([rng.choice(base, rng.integers(1, len(base))), rng.integers(0, 90, rng.integers(0, 30)).astype(np.uint64)])) for _ in range(9)]
         want = [k for k, o in enumerate(others) if 100 * len(np.intersect1d(base, o)) >= 75 * len(np.union1d(base, o))]
-        for mu in (0.01, 0.5):
-            assert ngram_join.divide_skip(base, others, 75, mu).tolist() == want
-        for o in others:
-            assert ngram_join.least_difference(ngram_join.parity(base), ngram_join.parity(o)) <= len(np.setxor1d(base, o))
+        sizes = np.array([len(o) for o in others])
+        index = ngram_join.Index(others, np.arange(len(others)))
+        for mu in (0.01, 0.5, 9):
+            monkeypatch.setattr(ngram_join, "MU", mu)
+            assert sorted(ngram_join.divide_skip(base, index, sizes, np.ones(len(others), bool), 75)) == want
+
+
+def test_prefixes_lose_no_link():
+    """Any two sets that link share at least as many shingles of their prefixes as either asks for."""
+    import numpy as np
+
+    rng, met = np.random.default_rng(5), 0
+    for _ in range(3000):
+        a = np.unique(rng.integers(0, 1 << 40, rng.integers(1, 60)))
+        b = np.unique(np.concatenate([rng.permutation(a)[: len(a) - rng.integers(0, 1 + len(a) // 4)], rng.integers(0, 1 << 40, rng.integers(0, 1 + len(a) // 4))]))
+        if not len(b) or 100 * len(np.intersect1d(a, b)) < 75 * len(np.union1d(a, b)):
+            continue
+        both = len(np.intersect1d(a[: ngram_join.prefix_length(len(a), 75)], b[: ngram_join.prefix_length(len(b), 75)]))
+        assert both >= max(ngram_join.needed(len(a), 75), ngram_join.needed(len(b), 75))
+        met += 1
+    assert met > 500
+
+
+def test_ngram_join_tells_rows_that_share_an_id_apart(spark):
+    a, b = prose(31, 90), prose(32, 90)
+    rows = [(6, a), (6, b + " end"), (2, b), (None, a + " end"), (None, ""), (None, ""), (9, None), (2, b)]
+    found = ngram_join.cluster(frame(spark, rows)).collect()
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.chosen) for r in found)
+    assert got == [(0, 0, 0, True), (0, 0, 0, True), (0, 87, 6, False), (2, 86, 2, True), (2, 86, 2, True), (6, 86, 6, True), (6, 87, 2, False), (9, 0, 9, True)]
 
 
 def test_components_of_a_path_and_a_star(spark):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -38,7 +39,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     # shuffle files go once nothing refers to them; the written table needs none of those before it
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def text_key(text: Column) -> Column:
+    """Tells rows that share a doc_id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def join_bounded(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", most: int = 500_000, salts: int = 32) -> DataFrame:
@@ -62,6 +78,19 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: int, rows: int = 2000, size: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches of at most so many rows and bytes of that column's texts; a longer text is a slice of its own."""
+    for batch in batches:
+        first = total = 0
+        for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+            if i > first and (i - first >= rows or total + n > size):
+                yield batch.slice(first, i - first)
+                first, total = i, 0
+            total += n
+        if batch.num_rows > first:
+            yield batch.slice(first)
+
+
 def plain_texts(texts: pa.Array) -> pa.Array:
     """Texts with nulls as empty ones, in an array of their own: some kernels misread arrays that begin inside another's buffers."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")

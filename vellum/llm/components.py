@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import staged
+from vellum.llm.common import forget, staged
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -23,7 +23,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-        stars = staged(small.where("u <> v").distinct(), "stars")
+        last, stars = stars, staged(small.where("u <> v").distinct(), "stars")
+        forget(last)
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

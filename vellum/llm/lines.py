@@ -14,19 +14,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import join_bounded, let, staged, words
+from vellum.llm.common import join_bounded, let, staged, text_key, words
 
 KEY = ["k1", "k2"]
 
 
-def text_key(text: Column) -> Column:
-    """Tells rows that share a doc_id apart."""
-    return F.xxhash64(F.coalesce(text, F.lit("")))
-
-
 def line_table(docs: DataFrame, min_words: int) -> DataFrame:
     """A row per line that counts: its hashes, site, document and place."""
     lines = F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line")

@@ -1,27 +1,30 @@
 """N-gram Jaccard join: documents link when their sets of word shingles reach a Jaccard similarity.
 
 1. Documents with the same set are one node, so exact copies are one from here on.
-2. Shingles are ordered: those of long inverted lists (frequent ones, as counted over all documents) last, the others
-   by hash. Two linked nodes share one of the first n - ceil(0.75 n) + 1 shingles of either. These prefixes make the
-   short inverted lists. The order decides speed only: any order loses nothing.
-3. Each list first proposes its smallest node to all others (a star); proposed pairs are verified and components
-   taken. Only lists that still hold nodes of several components go on: short ones propose their pairs between
-   components, of which the likeliest of each component is verified first and all that still matter in the end; long
-   ones are cut into blocks of bounded size, and each pair of blocks proposes what its bitmaps don't rule out.
-   A proposed pair is dropped first if its parity bitmaps differ in more bits than the two sets may differ in elements:
-   each element flips one bit, so this loses no link, and a bitmap is a small part of a set.
-4. Verification is a T-occurrence search. The shingles of a query node select inverted lists over a block of
-   candidates; DivideSkip sets the L longest lists aside, merges the short ones, keeps candidates that reach T - L
-   there, and probes the long lists for these alone. A candidate links if it reaches its own T, the least overlap
-   that the two set sizes allow.
-
-Shingles are known by 64-bit hashes (48 of these bits where sets meet), and nodes by 64-bit hashes of their sets. The merge of the short lists counts
-with numpy where the textbook has a heap: the same counts, without an interpreted step an entry.
+2. Shingles are ordered by hash. Two linked nodes share at least k of their first n - ceil(0.75 n) + k shingles, so
+   these prefixes are cut into postings, packed by ranges of the hash, and nodes go on only if enough of their prefix
+   stands in other nodes too. A chunk of documents sends each shingle once, however many of its documents have it, so
+   a shingle that a third of all documents share is one posting a chunk.
+3. The sets of nodes that go on are written once. Among them shingles are counted exactly; a node needs 75 % of its
+   shingles in other nodes, and those of the rarest-first prefix make the inverted lists. Lists that share nodes make
+   groups, which hold all links.
+4. Each group is searched by T-occurrence. A query's shingles select inverted lists over the group; DivideSkip sets
+   the L longest lists aside, merges the short ones with a heap, keeps nodes that reach T - L there, and probes the
+   long lists for these alone by binary search. A node links if it reaches its own T, the least overlap that the two
+   set sizes allow. Linked nodes leave the index at once, and only links that join two components leave the task.
+5. Groups of more nodes than a cell holds are dealt at random to cells, twice, which joins nearly all of a large group
+   of near copies. Lists that still hold several components are searched cell by cell: their largest component is
+   sent once, and only the rest meets every cell.
+
+Shingles are known by 64-bit hashes, and nodes by 64-bit hashes of their sets. Between the chunks of step 2 shingles
+meet by fewer bits, which can only send a node too many to step 3.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -30,21 +33,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import plain_texts, staged
+from vellum.llm.common import forget, pieces, plain_texts, staged, text_key
 from vellum.llm.components import components
 
-#: Documents whose sets are made at once.
-ROWS = 2000
-#: Frequent shingles that are put last: at most so many, each seen so often at least (within 2000 documents; in all).
-FREQUENT, SEEN_NEAR, SEEN = 200_000, 8, 64
-#: Nodes of a list whose pairs are proposed one by one, and of a block beyond that.
-SHORT, BLOCK = 64, 256
-#: Rounds in which the likeliest pair of each component is verified, before all that are left.
-TRIES = 4
-#: Slices in which the rest is verified.
-SLICES = 4
+#: Shared shingles asked for in a prefix, in percent of the set.
+ASKED = 20
+#: Nodes, and shingles in all, that a cell holds; a single larger set has a cell with its partners.
+CELL, CELL_SHINGLES = 256, 500_000
 #: Keys of documents that may be broadcast: 16 bytes each.
 SENT = 1_000_000
+#: Cost of a probe against that of a merge step, in DivideSkip's choice of L.
+MU = 0.01
+#: Marks a posting of several nodes of a chunk.
+SEVERAL = 0xFFFF
 MULTIPLY = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -84,164 +85,133 @@ def node_of(own: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).astype(np.int64))
 
 
-def packed_set(own: np.ndarray) -> bytes:
-    """The upper six bytes of each hash, in order."""
-    return (own >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
-
-def unpacked_set(data) -> np.ndarray:
-    six = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    eight = np.zeros((len(six), 8), np.uint8)
-    eight[:, :6] = six
-    return eight.reshape(-1).view("<u8").astype(np.uint64)
-
-
-def parity(own: np.ndarray) -> bytes:
-    """A bitmap of two to four bits an element (64 to 16384 bits): each bit is how many elements fall on it, modulo two."""
-    bits = 1 << min(max(6, int(2 * len(own)).bit_length()), 14)
-    return np.packbits((np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+def table_of(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
-def least_difference(a: bytes, b: bytes) -> int:
-    """In how many elements two sets differ at least, by their bitmaps; the longer one is folded to the shorter."""
-    if len(a) < len(b):
-        a, b = b, a
-    x, n = int.from_bytes(a, "little"), 8 * len(a)
-    while n > 8 * len(b):
-        n //= 2
-        x = (x >> n) ^ (x & ((1 << n) - 1))
-    return (x ^ int.from_bytes(b, "little")).bit_count()
+def least_own(n: int, percent: int) -> int:
+    """The least overlap of a set of n shingles with any set that it links with."""
+    return -(-percent * n // 100)
 
 
-def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (u, v) that sizes and bitmaps of nodes (node, n, bits) don't rule out, with their least difference over both sizes as d."""
+def asked(n: int) -> int:
+    return max(1, -(-ASKED * n // 100))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            u, v, n, m, a, b = (c.to_pylist() for c in batch.columns)
-            keep, differ = [], []
-            for k in range(len(u)):
-                # sets of n and m elements that overlap in at least o differ in at most n + m - 2 o
-                o, d = -(-percent * (n[k] + m[k]) // (100 + percent)), least_difference(a[k], b[k])
-                keep.append(o <= min(n[k], m[k]) and d <= n[k] + m[k] - 2 * o)
-                differ.append(d / (n[k] + m[k]))
-            mask = pa.array(keep, pa.bool_())
-            yield table_of(u=batch.column(0).filter(mask), v=batch.column(1).filter(mask), d=pa.array(differ, pa.float64()).filter(mask))
 
-    of = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"b_{c}"))
-    both = pairs.join(of("u"), "u").join(of("v"), "v")
-    return both.select("u", "v", "n_u", "n_v", "b_u", "b_v").mapInArrow(run, "u long, v long, d double")
+def prefix_length(n: int, percent: int) -> int:
+    return min(n, n - least_own(n, percent) + asked(n))
 
 
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(0, batch.num_rows, ROWS):
-            yield batch.slice(i, ROWS)
+def needed(n: int, percent: int) -> int:
+    """How many of a node's prefix stand in the prefix of any partner: what the smallest possible partner asks for."""
+    return min(asked(n), asked(least_own(n, percent)))
 
 
-def table_of(**columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-
-
-def nodes_and_counts(docs: DataFrame, size: int) -> DataFrame:
-    """kind 0: a document's doc_id, text key, node, set size and bitmap; kind 1: a shingle and how many of some nodes have it."""
+def nodes_and_postings(docs: DataFrame, size: int, percent: int, parts: int) -> DataFrame:
+    """kind 0: a document's doc_id, text key, node and set size, and for the first of a node in a chunk its slot, the
+    shared shingles that are found within the chunk, and how many it needs; kind 1: a part's postings of a chunk, as 4
+    bytes of the hash and 2 of the slot each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in chunks(batches):
+        for some in pieces(batches, 2):
             sets = shingle_sets(some.column(2), size)
-            nodes = [node_of(x) for x in sets]
-            n = [len(x) for x in sets]
-            zero = pa.array(np.zeros(len(n), np.int32))
-            bits = pa.array([parity(x) for x in sets], pa.binary())
-            yield table_of(kind=zero, doc_id=some.column(0), key=some.column(1), node=pa.array(nodes, pa.int64()), n=pa.array(n, pa.int64()), bits=bits)
-            own = list(dict(zip(nodes, sets, strict=True)).values())
-            seen, count = np.unique(np.concatenate(own), return_counts=True)
-            seen, count = seen[count >= SEEN_NEAR].view(np.int64), count[count >= SEEN_NEAR]
-            if len(seen):
-                none = pa.nulls(len(seen), pa.int64())
-                yield table_of(kind=pa.array(np.ones(len(seen), np.int32)), doc_id=none, key=none, node=pa.array(seen), n=pa.array(count), bits=pa.nulls(len(seen), pa.binary()))
-
-    return docs.select("doc_id", "key", "text").mapInArrow(run, "kind int, doc_id long, key long, node long, n long, bits binary")
+            nodes = np.array([node_of(x) for x in sets], np.int64)
+            n = np.array([len(x) for x in sets], np.int64)
+            chunk = xxhash.xxh3_64_intdigest(nodes.tobytes() + str(some.column(0)[0]).encode()) >> 17 << 16
+            first = np.zeros(len(n), bool)
+            first[np.unique(nodes, return_index=True)[1]] = True
+            first &= n > 0
+            at = np.flatnonzero(first)
+            cut = [prefix_length(k, percent) for k in n[at].tolist()]
+            token = np.concatenate([np.empty(0, np.uint64), *(sets[i][:k] for i, k in zip(at.tolist(), cut, strict=True))])
+            index = np.repeat(at, cut)
+            token, where, count = np.unique(token, return_inverse=True, return_counts=True)
+            local = np.bincount(index[count[where] > 1], minlength=len(n))
+            slot = np.empty(len(token), np.uint16)
+            slot[where] = index
+            slot[count > 1] = SEVERAL
+            need = [needed(k, percent) for k in n.tolist()]
+            yield table_of(
+                kind=pa.array(np.zeros(len(n), np.int32)), doc_id=some.column(0), key=some.column(1), node=pa.array(nodes), n=pa.array(n),
+                slot=pa.array(chunk + np.arange(len(n)), pa.int64(), mask=~first), local=pa.array(local, pa.int64()), need=pa.array(need, pa.int64()),
+                packed=pa.nulls(len(n), pa.binary()),
+            )
+            if not len(token):
+                continue
+            part = ((token >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+            by = np.argsort(part, kind="stable")
+            low, slot, part = token[by].astype(np.uint32), slot[by], part[by]
+            there, begin = np.unique(part, return_index=True)
+            ends = [*begin[1:].tolist(), len(part)]
+            packed = [low[a:b].tobytes() + slot[a:b].tobytes() for a, b in zip(begin.tolist(), ends, strict=True)]
+            none = pa.nulls(len(there), pa.int64())
+            yield table_of(
+                kind=pa.array(np.ones(len(there), np.int32)), doc_id=none, key=none, node=pa.array(there), n=none,
+                slot=pa.array(np.full(len(there), chunk)), local=none, need=none, packed=pa.array(packed, pa.binary()),
+            )
 
+    kinds = "kind int, doc_id long, key long, node long, n long, slot long, local long, need long, packed binary"
+    return docs.select("doc_id", "key", "text").mapInArrow(run, kinds)
 
-def prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
 
+def shared_counts(postings: DataFrame) -> DataFrame:
+    """slot and found: of its shingles in a part, those which other chunks have too. postings: part, chunk, packed."""
 
-def postings(docs: DataFrame, size: int, percent: int, frequent: np.ndarray, parts: int) -> DataFrame:
-    """The prefixes' shingles with their nodes, packed by part: 4 bytes of the hash and 8 of the node each.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens: list[np.ndarray] = []
+        slots: list[np.ndarray] = []
+        now = None
 
-    Two shingles that agree in part and these bytes make a pair too many, which verification drops.
-    """
-    order = np.argsort(frequent)
-    sent = docs.sparkSession.sparkContext.broadcast((frequent[order], order.astype(np.int64) + 1))
+        def done() -> pa.RecordBatch:
+            _, where, count = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+            slot = np.concatenate(slots)
+            found, times = np.unique(slot[(count[where] > 1) & ((slot & SEVERAL) != SEVERAL)], return_counts=True)
+            return table_of(slot=pa.array(found, pa.int64()), found=pa.array(times, pa.int64()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank = sent.value
-        for some in chunks(batches):
-            own = {node_of(x): x for x in shingle_sets(some.column(0), size) if len(x)}
-            if not own:
-                continue
-            tokens, nodes = [], []
-            for node, x in own.items():
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-                    x = x[np.argsort(np.where(known[at] == x, rank[at], 0), kind="stable")]
-                tokens.append(x[: prefix_length(len(x), percent)])
-                nodes.append(np.full(len(tokens[-1]), node, np.int64))
-            token, node = np.concatenate(tokens), np.concatenate(nodes)
-            part = ((token >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-            by = np.argsort(part, kind="stable")
-            token, node, part = token[by].astype(np.uint32), node[by], part[by]
-            there, first = np.unique(part, return_index=True)
-            ends = [*first[1:].tolist(), len(part)]
-            packed = [token[a:b].tobytes() + node[a:b].tobytes() for a, b in zip(first.tolist(), ends, strict=True)]
-            yield table_of(part=pa.array(there), packed=pa.array(packed, pa.binary()))
+        for batch in batches:
+            for part, chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if part != now and tokens:
+                    yield done()
+                    tokens, slots = [], []
+                now, data = part, data.as_buffer()
+                m = len(data) // 6
+                tokens.append(np.frombuffer(data, np.uint32, m).copy())
+                slots.append(np.frombuffer(data, np.uint16, m, 4 * m).astype(np.int64) + chunk)
+        if tokens:
+            yield done()
 
-    return docs.select("text").mapInArrow(run, "part long, packed binary")
+    return postings.repartition("part").sortWithinPartitions("part").mapInArrow(run, "slot long, found long")
 
 
-def lists_of(packed: DataFrame) -> DataFrame:
-    """kind 0: pairs of each list's smallest node with the others; kind 1: lists of over two nodes, as (list, node)."""
+def sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """node and own, its sorted shingles, for each of nodes (key, doc_id: of one document that has it)."""
+    keys = nodes.select(F.col("key").alias("key_"), F.col("doc_id").alias("doc_id_"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, nodes = [], []
-        for batch in batches:
-            for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = data.as_buffer()
-                m = len(data) // 12
-                keys.append(np.frombuffer(data, np.uint32, m).astype(np.int64) | part << 32)
-                nodes.append(np.frombuffer(data, np.int64, m, 4 * m))
-        if not keys:
-            return
-        key, node = np.concatenate(keys), np.concatenate(nodes)
-        by = np.lexsort((node, key))
-        key, node = key[by], node[by]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-        key, node = key[new], node[new]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        n = np.diff(np.append(first, len(key)))
-        inside = np.repeat(n > 1, n)
-        centre = np.repeat(node[first], n)
-        pairs = np.unique(np.stack([centre, node], 1)[inside & (centre != node)], axis=0)
-        for i in range(0, len(pairs), 100_000):
-            some = pairs[i : i + 100_000]
-            yield table_of(kind=pa.array(np.zeros(len(some), np.int32)), a=pa.array(some[:, 0].copy()), b=pa.array(some[:, 1].copy()))
         seen: set[int] = set()
-        ids, members = [], []
-        for a, m in zip(first[n > 2].tolist(), n[n > 2].tolist(), strict=True):
-            own = node[a : a + m]
-            name = node_of(own)
-            if name not in seen:
-                seen.add(name)
-                ids.append(np.full(m, name, np.int64))
-                members.append(own)
-        for i in range(0, len(ids), 1000):
-            a, b = np.concatenate(ids[i : i + 1000]), np.concatenate(members[i : i + 1000])
-            yield table_of(kind=pa.array(np.ones(len(a), np.int32)), a=pa.array(a), b=pa.array(b))
+        for some in pieces(batches, 0):
+            sets = {node_of(x): x for x in shingle_sets(some.column(0), size)}
+            new = [k for k in sets if k not in seen]
+            seen.update(new)
+            ends = np.cumsum([0, *(len(sets[k]) for k in new)])
+            flat = np.concatenate([np.empty(0, np.uint64), *(sets[k] for k in new)]).view(np.int64)
+            yield table_of(node=pa.array(new, pa.int64()), own=pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)))
+
+    if keys.count() <= SENT:
+        keys = F.broadcast(keys)
+    met = (docs["key"] == keys["key_"]) & docs["doc_id"].eqNullSafe(keys["doc_id_"])
+    return docs.join(keys, met, "left_semi").select("text").mapInArrow(run, "node long, own array<long>").dropDuplicates(["node"])
 
-    return packed.mapInArrow(run, "kind int, a long, b long")
+
+def inverted_lists(sets: DataFrame, percent: int) -> DataFrame:
+    """token and node: the rarest-first prefixes of nodes that have enough shingles in other nodes."""
+    tokens = sets.select("node", F.size("own").alias("n"), F.explode("own").alias("token"))
+    count = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    shared = tokens.join(count, "token").groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "token"))).alias("own"))
+    least = F.ceil(F.col("n") * percent / 100)
+    prefix = F.slice("own", F.lit(1), (F.size("own") - least + 1).cast("int"))
+    return shared.where(F.size("own") >= least).select("node", F.explode(prefix).alias("x")).select("x.token", "node")
 
 
 def least_overlap(n: int, m: np.ndarray, percent: int) -> np.ndarray:
@@ -249,199 +219,192 @@ def least_overlap(n: int, m: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (n + m) // (100 + percent))
 
 
-def divide_skip(query: np.ndarray, others: list[np.ndarray], percent: int, mu: float = 0.01) -> np.ndarray:
-    """Which of the sorted sets reach the similarity with the sorted query."""
-    sizes = np.array([len(x) for x in others], np.int64)
-    need = least_overlap(len(query), sizes, percent)
-    able = (need <= sizes) & (need <= len(query))
-    if not able.any():
-        return np.empty(0, np.int64)
-    flat = np.concatenate(others)
-    who = np.repeat(np.arange(len(others)), sizes)
-    at = np.minimum(np.searchsorted(query, flat), len(query) - 1)
-    hit = (query[at] == flat) & able[who]
-    # the inverted lists of the query's shingles: entries sorted by list, then by candidate
-    at, who = at[hit], who[hit]
-    length = np.bincount(at, minlength=len(query))
-    t = int(need[able].min())
-    longest = int(length.max()) if len(at) else 0
-    aside = min(t - 1, int(t / (mu * np.log2(longest + 1) + 1))) if longest > 1 else 0
-    long_lists = np.zeros(len(query), bool)
-    if aside > 0:
-        long_lists[np.argpartition(length, len(query) - aside)[len(query) - aside :]] = True
-    in_long = long_lists[at]
-    counts = np.bincount(who[~in_long], minlength=len(others))
-    reached = np.flatnonzero(able & (counts >= need - aside))
-    if aside > 0 and len(reached):
-        entries = np.sort(at[in_long] * len(others) + who[in_long])
-        probes = (np.flatnonzero(long_lists)[:, None] * len(others) + reached).ravel()
-        place = np.minimum(np.searchsorted(entries, probes), max(len(entries) - 1, 0))
-        found = entries[place] == probes if len(entries) else np.zeros(len(probes), bool)
-        counts[reached] += found.reshape(-1, len(reached)).sum(0)
-    return reached[counts[reached] >= need[reached]]
-
-
-def sets_of(docs: DataFrame, single: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """node and its packed set for each of nodes, from one document each; repeated rows may give it repeatedly."""
-    keys = staged(single.join(nodes.distinct(), "node", "left_semi").select(F.col("one.key").alias("key_"), F.col("one.doc_id").alias("doc_id_")), "keys")
+class Index:
+    """Inverted lists over sets: the places of the sets that have a shingle, by shingle."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in chunks(batches):
-            sets = shingle_sets(some.column(0), size)
-            yield table_of(node=pa.array([node_of(x) for x in sets], pa.int64()), own=pa.array([packed_set(x) for x in sets], pa.binary()))
+    def __init__(self, sets: list[np.ndarray], places: np.ndarray):
+        flat = np.concatenate([sets[i] for i in places.tolist()])
+        owner = np.repeat(places, [len(sets[i]) for i in places.tolist()])
+        by = np.argsort(flat, kind="stable")
+        self.owner = owner[by]
+        self.token, self.first = np.unique(flat[by], return_index=True)
+        self.after = np.append(self.first[1:], len(flat))
 
-    if keys.count() <= SENT:
-        keys = F.broadcast(keys)
-    met = (docs["key"] == keys["key_"]) & docs["doc_id"].eqNullSafe(keys["doc_id_"])
-    return docs.join(keys, met, "left_semi").select("text").mapInArrow(run, "node long, own binary")
+    def lists(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the lists of the query's shingles begin and end, of those that there are."""
+        at = np.minimum(np.searchsorted(self.token, query), len(self.token) - 1)
+        at = at[self.token[at] == query]
+        return self.first[at], self.after[at]
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The linked ones of pairs (u, v). A node with many partners is met in several groups, with its set in each."""
-    degree = pairs.groupBy("u").agg(F.ceil(F.count("*") / BLOCK).alias("groups"))
-    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("salt")
-    queries = degree.select("u", salts, F.lit(0).alias("kind"), F.col("u").alias("node"))
-    others = pairs.join(degree, "u").select("u", F.pmod(F.xxhash64("v"), F.col("groups")).alias("salt"), F.lit(1).alias("kind"), F.col("v").alias("node"))
-    rows = queries.unionByName(others).join(sets, "node").select("u", "salt", "kind", "node", "own")
-    rows = rows.repartition("u", "salt").sortWithinPartitions("u", "salt", "kind")
+def divide_skip(query: np.ndarray, index: Index, sizes: np.ndarray, open_: np.ndarray, percent: int) -> list[int]:
+    """Places of the open sets that reach the similarity with the query."""
+    need = least_overlap(len(query), sizes, percent)
+    able = open_ & (need <= sizes) & (need <= len(query))
+    first, after = index.lists(query)
+    if not able.any() or len(first) < (t := int(need[able].min())):
+        return []
+    length = after - first
+    order = np.argsort(length, kind="stable")
+    aside = max(0, min(t - 1, int(t / (MU * np.log2(length.max() + 1) + 1))))
+    short, long_ = order[: len(order) - aside], order[len(order) - aside :]
+    merged = heapq.merge(*(index.owner[first[k] : after[k]].tolist() for k in short.tolist()))
+    counts = {k: sum(1 for _ in same) for k, same in groupby(merged)}
+    at = np.array([k for k, c in counts.items() if able[k] and c >= need[k] - aside], np.int64)
+    if not len(at):
+        return []
+    total = np.array([counts[k] for k in at.tolist()], np.int64)
+    for k in long_.tolist():
+        own = index.owner[first[k] : after[k]]
+        total += own[np.minimum(np.searchsorted(own, at), len(own) - 1)] == at
+    return at[total >= need[at]].tolist()
+
+
+def joining_links(sets: list[np.ndarray], labels: list[int], percent: int) -> list[tuple[int, int]]:
+    """Links between sets of different labels, as pairs of places; those that join no two components more are left out."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    label = np.unique(np.array(labels, np.int64), return_inverse=True)[1]
+    members = np.split(np.argsort(label, kind="stable"), np.cumsum(np.bincount(label))[:-1])
+    # the largest components ask last: by then little is left that could answer
+    turn = sorted(range(len(members)), key=lambda k: len(members[k]))
+    open_ = np.ones(len(sets), bool)
+    links: list[tuple[int, int]] = []
+    index, left = None, 0
+    for start in turn:
+        if not open_[members[start][0]]:
+            continue
+        asking = members[start].tolist()
+        open_[asking] = False
+        while asking:
+            rest = int(open_.sum())
+            if not rest:
+                return links
+            if index is None or 2 * rest <= left:
+                index, left = Index(sets, np.flatnonzero(open_)), rest
+            query = asking.pop()
+            for k in divide_skip(sets[query], index, sizes, open_, percent):
+                if open_[k]:
+                    links.append((query, k))
+                    asking.extend(members[label[k]].tolist())
+                    open_[members[label[k]]] = False
+    return links
+
+
+def searched(rows: DataFrame, by: list[str], percent: int) -> DataFrame:
+    """u and v: links between labels within each cell. rows: the columns ``by``, label, node and own."""
+    cell = F.xxhash64(*by).alias("cell")
+    rows = rows.select(cell, "label", "node", "own").repartition("cell").sortWithinPartitions("cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query, u = None, None
-        names: list[int] = []
-        held: list[np.ndarray] = []
-        links: list[tuple[int, int]] = []
+        now = None
+        nodes: list[int] = []
+        labels: list[int] = []
+        sets: list[np.ndarray] = []
 
-        def search() -> None:
-            if held and query is not None:
-                links.extend((u, names[i]) for i in divide_skip(query, held, percent))
-            names.clear()
-            held.clear()
+        def done() -> pa.RecordBatch:
+            found = joining_links(sets, labels, percent)
+            return table_of(u=pa.array([nodes[a] for a, _ in found], pa.int64()), v=pa.array([nodes[b] for _, b in found], pa.int64()))
 
         for batch in batches:
-            for u_, kind, node, own in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), batch.column(4), strict=True):
-                own = unpacked_set(own.as_buffer())
-                if kind == 0:
-                    search()
-                    query, u = own, u_
-                elif u_ == u:
-                    names.append(node)
-                    held.append(own)
-                    if len(held) >= BLOCK:
-                        search()
-            if len(links) > 10_000:
-                yield as_links(links)
-                links = []
-        search()
-        if links:
-            yield as_links(links)
+            own = batch.column(3)
+            flat, ends = own.flatten().to_numpy().view(np.uint64), own.offsets.to_numpy() - own.offsets[0].as_py()
+            for k, (cell, label, node) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)):
+                if cell != now and nodes:
+                    yield done()
+                    nodes, labels, sets = [], [], []
+                now = cell
+                nodes.append(node)
+                labels.append(label)
+                sets.append(flat[ends[k] : ends[k + 1]].copy())
+        if nodes:
+            yield done()
 
     return rows.mapInArrow(run, "u long, v long")
 
 
-def as_links(links: list[tuple[int, int]]) -> pa.RecordBatch:
-    u, v = zip(*links, strict=True)
-    return table_of(u=pa.array(u, pa.int64()), v=pa.array(v, pa.int64()))
-
-
-def block_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """As plausible(), the pairs between components within long lists: rows (list, node, comp, n of the list); a pair of blocks a group."""
-    blocks = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK))
-    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    cells = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cells = cells.select("list", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp")
-    rows = cells.join(nodes.select("node", F.col("n").alias("size"), "bits"), "node")
-
-    def run(group: pa.Table) -> pa.Table:
-        block, node, comp, size = (group[c].to_numpy() for c in ("block", "node", "comp", "size"))
-        bits = group["bits"].to_pylist()
-        i, j = group["i"][0].as_py(), group["j"][0].as_py()
-        right = np.flatnonzero(block == j)
-        u, v, differ = [], [], []
-        for q in np.flatnonzero(block == i):
-            need = least_overlap(int(size[q]), size[right], percent)
-            able = (comp[right] != comp[q]) & (need <= np.minimum(size[right], size[q])) & ((i != j) | (node[right] > node[q]))
-            for k, o in zip(right[able].tolist(), need[able].tolist(), strict=True):
-                both = int(size[q] + size[k])
-                d = least_difference(bits[q], bits[k])
-                if d <= both - 2 * o:
-                    u.append(min(node[q], node[k]))
-                    v.append(max(node[q], node[k]))
-                    differ.append(d / both)
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "d": pa.array(differ, pa.float64())})
-
-    return rows.groupBy("list", "i", "j").applyInArrow(run, "u long, v long, d double")
+def cells_of(members: DataFrame) -> DataFrame:
+    """token, i, j, node and label: each two nodes of a list (token, node, n, label) meet in a cell, but for two of the
+    list's largest component."""
+    largest = members.groupBy("token", "label").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    parts = lambda m, s: F.greatest(F.ceil(m / F.lit(CELL / 2)), F.ceil(s / F.lit(CELL_SHINGLES / 2)))
+    lists = largest.groupBy("token").agg(F.max(F.struct("m", "s", "label")).alias("top"), F.sum("m").alias("m"), F.sum("s").alias("s"))
+    top, rest = parts(F.col("top.m"), F.col("top.s")), parts(F.col("m") - F.col("top.m"), F.col("s") - F.col("top.s"))
+    lists = lists.select("token", F.col("top.label").alias("top"), rest.alias("rest"), top.alias("tops"))
+    both = members.join(lists, "token")
+    of_top = F.col("label") == F.col("top")
+    own = F.when(of_top, F.col("rest") + F.pmod(F.xxhash64("node"), F.col("tops"))).otherwise(F.pmod(F.xxhash64("node"), F.col("rest")))
+    met = F.sequence(F.lit(0).cast("long"), F.col("rest") - 1 + F.when(of_top, F.lit(0)).otherwise(F.col("tops")))
+    both = both.withColumn("own_", own).withColumn("met_", F.explode(met))
+    return both.select("token", F.least("own_", "met_").alias("i"), F.greatest("own_", "met_").alias("j"), "node", "label")
+
+
+def groups_of(sets: DataFrame, percent: int) -> DataFrame:
+    """node and root for nodes of components of two nodes or more, the roots themselves left out."""
+    lists = staged(inverted_lists(sets, percent), "lists")
+    centre = lists.groupBy("token").agg(F.min("node").alias("v"), F.count("*").alias("c")).where("c > 1").select("token", "v")
+    edges = lists.join(centre, "token").select(F.col("node").alias("u"), "v").distinct()
+    near = components(edges)
+    nodes = near.select("node", "root").unionByName(near.select(F.col("root").alias("node"), "root").distinct())
+    sized = sets.join(nodes, "node").select("node", "root", "own", F.size("own").alias("n"))
+    large = sized.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    cells = F.greatest(F.ceil(F.col("m") / CELL), F.ceil(F.col("s") / CELL_SHINGLES))
+    sized = staged(sized.join(large.select("root", cells.alias("cells")), "root"), "groups")
+    one = sized.withColumn("label", F.col("node"))
+    deal = F.when(F.col("cells") > 1, F.pmod(F.xxhash64("node"), F.col("cells"))).otherwise(0)
+    links = staged(searched(one.withColumn("cell_", deal), ["root", "cell_"], percent), "links")
+    roots = components(links)
+    wide = sized.where("cells > 1")
+    if wide.isEmpty():
+        return roots
+    for last in (False, True):
+        found = wide.join(roots.select("node", F.col("root").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        if last:
+            members = lists.join(found.select("node", "n", "label"), "node")
+            still = members.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("token")
+            cells = cells_of(members.join(still, "token")).join(wide.select("node", "own"), "node")
+            more = searched(cells, ["token", "i", "j"], percent)
+        else:
+            dealt = F.pmod(F.xxhash64(F.lit(1), "node"), F.col("cells"))
+            more = searched(found.withColumn("cell_", dealt), ["root", "cell_"], percent)
+        more = staged(more, "links")
+        if not more.isEmpty():
+            roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+    forget(sized, lists)
+    return roots
 
 
 def cluster(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
-    """Per document: doc_id, n_shingles and component_id, the smallest doc_id that is reachable by links.
-
-    docs: doc_id and text; other columns are ignored. A null text, or one without words, has an empty set and links
-    with nothing; fewer words than ``size`` are one shingle. Repeated rows link with each other. A null doc_id keeps
-    its row, and is no candidate for component_id while the component has another. Empty tables give no rows.
+    """Per document: doc_id, n_shingles and component_id, the smallest doc_id that is reachable by links; text_key, the
+    hash of its text; and chosen, true for one (doc_id, text) of each component, that with the smallest doc_id.
+
+    docs: doc_id and text; other columns are ignored. A null text, or one without words, has an empty set, links
+    with nothing and is chosen; fewer words than ``size`` are one shingle. Rows that share a doc_id are documents of
+    their own, told apart by their texts; repeated rows link with each other and are chosen together. A null doc_id
+    keeps its row, and is no candidate for component_id while the component has another. Of rows with one doc_id in
+    one component the least text_key is chosen. Empty tables give no rows.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
-    first = staged(nodes_and_counts(docs, size), "nodes")
-    rows = first.where("kind = 0").select("doc_id", "key", "node", "n")
-    often = first.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= SEEN)
-    frequent = often.orderBy(F.desc("n"), "node").limit(FREQUENT).toArrow()["node"].to_numpy().view(np.uint64)[::-1]
-    parts = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = postings(docs, size, percent, np.ascontiguousarray(frequent), parts).repartition("part")
-    lists = staged(lists_of(packed), "lists")
-    pairs = staged(lists.where("kind = 0").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "pairs")
-    single = first.where("kind = 0 AND n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min(F.struct("key", "doc_id")).alias("one"))
-    single = staged(single, "single")
-
-    def linked(some: DataFrame) -> DataFrame:
-        nodes = some.select(F.explode(F.array("u", "v")).alias("node"))
-        return staged(verified(some, sets_of(docs, single, nodes, size), percent), "links")
-
-    def across(some: DataFrame, known: DataFrame) -> DataFrame:
-        """Pairs whose nodes are in different components, with these as a and b."""
-        for c in ("u", "v"):
-            own = known.select(F.col("node").alias(c), F.col("root").alias(f"r_{c}"))
-            some = some.join(own, c, "left").withColumn(f"r_{c}", F.coalesce(f"r_{c}", c))
-        parts = some.where("r_u <> r_v").select("u", "v", "d", F.col("r_u").alias("a"), F.col("r_v").alias("b"))
-        return staged(parts, "across")
-
-    def joined(known: DataFrame, new: DataFrame) -> DataFrame:
-        return components(known.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(new))
-
-    roots = components(linked(staged(plausible(pairs, single, percent), "plausible").select("u", "v")))
-    members = lists.where("kind = 1").select(F.col("a").alias("list"), F.col("b").alias("node")).distinct()
-    members = members.join(roots, "node", "left").select("list", "node", F.coalesce("root", "node").alias("comp"))
-    members = staged(members, "members")
-    open_ = members.groupBy("list").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("n")).where("a <> b")
-    members = staged(members.join(open_.select("list", "n"), "list"), "open")
-    held = members.where(F.col("n") <= SHORT).groupBy("list").agg(F.collect_list(F.struct("node", "comp")).alias("m"))
-    met = F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (y["node"] > x["node"]) & (y["comp"] != x["comp"])), lambda y: F.struct(x["node"].alias("u"), y["node"].alias("v"))))
-    more = held.select(F.inline(F.flatten(met))).distinct().join(pairs, ["u", "v"], "left_anti")
-    long_lists = staged(members.where(F.col("n") > SHORT), "long")
-    more = plausible(more, single, percent)
-    if not long_lists.isEmpty():
-        more = more.unionByName(block_pairs(long_lists, single, percent)).join(pairs, ["u", "v"], "left_anti")
-    left = across(staged(more.distinct(), "plausible"), roots)
-    for _ in range(TRIES):
-        if left.isEmpty():
-            break
-        # the likeliest pair of each component first: where it links, most of the others need no search
-        each = left.select(F.explode(F.array("a", "b")).alias("c"), F.struct("d", "u", "v").alias("x")).groupBy("c").agg(F.min("x").alias("x"))
-        one = staged(each.select("x.u", "x.v").distinct(), "one")
-        roots = joined(roots, linked(one))
-        left = across(left.select("u", "v", "d").join(one, ["u", "v"], "left_anti"), roots)
-    for k in range(SLICES):
-        if left.isEmpty():
-            break
-        # slice by slice, as the sets of all at once would fill the disks
-        some = F.pmod(F.xxhash64("u"), F.lit(SLICES)) == k
-        roots = joined(roots, linked(left.where(some).select("u", "v")))
-        left = across(left.where(~some).select("u", "v", "d"), roots)
-    named = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left")
+    docs = docs.select("doc_id", "text", text_key(F.col("text")).alias("key"))
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    first = staged(nodes_and_postings(docs, size, percent, parts), "nodes")
+    counts = shared_counts(first.where("kind = 1").select(F.col("node").alias("part"), F.col("slot").alias("chunk"), "packed"))
+    counts = counts.groupBy("slot").agg(F.sum("found").alias("found"))
+    rows = first.where("kind = 0")
+    able = rows.where("slot IS NOT NULL").join(counts, "slot", "left").where(F.coalesce("found", F.lit(0)) + F.col("local") >= F.col("need"))
+    able = staged(able.groupBy("node").agg(F.min(F.struct("key", "doc_id")).alias("x")).select("node", "x.*"), "able")
+    sets = staged(sets_of(docs, able, size), "sets")
+    roots = groups_of(sets, percent)
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    named = rows.where("n > 0").groupBy("node").agg(F.min(rank).alias("least")).join(roots, "node", "left")
     named = staged(named.select("node", "least", F.coalesce("root", "node").alias("root")), "named")
-    lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(lowest, "root").select("node", "component_id")
-    out = rows.join(named, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    moved = named.groupBy("root").agg(F.min("least").alias("top"), F.count("*").alias("m")).where("m > 1").select("root", "top")
+    named = named.join(moved, "root", "left").select("node", F.coalesce("top", "least").alias("top"))
+    out = rows.select("doc_id", "key", "node", "n").join(named, "node", "left")
+    whole = F.col("n") > 0
+    return out.select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(whole, F.col("top.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.col("key").alias("text_key"), F.when(whole, rank == F.col("top")).otherwise(True).alias("chosen"),
+    )
 
 
 ORACLE_SQL = r"""
