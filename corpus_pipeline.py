@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm import decontaminate, lines, ngram_join, packing, quality
-from vellum.llm.common import staged
+from vellum.llm.common import staged, text_key
 from vellum.session import table
 
 
@@ -22,8 +22,7 @@ def like(found: DataFrame, docs: DataFrame) -> DataFrame:
 
 def rows_of(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
     """docs whose (doc_id, text) is among those of found (left_semi), or isn't (left_anti)."""
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    keyed = docs.withColumn("text_key__", key)
+    keyed = docs.withColumn("text_key__", text_key(F.col("text")))
     found = found.select(F.col("doc_id").alias("doc_id__"), F.col("text_key").alias("key__")).distinct()
     met = keyed["doc_id"].eqNullSafe(found["doc_id__"]) & (keyed["text_key__"] == found["key__"])
     return like(keyed.join(found, met, how), docs)
@@ -43,10 +42,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates; repeated rows once."""
-    groups = ngram_join.cluster(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("doc_id__")).distinct()
-    return like(docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id__"]), "left_semi"), docs).dropDuplicates(["doc_id", "text"])
+    """The document with the smallest doc_id of each group of near-duplicates; repeated rows once. Documents without words stay."""
+    chosen = ngram_join.cluster(docs).where("chosen").groupBy("doc_id", "text_key").agg(F.count(F.when(F.col("n_shingles") > 0, 1)).alias("times"))
+    chosen = staged(chosen, "chosen")
+    again = chosen.where("times > 1")
+    kept = rows_of(docs, chosen.where("times <= 1"), "left_semi")
+    return kept if again.isEmpty() else kept.unionByName(rows_of(docs, again, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
