@@ -43,7 +43,9 @@ CELL, CELL_SHINGLES = 256, 500_000
 #: Keys of documents that may be broadcast: 16 bytes each.
 SENT = 1_000_000
 #: Cost of a probe against that of a merge step, in DivideSkip's choice of L.
-MU = 0.01
+MU = 0.001
+#: Documents of a chunk at most.
+ROWS = 2000
 #: Marks a posting of several nodes of a chunk.
 SEVERAL = 0xFFFF
 MULTIPLY = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -114,7 +116,7 @@ def nodes_and_postings(docs: DataFrame, size: int, percent: int, parts: int) ->
     bytes of the hash and 2 of the slot each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in pieces(batches, 2):
+        for some in pieces(batches, 2, ROWS):
             sets = shingle_sets(some.column(2), size)
             nodes = np.array([node_of(x) for x in sets], np.int64)
             n = np.array([len(x) for x in sets], np.int64)
@@ -156,9 +158,9 @@ def nodes_and_postings(docs: DataFrame, size: int, percent: int, parts: int) ->
 
 
 def shared_counts(postings: DataFrame) -> DataFrame:
-    """slot and found: of its shingles in a part, those which other chunks have too. postings: part, chunk, packed."""
+    """slot and found: how many of its prefix's shingles other chunks have too. postings: part, chunk, packed."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def replies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens: list[np.ndarray] = []
         slots: list[np.ndarray] = []
         now = None
@@ -166,8 +168,10 @@ def shared_counts(postings: DataFrame) -> DataFrame:
         def done() -> pa.RecordBatch:
             _, where, count = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
             slot = np.concatenate(slots)
-            found, times = np.unique(slot[(count[where] > 1) & ((slot & SEVERAL) != SEVERAL)], return_counts=True)
-            return table_of(slot=pa.array(found, pa.int64()), found=pa.array(times, pa.int64()))
+            slot = np.sort(slot[(count[where] > 1) & ((slot & SEVERAL) != SEVERAL)])
+            chunk, begin = np.unique(slot >> 16, return_index=True)
+            ends = [*begin[1:].tolist(), len(slot)][: len(begin)]
+            return table_of(chunk=pa.array(chunk), packed=pa.array([slot[a:b].astype(np.uint16).tobytes() for a, b in zip(begin.tolist(), ends, strict=True)], pa.binary()))
 
         for batch in batches:
             for part, chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -181,7 +185,25 @@ def shared_counts(postings: DataFrame) -> DataFrame:
         if tokens:
             yield done()
 
-    return postings.repartition("part").sortWithinPartitions("part").mapInArrow(run, "slot long, found long")
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, now = np.zeros(ROWS, np.int64), None
+
+        def done() -> pa.RecordBatch:
+            slot = np.flatnonzero(total)
+            return table_of(slot=pa.array(slot + (now << 16), pa.int64()), found=pa.array(total[slot]))
+
+        for batch in batches:
+            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if chunk != now:
+                    if now is not None:
+                        yield done()
+                    total[:], now = 0, chunk
+                total += np.bincount(np.frombuffer(data.as_buffer(), np.uint16), minlength=ROWS)
+        if now is not None:
+            yield done()
+
+    found = postings.repartition("part").sortWithinPartitions("part").mapInArrow(replies, "chunk long, packed binary")
+    return found.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(summed, "slot long, found long")
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
@@ -322,20 +344,38 @@ def searched(rows: DataFrame, by: list[str], percent: int) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long")
 
 
-def cells_of(members: DataFrame) -> DataFrame:
-    """token, i, j, node and label: each two nodes of a list (token, node, n, label) meet in a cell, but for two of the
-    list's largest component."""
-    largest = members.groupBy("token", "label").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+def spans_of(members: DataFrame) -> DataFrame:
+    """Of each list (list, root) whose nodes (n, label) are of several components: the largest as top, in how many parts
+    the rest and the top are dealt, and how many rows that makes."""
+    largest = members.groupBy("list", "root", "label").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
     parts = lambda m, s: F.greatest(F.ceil(m / F.lit(CELL / 2)), F.ceil(s / F.lit(CELL_SHINGLES / 2)))
-    lists = largest.groupBy("token").agg(F.max(F.struct("m", "s", "label")).alias("top"), F.sum("m").alias("m"), F.sum("s").alias("s"))
-    top, rest = parts(F.col("top.m"), F.col("top.s")), parts(F.col("m") - F.col("top.m"), F.col("s") - F.col("top.s"))
-    lists = lists.select("token", F.col("top.label").alias("top"), rest.alias("rest"), top.alias("tops"))
-    both = members.join(lists, "token")
+    lists = largest.groupBy("list", "root").agg(F.max(F.struct("m", "s", "label")).alias("top"), F.sum("m").alias("m"), F.sum("s").alias("s"))
+    lists = lists.where("m > top.m").withColumn("others", F.col("m") - F.col("top.m"))
+    lists = lists.withColumn("rest", parts(F.col("others"), F.col("s") - F.col("top.s"))).withColumn("tops", parts(F.col("top.m"), F.col("top.s")))
+    rows = F.col("others") * (F.col("rest") + F.col("tops")) + F.col("top.m") * F.col("rest")
+    return lists.select("list", "root", F.col("top.label").alias("top"), "rest", "tops", rows.alias("rows"))
+
+
+def cells_of(members: DataFrame, spans: DataFrame) -> DataFrame:
+    """list, i, j, node and label: each two nodes of a list meet in a cell, but for two of the list's largest component."""
+    both = members.join(spans.drop("root"), "list")
     of_top = F.col("label") == F.col("top")
     own = F.when(of_top, F.col("rest") + F.pmod(F.xxhash64("node"), F.col("tops"))).otherwise(F.pmod(F.xxhash64("node"), F.col("rest")))
     met = F.sequence(F.lit(0).cast("long"), F.col("rest") - 1 + F.when(of_top, F.lit(0)).otherwise(F.col("tops")))
     both = both.withColumn("own_", own).withColumn("met_", F.explode(met))
-    return both.select("token", F.least("own_", "met_").alias("i"), F.greatest("own_", "met_").alias("j"), "node", "label")
+    return both.select("list", F.least("own_", "met_").alias("i"), F.greatest("own_", "met_").alias("j"), "node", "label")
+
+
+def still_open(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """Cells in which all nodes meet that share a list and no component yet. found: node, root, n and label. A group
+    whose lists make more rows than the group itself is one list."""
+    by_token = lists.join(found, "node").select(F.xxhash64(F.lit(0), "token").alias("list"), "root", "node", "n", "label")
+    by_group = found.select(F.xxhash64(F.lit(1), "root").alias("list"), "root", "node", "n", "label")
+    narrow, wide = staged(spans_of(by_token), "spans"), staged(spans_of(by_group), "spans")
+    cost = narrow.groupBy("root").agg(F.sum("rows").alias("cost"))
+    whole = wide.join(cost, "root").where("rows <= cost").drop("cost")
+    narrow = narrow.join(whole.select("root"), "root", "left_anti")
+    return cells_of(by_token, narrow.select(*wide.columns)).unionByName(cells_of(by_group, whole.select(*wide.columns)))
 
 
 def groups_of(sets: DataFrame, percent: int) -> DataFrame:
@@ -359,10 +399,8 @@ def groups_of(sets: DataFrame, percent: int) -> DataFrame:
     for last in (False, True):
         found = wide.join(roots.select("node", F.col("root").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
         if last:
-            members = lists.join(found.select("node", "n", "label"), "node")
-            still = members.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("token")
-            cells = cells_of(members.join(still, "token")).join(wide.select("node", "own"), "node")
-            more = searched(cells, ["token", "i", "j"], percent)
+            cells = still_open(lists, found.select("node", "root", "n", "label")).join(wide.select("node", "own"), "node")
+            more = searched(cells, ["list", "i", "j"], percent)
         else:
             dealt = F.pmod(F.xxhash64(F.lit(1), "node"), F.col("cells"))
             more = searched(found.withColumn("cell_", dealt), ["root", "cell_"], percent)
@@ -388,7 +426,6 @@ def cluster(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     first = staged(nodes_and_postings(docs, size, percent, parts), "nodes")
     counts = shared_counts(first.where("kind = 1").select(F.col("node").alias("part"), F.col("slot").alias("chunk"), "packed"))
-    counts = counts.groupBy("slot").agg(F.sum("found").alias("found"))
     rows = first.where("kind = 0")
     able = rows.where("slot IS NOT NULL").join(counts, "slot", "left").where(F.coalesce("found", F.lit(0)) + F.col("local") >= F.col("need"))
     able = staged(able.groupBy("node").agg(F.min(F.struct("key", "doc_id")).alias("x")).select("node", "x.*"), "able")
