@@ -50,25 +50,27 @@ def spread(lines: DataFrame, min_sites: int, lg_k: int = 12, errors: float = 4)
 def dedup(docs: DataFrame, min_sites: int = 8, min_words: int = 3) -> DataFrame:
     """docs without the boilerplate lines, and with n_lines and n_removed.
 
-    docs: doc_id, text, source, and any other columns, which stay. A null text stays null and has no lines; a null
-    source is a site of its own. Lines of fewer than ``min_words`` words count for nothing and are never removed.
+    docs: doc_id, text, source, and any other columns, which stay, but for columns named n_lines or n_removed, which
+    are replaced. A null text stays null and has no lines; a null source is a site of its own. Lines of fewer than ``min_words`` words count for nothing and are never removed.
     Repeated rows lose the same lines, and a null doc_id counts as the smallest. Empty tables give no rows.
     """
     lines = staged(line_table(docs, min_words), "lines")
     found = staged(spread(lines, min_sites), "boilerplate")
     hit = join_bounded(lines, found, KEY).where(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
     gone = hit.groupBy("doc_id", "text_key").agg(F.array_distinct(F.collect_list("pos")).alias("gone_"))
-    gone = gone.select(F.col("doc_id").alias("doc_id_"), F.col("text_key").alias("text_key_"), "gone_")
-    own = docs.withColumn("text_key__", text_key(F.col("text")))
-    both = own.join(gone, own["doc_id"].eqNullSafe(gone["doc_id_"]) & (own["text_key__"] == gone["text_key_"]), "left")
-    parts = F.split(F.coalesce("text", F.lit("")), "\n")
+    # the caller's columns travel in one struct, so that theirs and ours can't be taken for each other
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_key(F.col("text")).alias("key"))
+    both = own.join(gone, own["row.doc_id"].eqNullSafe(gone["doc_id"]) & (own["key"] == gone["text_key"]), "left")
+    text = F.col("row.text")
+    parts = F.split(F.coalesce(text, F.lit("")), "\n")
     left = let(parts, lambda p: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("gone_")), lambda i: F.get(p, i)), "\n"))
     counts = F.size(F.filter(parts, lambda x: F.size(words(x)) >= min_words)).cast("long")
-    return both.select(
-        *[F.col(f"`{c}`") for c in docs.columns if c != "text"],
-        F.when(F.col("gone_").isNull(), F.col("text")).otherwise(left).alias("text"),
+    found = both.select(
+        "row", F.when(F.col("gone_").isNull(), text).otherwise(left).alias("text"),
         counts.alias("n_lines"), F.coalesce(F.size("gone_"), F.lit(0)).cast("long").alias("n_removed"),
     )
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
+    return found.select(*kept, "text", "n_lines", "n_removed")
 
 
 def report(docs: DataFrame) -> DataFrame:
