@@ -20,13 +20,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import NOT_WORD, plain_texts
+from vellum.llm.common import NOT_WORD, pieces, plain_texts, staged, text_key
 
 FOUND = "doc_id long, n_words long, spans array<struct<first:long,after:long>>, items array<string>"
 #: Code points of items in a block: the bound of what is broadcast.
 BLOCK_CHARS = 16_000_000
-#: Rows of documents that are searched at once.
-ROWS = 2000
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -39,11 +37,6 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(full), before[bounds]
 
 
-def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for i in range(0, batch.num_rows, ROWS):
-        yield batch.slice(i, ROWS)
-
-
 class Windows:
     """The windows of a block of items as rows of word numbers, and an index of them by their rarest word."""
 
@@ -107,11 +100,10 @@ def counted(docs: DataFrame, block: Windows) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(vocab.value), np.int64)
-        for batch in batches:
-            for some in pieces(batch):
-                flat, _ = split_words(some.column(0))
-                at = pc.index_in(flat, vocab.value).drop_null().to_numpy()
-                total += np.bincount(at, minlength=len(total))
+        for some in pieces(batches, 0):
+            flat, _ = split_words(some.column(0))
+            at = pc.index_in(flat, vocab.value).drop_null().to_numpy()
+            total += np.bincount(at, minlength=len(total))
         has = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(has), pa.array(total[has])], ["word", "n"])
 
@@ -127,29 +119,28 @@ def searched(docs: DataFrame, block: Windows) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = sent.value
-        for batch in batches:
-            for some in pieces(batch):
-                flat, bounds = split_words(some.column(1))
-                ids = pc.fill_null(pc.index_in(flat, windows.vocab), -1).to_numpy()
-                doc, start, window = windows.search(ids, bounds)
-                spans: list[list] = [[] for _ in range(some.num_rows)]
-                items: list[set] = [set() for _ in range(some.num_rows)]
-                order = np.lexsort((start, doc))
-                after = start + windows.length[window] if len(window) else start
-                for i in order:
-                    d, a, b = int(doc[i]), int(start[i] - bounds[doc[i]]), int(after[i] - bounds[doc[i]])
-                    if spans[d] and a <= spans[d][-1]["after"]:
-                        spans[d][-1]["after"] = max(b, spans[d][-1]["after"])
-                    else:
-                        spans[d].append({"first": a, "after": b})
-                    w = window[i]
-                    items[d].update(windows.owners[windows.owner_first[w] : windows.owner_first[w + 1]].tolist())
-                named = [sorted({x for k in own if (x := windows.item_ids[k]) is not None}) for own in items]
-                kind = pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())]))
-                yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.array(np.diff(bounds), pa.int64()), pa.array(spans, kind), pa.array(named, pa.list_(pa.string())), *some.columns[2:]],
-                    ["doc_id", "n_words", "spans", "items", *some.schema.names[2:]],
-                )
+        for some in pieces(batches, 1):
+            flat, bounds = split_words(some.column(1))
+            ids = pc.fill_null(pc.index_in(flat, windows.vocab), -1).to_numpy()
+            doc, start, window = windows.search(ids, bounds)
+            spans: list[list] = [[] for _ in range(some.num_rows)]
+            items: list[set] = [set() for _ in range(some.num_rows)]
+            order = np.lexsort((start, doc))
+            after = start + windows.length[window] if len(window) else start
+            for i in order:
+                d, a, b = int(doc[i]), int(start[i] - bounds[doc[i]]), int(after[i] - bounds[doc[i]])
+                if spans[d] and a <= spans[d][-1]["after"]:
+                    spans[d][-1]["after"] = max(b, spans[d][-1]["after"])
+                else:
+                    spans[d].append({"first": a, "after": b})
+                w = window[i]
+                items[d].update(windows.owners[windows.owner_first[w] : windows.owner_first[w + 1]].tolist())
+            named = [sorted({x for k in own if (x := windows.item_ids[k]) is not None}) for own in items]
+            kind = pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())]))
+            yield pa.RecordBatch.from_arrays(
+                [some.column(0), pa.array(np.diff(bounds), pa.int64()), pa.array(spans, kind), pa.array(named, pa.list_(pa.string())), *some.columns[2:]],
+                ["doc_id", "n_words", "spans", "items", *some.schema.names[2:]],
+            )
 
     more = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
     schema = FOUND + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in more)
@@ -171,17 +162,23 @@ def merged_spans(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), empty, step)
 
 
-def item_blocks(benchmark: DataFrame, limit: int) -> list[tuple[list, list]]:
-    """The items, in blocks of at most so many code points (an item of more is a block of its own)."""
-    blocks, size = [([], [])], 0
+def item_blocks(benchmark: DataFrame, limit: int) -> Iterator[tuple[list, list]]:
+    """The items, in blocks of at most so many code points (an item of more is a block of its own); one block at least."""
+    ids, texts, size = [], [], 0
     for item_id, text in benchmark.select(F.col("item_id").cast("string"), "text").where("text is not null").toLocalIterator():
         if size and size + len(text) > limit:
-            blocks.append(([], []))
-            size = 0
-        blocks[-1][0].append(item_id)
-        blocks[-1][1].append(text)
+            yield ids, texts
+            ids, texts, size = [], [], 0
+        ids.append(item_id)
+        texts.append(text)
         size += len(text)
-    return blocks
+    yield ids, texts
+
+
+def ordered(docs: DataFrame, ids: list, texts: list, window: int) -> Windows:
+    block = Windows(ids, texts, window)
+    block.order(counted(docs, block))
+    return block
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -192,20 +189,17 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_chars: i
     words, an item without words no window. Items with a null id hit words but aren't listed; items that repeat an
     id count once. Repeated rows of docs remain separate rows. Empty tables give no rows, or rows without hits.
     """
-    blocks = [Windows(ids, texts, window) for ids, texts in item_blocks(benchmark, block_chars)]
-    rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
-    if len(blocks) > 1:
-        # a row's text and id needn't be unique, so rows are told apart by their place
-        rows = rows.withColumn("row_key", F.monotonically_increasing_id())
-    found = []
-    for block in blocks:
-        block.order(counted(docs, block))
-        found.append(searched(rows, block))
-    if len(found) == 1:
-        return found[0]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+    blocks = item_blocks(benchmark, block_chars)
+    rows = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
+    one, more = next(blocks), next(blocks, None)
+    if more is None:
+        return searched(rows, ordered(docs, *one, window))
+    # a row's text and id needn't be unique, so rows are told apart by their place; one block is held at a time
+    rows = rows.withColumn("row_key", F.monotonically_increasing_id())
+    out = staged(searched(rows, ordered(docs, *one, window)), "found")
+    while more is not None:
+        out = out.unionByName(staged(searched(rows, ordered(docs, *more, window)), "found"))
+        more = next(blocks, None)
     out = out.groupBy("row_key").agg(
         F.first("doc_id").alias("doc_id"), F.first("text_key").alias("text_key"), F.first("n_words").alias("n_words"),
         merged_spans(F.flatten(F.collect_list("spans"))).alias("spans"),
