@@ -16,10 +16,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import plain_texts
+from vellum.llm.common import pieces, plain_texts
 
 BUCKETS = 1 << 16
-ROWS = 2000
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
@@ -31,6 +30,7 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashed trigrams of all texts, lower-cased and with one space for each run of other characters than letters;
     and where each text's begin. A text without letters has none."""
     texts = pc.utf8_lower(plain_texts(texts))
+    texts = pc.if_else(pc.match_substring_regex(texts, r"\pL"), texts, pa.scalar("", pa.large_string()))
     texts = pc.utf8_trim_whitespace(pc.replace_substring_regex(texts, r"[^\pL\pM]+", " "))
     space, none = (pa.scalar(x, pa.large_string()) for x in (" ", ""))
     joined = pc.binary_join_element_wise(space, texts, space, none)
@@ -51,7 +51,7 @@ def learned(docs: DataFrame, per_language: int, seed: int = 11) -> tuple[list[st
 
     The training documents of a language are all of them, or a sample of about ``per_language`` if it has more.
     """
-    rows = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = docs.select("doc_id", "text", "lang").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     found = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(found)
     if not languages:
@@ -61,15 +61,13 @@ def learned(docs: DataFrame, per_language: int, seed: int = 11) -> tuple[list[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for i in range(0, batch.num_rows, ROWS):
-                some = batch.slice(i, ROWS)
-                grams, first = trigrams(some.column(0))
-                for lang, a, b in zip(some.column(1).to_pylist(), first[:-1], first[1:], strict=True):
-                    own = counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                    own += np.bincount(grams[a:b], minlength=BUCKETS) if b - a > 5000 else 0
-                    if b - a <= 5000:
-                        np.add.at(own, grams[a:b], 1)
+        for some in pieces(batches, 0):
+            grams, first = trigrams(some.column(0))
+            for lang, a, b in zip(some.column(1).to_pylist(), first[:-1], first[1:], strict=True):
+                own = counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
+                own += np.bincount(grams[a:b], minlength=BUCKETS) if b - a > 5000 else 0
+                if b - a <= 5000:
+                    np.add.at(own, grams[a:b], 1)
         for lang, own in counts.items():
             there = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(there), pa.string()), pa.array(there), pa.array(own[there])], ["lang", "gram", "n"])
@@ -94,8 +92,9 @@ def mixture(likely: np.ndarray, weight: np.ndarray, start: np.ndarray, rounds: i
     return share, float(weight @ np.log(share @ likely))
 
 
-def inferred(model: np.ndarray, grams: np.ndarray, penalty: float, rounds: int) -> np.ndarray:
-    """The proportions of all languages; zero for those that are not in the chosen set."""
+def inferred(model: np.ndarray, grams: np.ndarray, penalty: float, rounds: int, least: float) -> np.ndarray:
+    """The proportions of all languages; zero for those that are not in the chosen set, and for those, but the likeliest
+    alone, whose proportion of the mixture of all languages is below ``least``."""
     if len(grams) > BUCKETS:
         counts = np.bincount(grams, minlength=BUCKETS)
         grams = np.flatnonzero(counts)
@@ -110,7 +109,7 @@ def inferred(model: np.ndarray, grams: np.ndarray, penalty: float, rounds: int)
     if len(model) > 1:
         whole, _ = mixture(likely, weight, np.full(len(model), 1 / len(model)), rounds)
         for k in np.argsort(-whole):
-            if whole[k] < 0.02:
+            if whole[k] < least:
                 break
             if k in chosen:
                 continue
@@ -123,36 +122,36 @@ def inferred(model: np.ndarray, grams: np.ndarray, penalty: float, rounds: int)
     return share
 
 
-def identify(docs: DataFrame, per_language: int = 5000, penalty: float = 3.0, rounds: int = 30) -> DataFrame:
+def identify(docs: DataFrame, per_language: int = 5000, penalty: float = 3.0, rounds: int = 30, least: float = 0.02) -> DataFrame:
     """doc_id, held_out, lang_pred, score and mixture (the proportions of the chosen languages).
 
     docs: doc_id, text, and lang to learn from; other columns are ignored. A null text, or one without letters, is
     ``und`` with score 0 and an empty mixture, and so is everything if nothing can be learned. A null doc_id is never
-    learned from, and not held out. Repeated rows are judged alike; empty tables give no rows.
+    learned from, and not held out. Of languages that are equally likely the first by name is predicted. Repeated rows
+    are judged alike; empty tables give no rows. A language is tried for a document's set if the mixture of all
+    languages gives it ``least`` or more.
     """
     languages, model = learned(docs, per_language)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
-        for batch in batches:
-            for i in range(0, batch.num_rows, ROWS):
-                some = batch.slice(i, ROWS)
-                grams, first = trigrams(some.column(1))
-                names, scores, mixed = [], [], []
-                for a, b in zip(first[:-1], first[1:], strict=True):
-                    if a == b or not languages:
-                        names.append("und")
-                        scores.append(0.0)
-                        mixed.append([])
-                        continue
-                    share = inferred(table, grams[a:b], penalty, rounds)
-                    k = int(share.argmax())
-                    names.append(languages[k])
-                    scores.append(min(1.0, float(share[k])))
-                    mixed.append([{"lang": languages[j], "share": float(share[j])} for j in np.flatnonzero(share)])
-                kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(mixed, kind)], ["doc_id", "lang_pred", "score", "mixture"])
+        for some in pieces(batches, 1):
+            grams, first = trigrams(some.column(1))
+            names, scores, mixed = [], [], []
+            for a, b in zip(first[:-1], first[1:], strict=True):
+                if a == b or not languages:
+                    names.append("und")
+                    scores.append(0.0)
+                    mixed.append([])
+                    continue
+                share = inferred(table, grams[a:b], penalty, rounds, least)
+                k = int(share.argmax())
+                names.append(languages[k])
+                scores.append(min(1.0, float(share[k])))
+                mixed.append([{"lang": languages[j], "share": float(share[j])} for j in np.flatnonzero(share)])
+            kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(mixed, kind)], ["doc_id", "lang_pred", "score", "mixture"])
 
     out = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, mixture array<struct<lang:string,share:double>>")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "mixture")
