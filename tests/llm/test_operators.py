@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from vellum.llm import components, decontaminate, language, lines, ngram_join, packing, quality, secrets, substrings, suffixes, urls, warc
 from vellum.session import table
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, kept string, key long, node string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, kept string, key long, node string, gone_ string, n_removed string, text_key__ long, row long"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -35,7 +35,7 @@ def awkward():
 
 
 def frame(spark, rows):
-    return spark.createDataFrame([(i, t, "en", f"s{(i or 0) % 10}", None, "x", "y", 1, "z") for i, t in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, "en", f"s{(i or 0) % 10}", None, "x", "y", 1, "z", "g", "r", 2, 3) for i, t in rows], SCHEMA)
 
 
 @pytest.fixture(scope="module")
@@ -286,12 +286,12 @@ def test_suffix_arrays():
 
 def test_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    odd = spark.createDataFrame([(10_000, None, "en"), (10_001, "", None), (10_002, "123 !? \n", "fr"), (None, "the and of the", "en")], "doc_id long, text string, lang string")
+    odd = spark.createDataFrame([(10_000, None, "en"), (10_001, "", None), (10_002, "123 !? \n", "fr"), (10_003, "\u0301\u0301 \u0301", "fr"), (None, "the and of the", "en"), (None, "zu zu zu zu", "zu")], "doc_id long, text string, lang string")
     both = docs.select("doc_id", "text", "lang").unionByName(odd).withColumn("score", F.lit("clash"))
     got = language.identify(both).collect()
     by = {r.doc_id: r for r in got}
-    assert len(got) == docs.count() + 4
-    assert all((by[i].lang_pred, by[i].score, by[i].mixture) == ("und", 0.0, []) for i in (10_000, 10_001, 10_002))
+    assert len(got) == docs.count() + 6 and "zu" not in {r.lang_pred for r in got}
+    assert all((by[i].lang_pred, by[i].score, by[i].mixture) == ("und", 0.0, []) for i in (10_000, 10_001, 10_002, 10_003))
     assert not by[None].held_out
     truth = {r.doc_id: r.lang for r in docs.collect()}
     held = [r for r in got if r.held_out and r.doc_id in truth]
