@@ -72,3 +72,24 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_null_and_repeated_ids_and_clashing_columns(spark, tmp_path):
+    """Rows that share an id are judged by their own texts, and a caller's columns come through with their values."""
+    a, b, c = (english(k, 150) for k in (1, 2, 3))
+    rows = [(6, c), (6, b + " end."), (2, b), (2, b), (None, a), (None, c + " More words."), (None, None), (8, "short"), (9, f"{a}\nkept")]
+    names = "n_words n_removed kept quality row key text_key chosen gone_ boxed found_id component_id".split()
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", len(t or ""), *[f"{n}{k}" for n in names]) for k, (i, t) in enumerate(rows)], schema)
+    spark.createDataFrame([(0, english(77, 40))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, left, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        left = spark.read.parquet(f"{tmp_path}/{name}")
+        assert left.columns == docs.columns
+    got = sorted(left.collect(), key=lambda r: r.source)
+    # of b two equal rows and a near copy, of c two, of a two; the smallest id stays, and null is the largest
+    assert [(r.doc_id, r.text) for r in got if r.text != rows[2][1]] == [rows[0], rows[8]]
+    assert sum(r.text == b for r in got) == 1 and {r.doc_id for r in got} == {2, 6, 9}
+    assert all(r[n] == f"{n}{r.source[1:]}" for r in got for n in names)
+    assert corpus_pipeline.harmonic_packing(spark, left, str(tmp_path)).count() >= 3
