@@ -16,29 +16,36 @@ from vellum.llm.common import staged, text_key
 from vellum.session import table
 
 
-def like(found: DataFrame, docs: DataFrame) -> DataFrame:
-    return found.select(*[F.col(f"`{c}`") for c in docs.columns])
+def boxed(docs: DataFrame, *open_: str) -> DataFrame:
+    """These columns of docs, and all others in one struct, so that an operator's columns can't clash with them."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in open_]
+    return docs.select(*open_, F.struct(*(rest or [F.lit(0).alias("none")])).alias("row"))
+
+
+def unboxed(found: DataFrame, docs: DataFrame, **new) -> DataFrame:
+    """The columns of docs again, with those given anew."""
+    old = lambda c: F.col(c) if c in found.columns and c in ("doc_id", "text", "source") else F.col("row").getField(c)
+    return found.select(*[new.get(c, old(c)).alias(c) for c in docs.columns])
 
 
 def rows_of(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
     """docs whose (doc_id, text) is among those of found (left_semi), or isn't (left_anti)."""
-    keyed = docs.withColumn("text_key__", text_key(F.col("text")))
-    found = found.select(F.col("doc_id").alias("doc_id__"), F.col("text_key").alias("key__")).distinct()
-    met = keyed["doc_id"].eqNullSafe(found["doc_id__"]) & (keyed["text_key__"] == found["key__"])
-    return like(keyed.join(found, met, how), docs)
+    keyed = boxed(docs, "doc_id", "text").withColumn("key", text_key(F.col("text")))
+    found = found.select(F.col("doc_id").alias("found_id"), F.col("text_key").alias("found_key")).distinct()
+    met = keyed["doc_id"].eqNullSafe(found["found_id"]) & (keyed["key"] == found["found_key"])
+    return unboxed(keyed.join(found, met, how), docs)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return like(quality.judge(docs).where("kept"), docs)
+    return unboxed(quality.judge(boxed(docs, "text")).where("kept"), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that many sites share, short ones too."""
-    found = lines.dedup(docs, min_words=1)
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return like(found, docs)
+    found = lines.dedup(boxed(docs, "doc_id", "text", "source"), min_words=1)
+    new = {"n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))} if "n_chars" in docs.columns else {}
+    return unboxed(found, docs, **new)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
