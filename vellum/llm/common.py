@@ -81,7 +81,7 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: int, rows: int = 2000, size: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: int, rows: int = 2000, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of the batches of at most so many rows and bytes of that column's texts; a longer text is a slice of its own."""
     for batch in batches:
         first = total = 0
@@ -92,6 +92,8 @@ def pieces(batches: Iterator[pa.RecordBatch], column: int, rows: int = 2000, siz
             total += n
         if batch.num_rows > first:
             yield batch.slice(first)
+    # a worker lives on between tasks, beside those of other tasks
+    pa.default_memory_pool().release_unused()
 
 
 def plain_texts(texts: pa.Array) -> pa.Array:

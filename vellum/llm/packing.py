@@ -12,6 +12,7 @@ two, which need no padding. Padding is thus at most ``slack`` of the harmonic bi
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import zlib
@@ -23,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from vellum.llm.common import plain_texts
+from vellum.llm.common import pieces, plain_texts
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 PIECES_IDS = f"{PIECES}, ids array<int>"
@@ -81,7 +82,7 @@ class WordTokenizer:
     LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]{1,30}")
     LONGEST = 32
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -191,6 +192,12 @@ class WordTokenizer:
         return ids, first
 
 
+@functools.lru_cache(maxsize=1)
+def tokenizer_at(path: str) -> WordTokenizer:
+    """One tokenizer a worker, with the words that its earlier tasks met."""
+    return WordTokenizer(path)
+
+
 def cuts(length: int, capacity: int, slack: float) -> list[tuple[int, int]]:
     """(class, length) of the pieces that a document of so many tokens is cut into, in order."""
     out = [(1, capacity)] * (length // capacity)
@@ -265,7 +272,7 @@ def pack(
     place = tokenizer_path
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordTokenizer(place)
+        coder = tokenizer_at(place)
         task = TaskContext.get().partitionId()
         sequence = task * PER_TASK
         packer, kept, held, serial = HarmonicPacker(capacity, slack), {}, 0, 0
@@ -296,23 +303,21 @@ def pack(
             rows.clear()
             return pa.RecordBatch.from_arrays(arrays, names)
 
-        for batch in batches:
-            for i in range(0, batch.num_rows, 5000):
-                some = batch.slice(i, 5000)
-                doc_ids = some.column(0).to_pylist()
-                ids, first = coder.encode(some.column(1))
-                for j, doc_id in enumerate(doc_ids):
-                    own = np.append(ids[first[j] : first[j + 1]], np.int32(end_id))
-                    kept[serial] = (doc_id, own, len(own))
-                    held += len(own)
-                    for bin_ in packer.add(serial, len(own)):
+        for some in pieces(batches, 1):
+            doc_ids = some.column(0).to_pylist()
+            ids, first = coder.encode(some.column(1))
+            for j, doc_id in enumerate(doc_ids):
+                own = np.append(ids[first[j] : first[j + 1]], np.int32(end_id))
+                kept[serial] = (doc_id, own, len(own))
+                held += len(own)
+                for bin_ in packer.add(serial, len(own)):
+                    put(bin_)
+                serial += 1
+                if held > hold:
+                    for bin_ in packer.close():
                         put(bin_)
-                    serial += 1
-                    if held > hold:
-                        for bin_ in packer.close():
-                            put(bin_)
-                if rows:
-                    yield flush()
+            if rows:
+                yield flush()
         for bin_ in packer.close():
             put(bin_)
         if rows:
