@@ -262,13 +262,51 @@ def brute_removed(rows, least=100):
     return out
 
 
-def test_substrings(docs, awkward, monkeypatch):
+@pytest.mark.parametrize("hot", [32, 2, 1])
+def test_substrings(docs, awkward, monkeypatch, hot):
     monkeypatch.setattr(substrings, "SHARD", 500)
+    monkeypatch.setattr(substrings, "HOT", hot)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.report(docs).collect()}
     assert got == brute_removed(awkward)
     assert got[12][1] > 200 and got[14][1] > 4000
 
 
+def test_substrings_of_a_passage_in_many_surroundings(spark):
+    """One line and one passage in every document, at other places and with other neighbours each: hot anchors."""
+    rng = random.Random(8)
+    line, passage = prose(70, 8), prose(71, 40)
+    rows = []
+    for i in range(260):
+        own = [prose(2000 + i, 12), line if i % 3 else line[:60], prose(3000 + i, 5), passage[rng.randrange(30) : len(passage) - rng.randrange(30)], prose(4000 + i % 40, 9)]
+        rows.append((i, " ".join(own)))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.report(frame(spark, rows).repartition(5)).collect()}
+    assert got == brute_removed(rows)
+
+
+def test_substrings_of_rows_that_share_an_id(spark):
+    rng = random.Random(4)
+    a, b, c = ("".join(rng.choice("abcdefghij ") for _ in range(n)) for n in (600, 700, 500))
+    rows = [(None, a + a), (None, b), (7, a + "x"), (7, c), (7, c), (None, None)]
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in substrings.report(frame(spark, rows)).collect())
+    assert got == [(0, 0, 0), (0, 700, 0), (0, 1200, 600), (7, 500, 0), (7, 500, 0), (7, 601, 600)]
+
+
+def test_permuted_prefixes_of_long_repeats():
+    import numpy as np
+
+    rng = random.Random(9)
+    for most in (3, 20, 100):
+        for text in (b"x" * 700, b"ab" * 300, bytes(rng.randrange(97, 99) for _ in range(400)) * 3, b"abcdefg" * 60 + bytes(rng.randrange(97, 101) for _ in range(300))):
+            data = np.frombuffer(text, np.uint8)
+            array = suffixes.suffix_array(data)
+            prefix = suffixes.permuted_prefixes(data, array, most)
+            for a, b in zip(array[:-1].tolist(), array[1:].tolist(), strict=True):
+                n = 0
+                while n < most and max(a, b) + n < len(text) and text[a + n] == text[b + n]:
+                    n += 1
+                assert prefix[b] == n
+
+
 def test_suffix_arrays():
     import numpy as np
 

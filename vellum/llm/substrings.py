@@ -6,15 +6,18 @@ in the same document before. All strings are judged on the input.
 1. Each string of ``least`` bytes has an anchor: its 32-byte piece with the least hash, the leftmost of equal ones.
    Strings that follow each other mostly share theirs, so a document falls into runs of strings by anchor, about one
    for 35 bytes. Equal strings have equal anchors, so only runs whose anchors have equal content can repeat each
-   other. Runs travel as 25 bytes each, packed by the hash of the anchor's content.
+   other. Runs travel as 33 bytes each, packed by the hash of the anchor's content.
 2. Where runs of one content are equal as a whole, all but the earliest are repeated, wherever they stand. Of the
    others only the earliest of each kind is looked at further.
 3. The bytes of these are fetched from their documents and sharded by content. Each shard's suffix array is made by
    induced sorting; neighbours in it whose permuted common prefix reaches ``least`` hold the same string, and all
    but the earliest of these are repeated.
-4. Repeated strings go back to their documents as spans.
+4. An anchor that many runs of one chunk share (a line or passage of a large part of all documents, with other text
+   around it in each) would make one shard that grows with the corpus. Its runs are dealt by their whole content in
+   step 2, and in step 3 by that of each string; the earliest of equal strings in a piece stands for all of them.
+5. Repeated strings go back to their documents as spans.
 
-Contents of anchors and runs are compared by 64-bit hashes in steps 1 and 2, bytes by themselves in step 3.
+Contents of anchors and runs are compared by 64-bit hashes in steps 1, 2 and 4, bytes by themselves in step 3.
 """
 
 from __future__ import annotations
@@ -27,15 +30,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import plain_texts, staged
+from vellum.llm.common import pieces, plain_texts, staged, text_key
 from vellum.llm.suffixes import permuted_prefixes, suffix_array
 
 PIECE = 32
-RUN = np.dtype([("key", "<u4"), ("whole", "<u8"), ("doc", "<i8"), ("first", "<u4"), ("n", "u1")])
-GONE = np.dtype([("doc", "<i8"), ("first", "<u4"), ("after", "<u4")])
+RUN = np.dtype([("key", "<u4"), ("whole", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("first", "<u4"), ("n", "u1")])
+GONE = np.dtype([("doc", "<i8"), ("text", "<i8"), ("first", "<u4"), ("after", "<u4")])
 #: Bytes of texts that are cut into runs at once, and of a shard's suffix array.
 CHUNK, SHARD = 2_000_000, 1_000_000
+#: Differing runs of one anchor in a chunk from which on the anchor is hot, and the mark of a hot anchor's runs in n.
+HOT, DEALT = 32, 128
 NO_ID = np.iinfo(np.int64).min
+SPANS = "kind long, key long, doc long, text long, first long, after long"
 STEP, BACK = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
@@ -67,14 +73,28 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def runs_of(data: np.ndarray, bounds: np.ndarray, docs: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """RUN rows of documents joined in data, and the anchors' hashes."""
-    none = np.empty(0, RUN), np.empty(0, np.uint64)
+class Hashes:
+    """Hashes of the PIECE bytes from each place of data on, and of any stretch of these."""
+
+    def __init__(self, data: np.ndarray):
+        self.pieces = piece_hashes(data)
+        up = powers(STEP, len(self.pieces) + 1)
+        self.down = powers(BACK, len(self.pieces) + 1)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.pieces * up[:-1], dtype=np.uint64)])
+
+    def strings(self, first: np.ndarray, n: np.ndarray, least: int) -> np.ndarray:
+        """Of the n strings of ``least`` bytes that begin at first and after it."""
+        end = first + n + least - PIECE
+        return mixed((self.sums[end] - self.sums[first]) * self.down[first] + n.astype(np.uint64))
+
+
+def runs_of(data: np.ndarray, bounds: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """RUN rows of documents joined in data, without doc and text; the anchors' hashes, and which document has the run."""
     size = np.diff(bounds)
     if len(data) < least or not (size >= least).any():
-        return none
-    hashes = piece_hashes(data)
-    short = (hashes >> np.uint64(32)).astype(np.uint32)
+        return np.empty(0, RUN), np.empty(0, np.uint64), np.empty(0, np.int64)
+    hashes = Hashes(data)
+    short = (hashes.pieces >> np.uint64(32)).astype(np.uint32)
     width = least - PIECE + 1
     best, reach = np.arange(len(short)), 1
     while reach < width:
@@ -91,13 +111,10 @@ def runs_of(data: np.ndarray, bounds: np.ndarray, docs: np.ndarray, least: int)
     at = np.flatnonzero(new)
     n = np.diff(np.append(at, len(start)))
     first, doc, anchor = start[at], doc[at], anchor[at]
-    up, down = powers(STEP, len(hashes) + 1), powers(BACK, len(hashes) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[:-1], dtype=np.uint64)])
-    end = first + n + least - PIECE
-    out = np.empty(len(at), RUN)
-    out["whole"] = mixed((sums[end] - sums[first]) * down[first] + n.astype(np.uint64))
-    out["doc"], out["first"], out["n"] = docs[doc], first - bounds[doc], n
-    return out, hashes[anchor]
+    out = np.zeros(len(at), RUN)
+    out["whole"] = hashes.strings(first, n, least)
+    out["first"], out["n"] = first - bounds[doc], n
+    return out, hashes.pieces[anchor], doc
 
 
 def joined_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
@@ -112,29 +129,40 @@ def joined_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray
             yield data, np.concatenate([[0], np.cumsum(size[first : first + n])]), batch.slice(first, n)
 
 
-def order_of(rows: np.ndarray, *names: str) -> np.ndarray:
-    return np.lexsort([rows[k] for k in reversed(names)])
+def changes(rows: np.ndarray, *names: str) -> np.ndarray:
+    """Where any of these fields differs from that of the row before; the first row counts as such."""
+    out = np.ones(len(rows), bool)
+    out[1:] = np.logical_or.reduce([rows[k][1:] != rows[k][:-1] for k in names])
+    return out
 
 
 def packed_runs(docs: DataFrame, least: int, parts: int) -> DataFrame:
-    """Runs by part, and with them spans that are repeated within a chunk already."""
+    """Runs by part, and with them spans that are repeated within a chunk already. A hot anchor sends its runs to the
+    parts of their wholes, and one run of no strings to its own part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for serial, (data, bounds, some) in enumerate(joined_texts(batches)):
-            ids = some.column(0).fill_null(NO_ID).to_numpy()
-            rows, hashes = runs_of(data, bounds, ids, least)
+            rows, anchors, own = runs_of(data, bounds, least)
             if not len(rows):
                 continue
-            part = ((hashes >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
-            rows["key"] = (hashes ^ hashes >> np.uint64(41)).astype(np.uint32)
-            by = np.lexsort((rows["first"], rows["doc"], rows["whole"], rows["key"], part))
+            rows["doc"], rows["text"] = (some.column(k).to_numpy()[own] for k in (0, 2))
+            part = ((anchors >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+            rows["key"] = (anchors ^ anchors >> np.uint64(41)).astype(np.uint32)
+            by = np.lexsort((rows["first"], rows["text"], rows["doc"], rows["whole"], rows["key"], part))
+            rows, part = rows[by], part[by]
+            key = changes(rows, "key")
+            key[1:] |= part[1:] != part[:-1]
+            kind = key | changes(rows, "whole")
+            gone = spans(rows[~kind & changes(rows, "doc", "text", "first")], least)
+            group = np.cumsum(key) - 1
+            hot = np.bincount(group[kind]) >= HOT
+            marks = rows[key][hot]
+            marks["n"], marks["whole"] = 0, 0
+            rows["n"][hot[group]] |= DEALT
+            there = np.where(hot[group], (rows["whole"] >> np.uint64(20)) % np.uint64(parts), part).astype(np.int64)
+            rows, part = np.concatenate([rows[kind], marks]), np.concatenate([there[kind], part[key][hot]])
+            by = np.argsort(part, kind="stable")
             rows, part = rows[by], part[by]
-            again = np.zeros(len(rows), bool)
-            again[1:] = (rows["whole"][1:] == rows["whole"][:-1]) & (rows["key"][1:] == rows["key"][:-1]) & (part[1:] == part[:-1])
-            same_place = np.zeros(len(rows), bool)
-            same_place[1:] = again[1:] & (rows["doc"][1:] == rows["doc"][:-1]) & (rows["first"][1:] == rows["first"][:-1])
-            gone = spans(rows[again & ~same_place], least)
-            rows, part = rows[~again], part[~again]
             there, first = np.unique(part, return_index=True)
             ends = [*first[1:].tolist(), len(part)]
             packed = [rows[a:b].tobytes() for a, b in zip(first.tolist(), ends, strict=True)]
@@ -142,71 +170,70 @@ def packed_runs(docs: DataFrame, least: int, parts: int) -> DataFrame:
             with_gone[serial % len(there)] = gone.tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(packed, pa.binary()), pa.array(with_gone, pa.binary())], ["part", "runs", "gone"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "part long, runs binary, gone binary")
+    return docs.mapInArrow(run, "part long, runs binary, gone binary")
 
 
 def spans(rows: np.ndarray, least: int) -> np.ndarray:
     out = np.empty(len(rows), GONE)
-    out["doc"], out["first"] = rows["doc"], rows["first"]
-    out["after"] = rows["first"] + rows["n"].astype(np.uint32) - 1 + np.uint32(least)
+    for k in ("doc", "text", "first"):
+        out[k] = rows[k]
+    out["after"] = rows["first"] + (rows["n"] & (DEALT - 1)).astype(np.uint32) - 1 + np.uint32(least)
     return out
 
 
-def gone_batch(gone: np.ndarray) -> pa.RecordBatch:
-    """kind 0: a span that is repeated."""
-    zero = pa.array(np.zeros(len(gone), np.int64))
-    return pa.RecordBatch.from_arrays(
-        [zero, zero, pa.array(gone["doc"].copy()), pa.array(gone["first"].astype(np.int64)), pa.array(gone["after"].astype(np.int64))],
-        ["kind", "key", "doc", "first", "after"],
-    )
+def span_batch(rows: np.ndarray, kind: int = 0, key: np.ndarray | None = None) -> pa.RecordBatch:
+    """kind 0: spans that are repeated; 1: to be compared by key; 2: to be compared string by string."""
+    zero = np.zeros(len(rows), np.int64)
+    columns = [zero + kind, zero if key is None else key, *(rows[k].astype(np.int64) for k in ("doc", "text", "first", "after"))]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "key", "doc", "text", "first", "after"])
 
 
 def settled(packed: DataFrame, least: int) -> DataFrame:
-    """kind 0: repeated spans; kind 1: runs whose strings must be compared, with the key that they share."""
+    """SPANS of a part's runs: repeated ones, and the earliest of each kind that must be compared further."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, parts = [], []
+        held: list[np.ndarray] = []
+        now = None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            rows = np.concatenate(held)
+            rows = rows[np.lexsort((rows["first"], rows["text"], rows["doc"], rows["whole"], rows["n"] >= DEALT, rows["key"]))]
+            key = changes(rows, "key")
+            kind = key | changes(rows, "whole")
+            kind[1:] |= (rows["n"][1:] >= DEALT) != (rows["n"][:-1] >= DEALT)
+            for some in np.array_split(rows[~kind & (rows["n"] > 0) & changes(rows, "doc", "text", "first")], 1 + len(rows) // 100_000):
+                if len(some):
+                    yield span_batch(spans(some, least))
+            group = np.cumsum(key) - 1
+            mark, dealt = rows["n"] == 0, rows["n"] >= DEALT
+            hot = np.bincount(group, mark) > 0
+            kinds = np.bincount(group[kind & ~mark & ~dealt], minlength=group[-1] + 1)
+            one_by_one = kind & ~mark & (dealt | hot[group])
+            open_ = kind & ~mark & ~dealt & ~hot[group] & (kinds[group] > 1)
+            for code, which in ((1, open_), (2, one_by_one)):
+                for some in np.array_split(rows[which], 1 + len(rows) // 100_000):
+                    if len(some):
+                        yield span_batch(spans(some, least), code, some["key"].astype(np.int64) | now << 32)
+
         for batch in batches:
             for part, runs, gone in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found.append(np.frombuffer(runs, RUN))
-                parts.append(np.full(len(found[-1]), part))
+                if part != now and held:
+                    yield from done()
+                    held = []
+                now = part
+                held.append(np.frombuffer(runs, RUN))
                 if gone:
-                    yield gone_batch(np.frombuffer(gone, GONE))
-        if not found:
-            return
-        rows = np.concatenate(found)
-        key = np.concatenate(parts).astype(np.int64) << 32 | rows["key"]
-        by = np.lexsort((rows["first"], rows["doc"], rows["whole"], key))
-        rows, key = rows[by], key[by]
-        new_key = np.ones(len(rows), bool)
-        new_key[1:] = key[1:] != key[:-1]
-        new_kind = new_key.copy()
-        new_kind[1:] |= rows["whole"][1:] != rows["whole"][:-1]
-        moved = np.ones(len(rows), bool)
-        moved[1:] = new_kind[1:] | (rows["doc"][1:] != rows["doc"][:-1]) | (rows["first"][1:] != rows["first"][:-1])
-        for some in np.array_split(rows[~new_kind & moved], 1 + len(rows) // 100_000):
-            if len(some):
-                yield gone_batch(spans(some, least))
-        group = np.cumsum(new_key) - 1
-        kinds = np.bincount(group[new_kind], minlength=group[-1] + 1)
-        open_ = new_kind & (kinds[group] > 1)
-        rows, key = rows[open_], key[open_]
-        for i in range(0, len(rows), 100_000):
-            some = rows[i : i + 100_000]
-            one = pa.array(np.ones(len(some), np.int64))
-            after = some["first"].astype(np.int64) + some["n"] - 1 + least
-            yield pa.RecordBatch.from_arrays(
-                [one, pa.array(key[i : i + 100_000]), pa.array(some["doc"].copy()), pa.array(some["first"].astype(np.int64)), pa.array(after)],
-                ["kind", "key", "doc", "first", "after"],
-            )
+                    yield span_batch(np.frombuffer(gone, GONE))
+        if held:
+            yield from done()
 
-    return packed.mapInArrow(run, "kind long, key long, doc long, first long, after long")
+    return packed.mapInArrow(run, SPANS)
 
 
-def repeated_in_shard(rows: list[tuple[int, int, bytes]], least: int) -> np.ndarray:
-    """GONE rows of strings of (doc, first, bytes) that stand in an earlier one, or earlier in the same."""
-    data = np.frombuffer(b"".join(x for _, _, x in rows), np.uint8)
-    size = np.array([len(x) for _, _, x in rows], np.int64)
+def repeated_in_shard(rows: list[tuple[int, int, int, bytes]], least: int) -> np.ndarray:
+    """GONE rows of strings of (doc, text, first, bytes) that stand in an earlier one, or earlier in the same."""
+    data = np.frombuffer(b"".join(x for *_, x in rows), np.uint8)
+    size = np.array([len(x) for *_, x in rows], np.int64)
     ends = np.cumsum(size)
     array = suffix_array(data)
     prefix = permuted_prefixes(data, array, least)
@@ -214,99 +241,150 @@ def repeated_in_shard(rows: list[tuple[int, int, bytes]], least: int) -> np.ndar
     owner = np.repeat(np.arange(len(rows)), size)[array]
     ok = array + least <= ends[owner]
     array, group, owner = array[ok], group[ok], owner[ok]
-    doc = np.array([d for d, _, _ in rows], np.int64)[owner]
-    start = np.array([f for _, f, _ in rows], np.int64)[owner] + array - (ends - size)[owner]
-    by = np.lexsort((start, doc, group))
-    group, doc, start = group[by], doc[by], start[by]
+    found = np.empty(len(owner), GONE)
+    for k, name in enumerate(("doc", "text", "first")):
+        found[name] = np.array([x[k] for x in rows], np.int64)[owner]
+    found["first"] += (array - (ends - size)[owner]).astype(np.uint32)
+    by = np.lexsort((found["first"], found["text"], found["doc"], group))
+    found, group = found[by], group[by]
     again = np.zeros(len(group), bool)
-    again[1:] = (group[1:] == group[:-1]) & ((doc[1:] != doc[:-1]) | (start[1:] != start[:-1]))
-    doc, start = doc[again], start[again]
-    by = np.lexsort((start, doc))
-    doc, start = doc[by], start[by]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)
+    again[1:] = group[1:] == group[:-1]
+    return joined_strings(found[again & changes(found, "doc", "text", "first")], least)
+
+
+def joined_strings(found: np.ndarray, least: int) -> np.ndarray:
+    """GONE rows of strings of ``least`` bytes, those that follow each other as one; found: rows without after, each place once or more."""
+    found = found[np.lexsort((found["first"], found["text"], found["doc"]))]
+    new = changes(found, "doc", "text")
+    new[1:] |= found["first"][1:] > found["first"][:-1] + np.uint32(1)
     at = np.flatnonzero(new)
-    out = np.empty(len(at), GONE)
+    out = found[at]
     if len(at):
-        out["doc"], out["first"] = doc[at], start[at]
-        out["after"] = start[np.append(at[1:], len(doc)) - 1] + least
+        out["after"] = found["first"][np.append(at[1:], len(found)) - 1] + np.uint32(least)
     return out
 
 
+def earliest(found: np.ndarray, string: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of equal strings the earliest, with its hash, and the places of the others."""
+    by = np.lexsort((found["first"], found["text"], found["doc"], string))
+    found, string = found[by], string[by]
+    new = np.ones(len(found), bool)
+    new[1:] = string[1:] != string[:-1]
+    return found[new], string[new], found[~new & changes(found, "doc", "text", "first")]
+
+
 def compared(docs: DataFrame, open_: DataFrame, least: int) -> DataFrame:
-    """Repeated spans among runs that share a key."""
-    wanted = open_.groupBy("doc").agg(F.collect_list(F.struct("key", "first", "after")).alias("wanted"))
-    both = docs.join(wanted, F.coalesce(docs["doc_id"], F.lit(int(NO_ID))) == wanted["doc"])
+    """SPANS that are repeated among open_ (kinds 1 and 2). docs: doc, text_ and text (its key)."""
+    wanted = open_.groupBy("doc", "text").agg(F.collect_list(F.struct("kind", "key", "first", "after")).alias("wanted"))
+    both = docs.select("doc", "text_", F.col("text").alias("text_key")).join(wanted.withColumnRenamed("text", "text_key"), ["doc", "text_key"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Kind 0: repeated spans; 1: a run's bytes; 2: a string, as key."""
         for data, bounds, some in joined_texts(batches):
             raw = data.tobytes()
-            rows = []
-            for doc, begin, own in zip(some.column(0).to_pylist(), bounds[:-1].tolist(), some.column(2).to_pylist(), strict=True):
-                rows += [(x["key"], doc, x["first"], raw[begin + x["first"] : begin + x["after"]]) for x in own]
+            rows, alone, strings = [], [], []
+            for doc, begin, text, own in zip(some.column(0).to_pylist(), bounds[:-1].tolist(), some.column(2).to_pylist(), some.column(3).to_pylist(), strict=True):
+                for x in own:
+                    part = raw[begin + x["first"] : begin + x["after"]]
+                    if x["kind"] == 1:
+                        rows.append((1, x["key"], doc, text, x["first"], part))
+                    else:
+                        alone.append((doc, text, x["first"], 0))
+                        strings.append(part)
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["key", "doc", "first", "bytes"])
-
-    rows = both.select("doc", "text", "wanted").mapInArrow(cut, "key long, doc long, first long, bytes binary")
-    rows = rows.repartition("key").sortWithinPartitions("key")
+                yield bytes_batch(*zip(*rows, strict=True))
+            if alone:
+                size = np.array([len(x) for x in strings], np.int64)
+                n, ends = size - least + 1, np.cumsum(size)
+                inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                found = np.repeat(np.array(alone, GONE), n)
+                found["first"] += inside.astype(np.uint32)
+                place = np.repeat(ends - size, n) + inside
+                string = Hashes(np.frombuffer(b"".join(strings), np.uint8)).strings(place, np.ones(len(place), np.int64), least)
+                kept, string, again = earliest(found, string)
+                yield bytes_batch(np.full(len(kept), 2), string.view(np.int64), kept["doc"], kept["text"], kept["first"].astype(np.int64), [None] * len(kept))
+                again = joined_strings(again, least)
+                if len(again):
+                    after = [int(x).to_bytes(4, "little") for x in again["after"]]
+                    yield bytes_batch(np.zeros(len(again), np.int64), np.arange(len(again)), again["doc"], again["text"], again["first"].astype(np.int64), after)
+
+    def bytes_batch(*columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:-1]), pa.array(columns[-1], pa.binary())], ["kind", "key", "doc", "text", "first", "bytes"])
+
+    rows = both.select("doc", "text_", "text_key", "wanted").mapInArrow(cut, "kind long, key long, doc long, text long, first long, bytes binary")
+    rows = rows.repartition("kind", "key").sortWithinPartitions("kind", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes]] = []
+        held: list[tuple[int, int, int, bytes]] = []
         size, last = 0, None
+        carried = np.empty(0, GONE), np.empty(0, np.int64)
         for batch in batches:
-            for key, doc, first, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            kinds, keys = (batch.column(k).to_numpy() for k in (0, 1))
+            found = np.zeros(len(kinds), GONE)
+            for k, name in enumerate(("doc", "text", "first")):
+                found[name] = batch.column(2 + k).to_numpy()
+            done = found[kinds == 0]
+            done["after"] = [int.from_bytes(x, "little") for x in batch.column(5).filter(pa.array(kinds == 0)).to_pylist()]
+            if len(done):
+                yield span_batch(done)
+            for _, key, doc, text, first, own in zip(*(c.to_pylist() for c in batch.filter(pa.array(kinds == 1)).columns), strict=True):
                 if size >= SHARD and key != last:
-                    yield gone_batch(repeated_in_shard(held, least))
+                    yield span_batch(repeated_in_shard(held, least))
                     held, size = [], 0
-                held.append((doc, first, own))
+                held.append((doc, text, first, own))
                 size += len(own)
                 last = key
+            if (kinds == 2).any():
+                # rows come in the order of strings, which may go on in the next batch: the earliest of the last is carried on
+                kept, string, again = earliest(np.concatenate([carried[0], found[kinds == 2]]), np.concatenate([carried[1], keys[kinds == 2]]))
+                at = string == keys[kinds == 2][-1]
+                carried = kept[at], string[at]
+                yield span_batch(joined_strings(again, least))
         if held:
-            yield gone_batch(repeated_in_shard(held, least))
+            yield span_batch(repeated_in_shard(held, least))
 
-    return rows.mapInArrow(run, "kind long, key long, doc long, first long, after long").select("doc", "first", "after")
+    return rows.mapInArrow(run, SPANS).select("doc", "text", "first", "after")
 
 
 def removed(docs: DataFrame, least: int = 100) -> DataFrame:
     """doc_id, spans (sorted maximal removed runs of bytes, as first and after), and text and kept as binary.
 
-    docs: doc_id and text; other columns are ignored. A null text is empty. doc_id is taken to be unique: rows that
-    repeat both doc_id and text are one document and each lose the same bytes; null ids count as one id before all
-    others. Texts of fewer bytes than ``least`` keep all; empty tables give no rows.
+    docs: doc_id and text; other columns are ignored. A null text is empty. Rows that share a doc_id are documents of
+    their own, told apart by their texts and in the order of the texts' hashes; rows that repeat both doc_id and text
+    are one document and each lose the same bytes. Null ids come before all others. Texts of fewer bytes than
+    ``least`` keep all; empty tables give no rows.
     """
-    docs = docs.select("doc_id", "text")
+    named = docs.select("doc_id", F.coalesce("doc_id", F.lit(int(NO_ID))).alias("doc"), F.col("text").alias("text_"), text_key(F.col("text")).alias("text"))
     parts = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = staged(settled(packed_runs(docs, least, parts).repartition("part"), least), "runs")
-    more = compared(docs, found.where("kind = 1"), least)
-    gone = found.where("kind = 0").select("doc", "first", "after").unionByName(more)
-    gone = gone.groupBy("doc").agg(F.collect_list(F.struct("first", "after")).alias("gone"))
-    both = docs.join(gone, F.coalesce(docs["doc_id"], F.lit(int(NO_ID))) == gone["doc"], "left")
+    packed = packed_runs(named.select("doc", "text_", "text"), least, parts).repartition("part").sortWithinPartitions("part")
+    found = staged(settled(packed, least), "runs")
+    more = compared(named, found.where("kind > 0"), least)
+    gone = found.where("kind = 0").select("doc", "text", "first", "after").unionByName(more)
+    gone = gone.groupBy("doc", "text").agg(F.collect_list(F.struct("first", "after")).alias("gone"))
+    both = named.join(gone, ["doc", "text"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                some = batch.slice(i, 500)
-                merged, texts, kept = [], [], []
-                for text, own in zip(some.column(1).to_pylist(), some.column(2).to_pylist(), strict=True):
-                    raw = (text or "").encode()
-                    out: list[dict[str, int]] = []
-                    for first, after in sorted((x["first"], x["after"]) for x in own or ()):
-                        if out and first <= out[-1]["after"]:
-                            out[-1]["after"] = max(after, out[-1]["after"])
-                        else:
-                            out.append({"first": first, "after": after})
-                    ends = [0, *[x["after"] for x in out]]
-                    starts = [*[x["first"] for x in out], len(raw)]
-                    merged.append(out)
-                    texts.append(raw)
-                    kept.append(b"".join(raw[a:b] for a, b in zip(ends, starts, strict=True)))
-                kind = pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())]))
-                yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.array(merged, kind), pa.array(texts, pa.binary()), pa.array(kept, pa.binary())], ["doc_id", "spans", "bytes", "kept"]
-                )
-
-    return both.select("doc_id", "text", "gone").mapInArrow(cut, "doc_id long, spans array<struct<first:long,after:long>>, bytes binary, kept binary")
+        for some in pieces(batches, 1):
+            merged, texts, kept = [], [], []
+            for text, own in zip(some.column(1).to_pylist(), some.column(2).to_pylist(), strict=True):
+                raw = (text or "").encode()
+                out: list[dict[str, int]] = []
+                for first, after in sorted((x["first"], x["after"]) for x in own or ()):
+                    if out and first <= out[-1]["after"]:
+                        out[-1]["after"] = max(after, out[-1]["after"])
+                    else:
+                        out.append({"first": first, "after": after})
+                ends = [0, *[x["after"] for x in out]]
+                starts = [*[x["first"] for x in out], len(raw)]
+                merged.append(out)
+                texts.append(raw)
+                kept.append(b"".join(raw[a:b] for a, b in zip(ends, starts, strict=True)))
+            kind = pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())]))
+            yield pa.RecordBatch.from_arrays(
+                [some.column(0), pa.array(merged, kind), pa.array(texts, pa.binary()), pa.array(kept, pa.binary())], ["doc_id", "spans", "bytes", "kept"]
+            )
+
+    return both.select("doc_id", "text_", "gone").mapInArrow(cut, "doc_id long, spans array<struct<first:long,after:long>>, bytes binary, kept binary")
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -139,16 +139,28 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
 
 
 def permuted_prefixes(data: np.ndarray, array: np.ndarray, most: int) -> np.ndarray:
-    """By place in the text: the common prefix of its suffix with the suffix before it in order, up to ``most``."""
+    """By place in the text: the common prefix of its suffix with the suffix before it in order, up to ``most``.
+
+    Along the text a prefix is one shorter than that of the place before, wherever the characters before both suffixes
+    agree. Only the other places, and every ``most``-th of a stretch, are compared by characters, all at once.
+    """
     n = len(data)
-    padded = np.concatenate([data, np.zeros(most, data.dtype)])
-    out = np.zeros(n, np.int64)
-    a, b = array[:-1], array[1:]
-    left = np.arange(len(a))
-    for step in range(most):
-        i, j = a[left] + step, b[left] + step
-        left = left[(padded[i] == padded[j]) & (i < n) & (j < n)]
-        if not len(left):
-            break
-        out[b[left]] = step + 1
-    return out
+    before = np.full(n, -1, np.int64)
+    before[array[1:]] = array[:-1]
+    head = np.ones(n, bool)
+    head[1:] = (before[1:] < 1) | (data[:-1] != data[np.maximum(before[1:], 1) - 1])
+    place = np.arange(n)
+    since = place - np.maximum.accumulate(np.where(head, place, 0))
+    head |= since % most == 0
+    since %= most
+    at = np.flatnonzero(head)
+    limit = np.minimum(2 * most, n - np.maximum(at, before[at]))
+    limit[before[at] < 0] = 0
+    found, left = np.zeros(len(at), np.int64), np.arange(len(at))
+    step = 0
+    while len(left):
+        left = left[limit[left] > step]
+        left = left[data[at[left] + step] == data[before[at[left]] + step]]
+        found[left] = step + 1
+        step += 1
+    return np.minimum(np.maximum(found[np.cumsum(head) - 1] - since, 0), most)
