@@ -274,9 +274,10 @@ def earliest(found: np.ndarray, string: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def compared(docs: DataFrame, open_: DataFrame, least: int) -> DataFrame:
-    """SPANS that are repeated among open_ (kinds 1 and 2). docs: doc, text_ and text (its key)."""
+    """SPANS that are repeated among open_ (kinds 1 and 2). docs: doc_id, doc, text_ and text (its key)."""
     wanted = open_.groupBy("doc", "text").agg(F.collect_list(F.struct("kind", "key", "first", "after")).alias("wanted"))
-    both = docs.select("doc", "text_", F.col("text").alias("text_key")).join(wanted.withColumnRenamed("text", "text_key"), ["doc", "text_key"])
+    # with the same columns as in removed(), so that documents are shuffled once for both joins
+    both = docs.join(wanted, ["doc", "text"]).select("doc", "text_", "text", "wanted", "doc_id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Kind 0: repeated spans; 1: a run's bytes; 2: a string, as key."""
@@ -311,7 +312,7 @@ def compared(docs: DataFrame, open_: DataFrame, least: int) -> DataFrame:
     def bytes_batch(*columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:-1]), pa.array(columns[-1], pa.binary())], ["kind", "key", "doc", "text", "first", "bytes"])
 
-    rows = both.select("doc", "text_", "text_key", "wanted").mapInArrow(cut, "kind long, key long, doc long, text long, first long, bytes binary")
+    rows = both.mapInArrow(cut, "kind long, key long, doc long, text long, first long, bytes binary")
     rows = rows.repartition("kind", "key").sortWithinPartitions("kind", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,7 +385,7 @@ def removed(docs: DataFrame, least: int = 100) -> DataFrame:
                 [some.column(0), pa.array(merged, kind), pa.array(texts, pa.binary()), pa.array(kept, pa.binary())], ["doc_id", "spans", "bytes", "kept"]
             )
 
-    return both.select("doc_id", "text_", "gone").mapInArrow(cut, "doc_id long, spans array<struct<first:long,after:long>>, bytes binary, kept binary")
+    return both.select("doc_id", "text_", "gone", "doc", "text").mapInArrow(cut, "doc_id long, spans array<struct<first:long,after:long>>, bytes binary, kept binary")
 
 
 def report(docs: DataFrame) -> DataFrame:

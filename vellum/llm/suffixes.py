@@ -76,25 +76,28 @@ def induced_by_entry(s: np.ndarray, small: np.ndarray, lms: np.ndarray, size: np
     """The same for large alphabets."""
     n = len(s)
     ends = np.cumsum(size)
-    text, kind, heads = s.tolist(), small.tolist(), (ends - size).tolist()
-    out = np.full(n, -1, np.int64)
+    heads, tails = (ends - size).tolist(), ends.tolist()
+    out = np.full(n, n, np.int64)
     by = lms[np.argsort(s[lms], kind="stable")]
     m = np.bincount(s[by], minlength=len(size))
     out[np.repeat(ends, m) - np.repeat(np.cumsum(m), m) + np.arange(len(by))] = by
+    # by place: the bucket of the suffix before it if that is to be laid now, else -1; place n is none
+    bucket = np.full(n + 1, -1, np.int64)
+    bucket[1:n] = np.where(small[:-1], -1, s[:-1])
+    larger = bucket.tolist()
+    bucket[1:n] = np.where(small[:-1], s[:-1], -1)
+    smaller = bucket.tolist()
     out = out.tolist()
-    for i in range(n):
-        p = out[i] - 1
-        if p >= 0 and not kind[p]:
-            c = text[p]
-            out[heads[c]] = p
+    for place in out:
+        c = larger[place]
+        if c >= 0:
+            out[heads[c]] = place - 1
             heads[c] += 1
-    tails = ends.tolist()
-    for i in range(n - 1, -1, -1):
-        p = out[i] - 1
-        if p >= 0 and kind[p]:
-            c = text[p]
+    for place in reversed(out):
+        c = smaller[place]
+        if c >= 0:
             tails[c] -= 1
-            out[tails[c]] = p
+            out[tails[c]] = place - 1
     out[0] = n - 1
     return np.array(out, np.int64)
 
