@@ -141,7 +141,7 @@ def packed_runs(docs: DataFrame, least: int, parts: int) -> DataFrame:
     parts of their wholes, and one run of no strings to its own part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for serial, (data, bounds, some) in enumerate(joined_texts(batches)):
+        for data, bounds, some in joined_texts(batches):
             rows, anchors, own = runs_of(data, bounds, least)
             if not len(rows):
                 continue
@@ -167,7 +167,7 @@ def packed_runs(docs: DataFrame, least: int, parts: int) -> DataFrame:
             ends = [*first[1:].tolist(), len(part)]
             packed = [rows[a:b].tobytes() for a, b in zip(first.tolist(), ends, strict=True)]
             with_gone = [b""] * len(there)
-            with_gone[serial % len(there)] = gone.tobytes()
+            with_gone[int(rows["whole"][0] % np.uint64(len(there)))] = gone.tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(packed, pa.binary()), pa.array(with_gone, pa.binary())], ["part", "runs", "gone"])
 
     return docs.mapInArrow(run, "part long, runs binary, gone binary")

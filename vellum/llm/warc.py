@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import new_path
+from vellum.llm.common import join_bounded, new_path, staged
 
 MAGIC = b"\x1f\x8b\x08"
 EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03\x03" + b"\x00" * 9
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_id string, payload binary"
 
 
 def gzip_member(data: bytes) -> bytes:
@@ -64,8 +65,9 @@ def marked(pages: DataFrame, least: int) -> DataFrame:
     pages = with_digest(pages)
     keys = ["sha1", "payload_bytes"]
     kept = pages.where(F.col("payload_bytes") >= least).groupBy(*keys).agg(F.max("page_id").alias("first_id"), F.count("*").alias("n"))
-    kept = kept.where("n > 1").drop("n")
-    joined = pages.join(kept, keys, "left")
+    # digests alone are shuffled; payloads stay where they are, unless very many digests repeat
+    kept = staged(kept.where("n > 1").drop("n"), "digests")
+    joined = join_bounded(pages, kept, keys, "left")
     return joined.withColumn("first_id", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")))
 
 
@@ -114,30 +116,40 @@ def inflate(read, at: int, until: bytes | None, chunk: int = 1 << 16) -> tuple[b
     return bytes(tail) if until else b"".join(out), place - len(coder.unused_data)
 
 
-def page_of(value: bytes | None) -> int | None:
-    number = (value or b"").removeprefix(b"<urn:page:").removesuffix(b">")
-    return int(number) if number else None
+def page_of(value: str | None) -> int | None:
+    """The page of a record id that was written here; other ids name no page."""
+    own = re.fullmatch(r"<urn:page:(-?\d+)>", value or "")
+    return int(own[1]) if own else None
+
+
+def number(value: bytes | None) -> int | None:
+    return int(value) if value and value.isdigit() else None
 
 
 def parse(data: bytes) -> tuple | None:
-    """A row of RECORDS; None if this is no whole WARC record of the kinds that are read here."""
+    """A row of RECORDS, of whichever kind; None if this is no whole WARC record."""
     head, found, rest = data.partition(b"\r\n\r\n")
     if not found or not head.startswith(b"WARC/"):
         return None
     fields = headers(head)
-    size = int(fields.get(b"content-length", b"-1"))
-    if not 0 <= size <= len(rest):
+    size = number(fields.get(b"content-length"))
+    if size is None or size > len(rest):
         return None
-    kind = fields.get(b"warc-type", b"").decode()
-    http, _, payload = rest[:size].partition(b"\r\n\r\n")
-    url = fields.get(b"warc-target-uri")
-    if url is not None:
-        url = url.decode().replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
-    digest = fields.get(b"warc-payload-digest", b"").removeprefix(b"sha1:").decode()
+    text = {k: v.decode(errors="replace") for k, v in fields.items()}
+    kind, own = text.get(b"warc-type", "").lower(), text.get(b"warc-record-id")
+    http, payload = b"", rest[:size]
+    if text.get(b"content-type", "").startswith("application/http") or payload.startswith(b"HTTP/"):
+        http, _, payload = payload.partition(b"\r\n\r\n")
+    url = text.get(b"warc-target-uri")
+    if url is not None and re.match("<urn:page:", own or ""):
+        url = url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
     revisit = kind == "revisit"
-    n = int(headers(http).get(b"content-length", b"0")) if revisit else len(payload)
-    first = page_of(fields.get(b"warc-refers-to")) if revisit else None
-    return page_of(fields.get(b"warc-record-id")), url, n, digest, kind, first, None if revisit else payload
+    digest = text.get(b"warc-payload-digest")
+    if digest is None and not revisit:
+        digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    n = number(headers(http).get(b"content-length")) if revisit else len(payload)
+    first = text.get(b"warc-refers-to") if revisit else None
+    return page_of(own), url, n, digest and digest.removeprefix("sha1:"), kind, page_of(first), own, first, None if revisit else payload
 
 
 def records_from(read, start: int, end: int, window: int = 1 << 20) -> Iterator[tuple]:
@@ -155,18 +167,24 @@ def records_from(read, start: int, end: int, window: int = 1 << 20) -> Iterator[
         whole = inflate(read, at, b"\r\n\r\n") and inflate(read, at, None)
         row = parse(whole[0]) if whole else None
         if row:
-            yield row
+            if row[4] in ("response", "revisit"):
+                yield row
             at = whole[1]
         else:
             at += 1
 
 
 def read(spark: SparkSession, path: str, split_bytes: int = 8 << 20) -> DataFrame:
-    """The response and revisit records of the archives below path, one row each; payload is null for revisits."""
+    """The response and revisit records of the archives below path, one row each; payload is null for revisits.
+
+    Archives may be others' too: their records' ids stand in record_id and refers_to_id, page_id and refers_to are null
+    unless written here, a missing digest of a response is computed, a revisit without an HTTP length has null
+    payload_bytes, and records of other types (warcinfo, request, metadata, ...) are passed over.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split_bytes).cast("long")))
     splits = files.where("length > 0").select("path", "length", starts.alias("start"))
-    # one task a range, so that a long archive is read by many
+    # ranges are dealt evenly, several a task, so that a long archive is read by many
     splits = splits.repartitionByRange(max(1, spark.sparkContext.defaultParallelism * 2), "path", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +206,7 @@ def read(spark: SparkSession, path: str, split_bytes: int = 8 << 20) -> DataFram
                         yield as_batch(rows)
 
     def as_batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
         names = [x.split()[0] for x in RECORDS.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
@@ -199,7 +217,7 @@ def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     """Pages written as an archive in the shared folder, and what the reader finds there."""
     path = new_path(pages.sparkSession, "warc")
     write(pages, path, least)
-    return read(pages.sparkSession, path).drop("url", "payload")
+    return read(pages.sparkSession, path).drop("url", "payload", "record_id", "refers_to_id")
 
 
 #: Base 32 of SHA-1: each five hex digits are twenty bits, four characters.
