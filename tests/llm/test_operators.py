@@ -237,6 +237,32 @@ def test_urls(spark, docs):
     assert {"free", "bets"} <= set(got[5].host_words) and {"city", "library"} <= set(got[7].host_words)
 
 
+def test_url_classifier_on_held_out_names(spark, docs):
+    """Naive Bayes against a count by hand, and precision and recall on names that the labels don't hold."""
+    import math
+
+    made = [tuple(r) for r in urls.default_labelled(spark).collect()]
+    name = lambda u: re.sub("[^a-z]", "", u.split("/")[2].removesuffix(".com"))
+    fold = lambda u: zlib.crc32(min(name(u), name(u)[::-1]).encode()) % 3 == 0
+    taught, held = [x for x in made if not fold(x[0])], [x for x in made if fold(x[0])]
+    both = spark.createDataFrame(taught, "url string, verdict string")
+    pages = spark.createDataFrame(list(enumerate(u.rsplit("/", 1)[0] for u, _ in held)), "page_id long, url string")
+    got = {r.page_id: r for r in urls.judge(pages, docs, both).collect()}
+    truth = {k: v for k, (_, v) in enumerate(held)}
+    hits = sum(got[k].verdict == "block" == truth[k] for k in truth)
+    assert not {name(u) for u, _ in held} & {name(u) for u, _ in taught}
+    assert hits >= 0.95 * sum(r.verdict == "block" for r in got.values()) and hits >= 0.95 * sum(v == "block" for v in truth.values())
+    cuts = {name(u): r.host_words for u, r in zip([u for u, _ in taught], sorted(urls.judge(spark.createDataFrame([(k, u) for k, (u, _) in enumerate(taught)], "page_id long, url string"), docs, both).collect(), key=lambda r: r.page_id), strict=True)}
+    counts = {"block": Counter(), "allow": Counter()}
+    for u, v in taught:
+        counts[v].update([*cuts[name(u)], u.rsplit("/", 1)[1]])
+    vocabulary = len(counts["block"] | counts["allow"])
+    odds = lambda w: math.log((counts["block"][w] + 1) / (counts["block"].total() + vocabulary + 1)) - math.log((counts["allow"][w] + 1) / (counts["allow"].total() + vocabulary + 1))
+    known = set(counts["block"]) | set(counts["allow"])
+    for r in got.values():
+        assert r.score == pytest.approx(math.log(0.25) + sum(odds(w) for w in r.host_words if w in known))
+
+
 def test_viterbi_finds_the_likeliest_cut():
     import itertools
     import math

@@ -8,6 +8,7 @@ words of host and path.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import pandas as pd
@@ -19,20 +20,21 @@ from vellum.llm.common import join_bounded, staged
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: verdict, host, path. Fixed by the contract.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Labelled urls that the default model is trained from: names to block, and names to allow.
-BLOCKED = (
-    "casino-win.com/slots cheap-pills.com/buy free-bets.com/bonus adult-cams.com/live sexy-singles.com/dating "
-    "payday-loans.com/cash online-poker.com/jackpot replica-watches.com/cheap buy-viagra.com/pills ads-track.com/click "
-    "spam-links.com/farm casino-bonus.com/free win-cash.com/prize cheap-meds.com/pharmacy xxx-videos.com/porn bet-win.com/odds "
-    "click-ads.com/track free-casino.com/spin track-pixel.com/ads hot-cams.com/xxx lottery-win.com/claim"
-).split()
-ALLOWED = (
-    "city-library.com/catalog science-news.com/article open-docs.com/guide garden-club.com/events music-school.com/lessons "
-    "history-museum.com/visit cooking-notes.com/recipes travel-maps.com/routes daily-paper.com/news math-forum.com/questions "
-    "book-review.com/page health-clinic.com/about river-park.com/hours weather-data.com/report local-council.com/minutes "
-    "code-handbook.com/index film-archive.com/list bird-watch.com/photos school-board.com/calendar news-blog.com/post"
-).split()
-LONGEST = 24
+#: Words of sites to block and of sites to allow, by topic, and of their paths. Labelled urls are made of these by rule.
+BLOCK_TOPICS = (
+    "casino poker slots roulette blackjack jackpot lottery bingo betting bets wager odds", "pills meds pharmacy viagra cialis steroids prescription dosage",
+    "adult porn sex xxx escort cams nude singles", "payday loans cash lender debt credit", "ads banner popup click tracker pixel affiliate adserver",
+    "crack keygen warez torrent serial nulled",
+)
+ALLOW_TOPICS = (
+    "library archive museum book history gallery catalog reading", "school university science math physics lecture course college",
+    "city council park river garden weather transport health", "news daily paper review journal radio magazine report",
+    "docs code forum open data manual developer source", "cooking recipes travel music film bird photo craft",
+)
+BLOCK_PATHS = "buy bonus free win cheap online play live offer deal claim prize".split()
+ALLOW_PATHS = "about guide index contact events article help page visit minutes lesson photos".split()
+#: Letters of the longest word in a name: as many as a label of a host may have.
+LONGEST = 63
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -83,8 +85,8 @@ def viterbi(name: str, logs: dict[str, float], total: float) -> list[str]:
     return out[::-1]
 
 
-def segmented(names: DataFrame, docs: DataFrame, added: list[str]) -> DataFrame:
-    """name and its words, for a table of distinct names. added: words that count as one in a million."""
+def segmented(names: DataFrame, docs: DataFrame, added: DataFrame) -> DataFrame:
+    """name and its words, for a table of distinct names. added: words (word) that count as one in a million."""
     parts = staged(names.select("name", F.explode(substrings(F.col("name"))).alias("word")), "substrings")
     # written first, so that its size is known when the join with all words of the corpus is planned
     wanted = staged(parts.select("word").distinct(), "wanted")
@@ -92,7 +94,7 @@ def segmented(names: DataFrame, docs: DataFrame, added: list[str]) -> DataFrame:
     used = docs.select(F.explode(F.split(text, "[^a-z]+")).alias("word")).where("word <> ''")
     counts = staged(used.join(wanted, "word", "left_semi").groupBy("word").agg(F.count("*").alias("n")), "counts")
     total = float(max(docs.select(F.sum(F.size(F.split(text, "[^a-z]+")))).first()[0] or 0, 1000))
-    more = docs.sparkSession.createDataFrame([(w, int(total / 1e6) + 1) for w in sorted(set(added))], "word string, n long")
+    more = added.select("word", F.lit(int(total / 1e6) + 1).cast("long").alias("n"))
     counts = counts.unionByName(more).groupBy("word").agg(F.sum("n").alias("n"))
     # a name has at most its length times LONGEST substrings
     found = parts.join(counts, "word", "left").select("name", "word", F.log(F.col("n") / total).alias("log"))
@@ -106,7 +108,11 @@ def segmented(names: DataFrame, docs: DataFrame, added: list[str]) -> DataFrame:
 
 
 def default_labelled(spark) -> DataFrame:
-    rows = [("http://" + x, kind) for kind, some in (("block", BLOCKED), ("allow", ALLOWED)) for x in some]
+    """Urls of every two different words of one topic, run together or hyphenated in turn, with the path words in turn."""
+    rows = []
+    for verdict, topics, paths in (("block", BLOCK_TOPICS, BLOCK_PATHS), ("allow", ALLOW_TOPICS, ALLOW_PATHS)):
+        pairs = [pair for words in topics for pair in itertools.permutations(words.split(), 2)]
+        rows += [(f"http://{'-'.join(pair) if k % 2 else ''.join(pair)}.com/{paths[k % len(paths)]}", verdict) for k, pair in enumerate(pairs)]
     return spark.createDataFrame(rows, "url string, verdict string")
 
 
@@ -116,43 +122,54 @@ def tokens_of(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     return hosts.join(cuts, "name").groupBy("host").agg(F.array_sort(F.flatten(F.collect_list("words"))).alias("host_words"))
 
 
-def weights(labelled: DataFrame, cuts: DataFrame, blocked_share: float) -> tuple[dict[str, float], float]:
-    """Log-odds of each token for block against allow, with one added to each count; and of the classes."""
+def weights(labelled: DataFrame, cuts: DataFrame) -> DataFrame:
+    """token and odds: its log-odds for block against allow, with one added to each count."""
     host, path = host_and_path(F.col("url"))
     rows = labelled.select("verdict", host.alias("host"), path.alias("path"))
     both = rows.join(tokens_of(rows, cuts), "host", "left")
     tokens = F.concat(F.coalesce("host_words", F.array().cast("array<string>")), path_words(F.col("path")))
-    counts = both.select("verdict", F.explode(tokens).alias("token")).groupBy("token").pivot("verdict", ["block", "allow"]).count().na.fill(0).collect()
-    block, allow = (sum(r[k] for r in counts) + len(counts) + 1 for k in ("block", "allow"))
-    odds = {r["token"]: math.log((r["block"] + 1) / block) - math.log((r["allow"] + 1) / allow) for r in counts}
-    return odds, math.log(blocked_share / (1 - blocked_share))
+    seen = both.select("verdict", F.explode(tokens).alias("token")).groupBy("token").pivot("verdict", ["block", "allow"]).count().na.fill(0)
+    seen = staged(seen, "seen")
+    block, allow, n = seen.agg(F.coalesce(F.sum("block"), F.lit(0)), F.coalesce(F.sum("allow"), F.lit(0)), F.count("*")).first()
+    odds = F.log((F.col("block") + 1) / (block + n + 1)) - F.log((F.col("allow") + 1) / (allow + n + 1))
+    return staged(seen.select("token", odds.alias("odds")), "weights")
+
+
+def scored(rows: DataFrame, key: str, words: Column, known: DataFrame, name: str) -> DataFrame:
+    """key and the sum of its words' odds, for distinct keys that have a known word."""
+    tokens = rows.select(key, F.explode(words).alias("token"))
+    return join_bounded(tokens, known, ["token"]).groupBy(key).agg(F.sum("odds").alias(name))
 
 
 def judge(pages: DataFrame, docs: DataFrame, labelled: DataFrame | None = None, rules=RULES, blocked_share: float = 0.2, most: int = 100_000) -> DataFrame:
     """page_id, host, path, rule, verdict, score (log-odds of block) and host_words.
 
-    pages: page_id and url. docs: text, for word counts. labelled: url and verdict (block or allow); of more than
-    ``most`` rows about so many are sampled. A null url, or one without ``://``, has an empty host and path, fits no
-    rule, has no words and is allowed by the classes' odds alone. Repeated rows are judged alike; no pages, no rows.
+    pages: page_id and url. docs: text, for word counts. labelled: url and verdict (block or allow; by default made of
+    topic words); of more than ``most`` rows about so many are sampled. A null url, or one without ``://``, has an
+    empty host and path, fits no rule, has no words and is allowed by the classes' odds alone, and so is any tie at 0.
+    Userinfo and port are part of the host, as the contract cuts it; names are runs of a to z, so others' letters part
+    words. Texts and urls may be of any length. Repeated rows are judged alike; no pages, no rows.
     """
     spark = pages.sparkSession
     labelled = default_labelled(spark) if labelled is None else labelled
     n = labelled.count()
-    labelled = labelled if n <= most else labelled.sample(most / n, 5)
+    labelled = labelled if n <= most else staged(labelled.sample(most / n, 5), "labelled")
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    train_host, train_path = host_and_path(F.col("url"))
-    taught = labelled.select(train_host.alias("host"), train_path.alias("path"))
-    spoken = taught.select(F.explode(F.concat(names_of(F.col("host")), path_words(F.col("path")))).alias("w")).distinct()
+    taught = labelled.select(host.alias("host"), path.alias("path"))
+    # words as the labels have them, hyphenated or in paths
+    spoken = taught.select(F.explode(F.concat(names_of(F.col("host")), path_words(F.col("path")))).alias("word"))
+    spoken = spoken.groupBy("word").agg(F.count("*").alias("n")).where("n > 1").select("word")
     names = rows.select("host").distinct().unionByName(taught.select("host").distinct())
     names = names.select(F.explode(names_of(F.col("host"))).alias("name")).distinct()
-    cuts = staged(segmented(names, docs, [r["w"] for r in spoken.collect()]), "cuts")
-    odds, prior = weights(labelled, cuts, blocked_share)
-    table = F.create_map(*[F.lit(x) for pair in odds.items() for x in pair]) if odds else F.create_map().cast("map<string,double>")
-    value = lambda words: F.aggregate(words, F.lit(0.0), lambda a, w: a + F.coalesce(F.try_element_at(table, w), F.lit(0.0)))
-    hosts = staged(tokens_of(rows, cuts).withColumn("host_score", value(F.col("host_words"))), "hosts")
+    cuts = staged(segmented(names, docs, spoken), "cuts")
+    known, prior = weights(labelled, cuts), math.log(blocked_share / (1 - blocked_share))
+    hosts = tokens_of(rows, cuts)
+    hosts = staged(hosts.join(scored(hosts, "host", F.col("host_words"), known, "host_score"), "host", "left"), "hosts")
+    paths = staged(scored(rows.select("path").distinct(), "path", path_words(F.col("path")), known, "path_score"), "paths")
     name, verdict = ruled(F.col("host"), F.col("path"), rules)
-    out = join_bounded(rows, hosts, ["host"], "left").withColumn("score", F.lit(prior) + F.coalesce("host_score", F.lit(0.0)) + value(path_words(F.col("path"))))
+    out = join_bounded(join_bounded(rows, hosts, ["host"], "left"), paths, ["path"], "left")
+    out = out.withColumn("score", F.lit(prior) + F.coalesce("host_score", F.lit(0.0)) + F.coalesce("path_score", F.lit(0.0)))
     verdict = F.coalesce(verdict, F.when(F.col("score") > 0, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", name.alias("rule"), verdict.alias("verdict"), "score", "host_words")
 
