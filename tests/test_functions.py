@@ -1,12 +1,13 @@
 """Golden vectors and independent models of the builders and graders."""
 
+import itertools
 import random
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from vellum.functions import geometry, grading, messages, text
+from vellum.functions import citations, geometry, grading, messages, text
 
 
 def one(spark, column):
@@ -137,9 +138,55 @@ def test_graders():
     assert grading.final_answer("t</think><answer> b </answer><|im_end|>") == "b" and grading.final_answer("<answer>a</answer> more") == ""
     calls, broken = grading.tool_calls('<tool_call>{"name": "z"}</tool_call><tool_call><function=z><parameter=page>1</parameter></function></tool_call><tool_call>{')
     assert calls == [{"name": "z"}, {"name": "z", "arguments": {"page": 1}}] and broken == 1
-    assert grading.assigned([[0.9, 0.8], [0.7, 0.0]]) == (pytest.approx(1.5), 2)
-    assert grading.pages_rewritten("Pages 1-2, 4 and 5", {1: [3], 2: [3, 4], 4: [6], 5: [7]}) == "Pages 3, 4, 6 and 7"
+    assert grading.assigned([[0.9, 0.8], [0.7, 0.0]]) == (pytest.approx(1.5), 2) and grading.assigned([]) == (0.0, 0)
+
+
+def test_assignment_against_all_permutations():
+    rng = random.Random(1)
+    for _ in range(150):
+        n, m = rng.randint(1, 5), rng.randint(1, 5)
+        w = [[rng.choice([0.0, 0.0, round(rng.random(), 2)]) for _ in range(m)] for _ in range(n)]
+        tall = w if n <= m else [list(c) for c in zip(*w, strict=True)]
+        best = max(sum(tall[i][c] for i, c in enumerate(p)) for p in itertools.permutations(range(len(tall[0])), len(tall)))
+        assert grading.assigned(w)[0] == pytest.approx(best)
+    big = [[rng.random() for _ in range(60)] for _ in range(40)]
+    assert grading.assigned(big)[1] == 40
+
+
+def test_quantities():
+    same = [("12 dollars", "12"), ("x = 1,234", "1234"), ("$\\frac12$ feet", "\\frac{1}{2}"), ("\\text{5 cm}", "5"), ("the sum is $7$ or so", "7"), ("\\sqrt3", "\\sqrt{3}"), ("\\boxed{4}", "4")]
+    for said, gold in same:
+        assert grading.math_signed_score(f"so\nAnswer: {said}", gold) == 1.0, said
+    assert grading.math_signed_score("the box is \\boxed{5}", "5") == -1.0 and grading.math_signed_score("Answer: 5\nAnswer: 6", "5") == -1.0
+    assert grading.last_boxed("\\boxed 5$ then \\boxed{7}") == "5" and grading.math_boxed_score("\\boxed{x+1}", "x+1") == 1.0 and grading.math_boxed_score("x" * 90 + "\\boxed{1}" + " " * 100, "1") == -1.0
+
+
+def test_page_references():
+    pages = {1: [3], 2: [3, 4], 3: [9], 4: [6], 5: [7]}
+    for text, want in [
+        ("Pages 1-2, 4 and 5", "Pages 3, 4, 6 and 7"), ("page 3rd", "page 3rd"), ("pages 3 or 4", "Pages 9 and 6"), ("PAGE 1 & 2.", "Pages 3 and 4."), ("pages 1, and 3", "Pages 3 and 9"),
+        ("pages 1 to 3x", "Page 3 to 3x"), ("page 4\u20135!", "Pages 6 and 7!"), ("homepage 1, page2", "homepage 1, Pages 3 and 4"), ("pages 1, 4th", "Page 3, 4th"), ("page one", "page one"), ("page 1\nand 2", "Page 3\nand 2"),
+    ]:
+        assert citations.pages_rewritten(text, pages) == want, text
+    for bad in ("page 9", "pages 3-1"):
+        with pytest.raises(ValueError):
+            citations.pages_rewritten(bad, pages)
+
+
+def test_citations():
+    box = "<|box_start|>[1, 2, 3, 4]<|box_end|>"
+    places = [{"source": {"page": 3, "bbox": [1, 2, 3, 4]}, "targets": [{"page": 5, "bbox": [6, 7.5, 8, 9]}, {"page": 6, "bbox": [0, 0, 1, 1]}]}]
+    turns = [{"role": "user", "content": "Page 1\n<image>\nPage 2\n<image>\nWhere?"}, {"from": "gpt", "value": f"On Page 3 {box} and page 3.</think>page 3 {box}"}]
+    got = citations.conversation_rewritten(turns, places, {"3": [5, 6]}, 6)
+    assert got[0]["content"] == "".join(f"Page {k}\n<image>\n" for k in range(1, 7)) + "Where?"
+    assert got[1]["value"] == f"On Page 5 <|box_start|>[6, 7.5, 8, 9]<|box_end|> Page 6 <|box_start|>[0, 0, 1, 1]<|box_end|> and Pages 5 and 6.</think>page 3 {box}"
+    meta = {"evidence_locations": [{"page": 3, "bbox": [1, 2, 3, 4], "bbox_abs": 1, "k": "v"}], "task": "t"}
+    assert citations.metadata_rewritten(meta, places) == {"task": "t", "evidence_locations": [{"page": 5, "bbox": [6, 7.5, 8, 9], "k": "v"}, {"page": 6, "bbox": [0, 0, 1, 1], "k": "v"}]}
+    assert citations.places_of(meta, turns) == [(3, (1, 2, 3, 4))]
+    assert citations.strict(f"Page 3 {box} Page 4<|begin_of_box|>[1,2,3,4]<|end_of_box|>") and citations.strict("none")
+    for bad in (box, "Page 3 <|box_start|>[1, 2, 3, 4]<|end_of_box|>", "Page 3 <|box_start|>[1, 2, 3]<|box_end|>", "Page 0 " + box, "Page 3 <|box_start|>[3, 2, 1, 4]<|box_end|>", box + "<|box_end|>"):
+        assert not citations.strict(bad), bad
     with pytest.raises(ValueError):
-        grading.pages_rewritten("Page 9", {})
-    boxes = {(1, (1, 2, 3, 4)): [(5, [6, 7, 8, 9])]}
-    assert grading.citations_rewritten("Page 1 <box>[1, 2, 3, 4]</box> on page 1</think>Page 1", {1: [5]}, boxes) == "Page 5 <box>[6, 7, 8, 9]</box> on Page 5</think>Page 1"
+        citations.citations_rewritten(f"Page 4 {box}", {4: [1]}, citations.place_map(places))
+    with pytest.raises(ValueError):
+        citations.conversation_rewritten([{"role": "user", "content": "see <image>"}], [], {}, 1)

@@ -7,10 +7,10 @@ from __future__ import annotations
 
 import ast
 import json
+import math
 import re
 import unicodedata
 from difflib import SequenceMatcher
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -31,34 +31,36 @@ def code_similarity(prediction: str, gold: str) -> float:
 
 
 def last_boxed(text: str) -> str | None:
-    """What the last \\boxed{...} or \\fbox{...} holds, braces matched; or what follows a last \\boxed with a space."""
-    starts = [m for m in re.finditer(r"\\f?boxed(?=[ {])|\\fbox(?=\{)", text)]
-    if not starts:
+    """What follows the last ``\\boxed `` up to a dollar sign, wherever there is one; else what the last \\boxed{...} holds, braces matched."""
+    _, spaced, after = text.rpartition("\\boxed ")
+    if spaced:
+        return after.split("$")[0]
+    at = text.rfind("\\boxed{")
+    if at < 0:
         return None
-    at = starts[-1].end()
-    if text[at] == " ":
-        return text[at + 1 :].split("$")[0]
-    depth = 0
-    for i in range(at, len(text)):
+    begin = at + len("\\boxed{")
+    depth = 1
+    for i in range(begin, len(text)):
         depth += {"{": 1, "}": -1}.get(text[i], 0)
         if depth == 0:
-            return text[at + 1 : i]
+            return text[begin:i]
     return None
 
 
 #: What mathematical answers may leave out or write in two ways. Fixed values.
 MATH_DROPPED = ("\n", "\\!", "\\left", "\\right", "^{\\circ}", "^\\circ", "\\$", "\\%", "%")
-MATH_SAME = (("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"), (" .", " 0."), ("{.", "{0."))
+MATH_SHORT = (("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"))
+MATH_POINTS = ((" .", " 0."), ("{.", "{0."))
 
 
 def math_normal(answer: str) -> str:
     """An answer without layout and units; short fractions and roots with braces; simple a/b as a fraction."""
-    for old, new in MATH_SAME[:3]:
+    for old, new in MATH_SHORT:
         answer = answer.replace(old, new)
     for x in MATH_DROPPED:
         answer = answer.replace(x, "")
     answer = answer.split("\\text{ ")[0]
-    for old, new in MATH_SAME[3:]:
+    for old, new in MATH_POINTS:
         answer = answer.replace(old, new)
     answer = re.sub(r"^\.", "0.", answer)
     if re.fullmatch(r"\w{1,2}=.*", answer):
@@ -79,12 +81,44 @@ def math_score(solution: str, gold: str) -> float:
     return float(boxed is not None and math_normal(boxed) == math_normal(gold))
 
 
+#: What quantitative answers write otherwise, and what they leave out, in this order. Fixed values.
+QUANTITY_SAME = (
+    ("an ", ""), ("a ", ""), (".$", "$"), ("\\$", ""), ("\\ ", ""), (" ", ""), ("mbox", "text"), (",\\text{and}", ","), ("\\text{and}", ","),
+    ("\\text{m}", "\\text{}"),
+)
+QUANTITY_DROPPED = (
+    "square", "ways", "integers", "dollars", "mph", "inches", "hours", "km", "units", "\\ldots", "sue", "points", "feet", "minutes", "digits", "cents",
+    "degrees", "cm", "gm", "pounds", "meters", "meals", "edges", "students", "childrentickets", "multiples", "\\text{s}", "\\text{.}", "\\text{\ns}",
+    "\\text{}^2", "\\text{}^3", "\\text{\n}", "\\text{}", "\\mathrm{th}", "^\\circ", "^{\\circ}", "\\;", ",\\!", "{,}", '"', "\\dots",
+)
+
+
+def quantity_normal(answer: str) -> str:
+    """A quantitative answer without units, layout and the left sides of equations; short fractions and roots with braces."""
+    answer = answer.rpartition("=")[2]
+    for old, new in (*QUANTITY_SAME, *((x, "") for x in QUANTITY_DROPPED)):
+        answer = answer.replace(old, new)
+    # of a line with two dollar signs only what lies between the first two stays
+    parts = [line.split("$", 2) for line in answer.split("\n")]
+    answer = "\n".join(f"${p[1]}$" if len(p) == 3 else "$".join(p) for p in parts)
+    for name in ("text", "textbf", "overline"):
+        answer = re.sub(rf"\\{name}\{{(.*?)\}}", r"\1", answer)
+    answer = re.sub(r"\\boxed\{(.*)\}", r"\1", answer)
+    answer = re.sub(r"frac([^{])(.)", r"frac{\1}{\2}", answer)
+    answer = re.sub(r"sqrt([^{])", r"sqrt{\1}", answer).replace("$", "")
+    plain = answer.replace(",", "")
+    return (plain if plain.isdigit() else answer).strip()
+
+
 def math_signed_score(solution: str, gold: str, tail: int = 300) -> float:
-    """1 or -1: the answer after the last ``Answer:`` in the solution's end, or its last box, against the gold."""
-    end = solution[-tail:]
-    said = re.findall(r"(?i)answer\s*:\s*([^\n]+)", end)
-    found = said[-1].strip() if said else last_boxed(end)
-    return 1.0 if found is not None and math_normal(found.strip("$. ")) == math_normal(gold) else -1.0
+    """1 or -1: whether the answer after the last ``Answer:`` in the solution's end is the gold, both normalised."""
+    said = re.findall(r"(?i)answer\s*:\s*([^\n]+)", solution[-tail:])
+    return 1.0 if quantity_normal(said[-1] if said else "[INVALID]") == quantity_normal(gold) else -1.0
+
+
+def math_boxed_score(solution: str, gold: str, tail: int = 100) -> float:
+    """1 or -1: whether the last box in the solution's end holds the gold, letter by letter."""
+    return 1.0 if last_boxed(solution[-tail:]) == gold else -1.0
 
 
 def numbers_agree(a: str, b: str, tolerance: float = 1e-4) -> bool:
@@ -129,6 +163,7 @@ def matched_golds(answer: str, golds: list[str]) -> int:
     return most
 
 
+#: The chat format. Fixed values.
 CHAT_TURN = re.compile(r"<\|im_start\|>(assistant|user|tool|system)\n")
 CHAT_END = re.compile(r"(?:\s*<\|(?:im_end|endoftext)\|>)+\s*$")
 
@@ -186,63 +221,44 @@ def box_iou(a: list[float], b: list[float]) -> float:
     return both / total if total else 0.0
 
 
-def assigned(weights: list[list[float]], most: int = 14) -> tuple[float, int]:
-    """The greatest sum of a one-to-one assignment of rows to columns, and how many of its pairs have weight."""
-    if weights and len(weights[0]) > len(weights):
+def assigned(weights: list[list[float]]) -> tuple[float, int]:
+    """The greatest sum of a one-to-one assignment of rows to columns, and how many of its pairs have weight.
+
+    The Hungarian algorithm with potentials: rows are added one by one, each along a shortest path of reduced costs.
+    """
+    if not weights or not weights[0]:
+        return 0.0, 0
+    rows, columns = len(weights), len(weights[0])
+    if rows > columns:
         weights = [list(c) for c in zip(*weights, strict=True)]
-    if weights and len(weights[0]) > most:
-        raise ValueError(f"more than {most} boxes on both sides")
-
-    @lru_cache(None)
-    def best(row: int, used: int) -> tuple[float, int]:
-        if row == len(weights):
-            return 0.0, 0
-        options = [best(row + 1, used)]
-        for c, w in enumerate(weights[row]):
-            if w > 0 and not used >> c & 1:
-                total, n = best(row + 1, used | 1 << c)
-                options.append((total + w, n + 1))
-        return max(options)
-
-    return best(0, 0)
-
-
-PAGE_LIST = re.compile(r"\b[Pp]ages?[ \t]+(\d+(?:[ \t]*(?:[-–—]|to)[ \t]*\d+)?(?:(?:[ \t]*,[ \t]*(?:and[ \t]+)?|[ \t]+and[ \t]+)\d+(?:[ \t]*(?:[-–—]|to)[ \t]*\d+)?)*)")
-BOX_CITATION = re.compile(r"Page (\d+) (<box>)(\[[^\]]*\])(</box>)")
-
-
-def pages_rewritten(text: str, pages: dict[int, list[int]]) -> str:
-    """Bare page references (lists and ranges too) with the pages that each became; a page without any raises."""
-
-    def new(match: re.Match) -> str:
-        out: dict[int, None] = {}
-        for first, last in re.findall(r"(\d+)(?:[ \t]*(?:[-–—]|to)[ \t]*(\d+))?", match[1]):
-            low, high = int(first), int(last or first)
-            if high < low:
-                raise ValueError(f"a descending page range: {match[0]}")
-            for p in range(low, high + 1):
-                if p not in pages:
-                    raise ValueError(f"page {p} has no target")
-                out.update(dict.fromkeys(pages[p]))
-        named = [str(p) for p in out]
-        return f"Page {named[0]}" if len(named) == 1 else f"Pages {', '.join(named[:-1])} and {named[-1]}"
-
-    return PAGE_LIST.sub(new, text)
-
-
-def citations_rewritten(text: str, pages: dict[int, list[int]], boxes: dict[tuple, list[tuple[int, list]]]) -> str:
-    """Reasoning with its citations and bare pages mapped, once each; what follows the end of thinking stays as it is."""
-    cut = text.find("</think>")
-    head, tail = (text, "") if cut < 0 else (text[: cut + 8], text[cut + 8 :])
-    out, at = [], 0
-    for m in BOX_CITATION.finditer(head):
-        out.append(pages_rewritten(head[at : m.start()], pages))
-        key = (int(m[1]), tuple(json.loads(m[3])))
-        if key not in boxes:
-            raise ValueError(f"a citation without target: {m[0]}")
-        out.append(" ".join(f"Page {p} {m[2]}{json.dumps(b)}{m[4]}" for p, b in boxes[key]))
-        at = m.end()
-    return "".join(out) + pages_rewritten(head[at:], pages) + tail
+        rows, columns = columns, rows
+    of_row, of_column = [0.0] * rows, [0.0] * columns
+    owner: list[int | None] = [None] * columns
+    for new in range(rows):
+        far, came, done = [math.inf] * columns, [-1] * columns, [False] * columns
+        row, last = new, -1
+        while True:
+            for c in range(columns):
+                if not done[c] and (cost := -weights[row][c] - of_row[row] - of_column[c]) < far[c]:
+                    far[c], came[c] = cost, last
+            c = min((k for k in range(columns) if not done[k]), key=far.__getitem__)
+            step = far[c]
+            of_row[new] += step
+            for k in range(columns):
+                if done[k]:
+                    of_row[owner[k]] += step
+                    of_column[k] -= step
+                else:
+                    far[k] -= step
+            done[c], last = True, c
+            if owner[c] is None:
+                break
+            row = owner[c]
+        while last >= 0:
+            owner[last] = owner[came[last]] if came[last] >= 0 else new
+            last = came[last]
+    taken = [weights[r][c] for c, r in enumerate(owner) if r is not None and weights[r][c] > 0]
+    return float(sum(taken)), len(taken)
 
 
 def nfkc(text: str) -> str:
@@ -272,7 +288,6 @@ numbers_agree_udf = _batched("boolean", numbers_agree)
 matched_golds_udf = _batched("int", lambda answer, golds: matched_golds(answer, list(golds)))
 final_answer_udf = _batched("string", final_answer)
 nfkc_udf = _batched("string", nfkc)
-pages_rewritten_udf = _batched("string", lambda text, pages: pages_rewritten(text, {p["page"]: list(p["targets"]) for p in pages}))
 
 
 def gsm_answer(text: Column, strict: bool = True) -> Column:

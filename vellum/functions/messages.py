@@ -67,11 +67,6 @@ def evidence_boxes(text: Column) -> Column:
     return F.transform(zipped, lambda z: F.struct(z["page"].cast("int").alias("page"), *[z[n].cast("double").alias(n) for n in ("x0", "y0", "x1", "y1")]))
 
 
-def citations_strict(text: Column) -> Column:
-    """Whether each box marker of a text belongs to a citation."""
-    return F.regexp_count(text, F.lit("</?box>")) == 2 * F.regexp_count(text, F.lit(CITATION + "</box>"))
-
-
 def tool_calls(text: Column) -> Column:
     """struct(calls: JSON bodies, invalid: opening tags without a body that is an object)."""
     bodies = F.regexp_extract_all(text, F.lit(r"(?s)<tool_call>\s*(.*?)\s*</tool_call>"), F.lit(1))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vellum.functions import geometry, grading, messages, text
+from vellum.functions import citations, geometry, grading, messages, text
 from vellum.operators import rewards
 from vellum.session import table
 
@@ -55,7 +55,7 @@ def remap_conversation(spark, sf_dir):
     n = F.col("doc_id") % 5
     said = F.format_string("see pages %d-%d, then Page %d", n + 1, n + 2, n + 2)
     pages = F.transform(F.sequence(F.lit(1), F.lit(9)), lambda p: F.struct(p.alias("page"), F.array(p + 9).alias("targets")))
-    return table(spark, sf_dir, "documents").select("doc_id", grading.pages_rewritten_udf(said, pages).alias("said"))
+    return table(spark, sf_dir, "documents").select("doc_id", citations.pages_rewritten_udf(said, pages).alias("said"))
 
 
 @query("""

@@ -61,11 +61,11 @@ def fingerprint(config: dict) -> str:
 def check_resume(spark, path: str, config: dict) -> None:
     """Remember a config below a path; another one raises there."""
     own = spark.createDataFrame([(fingerprint(config), json.dumps(config, sort_keys=True))], "fingerprint string, config string")
-    try:
-        before = spark.read.parquet(f"{path}/config").first()
-    except Exception:  # noqa: BLE001 - nothing was written yet
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/config")
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
         own.coalesce(1).write.parquet(f"{path}/config")
         return
+    before = spark.read.parquet(f"{path}/config").first()
     if before["fingerprint"] != fingerprint(config):
         raise ValueError("the config differs from that of the run to resume")
 
