@@ -27,7 +27,7 @@ def without_last_assistant(messages: Column) -> Column:
     return F.filter(messages, lambda m, i: last.isNull() | (i != last))
 
 
-def with_prompt(messages: Column, system: Column, suffix: Column) -> Column:
+def with_prompt(messages: Column, system: Column, suffix: Column, gap: str = "\n") -> Column:
     """Messages with system text before those of the first system turn (or as a new one), and suffix on the last user turn."""
     last = F.array_max(F.transform(messages, lambda m, i: F.when(m["role"] == "user", i)))
     has = F.exists(messages, lambda m: m["role"] == "system")
@@ -36,7 +36,7 @@ def with_prompt(messages: Column, system: Column, suffix: Column) -> Column:
         messages,
         lambda m, i: F.struct(
             m["role"].alias("role"),
-            F.when(i == first, F.concat(system, F.lit("\n"), m["content"])).when(i == last, F.concat(m["content"], suffix)).otherwise(m["content"]).alias("content"),
+            F.when(i == first, F.concat(system, F.lit(gap), m["content"])).when(i == last, F.concat(m["content"], suffix)).otherwise(m["content"]).alias("content"),
         ),
     )
     return F.when(has, merged).otherwise(F.concat(F.array(F.struct(F.lit("system").alias("role"), system.alias("content"))), merged))

@@ -298,10 +298,16 @@ def block_median_bins(spark, sf_dir):
     return rollup.median_bins(table(spark, sf_dir, "documents"), ["source"], "doc_id", "n_chars", 100)
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (a.quality IS DISTINCT FROM b.quality) AS conflicts FROM labels a FULL JOIN labels b ON a.doc_id = b.doc_id")
+@query("""
+WITH b AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 1 - quality WHEN doc_id % 7 = 0 THEN NULL ELSE quality END AS quality FROM labels WHERE doc_id % 11 > 0
+  UNION ALL SELECT doc_id, 1 FROM documents WHERE doc_id % 13 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels))
+SELECT count(*) AS n, count(*) FILTER (a.quality IS DISTINCT FROM b.quality) AS conflicts FROM labels a FULL JOIN b ON a.doc_id = b.doc_id""")
 def union_conflict_check(spark, sf_dir):
-    labels = table(spark, sf_dir, "labels")
-    return tables.union_conflicts(labels, labels, "doc_id", ["quality"])
+    d, labels = F.col("doc_id"), table(spark, sf_dir, "labels")
+    changed = F.when(d % 5 == 0, 1 - F.col("quality")).when(d % 7 == 0, F.lit(None)).otherwise(F.col("quality"))
+    more = table(spark, sf_dir, "documents").where(d % 13 == 0).join(labels, "doc_id", "left_anti").select("doc_id", F.lit(1).alias("quality"))
+    other = labels.where(d % 11 > 0).select("doc_id", changed.alias("quality")).unionByName(more)
+    return tables.union_conflicts(labels, other, "doc_id", ["quality"])
 
 
 @query("""
@@ -349,11 +355,11 @@ def common_points(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT source, doc_id % 10 + 6 AS pt, avg(n_chars % 100 / 100.0) AS m FROM documents GROUP BY ALL),
+WITH c AS (SELECT source, doc_id // 50 % 10 + 6 AS pt, avg(n_chars % 100 / 100.0) AS m FROM documents GROUP BY ALL),
 n AS (SELECT *, lead(pt) OVER w AS pt2, lead(m) OVER w AS m2 FROM c WINDOW w AS (PARTITION BY source ORDER BY pt)),
 x AS (SELECT source, exp(ln(pt) + (0.5 - m) / (m2 - m) * (ln(pt2) - ln(pt))) AS cross_at, pt FROM n WHERE (m - 0.5) * (m2 - 0.5) <= 0 AND m <> m2)
 SELECT source, round(cross_at, 6) AS threshold FROM x QUALIFY row_number() OVER (PARTITION BY source ORDER BY pt) = 1""")
 def threshold_crossing(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("source", (F.col("doc_id") % 10 + 6).alias("pt"), (F.col("n_chars") % 100 / 100.0).alias("v"))
+    rows = table(spark, sf_dir, "documents").select("source", (F.floor(F.col("doc_id") / 50) % 10 + 6).alias("pt"), (F.col("n_chars") % 100 / 100.0).alias("v"))
     curve = rows.groupBy("source", "pt").agg(F.avg("v").alias("m"))
     return rollup.first_crossing(curve, ["source"], "pt", "m", 0.5)

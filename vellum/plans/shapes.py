@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vellum.functions import geometry, messages, text
@@ -129,21 +130,6 @@ def explained_variance(spark, sf_dir):
     return rows.agg(r6(1 - F.var_samp(F.col("ret") - F.col("v")) / (F.var_samp("ret") + 1e-5), "explained"))
 
 
-@query("""
-WITH r AS (SELECT lang, doc_id, n_chars, CASE WHEN n_chars > 6000 THEN 'pages' END AS skipped, CASE WHEN doc_id % 17 = 0 THEN 'x' END AS error, doc_id % 5 / 4.0 AS g FROM documents)
-SELECT lang, count(*) AS requested, count(*) FILTER (skipped IS NULL AND error IS NULL) AS generated, count(skipped) AS skipped, count(error) AS errors,
-  round_even(100 * sum(g) FILTER (skipped IS NULL AND error IS NULL) / count(*), 2) AS score_all,
-  round_even(100 * avg(g) FILTER (skipped IS NULL AND error IS NULL), 2) AS score_generated
-FROM r GROUP BY GROUPING SETS ((), (lang))""")
-def needle_summary(spark, sf_dir):
-    d = F.col("doc_id")
-    rows = table(spark, sf_dir, "documents").withColumns({"skipped_": F.when(F.col("n_chars") > 6000, "pages"), "error_": F.when(d % 17 == 0, "x"), "g": d % 5 / 4.0})
-    made = F.col("skipped_").isNull() & F.col("error_").isNull()
-    return rollup.overall_and_by(rows, ["lang"], {
-        "requested": F.count("*"), "generated": F.count_if(made), "skipped": F.count("skipped_"), "errors": F.count("error_"),
-        "score_all": F.bround(100 * F.sum(F.when(made, F.col("g"))) / F.count("*"), 2), "score_generated": F.bround(100 * F.avg(F.when(made, F.col("g"))), 2)})
-
-
 @query("""
 SELECT event_id, CAST(CASE WHEN event_id % 4 IN (0, 1) THEN 1 ELSE 0 END AS DOUBLE) AS reward FROM events""")
 def format_rewards(spark, sf_dir):
@@ -169,9 +155,18 @@ def layout_blocks(spark, sf_dir):
 
 
 @query("""
-SELECT conv_id, CAST(sum(n) AS BIGINT) AS tokens, CAST(max(turn) + 1 AS BIGINT) AS turns, bool_or(used > 3000) AS over FROM (
-  SELECT conv_id, turn, length(text) AS n, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS used FROM conversations) GROUP BY conv_id""")
+WITH t AS (SELECT conv_id, turn, length(text) AS n, role = 'assistant' AS speaks, sum(length(text)) OVER w AS used, count(*) FILTER (role = 'user') OVER w AS asked
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+s AS (SELECT *, CASE WHEN used > 900 THEN 'token_budget' WHEN asked > 2 THEN 'turn_limit' END AS why FROM t),
+f AS (SELECT conv_id, min(turn) FILTER (why IS NOT NULL) AS stop FROM s GROUP BY conv_id)
+SELECT s.conv_id, CAST(count(*) FILTER (stop IS NULL OR turn < stop) AS BIGINT) AS turns, CAST(coalesce(sum(n) FILTER (stop IS NULL OR turn < stop), 0) AS BIGINT) AS tokens,
+  greatest(CAST(900 - coalesce(sum(n) FILTER (stop IS NULL OR turn < stop), 0) AS BIGINT), 0) AS remaining, coalesce(max(why) FILTER (turn = stop), 'done') AS status
+FROM s JOIN f ON s.conv_id = f.conv_id GROUP BY s.conv_id""")
 def trajectory_budget(spark, sf_dir):
-    rows = sinks.running_order(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"]).withColumn("n", F.length("text"))
-    total = rows.groupBy("conv_id").agg(F.sum("n").alias("tokens"), (F.max("turn") + 1).alias("turns"))
-    return total.select("conv_id", "tokens", "turns", (F.col("tokens") > 3000).alias("over"))
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("n"), F.sum(F.length("text")).over(w).alias("used"), F.count_if(F.col("role") == "user").over(w).alias("asked"))
+    rows = rows.withColumn("why", F.when(F.col("used") > 900, "token_budget").when(F.col("asked") > 2, "turn_limit"))
+    rows = rows.withColumn("before", F.coalesce(F.count("why").over(w), F.lit(0)) == 0)
+    stop = F.min_by(F.when(~F.col("before"), F.col("why")), F.when(~F.col("before"), F.col("turn")))
+    tokens = F.coalesce(F.sum(F.when(F.col("before"), F.col("n"))), F.lit(0))
+    return rows.groupBy("conv_id").agg(F.count_if("before").alias("turns"), tokens.alias("tokens"), F.greatest(900 - tokens, F.lit(0).cast("long")).alias("remaining"), F.coalesce(stop, F.lit("done")).alias("status"))

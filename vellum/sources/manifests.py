@@ -42,7 +42,7 @@ def parted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def manifest(spark: SparkSession, path: str, schema: str = MANIFEST) -> DataFrame:
     """A document manifest: every id is there and unique, or the first bad one raises."""
-    return unique_or_error(parted(read_lines(spark, path, schema).persist())[0], "id")
+    return unique_or_error(parted(read_lines(spark, path, schema))[0], "id")
 
 
 def load(spark: SparkSession, path: str, kind: str, schema: str | None = None) -> DataFrame:
@@ -107,6 +107,11 @@ def mixed(spark: SparkSession, sources: list[dict], on_error: str = "skip") -> D
         parts.append(rows.drop("id").withColumn("data_folder", F.lit(s.get("data_folder"))))
     if not parts:
         raise ValueError("no source could be read")
+    return concatenated(parts)
+
+
+def concatenated(parts: list[DataFrame]) -> DataFrame:
+    """The rows of all tables; columns that one lacks are null there."""
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more, allowMissingColumns=True)
