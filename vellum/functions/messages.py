@@ -110,3 +110,31 @@ def padded(ids: Column, length: Column, pad: int, side: str = "right", truncate:
     fill = F.array_repeat(F.lit(pad).cast("long"), F.greatest(length - n, F.lit(0)).cast("int"))
     own = F.transform(cut, lambda x: x.cast("long"))
     return F.concat(own, fill) if side == "right" else F.concat(fill, own)
+
+
+def supervised_mask(attention: Column, n_prompt: Column, n_response: Column) -> Column:
+    """The attention mask without the prompt but its last place, and without the response's last place."""
+    n = F.size(attention)
+    last = F.least(n_prompt + n_response, n) - 1
+    return F.transform(attention, lambda m, i: F.when((i == last) | ((n_prompt > 1) & (i < F.least(n_prompt, n) - 1)), F.lit(0)).otherwise(m))
+
+
+def packed_labels(ids: Column, starts: Column, ignore: int = -100) -> Column:
+    """Labels of a pack: ids, but for the first of each sequence, which nothing before it predicts."""
+    return F.transform(ids, lambda x, i: F.when(F.array_contains(starts, i), F.lit(ignore)).otherwise(x))
+
+
+def response_mask(action: Column, attention: Column, n: Column) -> Column:
+    """The last n places of the action mask, or of the attention mask where there is none."""
+    mask = F.coalesce(action, attention)
+    return F.slice(mask, F.size(mask) - n + 1, n)
+
+
+def multiple(length: Column, of: int) -> Column:
+    """The least multiple that isn't below a length."""
+    return F.ceil(length / of) * of
+
+
+def unpadded(ids: Column, mask: Column) -> Column:
+    """The entries that a mask keeps."""
+    return F.transform(F.filter(F.arrays_zip(ids.alias("x"), mask.alias("m")), lambda z: z["m"] != 0), lambda z: z["x"])

@@ -3,6 +3,11 @@
 from __future__ import annotations
 
 import inspect
+import re
+import os
+import importlib.util
+import hashlib
+import functools
 import math
 from collections.abc import Callable
 
@@ -10,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.functions import geometry, grading
+from vellum.functions import geometry, grading, text
 
 #: Weights of the document reward. Fixed values.
 ANSWER_WEIGHT, FORMAT_WEIGHT, TOOL_WEIGHT = 0.8, 0.2, 0.2
@@ -112,3 +117,66 @@ def dispatched(source: Column, pred: Column, gold: Column) -> Column:
 
 register_scorer("gsm", grading.gsm_score)
 register_scorer("math", grading.math_score_udf)
+
+
+def load_scorer(path: str, name: str, **bound) -> Callable[[Column, Column], Column]:
+    """A scorer from a user's file: a function of a prediction and a gold, and of further arguments that are bound here.
+
+    A function that takes columns and gives one is used as it is; one marked ``plain = True`` takes texts and gives a
+    number (or a dict with ``score``), and runs over Arrow batches. A file or name that isn't there raises.
+    """
+    spec = importlib.util.spec_from_file_location("scorer_" + hashlib.sha1(path.encode()).hexdigest(), path)
+    if spec is None or not os.path.exists(path):
+        raise FileNotFoundError(path)
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    if not hasattr(module, name):
+        raise AttributeError(f"no {name} in {path}")
+    own = functools.partial(getattr(module, name), **bound)
+    if not getattr(module, "plain", False):
+        return own
+    source = open(path).read()
+
+    def build(pred: Column, gold: Column) -> Column:
+        @F.pandas_udf("double")
+        def run(pred: pd.Series, gold: pd.Series) -> pd.Series:
+            # the file travels as text, so that executors needn't see it
+            space: dict = {"__name__": "scorer"}
+            exec(compile(source, path, "exec"), space)  # noqa: S102 - the user's own scorer
+            found = [space[name](p, g, **bound) for p, g in zip(pred, gold, strict=True)]
+            return pd.Series([float(x["score"]) if isinstance(x, dict) else float(x) for x in found])
+
+        return run(pred, gold)
+
+    return build
+
+
+#: Markers of retrieved documents and queries in agent transcripts. Fixed values.
+DOCUMENTS, DOCUMENTS_END, QUERY, QUERY_END = "<|begin_of_documents|>", "<|end_of_documents|>", "<|begin_of_query|>", "<|end_of_query|>"
+
+
+def retrieval_answer(said: Column) -> Column:
+    """What the last answer tag opens, up to its end."""
+    return F.trim(F.element_at(F.split(F.element_at(F.split(said, "<answer>"), -1), "</answer>"), 1))
+
+
+def retrieval_reward(pred: Column, gold: Column) -> Column:
+    """Reward of an agent that may retrieve: twice the token F1 of its answer, +1 or -1 for having retrieved, and -1 for a
+    transcript out of form. The prediction goes on from an opened think tag.
+
+    Out of form: numbers of document and query markers that differ, roles spelled out, think tags out of balance, not
+    exactly one answer, markers inside it, or one of more than ten words.
+    """
+    said = F.concat(F.lit("<think>"), pred)
+    count = lambda x: F.regexp_count(said, F.lit(re.escape(x)))
+    marks = [count(x) for x in (DOCUMENTS + "\n", DOCUMENTS_END + "\n", QUERY, QUERY_END, DOCUMENTS, DOCUMENTS_END, DOCUMENTS + "\n(1)")]
+    uneven = F.array_min(F.array(*marks)) != F.array_max(F.array(*marks))
+    answer = retrieval_answer(said)
+    bad = (
+        uneven | (F.regexp_count(said, F.lit("[Aa]ssistant:")) > 0) | (count("<think>") != count("</think>")) | (count("<answer>") != 1) | (count("</answer>") != 1)
+        | answer.contains("begin_of_query") | answer.contains("begin_of_documents") | (F.size(text.tokens(answer)) > 10)
+    )
+    return 2.0 * text.agent_f1(answer, gold)["f1"] + F.when(marks[-1] >= 1, 1.0).otherwise(-1.0) + F.when(bad, -1.0).otherwise(0.0)
+
+
+register_scorer("retrieval", retrieval_reward)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vellum.functions import citations
-from vellum.operators import rollup, scoring
+from vellum.functions import citations, messages, prompts
+from vellum.operators import batches, measures, rewards, rollup, scoring
 from vellum.session import table
 from vellum.sources import training
 
@@ -159,3 +159,80 @@ def majority_at_k(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("user_id", "event_type", F.when(F.col("event_type") == "click", 1.0).otherwise(0.0).alias("score"))
     found = scoring.majority_at(rows, ["user_id"], "event_type", "score", 8)
     return found.select("user_id", F.round("maj_at_8_mean", 6).alias("maj_at_8_mean"), F.round("maj_at_8_std", 6).alias("maj_at_8_std"))
+
+
+@query("""
+WITH r AS (SELECT doc_id, text AS hay, CASE doc_id % 6 WHEN 5 THEN 'qa_none' WHEN 4 THEN 'qa_easy' ELSE 'qa_basic' END AS task,
+  'Below are some documents. I will give you a text at the end. Please find the document index of the text. Only give me the index without any document contents.' || chr(10) || chr(10) AS head,
+  CASE WHEN doc_id % 6 = 3 THEN 2 WHEN doc_id % 6 = 2 THEN 0 ELSE 1 END AS marks FROM documents)
+SELECT doc_id, CASE WHEN task = 'qa_none' THEN 'unknown task' WHEN task = 'qa_easy' THEN 'header mismatch' WHEN marks <> 1 THEN 'tail marker occurs ' || marks || ' times' END AS problem,
+  CASE WHEN task = 'qa_basic' AND marks = 1 THEN md5(hay) END AS haystack, CASE WHEN task = 'qa_basic' AND marks = 1 THEN length(head) END AS header,
+  CASE WHEN task = 'qa_basic' AND marks = 1 THEN chr(10) || chr(10) || 'Text: ' || doc_id END AS tail FROM r""")
+def split_prompts(spark, sf_dir):
+    d = F.col("doc_id")
+    task = F.when(d % 6 == 5, "qa_none").when(d % 6 == 4, "qa_easy").otherwise("qa_basic")
+    end = F.concat(F.lit("\n\nText: "), d.cast("string"))
+    said = F.concat(F.lit(prompts.FIND_TEXT), F.col("text"), F.when(d % 6 == 2, F.lit("")).when(d % 6 == 3, F.concat(end, end)).otherwise(end))
+    parts = table(spark, sf_dir, "documents").select("doc_id", prompts.split_retrieval(task, said).alias("p"))
+    return parts.select("doc_id", "p.problem", F.md5("p.haystack").alias("haystack"), F.length("p.header").cast("long").alias("header"), "p.tail")
+
+
+@query("""
+WITH r AS (SELECT user_id, event_id, CAST(event_id % 7 - 1 AS BIGINT) AS p, CAST(event_id % 5 - 1 AS BIGINT) AS q FROM events),
+u AS (SELECT user_id, count(*) AS calls, count(*) FILTER (p >= 0 AND q >= 0) AS n, sum(p) FILTER (p >= 0 AND q >= 0) AS p, sum(q) FILTER (p >= 0 AND q >= 0) AS q FROM r GROUP BY user_id)
+SELECT round(avg(calls), 6) AS tool_call_mean, CAST(max(calls) AS BIGINT) AS tool_call_max, CAST(min(calls) AS BIGINT) AS tool_call_min, round((sum(p) + sum(q)) / sum(n), 6) AS sample_length_mean,
+  round(sum(p) / sum(n), 6) AS prompt_length_mean, round(sum(q) / sum(n), 6) AS response_length_mean, round(avg(n), 6) AS turns_mean FROM u""")
+def agent_turn_metrics(spark, sf_dir):
+    e = F.col("event_id")
+    lengths = [F.collect_list((e % n - 1).cast("long")).alias(c) for n, c in ((7, "agent_prompt_lengths"), (5, "agent_response_lengths"))]
+    found = measures.agent_turns(table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("tool_cnt"), *lengths))
+    return found.select(*[F.round(c, 6).alias(c) if c.endswith("mean") else F.col(c) for c in found.columns])
+
+
+@query("""
+WITH r AS (SELECT doc_id, 6 + doc_id % 4 AS n, 2 + doc_id % 3 AS k FROM documents),
+x AS (SELECT doc_id, n, k, unnest(range(CAST(n AS BIGINT))) AS i FROM r), m AS (SELECT *, ((doc_id + i) % 5 > 0)::INT AS att, ((doc_id * 3 + i) % 4 > 0)::INT AS act FROM x)
+SELECT doc_id, CAST(coalesce(sum(att) FILTER (i < n - k), 0) AS BIGINT) AS prompt_length, CAST(coalesce(sum(att * act) FILTER (i >= n - k), 0) AS BIGINT) AS response_length,
+  CAST(coalesce(sum(att * (1 - act)) FILTER (i >= n - k), 0) AS BIGINT) AS obs_length FROM m GROUP BY doc_id""")
+def response_lengths(spark, sf_dir):
+    d = F.col("doc_id")
+    places = F.sequence(F.lit(0).cast("long"), 5 + d % 4)
+    attention, action = F.transform(places, lambda i: ((d + i) % 5 > 0).cast("int")), F.transform(places, lambda i: ((d * 3 + i) % 4 > 0).cast("int"))
+    info = measures.response_info(attention, (2 + d % 3).cast("int"), action)
+    return table(spark, sf_dir, "documents").select("doc_id", info.alias("x")).select("doc_id", "x.prompt_length", "x.response_length", "x.obs_length")
+
+
+@query("SELECT round((6.0 * (((512 * 1408 * 3 + 512 * (2 * 64 * 8 + 2 * 64 * 2)) * 12 + 2 * 32000 * 512)) * sum(n_chars) + 12.0 * 64 * 8 * 12 * sum(n_chars * n_chars)) / 2.5 / 1e12, 6) AS tflops FROM documents")
+def dense_flops(spark, sf_dir):
+    found = measures.dense_flops(table(spark, sf_dir, "documents").select(F.col("n_chars").alias("length")), 512, 32_000, 12, 2, 8, 1408, 2.5)
+    return found.select(F.round("tflops", 6).alias("tflops"))
+
+
+@query("""
+WITH e AS (SELECT unnest(range(3)) AS epoch) SELECT CAST(epoch AS INT) AS epoch, item_id, CAST(item_id // 5 AS BIGINT) AS step, CAST(item_id % 5 AS BIGINT) AS slot FROM benchmark, e""")
+def minibatch_epochs(spark, sf_dir):
+    return batches.minibatches(table(spark, sf_dir, "benchmark").select("item_id"), "item_id", 5, 3, 40).select("epoch", "item_id", F.col("step").cast("long").alias("step"), F.col("slot").cast("long").alias("slot"))
+
+
+@query("""
+WITH r AS (SELECT doc_id, doc_id % 7 AS shape FROM documents)
+SELECT doc_id, round(CASE shape WHEN 0 THEN 2.0 - 1 WHEN 1 THEN 2.0 + 1 WHEN 2 THEN 0.0 - 1 - 1 WHEN 3 THEN 2.0 - 1 - 1 WHEN 4 THEN 2 * 0.666667 - 1 WHEN 5 THEN 2.0 + 1 - 1 ELSE 0.0 - 1 END, 4) AS reward FROM r""")
+def retrieval_rewards(spark, sf_dir):
+    shape = F.col("doc_id") % 7
+    found = "<|begin_of_query|>q<|end_of_query|><|begin_of_documents|>\n(1) x<|end_of_documents|>\n"
+    answer = "</think><answer>{}</answer>"
+    shapes = ["so" + answer.format("red"), found + answer.format("Red"), "no tags", "assistant: " + answer.format("red"), "x" + answer.format("red fox"), found.replace("q<|end_of_query|>", "q") + answer.format("red"), "x" + answer.format("blue")]
+    said = F.coalesce(*[F.when(shape == k, F.lit(x)) for k, x in enumerate(shapes)])
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(rewards.retrieval_reward(said, F.lit("the red")), 4).alias("reward"))
+
+
+@query("""
+WITH r AS (SELECT doc_id, 4 + doc_id % 5 AS n, 1 + doc_id % 4 AS p, 1 + doc_id % 3 AS q FROM documents), x AS (SELECT *, unnest(range(CAST(n AS BIGINT))) AS i FROM r)
+SELECT doc_id, string_agg(CASE WHEN i = least(p + q, n) - 1 OR (p > 1 AND i < least(p, n) - 1) THEN 0 ELSE 1 END, '' ORDER BY i) AS loss_mask,
+  string_agg(CASE WHEN i IN (0, 2) THEN -100 ELSE i + 5 END, ' ' ORDER BY i) AS labels FROM x GROUP BY doc_id""")
+def supervised_masks(spark, sf_dir):
+    d = F.col("doc_id")
+    places = F.transform(F.sequence(F.lit(0).cast("long"), 3 + d % 5), lambda i: i.cast("int"))
+    mask = messages.supervised_mask(F.transform(places, lambda i: F.lit(1)), (1 + d % 4).cast("int"), (1 + d % 3).cast("int"))
+    labels = messages.packed_labels(F.transform(places, lambda i: i + 5), F.array(F.lit(0), F.lit(2)))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(mask, "").alias("loss_mask"), F.array_join(labels, " ").alias("labels"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.functions import messages
+from vellum.functions import messages, prompts
 from vellum.sources.manifests import concatenated, nested
 
 #: Columns that may hold a document's pages, at the resolution of the prompt and at a higher one, by preference. Fixed values.
@@ -100,6 +100,7 @@ def rollout_rows(rows: DataFrame, source: str, env: str, system: str, suffix: st
     low_dpi, high_dpi = dpi_of(low_name, opt("low_dpi", "double")), dpi_of(high_name, opt("high_dpi", "double"))
     native = F.coalesce((low_dpi == 144) & (high_dpi == 144), F.lit(False))
     turns = messages.without_last_assistant(messages.unified_turns(F.col("conversations")))
+    turns = F.transform(turns, lambda t: F.struct(t["role"].alias("role"), F.when(t["role"] == "user", prompts.without_number_stem(t["content"])).otherwise(t["content"]).alias("content")))
     golds, n = gold_answers(F.col("gold")), F.coalesce(opt("num_pages", "int"), F.size(low))
     same = F.exists(F.arrays_zip(low.alias("a"), high.alias("b")), lambda p: p["a"] == p["b"])
     reason = (
