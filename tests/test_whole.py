@@ -88,11 +88,11 @@ def test_scores_over_whole_texts(spark, tmp_path):
     gold = "x" * 24 + " and then more"
     turns = [(1, 0, "user", gold), (1, 1, "assistant", "holds " + gold[:30]), (1, 2, "user", "q" * 40), (1, 3, "assistant", "Holds " + gold.upper())]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    cer = {r.doc_id: r.cer for r in scores.char_error_rate_whole(spark, str(tmp_path)).collect()}
+    cer = {r.doc_id: r.cer for r in scores.char_error_rate(spark, str(tmp_path)).collect()}
     assert cer == {i: pytest.approx(edits(t, t[10:].strip()) / max(1, len(t[10:].strip())), abs=1e-6) for i, t in enumerate(said)}
-    wer = {r.item_id: (r.edits, r.wer) for r in scores.wer_hit_whole(spark, str(tmp_path)).collect()}
+    wer = {r.item_id: (r.edits, r.wer) for r in scores.wer_hit(spark, str(tmp_path)).collect()}
     for i, t in enumerate(said[:4]):
         n = edits(t.split(" "), t.split(" ")[::-1])
         assert wer[i] == (n, pytest.approx(n / len(t.split(" ")), abs=1e-6))
-    best = {r.turn: (r.n_golds, r.best) for r in scores.multi_gold_best_whole(spark, str(tmp_path)).collect()}
+    best = {r.turn: (r.n_golds, r.best) for r in scores.multi_gold_best(spark, str(tmp_path)).collect()}
     assert best == {1: (2, pytest.approx(1 / (1 + len(gold)), abs=1e-6)), 3: (2, 1.0)}

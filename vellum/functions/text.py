@@ -18,6 +18,7 @@ CJK_PUNCTUATION = "！？｡。＂＃＄％＆＇（）＊＋，－／：；＜
 #: Quote characters that the agent normaliser also drops. Fixed values.
 QUOTES = "‘’´`"
 SPACES = r"(?U)\s+"
+ARTICLES = r"(?U)\b(a|an|the)\b"
 
 
 def let(value: Column, body) -> Column:
@@ -37,14 +38,14 @@ def tokens(text: Column) -> Column:
 def normalize_answer(text: Column) -> Column:
     """Lower case, no ASCII punctuation, no articles, single spaces."""
     plain = F.translate(F.lower(text), PUNCTUATION, "")
-    return squeeze(F.regexp_replace(plain, r"\b(a|an|the)\b", " "))
+    return squeeze(F.regexp_replace(plain, ARTICLES, " "))
 
 
 def normalize_agent_answer(text: Column) -> Column:
     """As normalize_answer, but underscores and punctuation (and some quotes) become spaces."""
     marks = PUNCTUATION + QUOTES
     plain = F.translate(F.lower(text), marks, " " * len(marks))
-    return squeeze(F.regexp_replace(plain, r"\b(a|an|the)\b", " "))
+    return squeeze(F.regexp_replace(plain, ARTICLES, " "))
 
 
 def normalize_zh_answer(text: Column) -> Column:

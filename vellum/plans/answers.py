@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import citations, geometry, grading, messages, text
 from vellum.operators import rewards
+from vellum.plans.scores import TOKENS
 from vellum.session import table
 
 QUERIES: dict = {}
@@ -99,12 +100,11 @@ def dispatched_scores(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", rewards.dispatched(source, said, gold).alias("score"))
 
 
-@query("""
-WITH t AS (SELECT doc_id, trim(regexp_replace(regexp_replace(translate(lower(regexp_replace(text, '[^ -~\n]', '', 'g')), '!"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~', ''), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS n FROM documents)
-SELECT doc_id, length(n) AS n, md5(n) AS digest FROM t""".replace("[\\\\]", "[\\]"))
+@query(f"""
+WITH t AS (SELECT doc_id, array_to_string({TOKENS.replace('{0}', 'text')}, ' ') AS n FROM documents)
+SELECT doc_id, length(n) AS n, md5(n) AS digest FROM t""")
 def normalized_answers(spark, sf_dir):
-    plain = text.normalize_answer(F.regexp_replace("text", r"[^ -~\n]", ""))
-    return table(spark, sf_dir, "documents").select("doc_id", plain.alias("t")).select("doc_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("digest"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.normalize_answer(F.col("text")).alias("t")).select("doc_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("digest"))
 
 
 @query("SELECT doc_id, CASE WHEN n_chars >= 1000000 THEN printf('%.2fM', n_chars / 1e6) WHEN n_chars >= 1000 THEN printf('%.2fK', floor(n_chars / 10.0 + 0.5) / 100) ELSE CAST(n_chars AS VARCHAR) END AS said FROM documents")

@@ -31,7 +31,7 @@ pairs AS (
     FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
   WHERE role = 'assistant' AND before = 'user'
 )"""
-ASCII_TOKENS = "list_filter(regexp_split_to_array(trim(regexp_replace(translate(lower(regexp_replace({0}, '[^ -~\\n\\t]', '', 'g')), '{1}', ''), '\\b(a|an|the)\\b', ' ', 'g')), '\\s+'), lambda t: t <> '')".replace("{1}", text.PUNCTUATION.replace("'", "''"))
+TOKENS = "list_filter(regexp_split_to_array(translate(lower({0}), '{1}', ''), '\\s+'), lambda t: t NOT IN ('', 'a', 'an', 'the'))".replace("{1}", text.PUNCTUATION.replace("'", "''"))
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,10 +40,6 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("role = 'assistant' AND before = 'user'").select("conv_id", "turn", F.col("text").alias("pred"), "gold")
 
 
-def ascii_only(c) -> F.Column:
-    return F.regexp_replace(c, r"[^ -~\n\t]", "")
-
-
 @query("SELECT count(*) AS duplicates FROM (SELECT doc_id FROM documents GROUP BY doc_id HAVING count(*) > 1)")
 def manifest_unique_ids(spark, sf_dir):
     return tables.duplicate_keys(table(spark, sf_dir, "documents"), "doc_id").agg(F.count("*").alias("duplicates"))
@@ -63,7 +59,7 @@ def resume_anti_join(spark, sf_dir):
 
 @query(f"""
 WITH {PAIRS}, t AS (
-  SELECT conv_id, turn, {ASCII_TOKENS.replace('{0}', 'pred')} AS p, {ASCII_TOKENS.replace('{0}', 'gold')} AS g FROM pairs
+  SELECT conv_id, turn, {TOKENS.replace('{0}', 'pred')} AS p, {TOKENS.replace('{0}', 'gold')} AS g FROM pairs
 ), pc AS (SELECT conv_id, turn, w, count(*) AS n FROM (SELECT conv_id, turn, unnest(p) AS w FROM t) GROUP BY ALL),
 gc AS (SELECT conv_id, turn, w, count(*) AS n FROM (SELECT conv_id, turn, unnest(g) AS w FROM t) GROUP BY ALL),
 o AS (SELECT conv_id, turn, sum(least(pc.n, gc.n)) AS o FROM pc JOIN gc USING (conv_id, turn, w) GROUP BY ALL)
@@ -72,26 +68,11 @@ FROM t LEFT JOIN o USING (conv_id, turn) GROUP BY turn""")
 def token_f1_pairs(spark, sf_dir):
     """The flagship: prediction and gold tokens as counts, met by an equi-join, so that long texts cost no more than their length."""
     rows = pairs(spark, sf_dir)
-    split = lambda c: text.tokens(text.normalize_answer(ascii_only(c)))
+    split = lambda c: text.tokens(text.normalize_answer(F.col(c)))
     scored = tables.overlap_f1(rows.select("conv_id", "turn", split("pred").alias("p"), split("gold").alias("g")), ["conv_id", "turn"])
     return scored.groupBy("turn").agg(F.count("*").alias("n"), F.round(F.avg("f1"), 6).alias("f1"))
 
 
-@query("""
-WITH g AS (SELECT conv_id, list(substr(text, 1, 24) ORDER BY turn) AS golds FROM conversations WHERE role = 'user' GROUP BY conv_id),
-p AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant')
-SELECT conv_id, turn, CAST(len(golds) AS INT) AS n_golds,
-  round(coalesce(list_max(list_transform(golds, lambda x: CASE WHEN contains(lower(text), lower(x)) THEN 1.0 ELSE round(1.0 / (1 + length(x)), 6) END)), 0), 6) AS best
-FROM p JOIN g USING (conv_id)""")
-def multi_gold_best(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations")
-    golds = turns.where("role = 'user'").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 24).alias("g")))).alias("x"))
-    golds = golds.select("conv_id", F.transform("x", lambda s: s["g"]).alias("golds"))
-    metric = lambda p, g: F.when(F.contains(F.lower(p), F.lower(g)), F.lit(1.0)).otherwise(F.round(F.lit(1.0) / (F.length(g) + 1), 6))
-    rows = turns.where("role = 'assistant'").join(golds, "conv_id")
-    return rows.select("conv_id", "turn", F.size("golds").alias("n_golds"), F.round(text.best_of(F.col("text"), F.col("golds"), metric), 6).alias("best"))
-
-
 @query("""
 WITH b AS (SELECT list(w ORDER BY w) AS golds FROM (SELECT DISTINCT split_part(lower(text), ' ', 2) AS w FROM benchmark) WHERE w <> '')
 SELECT doc_id, round(len(list_filter(golds, lambda g: contains(lower(text), g))) / len(golds), 6) AS recall,
@@ -106,37 +87,12 @@ def substring_recall(spark, sf_dir):
 
 
 @query("""
-WITH RECURSIVE p AS (
-  SELECT item_id, string_split(lower(regexp_replace(text, '[^ -~]', '', 'g')), ' ')[1:8] AS h FROM benchmark),
-r AS (SELECT item_id, list_reverse(h)[1:6] AS g, h FROM p),
-d(item_id, g, h, i, row) AS (
-  SELECT item_id, g, h, 0, list_transform(range(0, len(g) + 1), lambda x: CAST(x AS BIGINT)) FROM r
-  UNION ALL
-  SELECT item_id, g, h, i + 1, list_reduce(range(1, len(g) + 1), lambda acc, j: list_append(acc, least(acc[len(acc)] + 1, row[j + 1] + 1,
-     row[j] + CASE WHEN g[j] = h[i + 1] THEN 0 ELSE 1 END)), [row[1] + 1])
-  FROM d WHERE i < len(h))
-SELECT item_id, CAST(row[len(row)] AS BIGINT) AS edits, round(row[len(row)] / len(g), 6) AS wer FROM d WHERE i = len(h)""")
-def wer_hit(spark, sf_dir):
-    h = F.slice(F.split(F.lower(F.regexp_replace("text", "[^ -~]", "")), " "), 1, 8)
-    rows = table(spark, sf_dir, "benchmark").select("item_id", h.alias("h"))
-    rows = rows.withColumn("g", F.slice(F.reverse("h"), 1, 6))
-    edits = text.edit_distance(F.col("h"), F.col("g"))
-    return rows.select("item_id", edits.cast("long").alias("edits"), F.round(text.word_error_rate(F.col("h"), F.col("g")), 6).alias("wer"))
-
-
-@query("""
-WITH t AS (SELECT doc_id, substr(trim(regexp_replace(regexp_replace(text, '[^ -~\\n]', '', 'g'), '\\s+', ' ', 'g')), 1, 60) AS a,
-  substr(trim(regexp_replace(regexp_replace(text, '[^ -~\\n]', '', 'g'), '\\s+', ' ', 'g')), 11, 60) AS b FROM documents)
-SELECT doc_id, round(levenshtein(trim(a), trim(b)) / greatest(length(trim(b)), 1), 6) AS cer FROM t""")
-def char_error_rate(spark, sf_dir):
-    plain = text.squeeze(F.regexp_replace("text", r"[^ -~\n]", ""))
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.substring(plain, 1, 60).alias("a"), F.substring(plain, 11, 60).alias("b"))
-    return rows.select("doc_id", F.round(text.char_error_rate(F.col("a"), F.col("b")), 6).alias("cer"))
-
-
-@query()
-def multi_gold_best_whole(spark, sf_dir):
-    """multi_gold_best over whole golds."""
+WITH g AS (SELECT conv_id, list(text ORDER BY turn) AS golds FROM conversations WHERE role = 'user' GROUP BY conv_id),
+p AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant')
+SELECT conv_id, turn, CAST(len(golds) AS INT) AS n_golds,
+  round(coalesce(list_max(list_transform(golds, lambda x: CASE WHEN contains(lower(text), lower(x)) THEN 1.0 ELSE round(1.0 / (1 + length(x)), 6) END)), 0), 6) AS best
+FROM p JOIN g USING (conv_id)""")
+def multi_gold_best(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
     golds = turns.where("role = 'user'").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("g")))).alias("x"))
     golds = golds.select("conv_id", F.transform("x", lambda s: s["g"]).alias("golds"))
@@ -145,19 +101,27 @@ def multi_gold_best_whole(spark, sf_dir):
     return rows.select("conv_id", "turn", F.size("golds").alias("n_golds"), F.round(text.best_of(F.col("text"), F.col("golds"), metric), 6).alias("best"))
 
 
-@query()
-def wer_hit_whole(spark, sf_dir):
-    """wer_hit over all words of each item, against the same words in reverse."""
-    rows = table(spark, sf_dir, "benchmark").select("item_id", F.split(F.lower(F.regexp_replace("text", "[^ -~]", "")), " ").alias("h"))
+@query("""
+WITH RECURSIVE r AS (SELECT item_id, h, list_reverse(h) AS g FROM (SELECT item_id, string_split(lower(text), ' ') AS h FROM benchmark)),
+d(item_id, g, h, i, row) AS (
+  SELECT item_id, g, h, 0, list_transform(range(0, len(g) + 1), lambda x: CAST(x AS BIGINT)) FROM r
+  UNION ALL
+  SELECT item_id, g, h, i + 1, list_reduce(range(1, len(g) + 1), lambda acc, j: list_append(acc, least(acc[len(acc)] + 1, row[j + 1] + 1,
+     row[j] + CASE WHEN g[j] = h[i + 1] THEN 0 ELSE 1 END)), [row[1] + 1])
+  FROM d WHERE i < len(h))
+SELECT item_id, CAST(row[len(row)] AS BIGINT) AS edits, round(row[len(row)] / len(g), 6) AS wer FROM d WHERE i = len(h)""")
+def wer_hit(spark, sf_dir):
+    """All words of each item against the same words in reverse."""
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.split(F.lower("text"), " ").alias("h"))
     rows = rows.withColumn("g", F.reverse("h"))
     edits = text.edit_distance(F.col("h"), F.col("g"))
     return rows.select("item_id", edits.cast("long").alias("edits"), F.round(text.word_error_rate(F.col("h"), F.col("g")), 6).alias("wer"))
 
 
 @query()
-def char_error_rate_whole(spark, sf_dir):
-    """char_error_rate over whole texts, against the text without its first ten characters."""
-    plain = text.squeeze(F.regexp_replace("text", r"[^ -~\n]", ""))
+def char_error_rate(spark, sf_dir):
+    """Whole texts against the text without its first ten characters."""
+    plain = text.squeeze(F.col("text"))
     rows = table(spark, sf_dir, "documents").select("doc_id", plain.alias("a"), F.substr(plain, F.lit(11)).alias("b"))
     return rows.select("doc_id", F.round(text.char_error_rate(F.col("a"), F.col("b")), 6).alias("cer"))
 
