@@ -82,7 +82,7 @@ class WordTokenizer:
     LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]{1,30}")
     LONGEST = 32
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
