@@ -24,7 +24,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.cluster(table(spark, sf_dir, "documents"))
+    return ngram_join.cluster(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
