@@ -317,6 +317,18 @@ def test_substrings_of_rows_that_share_an_id(spark):
     assert got == [(0, 0, 0), (0, 700, 0), (0, 1200, 600), (7, 500, 0), (7, 500, 0), (7, 601, 600)]
 
 
+def test_merged_spans():
+    import numpy as np
+
+    rng = random.Random(6)
+    for _ in range(100):
+        rows = [(rng.choice([-5, 0, 3]), rng.choice([-1, 9]), f := rng.randrange(50), f + 1 + rng.randrange(9)) for _ in range(rng.randrange(30))]
+        covered = {(d, t, k) for d, t, f, a in rows for k in range(f, a)}
+        got = substrings.merged(np.array(rows, substrings.GONE)).tolist()
+        assert {(d, t, k) for d, t, f, a in got for k in range(f, a)} == covered
+        assert sum(a - f for _, _, f, a in got) == len(covered) and all((d, t, a) not in covered for d, t, _, a in got)
+
+
 def test_permuted_prefixes_of_long_repeats():
     import numpy as np
 

@@ -37,7 +37,7 @@ PIECE = 32
 RUN = np.dtype([("key", "<u4"), ("whole", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("first", "<u4"), ("n", "u1")])
 GONE = np.dtype([("doc", "<i8"), ("text", "<i8"), ("first", "<u4"), ("after", "<u4")])
 #: Bytes of texts that are cut into runs at once, and of a shard's suffix array.
-CHUNK, SHARD = 2_000_000, 1_000_000
+CHUNK, SHARD = 1_000_000, 500_000
 #: Differing runs of one anchor in a chunk from which on the anchor is hot, and the mark of a hot anchor's runs in n.
 HOT, DEALT = 32, 128
 NO_ID = np.iinfo(np.int64).min
@@ -119,14 +119,10 @@ def runs_of(data: np.ndarray, bounds: np.ndarray, least: int) -> tuple[np.ndarra
 
 def joined_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
     """Rows of batches whose second column is a text, with their bytes joined and where each begins, CHUNK bytes at once."""
-    for batch in batches:
-        texts = plain_texts(batch.column(1))
-        size = pc.binary_length(texts).to_numpy().astype(np.int64)
-        group = (np.cumsum(size) - size) // CHUNK
-        for first, n in zip(*np.unique(group, return_index=True, return_counts=True)[1:], strict=True):
-            own = texts.slice(first, n).cast(pa.large_binary())
-            data = np.frombuffer(b"".join(own.to_pylist()), np.uint8)
-            yield data, np.concatenate([[0], np.cumsum(size[first : first + n])]), batch.slice(first, n)
+    for some in pieces(batches, 1, size=CHUNK):
+        own = plain_texts(some.column(1)).cast(pa.large_binary())
+        size = pc.binary_length(own).to_numpy().astype(np.int64)
+        yield np.frombuffer(b"".join(own.to_pylist()), np.uint8), np.concatenate([[0], np.cumsum(size)]), some
 
 
 def changes(rows: np.ndarray, *names: str) -> np.ndarray:
@@ -153,7 +149,7 @@ def packed_runs(docs: DataFrame, least: int, parts: int) -> DataFrame:
             key = changes(rows, "key")
             key[1:] |= part[1:] != part[:-1]
             kind = key | changes(rows, "whole")
-            gone = spans(rows[~kind & changes(rows, "doc", "text", "first")], least)
+            gone = merged(spans(rows[~kind & changes(rows, "doc", "text", "first")], least))
             group = np.cumsum(key) - 1
             hot = np.bincount(group[kind]) >= HOT
             marks = rows[key][hot]
@@ -181,6 +177,22 @@ def spans(rows: np.ndarray, least: int) -> np.ndarray:
     return out
 
 
+def merged(rows: np.ndarray) -> np.ndarray:
+    """GONE rows with those of one document that touch or overlap as one."""
+    if not len(rows):
+        return rows
+    rows = rows[np.lexsort((rows["first"], rows["text"], rows["doc"]))]
+    base = (np.cumsum(changes(rows, "doc", "text")) << 33).astype(np.int64)
+    reach = np.maximum.accumulate(base + rows["after"])
+    new = np.ones(len(rows), bool)
+    new[1:] = base[1:] + rows["first"][1:] > reach[:-1]
+    at = np.flatnonzero(new)
+    out = rows[at]
+    last = np.append(at[1:], len(rows)) - 1
+    out["after"] = (reach - base)[last]
+    return out
+
+
 def span_batch(rows: np.ndarray, kind: int = 0, key: np.ndarray | None = None) -> pa.RecordBatch:
     """kind 0: spans that are repeated; 1: to be compared by key; 2: to be compared string by string."""
     zero = np.zeros(len(rows), np.int64)
@@ -201,9 +213,9 @@ def settled(packed: DataFrame, least: int) -> DataFrame:
             key = changes(rows, "key")
             kind = key | changes(rows, "whole")
             kind[1:] |= (rows["n"][1:] >= DEALT) != (rows["n"][:-1] >= DEALT)
-            for some in np.array_split(rows[~kind & (rows["n"] > 0) & changes(rows, "doc", "text", "first")], 1 + len(rows) // 100_000):
+            for some in np.array_split(merged(spans(rows[~kind & (rows["n"] > 0) & changes(rows, "doc", "text", "first")], least)), 1 + len(rows) // 100_000):
                 if len(some):
-                    yield span_batch(spans(some, least))
+                    yield span_batch(some)
             group = np.cumsum(key) - 1
             mark, dealt = rows["n"] == 0, rows["n"] >= DEALT
             hot = np.bincount(group, mark) > 0
