@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import decontaminate, language, lines, ngram_join, packing, quality, secrets, substrings, urls, warc
+from vellum.llm import decontaminate, intervals, language, lines, ngram_join, packing, quality, secrets, substrings, urls, warc
 from vellum.session import table
 
 
@@ -51,6 +51,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op13_interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.sale_sessions(*(table(spark, sf_dir, name) for name in ("sales", "sale_lines", "clicks")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -64,4 +68,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_ngram_jaccard": ngram_join.ORACLE_SQL,
         "op6_suffix_dedup": substrings.ORACLE_SQL,
         "op9_warc_round_trip": warc.ORACLE_SQL,
+        "op13_interval_overlap": intervals.ORACLE_SQL,
     }
