@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import decontaminate, intervals, language, lines, ngram_join, packing, quality, secrets, substrings, urls, warc
+from vellum.llm import clustering, decontaminate, intervals, language, lines, ngram_join, packing, quality, repacking, secrets, substrings, urls, warc
 from vellum.session import table
 
 
@@ -51,6 +51,14 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op11_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repacking.repack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.report(table(spark, sf_dir, "embeddings"))
+
+
 def op13_interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.sale_sessions(*(table(spark, sf_dir, name) for name in ("sales", "sale_lines", "clicks")))
 
@@ -68,5 +76,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_ngram_jaccard": ngram_join.ORACLE_SQL,
         "op6_suffix_dedup": substrings.ORACLE_SQL,
         "op9_warc_round_trip": warc.ORACLE_SQL,
+        "op12_sort_means": clustering.oracle_sql(),
         "op13_interval_overlap": intervals.ORACLE_SQL,
     }
