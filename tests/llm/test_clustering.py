@@ -29,7 +29,7 @@ def brute(rows, k, rounds, size):
 def made(seed, n, size, grid):
     """Vectors on a coarse grid, so that many are equally near to several centroids; some broken, some repeated."""
     rng = random.Random(seed)
-    value = lambda: rng.choice([-1, -0.5, 0, 0.5, 0.004]) if grid else rng.gauss(0, 3)
+    value = lambda: rng.choice([-1.0, -0.5, 0.0, 0.5, 0.004]) if grid else rng.gauss(0, 3)
     rows = [(i, [value() for _ in range(size)]) for i in range(n)]
     rows += [(n, None), (n + 1, []), (n + 2, [1.0] * (size + 1)), (n + 3, [None, *[0.0] * (size - 1)]), (n + 4, [math.nan] * size), (n + 5, [math.inf] * size), (n + 6, [-math.inf, *[1.0] * (size - 1)])]
     return rows + rows[:3] + [(None, [value() for _ in range(size)]), (3, [value() for _ in range(size)])]

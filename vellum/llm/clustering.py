@@ -98,12 +98,28 @@ def assign(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
 
 
 def moved(assigned: DataFrame, centroids: np.ndarray) -> np.ndarray:
-    """Each centroid with vectors as floor(sum / count) of their components; the others as they were."""
-    size = centroids.shape[1]
-    sums = assigned.groupBy("cluster").agg(F.count("*").alias("n"), *[F.sum(F.get("v", F.lit(i)).cast("long")).alias(f"s{i}") for i in range(size)])
+    """Each centroid with vectors as floor(sum / count) of their components; the others as they were. Tasks add up their
+    own vectors first, so that a row a centroid leaves each."""
+    shape = centroids.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(shape, np.int64), np.zeros(shape[0], np.int64)
+        for batch in batches:
+            v = batch.column(0).flatten().to_numpy().astype(np.int64).reshape(batch.num_rows, -1)
+            cluster = batch.column(1).to_numpy()
+            by = np.argsort(cluster, kind="stable")
+            own, first = np.unique(cluster[by], return_index=True)
+            if len(own):
+                total[own] += np.add.reduceat(v[by], first)
+                n += np.bincount(cluster, minlength=len(n))
+        own = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(n[own]), pa.array(total[own].tolist(), pa.list_(pa.int64()))], ["cluster", "n", "sums"])
+
+    parts = assigned.select("v", "cluster").mapInArrow(run, "cluster int, n long, sums array<long>")
+    sums = parts.select("cluster", "n", F.posexplode("sums").alias("at", "x")).groupBy("cluster", "at").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
     out = centroids.copy()
-    for cluster, n, *total in sums.collect():
-        out[cluster] = np.array(total, np.int64) // n
+    for cluster, at, n, x in sums.collect():
+        out[cluster, at] = x // n
     return out
 
 
