@@ -61,7 +61,7 @@ def test_prompts(spark):
         if end:
             got = one(spark, prompts.split_retrieval(F.lit(task), F.lit(head + "hay\nstack" + end)))
             assert tuple(got) == (head, "hay\nstack", end, None)
-            assert one(spark, prompts.split_retrieval(F.lit(task), F.lit(head + end))).problem == "empty haystack"
+            assert one(spark, prompts.split_retrieval(F.lit(task), F.lit(head + end))).problem == "nothing_between"
     assert one(spark, prompts.without_number_stem(F.lit("Q?  The special magic numbers for a-b mentioned in the provided text are "))) == "Q?"
     assert [tuple(x) for x in one(spark, prompts.paged_prompt(F.array(F.lit("1.png")), F.lit(""), F.lit("end")))] == [("text", "Page 1\n"), ("image", "1.png"), ("text", "end")]
     assert [one(spark, prompts.rooted(F.lit(p), "/root", "/old/")) for p in ("a/b", "/old/c", "/older/d")] == ["/root/a/b", "/root/c", "/older/d"]

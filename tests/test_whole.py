@@ -1,60 +1,100 @@
 """Operators on inputs that reach past any prefix: every response, every character, every word counts."""
 
+import itertools
 import random
 from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vellum.operators import resample
 from vellum.plans import answers, scores
 
 
-def by_draws(x, draws, seed):
-    """Metrics of one prompt, a draw at a time."""
-    n = len(x)
+def expected(x):
+    """Metrics of one prompt, from the order of its values."""
+    n, order = len(x), np.sort(x)
     out = {f"mean@{n}": np.mean(x), f"std@{n}": np.std(x)}
-    ks = [k for k in (2, 4, 8, 16, 32, 64, 128) if k < n] + [n]
-    for k in ks:
-        state = np.random.RandomState(seed)
-        drawn = [[x[i] for i in state.choice(n, size=k, replace=True)] for _ in range(draws)]
-        for end, f in (("best", max), ("worst", min)):
-            out |= {f"{end}@{k}/mean": np.mean([f(d) for d in drawn]), f"{end}@{k}/std": np.std([f(d) for d in drawn])}
+    i = np.arange(n)
+    for k in [k for k in (2, 4, 8, 16, 32, 64, 128, 256) if k < n] + [n]:
+        for end, w in (("best", ((i + 1) / n) ** k - (i / n) ** k), ("worst", ((n - i) / n) ** k - ((n - i - 1) / n) ** k)):
+            mean = (w * order).sum()
+            out |= {f"{end}@{k}/mean": mean, f"{end}@{k}/std": np.sqrt((w * (order - mean) ** 2).sum())}
     return out
 
 
-def test_validation_metrics_take_every_response(spark):
+@pytest.mark.parametrize("cell", [5, 20_000])
+def test_validation_metrics(spark, monkeypatch, cell):
+    """One method at every size: single responses, ties, and a prompt whose values are ranked in several cells."""
+    monkeypatch.setattr(resample, "CELL", cell)
     rng = random.Random(5)
-    groups = {("a", 1): 1, ("a", 2): 21, ("b", 3): 90}
-    values = {g: [rng.gauss(0, 1) for _ in range(n)] for g, n in groups.items()}
-    values["a", 2][-1] = 50.0  # after the 16th
-    rows = spark.createDataFrame([(s, p, v, i) for (s, p), x in values.items() for i, v in enumerate(x)], "s string, p long, v double, i long").repartition(3)
-    got = {(r.s, r.metric): r.value for r in resample.validation_metrics(rows, "s", "p", "v", "i", draws=100, seed=42).collect()}
+    groups = {("a", 1): 1, ("a", 2): 21, ("b", 3): 300, (None, None): 2}
+    values = {g: [float(rng.randrange(30)) for _ in range(n)] for g, n in groups.items()}
+    values["a", 2][-1] = 50.0
+    rows = spark.createDataFrame([(s, p, v) for (s, p), x in values.items() for v in x], "s string, p long, v double").repartition(3)
+    got = {(r.s, r.metric): r.value for r in resample.validation_metrics(rows, "s", "p", "v").collect()}
     each = {}
     for (s, _), x in values.items():
-        for m, v in by_draws(x, 100, 42).items():
+        for m, v in expected(x).items():
             each.setdefault((s, m), []).append(v)
-    assert got == pytest.approx({k: np.mean(v) for k, v in each.items()})
-
-
-def test_validation_metrics_of_hot_prompts(spark, monkeypatch):
-    """Closed form against a sum over all values, with ties, and in the range of what draws give."""
-    monkeypatch.setattr(resample, "CELL", 5)
-    rng = random.Random(6)
-    x = [float(rng.randrange(30)) for _ in range(300)] + [99.0]
-    rows = spark.createDataFrame([("a", 1, v, i) for i, v in enumerate(x)] + [("b", 2, 1.0, 0)], "s string, p long, v double, i long").repartition(3)
-    got = {(r.s, r.metric): r.value for r in resample.validation_metrics(rows, "s", "p", "v", "i", draws=10, seed=42, hot=100).collect()}
-    n, order = len(x), np.sort(x)
-    want = {("a", f"mean@{n}"): np.mean(x), ("a", f"std@{n}"): np.std(x)}
-    for k in (2, 4, 8, 16, 32, 64, 128, 256, n):
-        i = np.arange(n)
-        for end, w in (("best", ((i + 1) / n) ** k - (i / n) ** k), ("worst", ((n - i) / n) ** k - ((n - i - 1) / n) ** k)):
-            mean = (w * order).sum()
-            want |= {("a", f"{end}@{k}/mean"): mean, ("a", f"{end}@{k}/std"): np.sqrt((w * (order - mean) ** 2).sum())}
-    assert {k: v for k, v in got.items() if k[0] == "a"} == pytest.approx(want, abs=1e-6)
-    drawn = resample.validation_metrics(rows.where("s = 'a'"), "s", "p", "v", "i", draws=4000, seed=42)
-    assert all(r.value == pytest.approx(got["a", r.metric], abs=1.5) for r in drawn.collect())
-    assert got["b", "mean@1"] == 1.0 and got["b", "best@1/std"] == 0.0
+    assert got == pytest.approx({k: np.mean(v) for k, v in each.items()}, abs=1e-6)
+    odd = spark.createDataFrame([("a", 1, None), ("a", 1, 1.0)], "s string, p long, v double")
+    assert all(np.isnan(r.value) for r in resample.validation_metrics(odd, "s", "p", "v").collect() if r.metric.startswith("mean"))
+    assert resample.validation_metrics(odd.limit(0), "s", "p", "v").collect() == []
+
+
+def test_majorities(spark):
+    """The majority of 3 of 5 votes against all 125 samples, and of whole keys with ties."""
+    votes = [("x", 1.0), ("x", 1.0), ("y", 0.0), ("z", 0.5), (None, 0.25)]
+    rows = spark.createDataFrame([("k", *v) for v in votes] + [("one", "x", 3.0)], "k string, vote string, score double")
+    said = []
+    for sample in itertools.product(votes, repeat=3):
+        names = [v for v, _ in sample]
+        best = max(names, key=lambda v: (names.count(v), -names.index(v)))
+        said.append(next(s for v, s in sample if v == best))
+    found = resample.majorities(rows, ["k"], "vote", "score", draws=6000, sizes=lambda n: F.array(F.lit(3).cast("long"))).collect()
+    by = {r[0]: r for r in found}
+    assert by["k"]["mean"] == pytest.approx(np.mean(said), abs=0.02) and by["k"]["std"] == pytest.approx(np.std(said), abs=0.02)
+    assert (by["one"]["mean"], by["one"]["std"]) == (3.0, 0.0)
+    both = resample.validation_metrics(rows, "k", "k", "score", vote="vote", draws=50)
+    assert {r.metric for r in both.where("k = 'k'").collect()} >= {"maj@2/mean", "maj@4/std", "maj@5/mean", "best@4/mean", "mean@5"}
+
+
+def test_poisson_draws(spark):
+    """Weights repeat, are Poisson numbers of mean 1, and independent between units and draws; the mean's spread is right."""
+    units = spark.range(4000).select("id", resample.poisson_weights(F.col("id"), 40, 3).alias("w"))
+    w = np.array([r.w for r in units.orderBy("id").collect()])
+    assert (w == np.array([r.w for r in units.repartition(7).orderBy("id").collect()])).all()
+    assert w.mean() == pytest.approx(1, abs=0.02) and w.var() == pytest.approx(1, abs=0.03)
+    for k, share in enumerate((0.3679, 0.3679, 0.1839, 0.0613)):
+        assert (w == k).mean() == pytest.approx(share, abs=0.005)
+    assert abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.05 and abs(np.corrcoef(w[0::2].ravel(), w[1::2].ravel())[0, 1]) < 0.02
+    x = np.random.default_rng(1).normal(5, 2, 2000)
+    rows = spark.createDataFrame([("k", i, float(v)) for i, v in enumerate(x)] + [("n", 1, None)], "k string, i long, v double")
+    (r,) = resample.bootstrap(rows, ["k"], "v", 800, 9, "i").collect()
+    assert r.n == 2000 and r.mean == pytest.approx(x.mean())
+    assert (r.high - r.low) == pytest.approx(2 * 1.96 * x.std() / 2000**0.5, rel=0.12)
+
+
+def test_reduces_of_users(spark):
+    rows = spark.createDataFrame([("a", i, float(i % 10)) for i in range(300)], "k string, i long, v double")
+    reduces = {"most": lambda w: F.max(F.when(w > 0, F.col("v"))), "total": lambda w: F.sum(w * F.col("v"))}
+    got = resample.drawn(rows, ["k"], "i", reduces, 30, 1).collect()
+    assert len(got) == 30 and {r.most for r in got} == {9.0} and np.mean([r.total for r in got]) == pytest.approx(1350, rel=0.05)
+
+
+def test_threshold_interval(spark):
+    """Curves from 0.9 down to 0.1 with noise a unit: the interval holds the true crossing; few crossings give none."""
+    rng = random.Random(2)
+    rows = [("a", u, x, 1 - x / 10 + rng.gauss(0, 0.1)) for u in range(200) for x in range(1, 10)] + [("b", u, x, 0.9) for u in range(20) for x in range(1, 4)]
+    rows += [("a", 900, 1, 50.0), ("a", 901, 2, None)]
+    frame = spark.createDataFrame(rows, "k string, u long, x int, y double")
+    got = {r.k: r for r in resample.threshold_interval(frame, ["k"], "u", "x", "y", 0.5, 200, 4).collect()}
+    assert set(got) == {"a"} and got["a"].crossed == 200
+    assert got["a"].low < 5 < got["a"].high and got["a"].high - got["a"].low < 0.5
+    few = resample.threshold_interval(frame, ["k"], "u", "x", "y", 0.5, 40, 4).first()
+    assert (few.crossed, few.low, few.high) == (40, None, None)
 
 
 def test_mrcr_ratio_compares_whole_texts(spark, tmp_path):

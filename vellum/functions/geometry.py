@@ -31,6 +31,46 @@ def smart_resize(height: Column, width: Column, factor: int, least: int, most: i
     return F.struct(pick(height, h).alias("height"), pick(width, w).alias("width"))
 
 
+def refitted(height: Column, width: Column, factor: int, least: int, most: int, fetched: bool) -> Column:
+    """struct(height, width) as smart_resize, with the least side of one factor kept only before an image is shrunk to the
+    greatest area (fetched), or only after it (not fetched)."""
+    rounded = lambda x: (F.bround(x / factor) * factor).cast("long")
+    one = lambda x, on: F.greatest(F.lit(factor).cast("long"), x) if on else x
+    h, w = one(rounded(height), fetched), one(rounded(width), fetched)
+    shrink, grow = F.sqrt(height * width / most), F.sqrt(F.lit(float(least)) / (height * width))
+    down = lambda x: one(F.floor(x / shrink / factor) * factor, not fetched)
+    up = lambda x: F.ceil(x * grow / factor) * factor
+    pick = lambda x, plain: F.when(h * w > most, down(x)).when(h * w < least, up(x)).otherwise(plain).cast("long")
+    return F.struct(pick(height, h).alias("height"), pick(width, w).alias("width"))
+
+
+def header_tokens(height: Column, width: Column, patch: int, merge: int, least: int, most: int, fetched: bool = True, resize: bool = True) -> Column:
+    """struct(tokens, problem): the merged tokens that an image takes, by its size alone. fetched: it is refitted to
+    multiples of 28 first; resize: the processor refits it to multiples of patch * merge. problem: sides that aren't
+    positive or are missing, an aspect over 200, or sides that don't align in the end; tokens are null then."""
+    factor = patch * merge
+
+    def aspect(s: Column) -> Column:
+        return F.greatest(s["height"], s["width"]) / F.least(s["height"], s["width"]) > 200
+
+    def second(s: Column) -> Column:
+        out = refitted(s["height"], s["width"], factor, least, most, False) if resize else s
+        ok = (out["height"] > 0) & (out["width"] > 0) & (out["height"] % factor == 0) & (out["width"] % factor == 0)
+        bad = F.when(s["problem"].isNotNull(), s["problem"]).when(F.lit(resize) & aspect(s), "aspect").when(~ok, "alignment")
+        return F.struct(F.when(bad.isNull(), (out["height"] / factor).cast("long") * (out["width"] / factor).cast("long")).alias("tokens"), bad.alias("problem"))
+
+    def first(s: Column) -> Column:
+        good = F.coalesce((s["height"] > 0) & (s["width"] > 0), F.lit(False))
+        bad = F.when(~good, "size")
+        if fetched:
+            bad = F.when(~good, "size").when(aspect(s), "aspect")
+        side = lambda n: F.when(bad.isNull(), refitted(s["height"], s["width"], 28, 4 * 28**2, 16384 * 28**2, True)[n] if fetched else s[n]).cast("long")
+        return F.struct(side("height").alias("height"), side("width").alias("width"), bad.alias("problem"))
+
+    start = F.array(F.struct(height.cast("long").alias("height"), width.cast("long").alias("width")))
+    return F.transform(F.transform(start, first), second)[0]
+
+
 def vision_tokens(size: Column, factor: int) -> Column:
     return F.floor(size["height"] * size["width"] / (factor * factor)).cast("long")
 

@@ -47,19 +47,21 @@ def by_task(task: Column, values: dict) -> Column:
 
 
 def split_retrieval(task: Column, prompt: Column) -> Column:
-    """struct(header, haystack, tail, problem) of a prompt; the three make up the prompt, or problem says why they can't:
-    the task is unknown, the header another, the tail's beginning not there exactly once, or nothing between both."""
+    """struct(header, haystack, tail, problem) of a prompt; the three make up the prompt. problem is one of no_tail,
+    many_tails, other_header, nothing_between and other_task, in that order, and null where the prompt was split."""
     header = by_task(task, {k: h for k, (h, _) in RETRIEVAL.items()})
-    marks = F.coalesce(F.lit(None).cast("array<string>"), *[F.when(task == k, F.regexp_extract_all(prompt, F.lit(f"({t})"), F.lit(1))) for k, (_, t) in RETRIEVAL.items()])
-    cut = F.locate("\u0000", F.replace(prompt, F.get(marks, 0), F.lit("\u0000"))) - 1
-    problem = (
-        F.when(header.isNull(), "unknown task").when(~prompt.startswith(header), "header mismatch")
-        .when(F.size(marks) != 1, F.concat(F.lit("tail marker occurs "), F.size(marks).cast("string"), F.lit(" times"))).when(cut <= F.length(header), "empty haystack")
-    )
-    ok = problem.isNull()
-    n = F.length(header)
-    part = lambda start, size: F.when(ok, F.substring(prompt, start, size))
-    return F.struct(part(F.lit(1), n).alias("header"), part(n + 1, cut - n).alias("haystack"), part(cut + 1, F.length(prompt)).alias("tail"), problem.alias("problem"))
+    ends = F.coalesce(F.lit(None).cast("array<string>"), *[F.when(task == k, F.split(prompt, t)) for k, (_, t) in RETRIEVAL.items()])
+
+    def parted(x: Column) -> Column:
+        n, cut = F.length(x["header"]), F.length(F.get(x["ends"], 0))
+        problem = (
+            F.when(F.size(x["ends"]) == 1, "no_tail").when(F.size(x["ends"]) > 2, "many_tails").when(~prompt.startswith(x["header"]), "other_header")
+            .when(cut <= n, "nothing_between").when(x["header"].isNull(), "other_task")
+        )
+        part = lambda start, size: F.when(problem.isNull(), F.substring(prompt, start, size))
+        return F.struct(part(F.lit(1), n).alias("header"), part(n + 1, cut - n).alias("haystack"), part(cut + 1, F.length(prompt)).alias("tail"), problem.alias("problem"))
+
+    return F.transform(F.array(F.struct(header.alias("header"), ends.alias("ends"))), parted)[0]
 
 
 def split_template(template: Column, question: Column, slot: str = "{context}") -> Column:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import reduce
+from math import ceil, exp, factorial
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.operators import rollup
+
 #: Distinct values of large groups that are ranked in one task, about.
 CELL = 20_000
 
@@ -22,46 +25,68 @@ def islands(rows: DataFrame, keys: list[str], order: list[str], value: str) -> D
     return marked.groupBy(*keys, "island").agg(F.any_value(value).alias("kind"), F.count("*").alias("n"))
 
 
-def bootstrap(rows: DataFrame, keys: list[str], value: str, draws: int, seed: int) -> DataFrame:
-    """n, mean and the 2.5 and 97.5 percentiles of the mean over resampled groups; each group draws from the same seed."""
+#: The prime that draws are numbers below, and how many of them have at most 0, 1, 2, ... as their Poisson number of mean 1.
+PRIME = 2_147_483_647
+POISSON = [ceil(PRIME * sum(exp(-1) / factorial(i) for i in range(k + 1))) for k in range(12)]
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(group[value].to_numpy(float))
-        means = np.random.default_rng(seed).choice(x, (draws, len(x))).mean(1)
-        low, high = np.percentile(means, [2.5, 97.5])
-        return pd.DataFrame([[*group[keys].iloc[0], len(x), x.mean(), low, high]], columns=[*keys, "n", "mean", "low", "high"])
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema.fields)
-    return rows.select(*keys, value).groupBy(*keys).applyInPandas(run, f"{kinds}, n long, mean double, low double, high double")
+def poisson_weights(unit: Column, draws: int, seed: int) -> Column:
+    """How often a unit is in each draw: an array of Poisson numbers of mean 1, which seed, unit and draw alone decide.
 
+    Units are independent of each other in every draw, and any two draws of a unit are; a unit's numbers are an arithmetic
+    progression modulo PRIME whose start and step are digits of its md5.
+    """
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), unit.cast("string")))
+    digits = lambda at: F.conv(F.substring(h, at, 15), 16, 10).cast("long")
 
-@lru_cache(maxsize=64)
-def few_draws(n: int, draws: int, seed: int) -> np.ndarray:
-    """Places drawn from n responses, a column a draw; draws of fewer are the first of the same numbers."""
-    return np.random.RandomState(seed).randint(0, n, draws * n).astype(np.int32)
+    def weights(s: Column) -> Column:
+        def one(d: Column) -> Column:
+            x = (s["a"] + s["b"] * d) % PRIME
+            return reduce(lambda rest, k: F.when(x < POISSON[k], k).otherwise(rest), reversed(range(len(POISSON))), F.lit(len(POISSON)))
 
+        return F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), one)
 
-def drawn_ends(x: np.ndarray, k: int, draws: int, seed: int, block: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """The most and the least of k responses, in each draw. Blocks hold so many numbers, or one draw."""
-    if len(x) <= 64:
-        own = x[few_draws(len(x), draws, seed)[: draws * k].reshape(draws, k).T]
-        return own.max(0), own.min(0)
-    state, most, least = np.random.RandomState(seed), [], []
-    rows = max(1, block // k)
-    for first in range(0, draws, rows):
-        own = x[state.randint(0, len(x), (min(rows, draws - first), k))]
-        most.append(own.max(1))
-        least.append(own.min(1))
-    return np.concatenate(most), np.concatenate(least)
+    return F.transform(F.array(F.struct((digits(1) % PRIME).alias("a"), (digits(16) % (PRIME - 1) + 1).alias("b"))), weights)[0]
 
 
-def sizes_of(n: int) -> list[int]:
-    """2, 4, ... below n, and n."""
-    return [1 << b for b in range(1, n.bit_length()) if 1 << b < n] + [n]
+def drawn(rows: DataFrame, keys: list[str], unit: str, reduces: dict, draws: int, seed: int) -> DataFrame:
+    """keys, draw and a column a reduce function, over resampled units.
+
+    reduces: functions of the weight column that give an aggregate, e.g. lambda w: F.sum(w * F.col("x")) / F.sum(w). Rows of one
+    unit are drawn together. Weights come from hashes, so each task draws and adds up its own rows before the shuffle, and
+    no task holds a group. Null keys and units are values like others.
+    """
+    each = rows.select("*", F.posexplode(poisson_weights(F.coalesce(F.col(unit).cast("string"), F.lit("")), draws, seed)).alias("draw", "weight_"))
+    return each.where("weight_ > 0").groupBy(*keys, "draw").agg(*[f(F.col("weight_")).alias(name) for name, f in reduces.items()])
+
+
+def bootstrap(rows: DataFrame, keys: list[str], value: str, draws: int, seed: int, unit: str) -> DataFrame:
+    """n, mean, and the 2.5 and 97.5 percentiles of the mean over resampled groups. Null values don't count."""
+    kept = rows.where(F.col(value).isNotNull())
+    of = drawn(kept, keys, unit, {"m": lambda w: F.sum(w * F.col(value)) / F.sum(w)}, draws, seed)
+    ends = of.groupBy(*keys).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    return kept.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean")).join(ends, keys, "left").select(*keys, "n", "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+
+
+def threshold_interval(rows: DataFrame, keys: list[str], unit: str, x: str, y: str, level: float, draws: int, seed: int, least: int = 50) -> DataFrame:
+    """keys, draws that cross the level, and the 2.5 and 97.5 percentiles of where, over resampled units; percentiles are null unless
+    more than ``least`` draws cross.
+
+    rows: a unit's y at each x; units that lack an x of their key, or a y, are left out. A draw's curve is the mean over
+    its units, and crosses where first_crossing says.
+    """
+    full = rows.where(F.col(y).isNotNull())
+    xs = full.select(*keys, x).distinct().groupBy(*keys).agg(F.count("*").alias("xs_"))
+    units = full.groupBy(*keys, unit).agg(F.count_distinct(x).alias("own_")).join(xs, keys).where("own_ = xs_").select(*keys, unit)
+    curves = drawn(full.join(units, [*keys, unit], "left_semi"), [*keys, x], unit, {"m_": lambda w: F.sum(w * F.col(y)) / F.sum(w)}, draws, seed)
+    crossed = rollup.first_crossing(curves, [*keys, "draw"], x, "m_", level)
+    q = F.percentile("threshold", F.array(F.lit(0.025), F.lit(0.975)))
+    found = crossed.groupBy(*keys).agg(F.count("threshold").alias("crossed"), q.alias("q"))
+    return found.select(*keys, "crossed", *[F.when(F.col("crossed") > least, F.col("q")[i]).alias(n) for i, n in enumerate(("low", "high"))])
 
 
-def expected_metrics(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """keys, metric and v of large groups: what validation_metrics draws for, from order statistics instead.
+def positions(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, value, c (how often it stands there), below (rows of the key with less), n and mean of the key's rows.
 
     Equal values are counted first; the distinct ones are ranked in cells of the values' range, so no task sees a whole group.
     """
@@ -75,58 +100,71 @@ def expected_metrics(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     else:
         dealt = counted.withColumn("cell", F.lit(0.0))
     before = Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    offset = dealt.groupBy(*keys, "cell").agg(F.sum("c").alias("n_cell")).withColumn("offset", F.coalesce(F.sum("n_cell").over(before), F.lit(0)))
+    offset = dealt.groupBy(*keys, "cell").agg(F.sum("c").alias("n_cell")).select(*keys, "cell", F.coalesce(F.sum("n_cell").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy(*keys, "cell").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    below = F.col("offset") + F.coalesce(F.sum("c").over(inside), F.lit(0))
-    ranks = dealt.join(F.broadcast(offset.drop("n_cell")), [*keys, "cell"]).withColumn("below", below).join(F.broadcast(total), keys)
-    y, share = F.col(value) - F.col("mean"), lambda m: m / F.col("n")
-    whole = total.join(ranks.groupBy(*keys).agg(F.sqrt(F.sum(y * y * F.col("c")) / F.sum("c")).alias("std")), keys)
-    powers = F.filter(F.transform(F.sequence(F.lit(1), F.lit(62)), lambda b: F.pow(F.lit(2.0), b).cast("long")), lambda k: k < F.col("n"))
-    at_k = ranks.withColumn("k", F.explode(F.concat(powers, F.array("n"))))
-    k = F.col("k")
+    own = dealt.withColumn("own", F.coalesce(F.sum("c").over(inside), F.lit(0)))
+    both = own.join(offset, [*keys, "cell"]).join(total, keys)
+    return both.select(*keys, value, "c", (F.col("offset") + F.col("own")).alias("below"), "n", "mean")
+
+
+def sample_sizes(n: Column) -> Column:
+    """2, 4, ... below n, and n."""
+    powers = F.transform(F.sequence(F.lit(1), F.lit(62)), lambda b: F.pow(F.lit(2.0), b).cast("long"))
+    return F.concat(F.filter(powers, lambda k: k < n), F.array(n))
+
+
+def validation_metrics(rows: DataFrame, source: str, prompt: str, value: str, vote: str | None = None, draws: int = 1000, seed: int = 42) -> DataFrame:
+    """source, metric and value: mean@n, the population std@n, and mean and deviation of the best, the worst and (with vote) the
+    majority of k responses drawn with replacement (k = 2, 4, ..., n), for each prompt with all its n responses and then
+    averaged over the prompts of a source.
+
+    Best and worst are the expected values that draws estimate, from order statistics, at any number of responses; the
+    majority is drawn (``majorities``). A null or NaN value makes a prompt's measures NaN.
+    """
+    rows = rows.withColumn(value, F.coalesce(F.col(value).cast("double"), F.lit(float("nan"))))
+    # nulls are keys like others, which joins of plain columns wouldn't match
+    boxed = rows.select(F.struct(F.col(source).alias("source"), F.col(prompt).alias("prompt")).alias("key_"), value, *([vote] if vote else []))
+    at = positions(boxed, ["key_"], value)
+    y, share, k = F.col(value) - F.col("mean"), lambda m: m / F.col("n"), F.col("k")
+    pair = lambda name, v: F.struct(name.alias("metric"), v.alias("v"))
+    n = F.any_value("n")
+    whole = at.groupBy("key_").agg(n.alias("n"), F.any_value("mean").alias("mean"), F.sqrt(F.sum(y * y * F.col("c")) / F.sum("c")).alias("std"))
+    of_all = whole.select("key_", F.inline(F.array(pair(F.concat(F.lit("mean@"), "n"), F.col("mean")), pair(F.concat(F.lit("std@"), "n"), F.col("std")))))
+    at_k = at.withColumn("k", F.explode(sample_sizes(F.col("n"))))
     best = F.pow(share(F.col("below") + F.col("c")), k) - F.pow(share(F.col("below")), k)
     worst = F.pow(share(F.col("n") - F.col("below")), k) - F.pow(share(F.col("n") - F.col("below") - F.col("c")), k)
-    sums = at_k.groupBy(*keys, "k", "mean").agg(*[F.sum(f * w).alias(a) for a, f, w in (("b1", y, best), ("b2", y * y, best), ("w1", y, worst), ("w2", y * y, worst))])
-    pair = lambda name, v: F.struct(name.alias("metric"), v.alias("v"))
+    sums = at_k.groupBy("key_", "k").agg(F.any_value("mean").alias("mean"), *[F.sum(f * w).alias(a) for a, f, w in (("b1", y, best), ("b2", y * y, best), ("w1", y, worst), ("w2", y * y, worst))])
     ends = lambda end, one, two: [
         pair(F.concat(F.lit(f"{end}@"), k, F.lit("/mean")), F.col("mean") + F.col(one)),
         pair(F.concat(F.lit(f"{end}@"), k, F.lit("/std")), F.sqrt(F.greatest(F.col(two) - F.col(one) * F.col(one), F.lit(0.0)))),
     ]
-    of_k = sums.select(*keys, F.inline(F.array(*ends("best", "b1", "b2"), *ends("worst", "w1", "w2"))))
-    of_all = whole.select(*keys, F.inline(F.array(pair(F.concat(F.lit("mean@"), "n"), F.col("mean")), pair(F.concat(F.lit("std@"), "n"), F.col("std")))))
-    return of_all.unionByName(of_k)
+    per = of_all.unionByName(sums.select("key_", F.inline(F.array(*ends("best", "b1", "b2"), *ends("worst", "w1", "w2")))))
+    if vote:
+        votes = majorities(boxed.withColumnRenamed("key_", "key"), ["key"], vote, value, draws, seed)
+        per = per.unionByName(votes.select(F.col("key").alias("key_"), F.inline(F.array(*[pair(F.concat(F.lit("maj@"), "sample_size", F.lit(f"/{c}")), F.col(c)) for c in ("mean", "std")]))))
+    return per.groupBy(F.col("key_.source").alias(source), "metric").agg(F.avg("v").alias("value"))
 
 
-def validation_metrics(rows: DataFrame, source: str, prompt: str, value: str, order: str, draws: int, seed: int, hot: int = 20_000) -> DataFrame:
-    """source, metric and value: mean@n, the population std@n, and mean and population std of the best and worst of k resampled
-    responses (k = 2, 4, ..., n), for each prompt with all its n responses and then averaged over the prompts of a source.
+def majorities(rows: DataFrame, keys: list[str], vote: str, value: str, draws: int = 1000, seed: int = 42, sizes=sample_sizes) -> DataFrame:
+    """keys, sample_size (k), and mean and deviation, over ``draws`` samples of k rows of a key, of the value of the sample's commonest vote.
 
-    Every metric draws from the same seed. A prompt of over ``hot`` responses gets the values that draws estimate, by closed form.
+    Draws are with replacement and come from hashes of key, draw and place, so a rerun repeats them. Votes that tie go to the
+    one drawn first, and of a vote's values the one drawn first counts. sizes: the k of a key of n rows. Each place of a draw
+    is a row that meets the row of the key it names, by number; no group is held at once.
     """
-    rows = rows.select(source, prompt, F.coalesce(F.col(value).cast("double"), F.lit(float("nan"))).alias(value), order)
-    many = rows.groupBy(source, prompt).agg(F.count("*").alias("n_")).where(F.col("n_") > hot).select(F.col(source).alias("s_"), F.col(prompt).alias("p_"))
-    met = F.col(source).eqNullSafe(F.col("s_")) & F.col(prompt).eqNullSafe(F.col("p_"))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        x = group.sort_values(order)[value].to_numpy(float)
-        n = len(x)
-        out = [(f"mean@{n}", x.mean()), (f"std@{n}", x.std())]
-        for k in sizes_of(n):
-            for end, drawn in zip(("best", "worst"), drawn_ends(x, k, draws, seed), strict=True):
-                out += [(f"{end}@{k}/mean", drawn.mean()), (f"{end}@{k}/std", drawn.std())]
-        return pd.DataFrame([(group[source].iloc[0], m, v) for m, v in out], columns=[source, "metric", "v"])
-
-    kind = rows.schema[source].dataType.simpleString()
-    found = many.collect()
-    some = rows
-    if found:
-        # few: each has over hot rows
-        many = F.broadcast(rows.sparkSession.createDataFrame(found, many.schema))
-        some = rows.join(many, met, "left_anti")
-    per = some.groupBy(source, prompt).applyInPandas(run, f"{source} {kind}, metric string, v double")
-    if found:
-        per = per.unionByName(expected_metrics(rows.join(many, met, "left_semi"), [source, prompt], value).select(source, "metric", "v"))
-    return per.groupBy(source, "metric").agg(F.avg("v").alias("value"))
+    own = rows.select(F.struct(*keys).alias("key_"), F.col(vote).alias("vote_"), F.col(value).alias("value_"))
+    # equal rows are one run of numbers, so that they aren't numbered one by one
+    kinds = own.groupBy("key_", "vote_", "value_").agg(F.count("*").alias("m"))
+    order = Window.partitionBy("key_").orderBy(F.asc_nulls_first("vote_"), F.asc_nulls_first("value_"))
+    laid = kinds.withColumns({"end": F.sum("m").over(order.rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("m").over(Window.partitionBy("key_"))})
+    numbered = laid.select("key_", "vote_", "value_", F.explode(F.sequence(F.col("end") - F.col("m"), F.col("end") - 1)).alias("at"))
+    asked = laid.groupBy("key_").agg(F.any_value("n").alias("n")).select("key_", "n", F.explode(sizes(F.col("n"))).alias("k"))
+    asked = asked.select("*", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    places = asked.select("key_", "k", "draw", "n", F.explode(F.sequence(F.lit(1).cast("long"), "k")).alias("place"))
+    places = places.withColumn("at", F.pmod(F.xxhash64("key_", "k", "draw", "place", F.lit(seed)), F.col("n")))
+    met = places.join(numbered, ["key_", "at"]).groupBy("key_", "k", "draw", "vote_").agg(F.count("*").alias("times"), F.min(F.struct("place", "value_")).alias("first"))
+    won = met.groupBy("key_", "k", "draw").agg(F.max(F.struct("times", (-F.col("first.place")).alias("before"), F.col("first.value_").alias("v")))["v"].alias("v"))
+    return won.groupBy("key_", "k").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std")).select(*[F.col(f"key_.{c}").alias(c) for c in keys], F.col("k").alias("sample_size"), "mean", "std")
 
 
 def nearest(rows: DataFrame, key: str, vector: str, queries: Column, k: int) -> DataFrame:

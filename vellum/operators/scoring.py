@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.operators import resample
+
 
 def set_(c: str) -> Column:
     """Whether a text field says anything."""
@@ -75,19 +77,6 @@ def finite_mean(value: Column) -> Column:
 
 
 def majority_at(rows: DataFrame, keys: list[str], vote: str, value: str, k: int, draws: int = 1000, seed: int = 42) -> DataFrame:
-    """Mean and deviation, over ``draws`` samples of k rows of a group, of the value of the sample's commonest vote.
-
-    Draws are with replacement and come from hashes of key, draw and place, so a rerun repeats them. Votes that tie go
-    to the one drawn first. Each draw of a group is a row of its own, which the shuffle spreads; no group is held at once.
-    """
-    numbered = rows.groupBy(*keys, vote, value).agg(F.count("*").alias("m"))
-    # cumulative counts per group lay its rows out on 0 .. n-1, by distinct vote and value
-    pairs = numbered.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(vote, value, "m"))).alias("p"), F.sum("m").alias("n"))
-    ends = F.transform("p", lambda x, i: F.named_struct(F.lit("vote"), x[vote], F.lit("value"), x[value], F.lit("end"), F.aggregate(F.slice("p", 1, i + 1), F.lit(0).cast("long"), lambda a, y: a + y["m"])))
-    drawn = pairs.select(*keys, "n", ends.alias("p"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    at = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda j: F.pmod(F.xxhash64(*keys, "draw", j, F.lit(seed)), F.col("n")))
-    chosen = F.transform(at, lambda x: F.filter("p", lambda y: y["end"] > x)[0])
-    picked = drawn.select(*keys, chosen.alias("c"))
-    count = lambda v: F.size(F.filter("c", lambda y: y["vote"].eqNullSafe(v["vote"])))
-    best = F.array_max(F.transform("c", lambda v, i: F.named_struct(F.lit("times"), count(v), F.lit("first"), -i, F.lit("value"), v["value"])))
-    return picked.select(*keys, best["value"].alias("v")).groupBy(*keys).agg(F.avg("v").alias(f"maj_at_{k}_mean"), F.stddev_pop("v").alias(f"maj_at_{k}_std"))
+    """Mean and deviation of the value of the commonest vote of k rows of a group, as resample.majorities draws them."""
+    found = resample.majorities(rows, keys, vote, value, draws, seed, sizes=lambda n: F.array(F.lit(k).cast("long")))
+    return found.select(*keys, F.col("mean").alias(f"maj_at_{k}_mean"), F.col("std").alias(f"maj_at_{k}_std"))

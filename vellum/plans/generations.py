@@ -161,18 +161,31 @@ def majority_at_k(spark, sf_dir):
     return found.select("user_id", F.round("maj_at_8_mean", 6).alias("maj_at_8_mean"), F.round("maj_at_8_std", 6).alias("maj_at_8_std"))
 
 
-@query("""
-WITH r AS (SELECT doc_id, text AS hay, CASE doc_id % 6 WHEN 5 THEN 'qa_none' WHEN 4 THEN 'qa_easy' ELSE 'qa_basic' END AS task,
-  'Below are some documents. I will give you a text at the end. Please find the document index of the text. Only give me the index without any document contents.' || chr(10) || chr(10) AS head,
-  CASE WHEN doc_id % 6 = 3 THEN 2 WHEN doc_id % 6 = 2 THEN 0 ELSE 1 END AS marks FROM documents)
-SELECT doc_id, CASE WHEN task = 'qa_none' THEN 'unknown task' WHEN task = 'qa_easy' THEN 'header mismatch' WHEN marks <> 1 THEN 'tail marker occurs ' || marks || ' times' END AS problem,
-  CASE WHEN task = 'qa_basic' AND marks = 1 THEN md5(hay) END AS haystack, CASE WHEN task = 'qa_basic' AND marks = 1 THEN length(head) END AS header,
-  CASE WHEN task = 'qa_basic' AND marks = 1 THEN chr(10) || chr(10) || 'Text: ' || doc_id END AS tail FROM r""")
+#: How the tails of retrieval prompts go on, by task; a number and words of the document follow.
+TAILS = {
+    "mk_niah_basic": "\nWhat is the special magic number for ", "mv_niah_basic": "\nWhat are all the special magic numbers for ", "mk_niah_easy": "\n\nPlease copy the Question 7 from the context. ",
+    "mk_niah_medium": "\n\nHere are some examples to help you understand the task:\n\n", "mk_niah_hard": "\n\nHere are some examples to help you understand the task:\n\n",
+    "mv_niah_easy": "\n\nPlease find and copy all the Question 12 from the context. ", "mv_niah_medium": "\n\nPlease first copy all the Question 3 from the context, ",
+    "mv_niah_hard": "\n\nPlease copy the 3rd (1 indexed) Question 7 from the context. ", "qa_basic": "\n\nText: ", "qa_easy": "\n\nQuestion: ",
+    "qa_medium": "\n\nPlease first find and copy paste the documents relevant to ", "qa_hard": "\n\nPlease answer the following question based on the documents. ", "qa_none": "\n\nNothing: ",
+}
+quoted = lambda x: "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+@query(f"""
+WITH t AS (SELECT * FROM (VALUES {", ".join(f"({i}, {quoted(k)}, {quoted(prompts.RETRIEVAL[k][0]) if k in prompts.RETRIEVAL else 'NULL'}, {quoted(v)})" for i, (k, v) in enumerate(TAILS.items()))}) v(i, task, head, tail)),
+r AS (SELECT doc_id, task, coalesce(text, '') AS hay, doc_id // 13 % 7 AS k, head, tail || left(coalesce(text, ''), 20) AS tail FROM documents JOIN t ON doc_id % 13 = i),
+x AS (SELECT *, CASE WHEN k = 0 THEN 'no_tail' WHEN k = 1 THEN 'many_tails' WHEN head IS NULL OR k = 2 THEN 'other_header' WHEN k = 3 OR hay = '' THEN 'nothing_between' END AS problem FROM r)
+SELECT doc_id, CASE WHEN head IS NULL THEN 'other_task' ELSE problem END AS problem, CASE WHEN problem IS NULL THEN md5(hay) END AS haystack,
+  CASE WHEN problem IS NULL THEN length(head) END AS header, CASE WHEN problem IS NULL THEN tail END AS tail FROM x""")
 def split_prompts(spark, sf_dir):
-    d = F.col("doc_id")
-    task = F.when(d % 6 == 5, "qa_none").when(d % 6 == 4, "qa_easy").otherwise("qa_basic")
-    end = F.concat(F.lit("\n\nText: "), d.cast("string"))
-    said = F.concat(F.lit(prompts.FIND_TEXT), F.col("text"), F.when(d % 6 == 2, F.lit("")).when(d % 6 == 3, F.concat(end, end)).otherwise(end))
+    """Prompts of all tasks around whole documents; some lack their tail, have it twice, begin otherwise, or have nothing between."""
+    d, k = F.col("doc_id"), F.floor(F.col("doc_id") / 13) % 7
+    task = F.element_at(F.array(*map(F.lit, TAILS)), (d % 13 + 1).cast("int"))
+    hay = F.coalesce("text", F.lit(""))
+    head = F.coalesce(prompts.by_task(task, {t: h for t, (h, _) in prompts.RETRIEVAL.items()}), F.lit(""))
+    tail = F.concat(prompts.by_task(task, TAILS), F.substring(hay, 1, 20))
+    said = F.concat(F.when(k == 2, F.concat(F.lit("> "), head)).otherwise(head), F.when(k == 3, "").otherwise(hay), F.when(k == 0, "").when(k == 1, F.concat(tail, tail)).otherwise(tail))
     parts = table(spark, sf_dir, "documents").select("doc_id", prompts.split_retrieval(task, said).alias("p"))
     return parts.select("doc_id", "p.problem", F.md5("p.haystack").alias("haystack"), F.length("p.header").cast("long").alias("header"), "p.tail")
 

@@ -304,11 +304,60 @@ def length_grouped_pack(spark, sf_dir):
     return sequences.packed_by(table(spark, sf_dir, "documents"), ["source"], "doc_id", "n_chars", bins)
 
 
-@query()
+#: resample.poisson_weights in SQL: w is how often a unit (its text: u) is in draw d of the given number.
+def weighed(rows: str, unit: str, draws: int, seed: int) -> str:
+    steps = " ".join(f"WHEN x < {t} THEN {k}" for k, t in enumerate(resample.POISSON))
+    part = lambda at: f"CAST('0x' || substr(md5('{seed}:' || coalesce(CAST({unit} AS VARCHAR), '')), {at}, 15) AS BIGINT)"
+    return f"""(SELECT *, CASE {steps} ELSE {len(resample.POISSON)} END AS w FROM (
+  SELECT *, (a + b * d) % {resample.PRIME} AS x FROM (SELECT *, {part(1)} % {resample.PRIME} AS a, {part(16)} % {resample.PRIME - 1} + 1 AS b FROM {rows}), (SELECT range AS d FROM range({draws}))))"""
+
+
+@query(f"""
+WITH m AS (SELECT user_id, d, sum(w * value) / sum(w) AS m FROM {weighed("(SELECT * FROM events WHERE value IS NOT NULL)", "event_id", 200, 42)} WHERE w > 0 GROUP BY ALL),
+q AS (SELECT user_id, quantile_cont(m, [0.025, 0.975]) AS q FROM m GROUP BY user_id)
+SELECT user_id, n, mean, round(q[1], 6) AS low, round(q[2], 6) AS high FROM (SELECT user_id, count(value) AS n, round(avg(value), 6) AS mean FROM events WHERE value IS NOT NULL GROUP BY user_id) JOIN q USING (user_id)""")
 def bootstrap_ci(spark, sf_dir):
-    return resample.bootstrap(table(spark, sf_dir, "events"), ["user_id"], "value", draws=200, seed=42)
+    found = resample.bootstrap(table(spark, sf_dir, "events"), ["user_id"], "value", draws=200, seed=42, unit="event_id")
+    return found.select("user_id", "n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
 
-@query()
+@query("""
+WITH c AS (SELECT event_type AS s, user_id AS p, coalesce(value, 'nan') AS v, count(*) AS c FROM events GROUP BY ALL),
+r AS (SELECT *, sum(c) OVER (PARTITION BY s, p ORDER BY v) - c AS below, sum(c) OVER (PARTITION BY s, p) AS n, sum(v * c) OVER (PARTITION BY s, p) / sum(c) OVER (PARTITION BY s, p) AS mean FROM c),
+k AS (SELECT *, unnest(list_append(list_filter(list_transform(range(1, 40), lambda b: CAST(1 AS BIGINT) << b), lambda k: k < n), CAST(n AS BIGINT))) AS k FROM r),
+w AS (SELECT *, v - mean AS y, pow((below + c) / n, k) - pow(below / n, k) AS b, pow((n - below) / n, k) - pow((n - below - c) / n, k) AS w FROM k),
+x AS (SELECT s, p, k, any_value(mean) AS mean, sum(y * b) AS b1, sum(y * y * b) AS b2, sum(y * w) AS w1, sum(y * y * w) AS w2 FROM w GROUP BY ALL),
+m AS (
+  SELECT s, 'mean@' || CAST(n AS BIGINT) AS metric, any_value(mean) AS v FROM r GROUP BY s, p, n UNION ALL
+  SELECT s, 'std@' || CAST(n AS BIGINT), sqrt(sum((v - mean) * (v - mean) * c) / sum(c)) FROM r GROUP BY s, p, n UNION ALL
+  SELECT s, 'best@' || k || '/mean', mean + b1 FROM x UNION ALL SELECT s, 'best@' || k || '/std', sqrt(greatest(b2 - b1 * b1, 0)) FROM x UNION ALL
+  SELECT s, 'worst@' || k || '/mean', mean + w1 FROM x UNION ALL SELECT s, 'worst@' || k || '/std', sqrt(greatest(w2 - w1 * w1, 0)) FROM x)
+SELECT s AS event_type, metric, round(avg(v), 6) AS value FROM m GROUP BY ALL""")
 def bootstrap_best_at_k(spark, sf_dir):
-    return resample.validation_metrics(table(spark, sf_dir, "events"), "event_type", "user_id", "value", "event_id", draws=1000, seed=42)
+    found = resample.validation_metrics(table(spark, sf_dir, "events"), "event_type", "user_id", "value")
+    return found.select("event_type", "metric", F.round("value", 6).alias("value"))
+
+
+@query()
+def validation_with_votes(spark, sf_dir):
+    """Success of answers to prompts (the clients' clicks of a kind), with majorities of what they chose."""
+    rows = table(spark, sf_dir, "events").select("event_type", "user_id", F.floor(F.col("value") / 20).alias("pred"), (F.floor(F.col("value") / 20) % 3 == 0).cast("double").alias("score"))
+    found = resample.validation_metrics(rows, "event_type", "user_id", "score", vote="pred", draws=200)
+    return found.select("event_type", "metric", F.round("value", 6).alias("value"))
+
+
+@query(f"""
+WITH s AS (SELECT status, client_id, priority, avg(CASE WHEN total > 25 * priority THEN 1.0 ELSE 0 END) AS y FROM sales WHERE client_id IS NOT NULL AND total IS NOT NULL AND priority IS NOT NULL GROUP BY ALL),
+x AS (SELECT status, count(DISTINCT priority) AS xs FROM s GROUP BY status),
+u AS (SELECT status, client_id FROM s JOIN x USING (status) GROUP BY status, client_id, xs HAVING count(DISTINCT priority) = xs),
+f AS (SELECT s.* FROM s JOIN u USING (status, client_id)),
+c AS (SELECT status, priority, d, sum(w * y) / sum(w) AS m FROM {weighed("f", "client_id", 300, 7)} WHERE w > 0 GROUP BY ALL),
+n AS (SELECT *, lead(priority) OVER v AS p2, lead(m) OVER v AS m2 FROM c WINDOW v AS (PARTITION BY status, d ORDER BY priority)),
+t AS (SELECT status, d, round(arg_min(exp(ln(priority) + (0.5 - m) / (m2 - m) * (ln(p2) - ln(priority))), priority), 6) AS t FROM n WHERE (m - 0.5) * (m2 - 0.5) <= 0 AND m <> m2 GROUP BY ALL)
+SELECT status, count(t) AS crossed, CASE WHEN count(t) > 50 THEN round(quantile_cont(t, 0.025), 5) END AS low, CASE WHEN count(t) > 50 THEN round(quantile_cont(t, 0.975), 5) END AS high FROM t GROUP BY status""")
+def threshold_intervals(spark, sf_dir):
+    """Where the share of a client's sales above a rising level falls below a half, with the interval over clients."""
+    rows = table(spark, sf_dir, "sales").where("client_id IS NOT NULL AND total IS NOT NULL AND priority IS NOT NULL")
+    rows = rows.groupBy("status", "client_id", "priority").agg(F.avg(F.when(F.col("total") > 25 * F.col("priority"), 1.0).otherwise(0.0)).alias("y"))
+    found = resample.threshold_interval(rows, ["status"], "client_id", "priority", "y", 0.5, draws=300, seed=7)
+    return found.select("status", "crossed", *[F.round(c, 5).alias(c) for c in ("low", "high")])
