@@ -194,18 +194,24 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_chars: i
     one, more = next(blocks), next(blocks, None)
     if more is None:
         return searched(rows, ordered(docs, *one, window))
-    # a row's text and id needn't be unique, so rows are told apart by their place; one block is held at a time
-    rows = rows.withColumn("row_key", F.monotonically_increasing_id())
-    out = staged(searched(rows, ordered(docs, *one, window)), "found")
+    # rows of one id and text find the same, so they are one row, with their number, until all blocks are searched: a key
+    # of their own for each row, evaluated block by block, needn't be the same in each
+    def of_block(block: tuple[list, list], at: int) -> DataFrame:
+        found = searched(rows, ordered(docs, *block, window)).groupBy("doc_id", "text_key").agg(
+            F.first("n_words").alias("n_words"), F.first("spans").alias("spans"), F.first("items").alias("items"), F.count("*").alias("times")
+        )
+        return staged(found, f"found{at}")
+
+    out, at = of_block(one, 0), 0
     while more is not None:
-        out = out.unionByName(staged(searched(rows, ordered(docs, *more, window)), "found"))
+        at += 1
+        out = out.unionByName(of_block(more, at))
         more = next(blocks, None)
-    out = out.groupBy("row_key").agg(
-        F.first("doc_id").alias("doc_id"), F.first("text_key").alias("text_key"), F.first("n_words").alias("n_words"),
-        merged_spans(F.flatten(F.collect_list("spans"))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    out = out.groupBy("doc_id", "text_key").agg(
+        F.first("n_words").alias("n_words"), merged_spans(F.flatten(F.collect_list("spans"))).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.first("times").alias("times"),
     )
-    return out.drop("row_key")
+    return out.select("doc_id", "text_key", "n_words", "spans", "items", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("copy")).drop("copy")
 
 
 def n_hit() -> Column:
