@@ -74,13 +74,13 @@ def dedup(docs: DataFrame, min_sites: int = 8, min_words: int = 3) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    return dedup(docs.select("doc_id", "text", "source")).select("doc_id", "n_lines", "n_removed", "text")
+    return dedup(docs.select("doc_id", "text", "source"), min_words=1).select("doc_id", "n_lines", "n_removed", "text")
 
 
 ORACLE_SQL = r"""
 WITH l AS (
   SELECT doc_id, coalesce(source, '') AS site, line, pos,
-    len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> '')) >= 3 AS counts
+    len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> '')) >= 1 AS counts
   FROM (SELECT doc_id, source, unnest(p) AS line, unnest(range(0, len(p))) AS pos
         FROM (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS p FROM documents))
 ), b AS (
