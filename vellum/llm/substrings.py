@@ -12,9 +12,10 @@ in the same document before. All strings are judged on the input.
 3. The bytes of these are fetched from their documents and sharded by content. Each shard's suffix array is made by
    induced sorting; neighbours in it whose permuted common prefix reaches ``least`` hold the same string, and all
    but the earliest of these are repeated.
-4. An anchor that many runs of one chunk share (a line or passage of a large part of all documents, with other text
-   around it in each) would make one shard that grows with the corpus. Its runs are dealt by their whole content in
-   step 2, and in step 3 by that of each string; the earliest of equal strings in a piece stands for all of them.
+4. An anchor that many runs share (a line or passage of many documents, with other text around it in each) would make
+   one shard that grows with the corpus. Where the differing runs of an anchor, counted over all chunks, have more bytes
+   than a shard, step 3 deals them by the content of each string instead; the earliest of equal strings in a piece stands
+   for all of them. Where a chunk alone has many, their short rows too are dealt in step 2, by their whole content.
 5. Repeated strings go back to their documents as spans.
 
 Contents of anchors and runs are compared by 64-bit hashes in steps 1, 2 and 4, bytes by themselves in step 3.
@@ -38,7 +39,7 @@ RUN = np.dtype([("key", "<u4"), ("whole", "<u8"), ("doc", "<i8"), ("text", "<i8"
 GONE = np.dtype([("doc", "<i8"), ("text", "<i8"), ("first", "<u4"), ("after", "<u4")])
 #: Bytes of texts that are cut into runs at once, and of a shard's suffix array.
 CHUNK, SHARD = 1_000_000, 500_000
-#: Differing runs of one anchor in a chunk from which on the anchor is hot, and the mark of a hot anchor's runs in n.
+#: Differing runs of one anchor in a chunk from which on their rows are dealt, and the mark of a dealt run in n.
 HOT, DEALT = 32, 128
 NO_ID = np.iinfo(np.int64).min
 SPANS = "kind long, key long, doc long, text long, first long, after long"
@@ -200,8 +201,9 @@ def span_batch(rows: np.ndarray, kind: int = 0, key: np.ndarray | None = None) -
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "key", "doc", "text", "first", "after"])
 
 
-def settled(packed: DataFrame, least: int) -> DataFrame:
-    """SPANS of a part's runs: repeated ones, and the earliest of each kind that must be compared further."""
+def settled(packed: DataFrame, least: int, shard: int = SHARD) -> DataFrame:
+    """SPANS of a part's runs: repeated ones, and the earliest of each kind that must be compared further: by anchor, or
+    string by string where those of an anchor have more than ``shard`` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -220,6 +222,8 @@ def settled(packed: DataFrame, least: int) -> DataFrame:
             mark, dealt = rows["n"] == 0, rows["n"] >= DEALT
             hot = np.bincount(group, mark) > 0
             kinds = np.bincount(group[kind & ~mark & ~dealt], minlength=group[-1] + 1)
+            # an anchor's runs are all here, unless it is hot
+            hot |= np.bincount(group, (kind & ~mark & ~dealt) * (rows["n"].astype(np.int64) + least - 1)) > shard
             one_by_one = kind & ~mark & (dealt | hot[group])
             open_ = kind & ~mark & ~dealt & ~hot[group] & (kinds[group] > 1)
             for code, which in ((1, open_), (2, one_by_one)):
@@ -285,7 +289,7 @@ def earliest(found: np.ndarray, string: np.ndarray) -> tuple[np.ndarray, np.ndar
     return found[new], string[new], found[~new & changes(found, "doc", "text", "first")]
 
 
-def compared(docs: DataFrame, open_: DataFrame, least: int) -> DataFrame:
+def compared(docs: DataFrame, open_: DataFrame, least: int, shard: int = SHARD) -> DataFrame:
     """SPANS that are repeated among open_ (kinds 1 and 2). docs: doc_id, doc, text_ and text (its key)."""
     wanted = open_.groupBy("doc", "text").agg(F.collect_list(F.struct("kind", "key", "first", "after")).alias("wanted"))
     # with the same columns as in removed(), so that documents are shuffled once for both joins
@@ -341,7 +345,7 @@ def compared(docs: DataFrame, open_: DataFrame, least: int) -> DataFrame:
             if len(done):
                 yield span_batch(done)
             for _, key, doc, text, first, own in zip(*(c.to_pylist() for c in batch.filter(pa.array(kinds == 1)).columns), strict=True):
-                if size >= SHARD and key != last:
+                if size >= shard and key != last:
                     yield span_batch(repeated_in_shard(held, least))
                     held, size = [], 0
                 held.append((doc, text, first, own))
@@ -359,19 +363,20 @@ def compared(docs: DataFrame, open_: DataFrame, least: int) -> DataFrame:
     return rows.mapInArrow(run, SPANS).select("doc", "text", "first", "after")
 
 
-def removed(docs: DataFrame, least: int = 100) -> DataFrame:
+def removed(docs: DataFrame, least: int = 100, shard: int = SHARD) -> DataFrame:
     """doc_id, spans (sorted maximal removed runs of bytes, as first and after), and text and kept as binary.
 
     docs: doc_id and text; other columns are ignored. A null text is empty. Rows that share a doc_id are documents of
     their own, told apart by their texts and in the order of the texts' hashes; rows that repeat both doc_id and text
     are one document and each lose the same bytes. Null ids come before all others. Texts of fewer bytes than
-    ``least`` keep all; empty tables give no rows.
+    ``least`` keep all; empty tables give no rows. shard: bytes that a suffix array is made of, at most twice as many.
     """
     named = docs.select("doc_id", F.coalesce("doc_id", F.lit(int(NO_ID))).alias("doc"), F.col("text").alias("text_"), text_key(F.col("text")).alias("text"))
-    parts = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = packed_runs(named.select("doc", "text_", "text"), least, parts).repartition("part").sortWithinPartitions("part")
-    found = staged(settled(packed, least), "runs")
-    more = compared(named, found.where("kind > 0"), least)
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the same number of parts for each task, which their hashes wouldn't give
+    packed = packed_runs(named.select("doc", "text_", "text"), least, 8 * tasks).repartitionById(tasks, (F.col("part") % tasks).cast("int")).sortWithinPartitions("part")
+    found = staged(settled(packed, least, shard), "runs")
+    more = compared(named, found.where("kind > 0"), least, shard)
     gone = found.where("kind = 0").select("doc", "text", "first", "after").unionByName(more)
     gone = gone.groupBy("doc", "text").agg(F.collect_list(F.struct("first", "after")).alias("gone"))
     both = named.join(gone, ["doc", "text"], "left")
