@@ -33,7 +33,7 @@ ALLOW_TOPICS = (
 )
 BLOCK_PATHS = "buy bonus free win cheap online play live offer deal claim prize".split()
 ALLOW_PATHS = "about guide index contact events article help page visit minutes lesson photos".split()
-#: Letters of the longest word in a name: as many as a label of a host may have.
+#: Letters of the longest word that is looked up in the texts: as many as a label of a host may have. Unknown words have no such bound.
 LONGEST = 63
 
 
@@ -69,13 +69,16 @@ def substrings(name: Column) -> Column:
 
 
 def viterbi(name: str, logs: dict[str, float], total: float) -> list[str]:
-    """The likeliest words that a name is made of; an unknown word is ten times less likely a letter."""
+    """The likeliest words that a name is made of; an unknown word, of any length, is ten times less likely a letter."""
     best: list[tuple[float, int]] = [(0.0, 0)]
+    # where the likeliest unknown word would begin: its likelihood falls alike with each letter, wherever it began
+    before: tuple[float, int] = (-math.inf, 0)
     for end in range(1, len(name) + 1):
-        options = []
+        before = max(before, (best[end - 1][0] + (end - 1) * math.log(10), end - 1))
+        options = [(before[0] + math.log(10 / total) - end * math.log(10), before[1])]
         for start in range(max(0, end - LONGEST), end):
-            own = logs.get(name[start:end], math.log(10 / total) - (end - start) * math.log(10))
-            options.append((best[start][0] + own, start))
+            if (own := logs.get(name[start:end])) is not None:
+                options.append((best[start][0] + own, start))
         best.append(max(options))
     out, end = [], len(name)
     while end:
