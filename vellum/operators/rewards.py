@@ -19,6 +19,8 @@ from vellum.functions import geometry, grading, text
 
 #: Weights of the document reward. Fixed values.
 ANSWER_WEIGHT, FORMAT_WEIGHT, TOOL_WEIGHT = 0.8, 0.2, 0.2
+#: How a prompt ends that opens the thinking. Fixed value.
+PREFILLED = "<|im_start|>assistant\n<think>"
 #: How evidence boxes are widened. Fixed values.
 EXPANSION, LEAST_SIDE = 1.2, 80.0
 
@@ -26,12 +28,13 @@ EXPANSION, LEAST_SIDE = 1.2, 80.0
 def parsed(rows: DataFrame) -> DataFrame:
     """rows (solution, golds, evidence, num_pages) with p: what only a parser can find in the solution.
 
-    evidence: array of struct(page, box) with expanded boxes. p: the final answer, matched golds, whether its form is
+    evidence: array of struct(page, box) with expanded boxes. A prompt column, where there is one, says whether the thinking
+    was opened before the solution begins: its end opens an assistant turn and the thinking. p: the final answer, matched golds, whether its form is
     right, calls, invalid calls, valid calls, and the sum and best of the boxes' overlap with evidence, one to one.
     """
     kind = "answer string, matched int, formed boolean, calls int, invalid int, valid int, quality double, best_iou double, used int"
 
-    def judge(solution: str, golds, evidence, num_pages) -> dict:
+    def judge(solution: str, golds, evidence, num_pages, prompt) -> dict:
         answer = grading.final_answer(solution)
         said = "\n".join(grading.assistant_turns(solution))
         calls, broken = grading.tool_calls(said)
@@ -47,7 +50,8 @@ def parsed(rows: DataFrame) -> DataFrame:
         area = [min(1.0, 2 * (1 - (b[2] - b[0]) * (b[3] - b[1]) / 1e6)) for _, b in boxes]
         quality, used = grading.assigned([[x * f for x in row] for row, f in zip(ious, area, strict=True)]) if boxes and len(evidence) else (0.0, 0)
         end = grading.CHAT_END.sub("", said)
-        formed = bool(answer) and end.count("<think>") == end.count("</think>") and not end.rpartition("</answer>")[2].strip()
+        opened = end.count("<think>") + (prompt or "").rstrip().endswith(PREFILLED)
+        formed = bool(answer) and opened == end.count("</think>") and not end.rpartition("</answer>")[2].strip()
         return {
             "answer": answer, "matched": grading.matched_golds(answer, list(golds)), "formed": formed, "calls": len(calls) + broken,
             "invalid": broken + len(calls) - len(boxes), "valid": len(boxes), "quality": quality,
@@ -57,10 +61,11 @@ def parsed(rows: DataFrame) -> DataFrame:
     @F.pandas_udf(kind)
     def run(packed: pd.DataFrame) -> pd.DataFrame:
         pages = packed["num_pages"].map(lambda x: None if x is None or math.isnan(x) else int(x))
-        found = [judge(s or "", g, e, n) for s, g, e, n in zip(packed["solution"], packed["golds"], packed["evidence"], pages, strict=True)]
+        found = [judge(s or "", g, e, n, p) for s, g, e, n, p in zip(packed["solution"], packed["golds"], packed["evidence"], pages, packed["prompt"], strict=True)]
         return pd.DataFrame(found, columns=[c.split()[0] for c in kind.split(", ")])
 
-    return rows.withColumn("p", run(F.struct("solution", "golds", "evidence", F.col("num_pages").cast("double").alias("num_pages"))))
+    prompt = F.col("prompt") if "prompt" in rows.columns else F.lit(None).cast("string")
+    return rows.withColumn("p", run(F.struct("solution", "golds", "evidence", F.col("num_pages").cast("double").alias("num_pages"), prompt.alias("prompt"))))
 
 
 def is_box(box) -> bool:
@@ -82,7 +87,7 @@ def document_reward(rows: DataFrame) -> DataFrame:
         {
             "acc_reward": F.coalesce(F.try_divide(p["matched"], F.size("golds")), F.lit(0.0)),
             "iou_reward": F.coalesce(F.try_divide(p["quality"], F.least(p["calls"], n)), F.lit(0.0)),
-            "call_efficiency": F.coalesce(F.least(F.lit(1.0), F.try_divide(n, p["calls"])), F.lit(0.0)),
+            "call_efficiency": F.least(F.lit(1.0), F.coalesce(F.try_divide(n, p["calls"]), F.lit(0.0))),
             "format_reward": (p["formed"] & (p["calls"] <= n) & (p["invalid"] == 0)).cast("double"),
             "answer_correct": ((p["answer"] != "") & (F.size("golds") > 0) & (p["matched"] == F.size("golds"))).cast("double"),
             "dpi_factor": F.pow(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (144.0 - F.coalesce("dpi", F.lit(72.0))) / 72.0)), F.lit(2)),
@@ -94,6 +99,31 @@ def document_reward(rows: DataFrame) -> DataFrame:
     )
 
 
+#: The parts of a document reward that with_parts gives, beside the constants of evidence boxes. Fixed values.
+PARTS = (
+    "score", "acc_reward", "answer_matches", "answer_partial", "answer_correct", "final_answer_present", "format_reward", "structural_format_reward", "actual_tool_called", "dpi", "dpi_factor",
+    "tool_reward", "matched_evidence", "iou_reward", "call_efficiency", "excess_call_ratio", "best_iou", "tool_calls", "valid_tool_calls", "invalid_tool_calls",
+)
+
+
+def with_parts(found: DataFrame) -> DataFrame:
+    """What document_reward found, with every part of it as a column: answer_exact, answer_count, tool_bonus, evidence_count and
+    the sizes of evidence boxes too. answer_partial is the best share of a gold's words that an answer without a match has."""
+    p, n = F.col("p"), F.size("evidence")
+    words = lambda x: F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit("([a-z0-9]+)"), F.lit(1)))
+    shares = F.transform("golds", lambda g: text.token_set_overlap(words(p["answer"]), words(g)))
+    return found.withColumns(
+        {
+            "answer_exact": F.col("acc_reward"), "answer_matches": p["matched"], "answer_count": F.size("golds"), "final_answer_present": (p["answer"] != "").cast("double"),
+            "answer_partial": F.when(p["matched"] == 0, F.coalesce(F.array_max(shares), F.lit(0.0))).otherwise(0.0), "structural_format_reward": p["formed"].cast("double"),
+            "actual_tool_called": (p["valid"] > 0).cast("double"), "dpi": F.coalesce("dpi", F.lit(72.0)), "tool_reward": F.col("tool_bonus") / TOOL_WEIGHT, "evidence_count": n,
+            "evidence_expansion": F.lit(EXPANSION), "min_evidence_width": F.lit(LEAST_SIDE), "min_evidence_height": F.lit(LEAST_SIDE), "matched_evidence": p["used"],
+            "excess_call_ratio": F.greatest(F.lit(0), p["calls"] - n) / F.greatest(F.lit(1), p["calls"]), "best_iou": p["best_iou"],
+            "tool_calls": p["calls"], "valid_tool_calls": p["valid"], "invalid_tool_calls": p["invalid"],
+        }
+    )
+
+
 #: Scorers by data source: functions of the prediction and gold columns.
 SCORERS: dict[str, Callable[[Column, Column], Column]] = {}
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from vellum.plans import answers, generations, inputs, scores, shapes, training
+from vellum.plans import answers, generations, inputs, records, scores, shapes, training
 
 FLAGSHIP = "token_f1_pairs"
-MODULES = (scores, training, answers, shapes, generations, inputs)
+MODULES = (scores, training, answers, shapes, generations, inputs, records)
 
 
 def queries() -> dict:
