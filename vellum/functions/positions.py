@@ -119,13 +119,13 @@ def corrupted(ids: Column, row: Column, mask_id: int, special: Column, least: fl
         raise ValueError("rates go from least to most, within 0 and 1")
     rate = uniform(seed, row, F.lit(-1)) * (most - least) + least
 
-    def of(p: Column) -> Column:
-        hit = F.transform(ids, lambda x, i: (uniform(seed, row, i) < p) & ~F.coalesce(F.get(special, i), F.lit(False)))
-        masked = F.zip_with(ids, hit, lambda x, h: F.when(h, F.lit(mask_id)).otherwise(x))
-        labels = F.zip_with(ids, hit, lambda x, h: F.when(h, x).otherwise(F.lit(ignore)))
-        return F.struct(masked.alias("ids"), labels.alias("labels"), p.alias("rate"))
+    def of(x: Column) -> Column:
+        hit = F.transform(ids, lambda v, i: (uniform(seed, row, i) < x["p"]) & ~F.coalesce(F.get(x["special"], i), F.lit(False)))
+        masked = lambda h: F.zip_with(ids, h, lambda v, on: F.when(on, F.lit(mask_id)).otherwise(v))
+        labels = lambda h: F.zip_with(ids, h, lambda v, on: F.when(on, v).otherwise(F.lit(ignore)))
+        return let(hit, lambda h: F.struct(masked(h).alias("ids"), labels(h).alias("labels"), x["p"].alias("rate")))
 
-    return let(rate, of)
+    return let(F.struct(rate.alias("p"), special.alias("special")), of)
 
 
 def random_mask(length: Column, row: Column, most_valid: float, most_left: float, seed: int, least_valid: float = 0) -> Column:

@@ -145,6 +145,11 @@ def dispatched(source: Column, pred: Column, gold: Column) -> Column:
     return out
 
 
+def exact_match(pred: Column, gold: Column) -> Column:
+    """1 if an answer is the gold, both as retrieval agents' answers are normalised; null texts match nothing."""
+    return F.coalesce(text.normalize_agent_answer(pred) == text.normalize_agent_answer(gold), F.lit(False)).cast("double")
+
+
 register_scorer("gsm", grading.gsm_score)
 register_scorer("math", grading.math_score_udf)
 
@@ -209,4 +214,12 @@ def retrieval_reward(pred: Column, gold: Column) -> Column:
     return 2.0 * text.agent_f1(answer, gold)["f1"] + F.when(marks[-1] >= 1, 1.0).otherwise(-1.0) + F.when(bad, -1.0).otherwise(0.0)
 
 
+def retrieval_exact(pred: Column, gold: Column) -> Column:
+    """1 if what the last answer tag behind the last thinking holds is the gold, but for case and ASCII punctuation."""
+    plain = lambda x: F.translate(F.lower(x), text.PUNCTUATION, "")
+    said = F.trim(F.regexp_replace(retrieval_answer(F.substring_index(pred, "</think>", -1)), r"(?U)^\s+|\s+$", ""))
+    return F.coalesce(plain(said) == plain(gold), F.lit(False)).cast("double")
+
+
 register_scorer("retrieval", retrieval_reward)
+register_scorer("retrieval_test", retrieval_exact)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from vellum.plans import answers, coverage, generations, inputs, records, scores, shapes, training
+from vellum.plans import answers, coverage, generations, graded, inputs, records, scores, shapes, training
 
 FLAGSHIP = "token_f1_pairs"
-MODULES = (scores, training, answers, shapes, generations, inputs, records, coverage)
+MODULES = (scores, training, answers, shapes, generations, inputs, records, coverage, graded)
 
 
 def queries() -> dict:

@@ -315,10 +315,10 @@ def weighed(rows: str, unit: str, draws: int, seed: int) -> str:
 @query(f"""
 WITH m AS (SELECT user_id, d, sum(w * value) / sum(w) AS m FROM {weighed("(SELECT * FROM events WHERE value IS NOT NULL)", "event_id", 200, 42)} WHERE w > 0 GROUP BY ALL),
 q AS (SELECT user_id, quantile_cont(m, [0.025, 0.975]) AS q FROM m GROUP BY user_id)
-SELECT user_id, n, mean, round(q[1], 6) AS low, round(q[2], 6) AS high FROM (SELECT user_id, count(value) AS n, round(avg(value), 6) AS mean FROM events WHERE value IS NOT NULL GROUP BY user_id) JOIN q USING (user_id)""")
+SELECT user_id, n, mean, round(q[1], 9) AS low, round(q[2], 9) AS high FROM (SELECT user_id, count(value) AS n, round(avg(value), 9) AS mean FROM events WHERE value IS NOT NULL GROUP BY user_id) JOIN q USING (user_id)""")
 def bootstrap_ci(spark, sf_dir):
     found = resample.bootstrap(table(spark, sf_dir, "events"), ["user_id"], "value", draws=200, seed=42, unit="event_id")
-    return found.select("user_id", "n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
+    return found.select("user_id", "n", *[F.round(c, 9).alias(c) for c in ("mean", "low", "high")])
 
 
 @query("""
@@ -332,17 +332,17 @@ m AS (
   SELECT s, 'std@' || CAST(n AS BIGINT), sqrt(sum((v - mean) * (v - mean) * c) / sum(c)) FROM r GROUP BY s, p, n UNION ALL
   SELECT s, 'best@' || k || '/mean', mean + b1 FROM x UNION ALL SELECT s, 'best@' || k || '/std', sqrt(greatest(b2 - b1 * b1, 0)) FROM x UNION ALL
   SELECT s, 'worst@' || k || '/mean', mean + w1 FROM x UNION ALL SELECT s, 'worst@' || k || '/std', sqrt(greatest(w2 - w1 * w1, 0)) FROM x)
-SELECT s AS event_type, metric, round(avg(v), 6) AS value FROM m GROUP BY ALL""")
+SELECT s AS event_type, metric, round(avg(v), 9) AS value FROM m GROUP BY ALL""")
 def bootstrap_best_at_k(spark, sf_dir):
     found = resample.validation_metrics(table(spark, sf_dir, "events"), "event_type", "user_id", "value")
-    return found.select("event_type", "metric", F.round("value", 6).alias("value"))
+    return found.select("event_type", "metric", F.round("value", 9).alias("value"))
 
 
 @query()
 def validation_with_votes(spark, sf_dir):
     """Success of answers to prompts (the clients' clicks of a kind), with majorities of what they chose."""
     rows = table(spark, sf_dir, "events").select("event_type", "user_id", F.floor(F.col("value") / 20).alias("pred"), (F.floor(F.col("value") / 20) % 3 == 0).cast("double").alias("score"))
-    found = resample.validation_metrics(rows, "event_type", "user_id", "score", vote="pred", draws=200)
+    found = resample.validation_metrics(rows, "event_type", "user_id", "score", vote="pred", draws=50)
     return found.select("event_type", "metric", F.round("value", 6).alias("value"))
 
 
