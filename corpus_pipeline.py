@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm import decontaminate, lines, ngram_join, packing, quality
-from vellum.llm.common import staged, text_key
+from vellum.llm.common import forget, staged, text_key
 from vellum.session import table
 
 
@@ -81,7 +81,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages on the documents. What a stage returned is deleted once the next one's result is written, but for the
+    documents that the last stage reads."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
