@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.operators.sequences import ranked
+
 
 def selected(rows: DataFrame, columns: list[str], strict: bool = True) -> DataFrame:
     """Some columns; one that isn't there raises, or is left out if not strict."""
@@ -89,17 +91,21 @@ def sliced(rows: DataFrame, place: str, start: int | None, stop: int | None, ste
     return rows.where((p >= first) & (p < last) & ((p - first) % by == 0)).withColumn(place, F.floor((p - first) / by))
 
 
-def minibatches(rows: DataFrame, place: str, size: int, epochs: int, total: int, seed: int | None = None) -> DataFrame:
-    """epoch, step and slot of each row in each epoch: batches of one size, in order, or shuffled by a hash of seed and epoch."""
+def minibatches(rows: DataFrame, place: str, size: int, epochs: int, total: int | None = None, seed: int | None = None) -> DataFrame:
+    """epoch, step and slot of each row in each epoch: batches of one size, in order, or shuffled anew each epoch by a hash
+    of seed, epoch and place.
+
+    Places are 0 .. total - 1, once each (total: counted if it isn't given, and a multiple of size); one beyond raises. Shuffled
+    ranks come from sorted ranges, so no task sorts an epoch.
+    """
+    total = rows.count() if total is None else total
     if total % size:
         raise ValueError(f"{total} rows don't make batches of {size}")
-    each = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    if seed is None:
-        at = F.col(place)
-    else:
-        # one epoch's order is one sorted group: the batch in memory that it stands for
-        at = F.row_number().over(Window.partitionBy("epoch").orderBy(F.xxhash64(F.lit(seed), "epoch", place), place)) - 1
-    each = each.withColumn("at_", at)
+    inside = F.when((F.col(place) >= 0) & (F.col(place) < total), F.col(place)).otherwise(F.raise_error(F.lit(f"a place that isn't among {total}")).cast("long"))
+    each = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn("at_", inside)
+    if seed is not None:
+        mixed = each.withColumn("mixed_", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.col("at_").cast("string"))))
+        each = ranked(mixed, ["epoch", "mixed_", "at_"], "rank_").withColumn("at_", F.col("rank_") % total).drop("mixed_", "rank_", "total_")
     return each.withColumn("step", F.floor(F.col("at_") / size)).withColumn("slot", F.col("at_") % size).drop("at_")
 
 

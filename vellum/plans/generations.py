@@ -224,7 +224,19 @@ def dense_flops(spark, sf_dir):
 @query("""
 WITH e AS (SELECT unnest(range(3)) AS epoch) SELECT CAST(epoch AS INT) AS epoch, item_id, CAST(item_id // 5 AS BIGINT) AS step, CAST(item_id % 5 AS BIGINT) AS slot FROM benchmark, e""")
 def minibatch_epochs(spark, sf_dir):
-    return batches.minibatches(table(spark, sf_dir, "benchmark").select("item_id"), "item_id", 5, 3, 40).select("epoch", "item_id", F.col("step").cast("long").alias("step"), F.col("slot").cast("long").alias("slot"))
+    return batches.minibatches(table(spark, sf_dir, "benchmark").select("item_id"), "item_id", 5, 3).select("epoch", "item_id", F.col("step").cast("long").alias("step"), F.col("slot").cast("long").alias("slot"))
+
+
+@query("""
+WITH n AS (SELECT count(*) // 8 * 8 AS n FROM documents), d AS (SELECT doc_id, e.epoch FROM documents, n, (VALUES (0), (1)) e(epoch) WHERE doc_id < n),
+r AS (SELECT doc_id, epoch, row_number() OVER (PARTITION BY epoch ORDER BY md5('17:' || epoch || ':' || doc_id), doc_id) - 1 AS pos FROM d)
+SELECT CAST(epoch AS INTEGER) AS epoch, doc_id, pos // 8 AS step, pos % 8 AS slot FROM r""")
+def shuffled_minibatches(spark, sf_dir):
+    """Documents in batches of eight, shuffled anew in each of two epochs; the last, shorter batch isn't made."""
+    rows = table(spark, sf_dir, "documents").select("doc_id")
+    total = rows.count() // 8 * 8
+    found = batches.minibatches(rows.where(F.col("doc_id") < total), "doc_id", 8, 2, total, seed=17)
+    return found.select("epoch", "doc_id", F.col("step").cast("long").alias("step"), F.col("slot").cast("long").alias("slot"))
 
 
 @query("""
