@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellum.functions import citations, geometry, positions, text
-from vellum.operators import ranks, streams
+from vellum.operators import measures, ranks, rollup, streams
 from vellum.sources import runs
 
 
@@ -225,3 +225,24 @@ def test_letters_and_blocks(spark):
         assert one(text.choice_letter(F.lit(said))) == want, said
     for said, want in (("a Document 3: x\ny\n\nb", "a b"), ("Document 1: x\n\nDocument 2: y\nz\n\nend Document 4: w", "end Document 4: w"), ("plain\n\ntext", "plain\n\ntext"), ("Document x: y\n\nz", "Document x: y\n\nz")):
         assert one(text.without_document_blocks(F.lit(said))) == want, said
+
+
+def test_bins_have_names(spark):
+    rows = spark.createDataFrame([("a", i, float(i % 30)) for i in range(40)], "k string, i long, v double")
+    bins = rollup.median_bins(rows, ["k"], "i", "v", 10)
+    got = {r.i: r.bin_name for r in rollup.with_bins(rows, bins, ["k"], "i", 10, ["low", "mid", "high", "top"]).collect()}
+    assert (got[0], got[35], got[12], got[25]) == ("low", "mid", "high", "top")
+    with pytest.raises(Exception, match="without a named bin"):
+        rollup.with_bins(rows, bins, ["k"], "i", 10, ["low", "mid", "high"]).collect()
+
+
+def test_frames_and_batch_metrics(spark):
+    frames = [[([50, 51], 2), ([60], 1)], []]
+    row = spark.createDataFrame([([1, 9, 2, 9, 9], frames)], "x array<int>, f array<array<struct<stamp:array<int>,n:int>>>")
+    assert row.select(positions.expanded_frames(F.col("x"), 9, F.col("f")).alias("x")).first().x == [1, 50, 51, 9, 9, 60, 9, 2]
+    sequences = spark.createDataFrame([(1.0, 2.0, 4, 3, 0), (3.0, 0.0, 5, 2, 1)], "score double, reward double, prompt_length int, response_length int, obs_length int")
+    tokens = spark.createDataFrame([(1.0, 2.0, 1.5, 1), (2.0, 4.0, 4.5, 1), (9.0, 9.0, 9.0, 0)], "advantage double, `return` double, value double, mask int")
+    got = {r.metric: r.value for r in measures.data_metrics(sequences, tokens, 5, 3).collect()}
+    assert got["critic/score/mean"] == 2 and got["response_length/clip_ratio"] == 0.5 and got["prompt_length/clip_ratio"] == 0.5 and got["critic/advantages/max"] == 2
+    assert got["critic/vf_explained_var"] == pytest.approx(1 - 0.5 / (2 + 1e-5)) and got["actor/sample_length/mean"] == 7.5
+    assert not any(k.startswith("critic/v") for k in (r.metric for r in measures.data_metrics(sequences, tokens.drop("value"), 5, 3).collect()))

@@ -94,6 +94,20 @@ def pack_members(lengths: Column) -> Column:
     return F.flatten(F.transform(lengths, lambda n, i: F.array_repeat(i, n.cast("int"))))
 
 
+def expanded_frames(ids: Column, media: int, frames: Column) -> Column:
+    """ids with each media id replaced by its frames: for each the ids of its time stamp, then so many media ids.
+
+    frames: array<array<struct<stamp: array<int>, n: int>>>, one entry for each media id in turn; one without an entry, or
+    with no frames, goes. Entries left over are ignored.
+    """
+    def of(x: Column) -> Column:
+        turn = lambda i: F.size(F.filter(F.slice(x, 1, i), lambda y: y == media))
+        own = lambda i: F.flatten(F.transform(F.coalesce(F.get(frames, turn(i)), F.array().cast("array<struct<stamp:array<int>,n:int>>")), lambda f: F.concat(f["stamp"], F.array_repeat(F.lit(media), f["n"]))))
+        return F.flatten(F.transform(x, lambda v, i: F.when(v == media, own(i)).otherwise(F.array(v))))
+
+    return let(ids, of)
+
+
 def dialogue_labels(turns: Column, media: list[int], head: int = 3, ignore: int = -100) -> Column:
     """Labels of a dialogue: array<struct<role, ids>> as one array, where only what the assistant says counts: not user
     and system turns, nor the first ``head`` ids of an assistant turn, which name its role, nor media ids."""

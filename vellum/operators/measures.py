@@ -65,3 +65,31 @@ def dense_flops(lengths: DataFrame, hidden: int, vocab: int, layers: int, kv_hea
     weights = per_layer * layers + 2 * vocab * hidden
     tokens, squares = F.sum(F.col("length").cast("double")), F.sum(F.col("length").cast("double") * F.col("length"))
     return lengths.agg(((6.0 * weights * tokens + 12.0 * head * heads * layers * squares) / F.lit(seconds) / 1e12).alias("tflops"))
+
+
+def data_metrics(sequences: DataFrame, tokens: DataFrame, most_prompt: int, most_response: int) -> DataFrame:
+    """metric and value of a batch: mean, max and min of eight series, shares of lengths at their bounds, how much of the
+    returns the values explain, and the actor's lengths.
+
+    sequences: score, reward, prompt_length, response_length, obs_length. tokens: advantage, return, value, and mask, which
+    is 1 for what the policy wrote. Two aggregates of one row each. Without values there are none of these rows; an empty
+    batch gives nulls, and nulls in a series don't count.
+    """
+    ends = lambda name, c: [f(c).cast("double").alias(f"{name}/{k}") for k, f in (("mean", F.avg), ("max", F.max), ("min", F.min))]
+    c = F.col
+    response, prompt = c("response_length"), c("prompt_length")
+    per_sequence = [
+        *ends("critic/score", c("score")), *ends("critic/rewards", c("reward")), *ends("response_length", response), F.avg((response == most_response).cast("double")).alias("response_length/clip_ratio"),
+        *ends("obs_length", c("obs_length")), *ends("prompt_length", prompt), F.avg((prompt == most_prompt).cast("double")).alias("prompt_length/clip_ratio"),
+        F.avg((prompt + response + c("obs_length")).cast("double")).alias("actor/sample_length/mean"), F.avg(prompt).alias("actor/prompt_length/mean"),
+        F.avg(response).alias("actor/response_length/mean"), F.avg(c("obs_length")).alias("actor/observation_length/mean"),
+    ]
+    per_token = [*ends("critic/advantages", c("advantage")), *ends("critic/returns", c("return"))]
+    if "value" in tokens.columns:
+        left = 1 - F.var_samp(c("return") - c("value")) / (F.var_samp("return") + 1e-5)
+        per_token += [*ends("critic/values", c("value")), left.alias("critic/vf_explained_var")]
+
+    def long(row: DataFrame) -> DataFrame:
+        return row.select(F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"`{n}`").alias("value")) for n in row.columns])))
+
+    return long(sequences.agg(*per_sequence)).unionByName(long(tokens.where("mask = 1").agg(*per_token)))

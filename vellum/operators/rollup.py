@@ -43,6 +43,14 @@ def median_bins(rows: DataFrame, keys: list[str], ordinal: str, value: str, size
     return blocks.withColumn("bin", F.row_number().over(Window.partitionBy(*keys).orderBy("mid", "block")))
 
 
+def with_bins(rows: DataFrame, bins: DataFrame, keys: list[str], ordinal: str, size: int, name: Column | list[str]) -> DataFrame:
+    """rows with bin_name: the name of their block's bin, from a list or made of bin (from 1, of median_bins). A row without
+    a block, or a bin without a name, raises. There is one short row a block of so many rows."""
+    named = F.try_element_at(F.lit(list(name)), F.col("bin").cast("int")) if isinstance(name, list) else name
+    both = rows.withColumn("block", F.floor(F.col(ordinal) / size)).join(bins.select(*keys, "block", "bin"), [*keys, "block"], "left")
+    return both.withColumn("bin_name", F.coalesce(named, F.raise_error(F.lit("a block without a named bin")).cast("string"))).drop("block", "bin")
+
+
 def majority(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
     """The value that most rows have; of equals, that seen first."""
     votes = rows.groupBy(*keys, value).agg(F.count("*").alias("votes"), F.min(order).alias("first_"))

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vellum.operators import rewards, summaries
+from vellum.functions import positions
+from vellum.operators import measures, rewards, rollup, summaries
+from vellum.plans.coverage import scratch
 from vellum.session import table
+from vellum.sources import sinks
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -150,3 +153,83 @@ def document_reward_parts(spark, sf_dir):
     found = rewards.with_parts(rewards.document_reward(rows))
     exact = ("answer_matches", "matched_evidence", "tool_calls", "valid_tool_calls", "invalid_tool_calls")
     return found.select("sale_id", *[c if c in exact else F.round(c, 6).alias(c) for c in rewards.PARTS])
+
+
+@query("""
+WITH l AS (SELECT sale_id, line_no, coalesce(amount, 0) AS amount, coalesce(discount, 0) AS discount, quantity, flag IS NOT DISTINCT FROM 'kept' AS kept FROM sale_lines WHERE sale_id IS NOT NULL),
+s AS (SELECT sale_id, sum(amount) / 1000 AS score, sum(amount * (1 - discount)) / 1000 AS reward, CAST(coalesce(sum(quantity) FILTER (kept), 0) AS BIGINT) AS response_length, CAST(coalesce(sum(quantity) FILTER (NOT kept), 0) AS BIGINT) AS obs_length, count(*) AS prompt_length FROM l GROUP BY sale_id),
+t AS (SELECT amount / 100 AS advantage, amount * discount AS r, discount * 100 AS v FROM l WHERE kept),
+m AS (SELECT * FROM (UNPIVOT (SELECT avg(score) AS "critic/score/mean", max(score) AS "critic/score/max", min(score) AS "critic/score/min", avg(reward) AS "critic/rewards/mean", max(reward) AS "critic/rewards/max", min(reward) AS "critic/rewards/min",
+    avg(response_length) AS "response_length/mean", max(response_length)::DOUBLE AS "response_length/max", min(response_length)::DOUBLE AS "response_length/min", avg((response_length = 40)::INT) AS "response_length/clip_ratio",
+    avg(obs_length) AS "obs_length/mean", max(obs_length)::DOUBLE AS "obs_length/max", min(obs_length)::DOUBLE AS "obs_length/min", avg(prompt_length) AS "prompt_length/mean", max(prompt_length)::DOUBLE AS "prompt_length/max", min(prompt_length)::DOUBLE AS "prompt_length/min",
+    avg((prompt_length = 7)::INT) AS "prompt_length/clip_ratio", avg(prompt_length + response_length + obs_length) AS "actor/sample_length/mean", avg(prompt_length) AS "actor/prompt_length/mean", avg(response_length) AS "actor/response_length/mean", avg(obs_length) AS "actor/observation_length/mean" FROM s)
+  ON COLUMNS(*) INTO NAME metric VALUE value)
+  UNION ALL SELECT * FROM (UNPIVOT (SELECT avg(advantage) AS "critic/advantages/mean", max(advantage) AS "critic/advantages/max", min(advantage) AS "critic/advantages/min", avg(r) AS "critic/returns/mean", max(r) AS "critic/returns/max", min(r) AS "critic/returns/min",
+    avg(v) AS "critic/values/mean", max(v) AS "critic/values/max", min(v) AS "critic/values/min", 1 - var_samp(r - v) / (var_samp(r) + 1e-5) AS "critic/vf_explained_var" FROM t) ON COLUMNS(*) INTO NAME metric VALUE value))
+SELECT metric, round(value, 6) AS value FROM m""")
+def data_metrics(spark, sf_dir):
+    """Sales as sequences and their lines as tokens: all series of a batch's metrics."""
+    kept = F.coalesce(F.col("flag") == "kept", F.lit(False))
+    l = table(spark, sf_dir, "sale_lines").where("sale_id IS NOT NULL").select("sale_id", "quantity", kept.alias("kept"), F.coalesce("amount", F.lit(0.0)).alias("amount"), F.coalesce("discount", F.lit(0.0)).alias("discount"))  # noqa: E741
+    n = lambda c: F.coalesce(F.sum(F.when(c, F.col("quantity").cast("long"))), F.lit(0))
+    sequences = l.groupBy("sale_id").agg(
+        (F.sum("amount") / 1000).alias("score"), (F.sum(F.col("amount") * (1 - F.col("discount"))) / 1000).alias("reward"), n(F.col("kept")).alias("response_length"), n(~F.col("kept")).alias("obs_length"), F.count("*").alias("prompt_length")
+    )
+    tokens = l.select((F.col("amount") / 100).alias("advantage"), (F.col("amount") * F.col("discount")).alias("return"), (F.col("discount") * 100).alias("value"), F.col("kept").cast("int").alias("mask"))
+    return measures.data_metrics(sequences, tokens, 7, 40).select("metric", F.round("value", 6).alias("value"))
+
+
+@query("""
+WITH t AS (SELECT sum(prompt_length) AS p, sum(response_length) AS r FROM (SELECT count(*) AS prompt_length, coalesce(sum(quantity), 0) AS response_length FROM sale_lines WHERE sale_id IS NOT NULL GROUP BY sale_id))
+SELECT round(1000 * 12.5 / r, 6) AS gen, round(1000 * 3.0 / (p + r), 6) AS ref, round(1000 * 0.5 / (p + r), 6) AS adv, CAST(p + r AS BIGINT) AS tokens, round((p + r) / (20.0 * 4), 6) AS throughput FROM t""")
+def step_timing(spark, sf_dir):
+    """Seconds of a step's sections spread over the tokens of the sales, and the tokens a second and device."""
+    rows = table(spark, sf_dir, "sale_lines").where("sale_id IS NOT NULL").groupBy("sale_id").agg(F.count("*").alias("prompt_length"), F.coalesce(F.sum("quantity"), F.lit(0)).alias("response_length"))
+    found = measures.timing(rows, {"gen": 12.5, "ref": 3.0, "adv": 0.5, "step": 20.0}, devices=4)
+    each = lambda k: F.round(F.col(f"`timing_per_token_ms/{k}`"), 6).alias(k)
+    return found.select(each("gen"), each("ref"), each("adv"), F.col("`perf/total_num_tokens`").alias("tokens"), F.round(F.col("`perf/throughput`"), 6).alias("throughput"))
+
+
+@query("""
+WITH b AS (SELECT brand, item_id // 64 AS block, median(price) AS mid FROM items WHERE brand IS NOT NULL AND item_id IS NOT NULL AND price IS NOT NULL GROUP BY ALL), r AS (SELECT brand, block, row_number() OVER (PARTITION BY brand ORDER BY mid, block) AS bin FROM b)
+SELECT 'b' || bin AS bin_name, count(*) AS n, CAST(sum(item_id) AS BIGINT) AS ids FROM items JOIN r ON items.brand = r.brand AND item_id // 64 = block WHERE price IS NOT NULL GROUP BY bin""")
+def items_in_bins(spark, sf_dir):
+    """Items with the name of the bin that their brand's block of 64 falls into by its median price."""
+    rows = table(spark, sf_dir, "items").where("brand IS NOT NULL AND item_id IS NOT NULL AND price IS NOT NULL")
+    bins = rollup.median_bins(rows, ["brand"], "item_id", "price", 64)
+    found = rollup.with_bins(rows, bins, ["brand"], "item_id", 64, F.concat(F.lit("b"), F.col("bin").cast("string")))
+    return found.groupBy("bin_name").agg(F.count("*").alias("n"), F.sum("item_id").alias("ids"))
+
+
+@query("""
+WITH r AS (SELECT coalesce(segment, '-') AS segment, count(*) AS n, round(sum(balance), 2) AS total FROM clients GROUP BY 1)
+SELECT k.form, count(*) AS n, CAST(sum(r.n) AS BIGINT) AS clients, md5(string_agg(segment, ',' ORDER BY segment)) AS segments FROM r, (VALUES ('json'), ('csv'), ('markdown')) k(form) GROUP BY k.form""")
+def report_files(spark, sf_dir):
+    """A report of clients by segment written as JSON, CSV and Markdown, and read again."""
+    at = scratch(spark, "report")
+    rows = table(spark, sf_dir, "clients").groupBy(F.coalesce("segment", F.lit("-")).alias("segment")).agg(F.count("*").alias("n"), F.round(F.sum("balance"), 2).alias("total"))
+    sinks.reports(rows, at, ["segment"])
+    schema = "segment string, n long, total double"
+    cells = F.split(F.col("value"), r" \| ")
+    lines = spark.read.text(f"{at}/markdown").where("value NOT LIKE '|%---%' AND value NOT LIKE '| segment |%'")
+    found = [spark.read.schema(schema).json(f"{at}/json"), spark.read.schema(schema).option("header", "true").csv(f"{at}/csv"), lines.select(F.substring(cells[0], 3, 100).alias("segment"), cells[1].cast("long").alias("n"), F.lit(None).cast("double").alias("total"))]
+    out = None
+    for form, df in zip(("json", "csv", "markdown"), found, strict=True):
+        own = df.agg(F.lit(form).alias("form"), F.count("*").alias("n"), F.sum("n").alias("clients"), F.md5(F.array_join(F.array_sort(F.collect_list("segment")), ",")).alias("segments"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query("""
+WITH d AS (SELECT doc_id, list_transform(string_split(left(coalesce(text, ''), 300), ' '), lambda w: length(w)) AS x FROM documents), t AS (SELECT doc_id, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM d),
+k AS (SELECT *, sum((v = 7)::INT) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS turn FROM t),
+f AS (SELECT doc_id, i, 0 AS a, v FROM k WHERE v <> 7 UNION ALL SELECT doc_id, i, 10 * f + j, CASE WHEN j = 0 THEN 100 + f ELSE 7 END FROM k, (SELECT unnest(range(6)) AS f), (SELECT unnest(range(4)) AS j) WHERE v = 7 AND turn < 4 AND f <= turn AND j <= 2 + f % 2)
+SELECT doc_id, count(*) AS n, CAST(sum(o * v) AS BIGINT) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, a) AS o FROM f) GROUP BY doc_id""")
+def frame_expansion(spark, sf_dir):
+    """Words that open a document as ids, those of seven letters as videos of one to four frames with time stamps each."""
+    x = F.transform(F.split(F.substring(F.coalesce("text", F.lit("")), 1, 300), " "), lambda w: F.length(w))
+    frame = lambda f: F.struct(F.array(F.lit(100 + f)).alias("stamp"), F.lit(2 + f % 2).alias("n"))
+    frames = F.array(*[F.array(*[frame(f) for f in range(k + 1)]) for k in range(4)])
+    rows = table(spark, sf_dir, "documents").select("doc_id", positions.expanded_frames(x, 7, frames).alias("x")).where(F.size("x") > 0)
+    digest = F.aggregate(F.transform("x", lambda v, i: (i + 1).cast("long") * v), F.lit(0).cast("long"), lambda a, v: a + v)
+    return rows.select("doc_id", F.size("x").cast("long").alias("n"), digest.alias("digest"))

@@ -77,6 +77,15 @@ def markdown(rows: DataFrame, most: int = 1000) -> str:
     return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in found])
 
 
+def reports(rows: DataFrame, path: str, by: list[str]) -> None:
+    """A report as JSON lines, CSV with a header and Markdown, in order, one file each below path. Reports are short."""
+    own = rows.orderBy(*by).coalesce(1)
+    own.write.mode("overwrite").json(f"{path}/json")
+    own.write.mode("overwrite").option("header", "true").csv(f"{path}/csv")
+    spark = rows.sparkSession
+    spark.createDataFrame([(markdown(rows.orderBy(*by)),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/markdown")
+
+
 def running_order(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """rows with their place in each key."""
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
