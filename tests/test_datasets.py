@@ -245,3 +245,37 @@ def test_sample_shapes(spark):
     assert len(longer[0].m[0].content) == 4 and longer[1].m[1].content == []
     with pytest.raises(Exception, match="role or from"):
         variants(spark, [{"conversations": [{"from": "nobody", "value": "x"}]}]).select(samples.sample_messages(F.col("v"))).collect()
+
+
+def brute_places(layout):
+    def boxes(v):
+        if not isinstance(v, list):
+            return []
+        if len(v) == 4 and all(isinstance(x, (int, float)) for x in v):
+            v = [v]
+        return [[float(x) for x in b] for b in v if isinstance(b, list) and len(b) == 4]
+
+    def of_object(o):
+        if "page" in o or "page_id" in o:
+            return [(o.get("page", o.get("page_id")), b) for b in boxes(o.get("bbox_2d", o.get("bbox", o.get("bboxes"))))]
+        return [(int(k), b) for k, v in o.items() for b in boxes(v) if k.isdigit()]
+
+    if isinstance(layout, dict):
+        return of_object(layout)
+    out = []
+    for x in layout if isinstance(layout, list) else ():
+        out += of_object(x) if isinstance(x, dict) else [(x[0], [float(v) for v in x[1:]])] if isinstance(x, list) and len(x) == 5 else []
+    return out
+
+
+def test_evidence_of_any_shape(spark):
+    box = [1, 2.5, 3, 4]
+    values = [
+        {"page": 2, "bbox": box}, {"page_id": 3, "bboxes": [box, [1, 2], box]}, {"4": box, "x": box, "5": [box]}, [[6, *box], {"page": 7, "bbox_2d": box}, 9, [1, 2]], [], {}, "text", 5, {"page": 1, "bbox_2d": "no"}, [{"8": [box, box]}],
+    ]
+    got = variants(spark, values).select("i", samples.places_in(F.col("v")).alias("p")).orderBy("i").collect()
+    assert [[(p.page, list(p.box)) for p in r.p] for r in got] == [brute_places(v) for v in values]
+    assert variants(spark, [None]).select(samples.places_in(F.col("v")).alias("p")).first().p == []
+    many = variants(spark, [{"a": {"dpi72": {"1": box}, "dpi144": {"2": []}, "dpi96": {"3": box}}, "b": [[9, *box]]}, {"a": {}, "b": [[9, *box]]}, {"b": None}])
+    got = many.select("i", samples.evidence_places(samples.field(F.col("v"), "$.a"), samples.field(F.col("v"), "$.b")).alias("p")).orderBy("i").collect()
+    assert [[p.page for p in r.p] for r in got] == [[3], [9], []]

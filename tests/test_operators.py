@@ -182,7 +182,7 @@ def test_hash_shuffle_is_stable(spark):
     random.Random(0)
 
 
-PYTHON = {"page_references", "citation_rewriting", "karmarkar_karp", "micro_batches", "best_fit_pack", "length_grouped_pack", "bootstrap_ci", "bootstrap_best_at_k", "vec_pairs_topk", "mrcr_ratio", "boxed_math", "remap_conversation", "document_reward", "dispatched_scores"}
+PYTHON = {"page_references", "citation_rewriting", "karmarkar_karp", "micro_batches", "best_fit_pack", "length_grouped_pack", "vec_pairs_topk", "dataset_scan", "document_reward_parts", "scores_by_source", "mrcr_ratio", "boxed_math", "remap_conversation", "document_reward", "dispatched_scores"}
 
 
 def test_native_queries_have_no_python_in_their_plans(spark, sf_dir):

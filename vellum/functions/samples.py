@@ -177,3 +177,66 @@ def sample_messages(row: Column, file: Column | None = None) -> Column:
     if file is not None:
         out = out.when(known == "conversations_file", of_turns(file))
     return out.when(known == "caption", caption).when(known == "messages", taken_parts(field(row, "$.messages", MESSAGES))).when(known == "video", clip)
+
+
+def media_sources(messages: Column, kind: str = "image") -> Column:
+    """The urls of a kind of media in messages of taken parts, in order; none for null."""
+    parts = F.flatten(F.transform(F.coalesce(messages, F.array().cast(f"array<struct<role:string,content:{TAKEN}>>")), lambda m: m["content"]))
+    return F.transform(F.filter(parts, lambda p: (p["type"] == kind) & p["url"].isNotNull()), lambda p: p["url"])
+
+
+def traced(source: Column) -> Column:
+    """A source as traces show it: of data inside the url only what it is."""
+    return F.when(source.startswith("data:"), F.concat(F.substring_index(source, ",", 1), F.lit(",<omitted>"))).otherwise(source)
+
+
+def input_mode(messages: Column) -> Column:
+    """0 for text alone, 1 with audio, 2 with images or videos, 3 with both."""
+    has = lambda kind: (F.size(media_sources(messages, kind)) > 0).cast("int")
+    return has("audio") + 2 * F.greatest(has("image"), has("video"))
+
+
+def chosen_hint(hints: list[str], seed: int, row: Column) -> Column:
+    """One of the hints, the same whenever seed and row are."""
+    return F.element_at(F.array(*[F.lit(h) for h in hints]), (F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), row.cast("string"))), 1, 8), 16, 10).cast("long"), F.lit(len(hints))) + 1).cast("int"))
+
+
+#: A place that evidence names: a page and a box.
+PLACES = "array<struct<page:int,box:array<double>>>"
+
+
+def boxes_in(value: Column) -> Column:
+    """The boxes of a VARIANT: one of four numbers, or those of an array of such; what isn't a box is left out."""
+    inside = field(value, "$", "array<variant>")
+    one = (F.size(inside) == 4) & F.forall(inside, lambda x: kind_of(x).isin("integer", "number"))
+    found = F.transform(F.when(one, F.array(value)).otherwise(inside), lambda b: field(b, "$", "array<double>"))
+    return F.filter(F.coalesce(found, F.array().cast("array<array<double>>")), lambda b: (F.size(b) == 4) & F.forall(b, lambda x: x.isNotNull()))
+
+
+def places_of_object(value: Column) -> Column:
+    """Of an object either page (or page_id) with bbox_2d, bbox or bboxes, or pages as names with their boxes."""
+    page = F.coalesce(field(value, "$.page"), field(value, "$.page_id"))
+    boxes = F.coalesce(field(value, "$.bbox_2d"), field(value, "$.bbox"), field(value, "$.bboxes"))
+    at = lambda number, xs: F.transform(boxes_in(xs), lambda b: F.struct(number.alias("page"), b.alias("box")))
+    named = F.flatten(F.transform(F.map_entries(field(value, "$", "map<string,variant>")), lambda e: at(e["key"].try_cast("int"), e["value"])))
+    return F.when(page.isNotNull(), at(field(page, "$", "int"), boxes)).otherwise(named).cast(PLACES)
+
+
+def places_in(layout: Column) -> Column:
+    """Pages and boxes of an evidence layout of any shape: an object of either kind, an array of these, or arrays of a page
+    and four numbers. Places without a page number are left out; null has none."""
+    def item(x: Column) -> Column:
+        five = field(x, "$", "array<double>")
+        flat = F.array(F.struct(five[0].cast("int").alias("page"), F.slice(five, 2, 4).alias("box"))).cast(PLACES)
+        return F.when(kind_of(x) == "object", places_of_object(x)).when((kind_of(x) == "array") & (F.size(five) == 5), flat)
+
+    found = F.when(kind_of(layout) == "object", places_of_object(layout)).when(kind_of(layout) == "array", F.flatten(F.filter(F.transform(field(layout, "$", "array<variant>"), item), lambda x: x.isNotNull())))
+    return F.filter(F.coalesce(found, F.array().cast(PLACES)), lambda p: p["page"].isNotNull())
+
+
+def evidence_places(by_dpi: Column, locations: Column) -> Column:
+    """The places of the layout with the highest resolution that has any, by the digits in its name, else those of locations."""
+    digits = lambda name: F.coalesce(F.regexp_replace(name, "[^0-9]+", "").try_cast("long"), F.lit(0).cast("long"))
+    layouts = F.transform(F.map_entries(field(by_dpi, "$", "map<string,variant>")), lambda e: F.struct((-digits(e["key"])).alias("down"), e["key"].alias("name"), F.to_json(e["value"]).alias("layout")))
+    full = F.filter(F.transform(F.array_sort(layouts), lambda x: places_in(F.try_parse_json(x["layout"]))), lambda p: F.size(p) > 0)
+    return F.coalesce(F.get(full, F.lit(0)), places_in(locations))

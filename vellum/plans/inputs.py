@@ -230,3 +230,45 @@ def masked_corruption(spark, sf_dir):
     special = F.transform("ids", lambda x: x == 0)
     found = rows.select("doc_id", "ids", positions.corrupted(F.col("ids"), F.col("doc_id"), 9999, special, 0.1, 0.9, seed=5).alias("c"))
     return found.select("doc_id", F.size("ids").alias("n"), F.size(F.filter("c.labels", lambda x: x != -100)).alias("masked"), F.round("c.rate", 6).alias("rate"))
+
+
+@query("""
+WITH s AS (SELECT sale_id, line_no, item_id, quantity, amount, row_number() OVER () AS r FROM sale_lines WHERE sale_id IS NOT NULL AND item_id IS NOT NULL AND quantity IS NOT NULL),
+p AS (SELECT *, item_id % 5 AS shape, 1 + item_id % 7 AS page, quantity AS x, quantity * 2 AS y, quantity + 50 AS x2, quantity * 2 + 60 AS y2 FROM s)
+SELECT sale_id, count(*) AS n, CAST(sum(CASE shape WHEN 4 THEN 0 WHEN 3 THEN 2 ELSE 1 END) AS BIGINT) AS places, CAST(sum(CASE WHEN shape = 4 THEN 0 WHEN shape = 3 THEN 2 * page + 1 ELSE page END) AS BIGINT) AS pages,
+  CAST(sum(CASE shape WHEN 4 THEN 0 WHEN 3 THEN 2 * (x + y + x2 + y2) ELSE x + y + x2 + y2 END) AS DOUBLE) AS boxes FROM p GROUP BY sale_id""")
+def evidence_layouts(spark, sf_dir):
+    """Sale lines as evidence of five shapes in one VARIANT column: an object with a page, pages by name, arrays of five
+    numbers, several resolutions with the highest empty, and nothing; the places that are found in each."""
+    rows = table(spark, sf_dir, "sale_lines").where("sale_id IS NOT NULL AND item_id IS NOT NULL AND quantity IS NOT NULL")
+    q, page = F.col("quantity"), (1 + F.col("item_id") % 7).cast("string")
+    box = F.concat(F.lit("["), F.concat_ws(", ", *[c.cast("string") for c in (q, q * 2, q + 50, q * 2 + 60)]), F.lit("]"))
+    more = (2 + F.col("item_id") % 7).cast("string")
+    one = F.concat(F.lit('{"evidence_locations": [{"page_id": '), page, F.lit(', "bboxes": ['), box, F.lit(', [1, 2], "x"]}, 7]}'))
+    named = F.concat(F.lit('{"evidence_bboxes_by_dpi": {"dpi_96": {"'), page, F.lit('": '), box, F.lit(', "x": [[1, 2, 3, 4]]}}}'))
+    five = F.concat(F.lit('{"evidence_bboxes_by_dpi": {"72": [['), page, F.lit(", "), F.substring(box, F.lit(2), F.length(box)), F.lit("]}}"))
+    several = F.concat(F.lit('{"evidence_bboxes_by_dpi": {"dpi144": {}, "dpi72": [], "dpi96": {"'), page, F.lit('": ['), box, F.lit('], "'), more, F.lit('": '), box, F.lit("}}}"))
+    raw = F.element_at(F.array(one, named, five, several, F.lit('{"evidence_locations": {"page": null, "bbox": [1, 2, 3]}}')), (F.col("item_id") % 5 + 1).cast("int"))
+    v = F.parse_json(raw)
+    found = rows.select("sale_id", samples.evidence_places(samples.field(v, "$.evidence_bboxes_by_dpi"), samples.field(v, "$.evidence_locations")).alias("p"))
+    total = lambda f: F.aggregate("p", F.lit(0.0), lambda a, x: a + f(x))
+    boxes = total(lambda x: F.aggregate(x["box"], F.lit(0.0), lambda a, b: a + b))
+    return found.groupBy("sale_id").agg(F.count("*").alias("n"), F.sum(F.size("p")).alias("places"), F.sum(total(lambda x: x["page"].cast("double"))).cast("long").alias("pages"), F.sum(boxes).alias("boxes"))
+
+
+@query("""
+WITH p AS (SELECT page_id, url, length(html) % 4 AS mode, coalesce(html, '') AS html FROM pages WHERE url IS NOT NULL)
+SELECT page_id, CAST(CASE mode WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 3 END AS INTEGER) AS mode, CASE mode WHEN 1 THEN url || ' data:image/png;base64,<omitted>' WHEN 3 THEN 'data:image/png;base64,<omitted>' ELSE '' END AS sources,
+  list_extract(['one', 'two', 'three'], CAST(('0x' || substr(md5('5:' || page_id), 1, 8))::BIGINT % 3 + 1 AS INTEGER)) AS hint FROM p WHERE mode IS NOT NULL""")
+def media_of_messages(spark, sf_dir):
+    """Pages as messages with text, images by url and inside it, and audio: their mode, their sources as traces show them,
+    and a hint drawn for each."""
+    n = F.length("html") % 4
+    inside = F.concat(F.lit("data:image/png;base64,"), F.base64(F.encode(F.substring("html", 1, 30), "UTF-8")))
+    parts = F.filter(
+        F.array(samples.part("text", F.col("html")), F.when(n == 1, samples.part("image", url=F.col("url"))), F.when(n.isin(1, 3), samples.part("image", url=inside)), F.when(n.isin(2, 3), samples.part("audio", url=F.lit("a.wav")))),
+        lambda p: p.isNotNull(),
+    )
+    rows = table(spark, sf_dir, "pages").where("url IS NOT NULL AND html IS NOT NULL").select("page_id", F.array(F.struct(F.lit("user").alias("role"), parts.alias("content"))).alias("m"))
+    sources = F.array_join(F.transform(samples.media_sources(F.col("m")), samples.traced), " ")
+    return rows.select("page_id", samples.input_mode(F.col("m")).alias("mode"), sources.alias("sources"), samples.chosen_hint(["one", "two", "three"], 5, F.col("page_id")).alias("hint"))
