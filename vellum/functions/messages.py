@@ -138,3 +138,19 @@ def multiple(length: Column, of: int) -> Column:
 def unpadded(ids: Column, mask: Column) -> Column:
     """The entries that a mask keeps."""
     return F.transform(F.filter(F.arrays_zip(ids.alias("x"), mask.alias("m")), lambda z: z["m"] != 0), lambda z: z["x"])
+
+
+def unpadded_left(ids: Column, mask: Column) -> Column:
+    """The last so many ids as the mask has ones: those of a sequence that is padded on the left."""
+    n = F.aggregate(mask, F.lit(0), lambda a, m: a + m.cast("int"))
+    return F.slice(ids, F.size(ids) - n + 1, n)
+
+
+def mask_of_all_turns(ids: Column, pads: list[int]) -> Column:
+    """1 for each id that isn't a pad, whatever comes before it."""
+    return F.transform(ids, lambda x: (~x.isin(*pads)).cast("int"))
+
+
+def gathered(values: Column, places: Column) -> Column:
+    """The values at places from 0; null for one beyond."""
+    return F.transform(places, lambda i: F.get(values, i.cast("int")))

@@ -80,3 +80,21 @@ def majority_at(rows: DataFrame, keys: list[str], vote: str, value: str, k: int,
     """Mean and deviation of the value of the commonest vote of k rows of a group, as resample.majorities draws them."""
     found = resample.majorities(rows, keys, vote, value, draws, seed, sizes=lambda n: F.array(F.lit(k).cast("long")))
     return found.select(*keys, F.col("mean").alias(f"maj_at_{k}_mean"), F.col("std").alias(f"maj_at_{k}_std"))
+
+
+#: Fields that every record of a run keeps. Fixed values.
+COMMON = (
+    "index", "_id", "dataset", "subset", "length_bin", "answers", "answer", "random_string_to_prepend", "n_needles", "desired_msg_index", "total_messages",
+    "num_pages", "vision_tokens", "source_file", "source_row",
+)
+
+
+def common_record(rows: DataFrame, fields: tuple[str, ...] = COMMON) -> DataFrame:
+    """The fields that records share; one that the rows lack is null."""
+    return rows.select(*[F.col(f"`{f}`") if f in rows.columns else F.lit(None).cast("string").alias(f) for f in fields])
+
+
+def response_tokens(rows: DataFrame) -> Column:
+    """The tokens of a response: those of all its turns where they were added up, else those of the one that is recorded."""
+    of_all = F.col("cumulative_usage.completion_tokens") if "cumulative_usage" in rows.columns else F.lit(None).cast("long")
+    return F.coalesce(of_all, F.col("completion_tokens"))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vellum.functions import positions
-from vellum.operators import measures, rewards, rollup, summaries
+from vellum.functions import messages, positions
+from vellum.operators import measures, rewards, rollup, scoring, summaries
 from vellum.plans.coverage import scratch
 from vellum.session import table
 from vellum.sources import sinks
@@ -233,3 +233,30 @@ def frame_expansion(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", positions.expanded_frames(x, 7, frames).alias("x")).where(F.size("x") > 0)
     digest = F.aggregate(F.transform("x", lambda v, i: (i + 1).cast("long") * v), F.lit(0).cast("long"), lambda a, v: a + v)
     return rows.select("doc_id", F.size("x").cast("long").alias("n"), digest.alias("digest"))
+
+
+@query("""
+SELECT client_id % 50 AS index, CASE WHEN segment IS NULL THEN NULL ELSE 's-' || segment END AS dataset, count(*) AS n, count(DISTINCT source) AS sources, CAST(sum(coalesce(CASE WHEN seq % 3 = 0 THEN seq * 10 END, CASE WHEN balance > 0 THEN CAST(floor(balance) AS BIGINT) END)) AS BIGINT) AS tokens, CAST(0 AS BIGINT) AS other
+FROM client_changes WHERE client_id IS NOT NULL GROUP BY ALL""")
+def common_records(spark, sf_dir):
+    """Changes of clients as records of a run: the fields that all share, and the tokens of their responses, in sum where known."""
+    rows = table(spark, sf_dir, "client_changes").where("client_id IS NOT NULL").select(
+        (F.col("client_id") % 50).alias("index"), F.concat(F.lit("s-"), "segment").alias("dataset"), F.col("source").alias("source_file"), "op",
+        F.struct(F.when(F.col("seq") % 3 == 0, F.col("seq").cast("long") * 10).alias("completion_tokens")).alias("cumulative_usage"), F.when(F.col("balance") > 0, F.floor("balance")).alias("completion_tokens"),
+    )
+    kept = scoring.common_record(rows.withColumn("vision_tokens", scoring.response_tokens(rows)))
+    return kept.groupBy("index", "dataset").agg(F.count("*").alias("n"), F.count_distinct("source_file").alias("sources"), F.sum("vision_tokens").alias("tokens"), F.count("n_needles").alias("other"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, list_transform(string_split(left(coalesce(text, ''), 300), ' '), lambda w: length(w)) AS x FROM documents), t AS (SELECT doc_id, unnest(x) AS v, generate_subscripts(x, 1) - 1 AS i, len(x) AS n, x FROM d),
+k AS (SELECT doc_id, n, x, count(*) FILTER (v NOT IN (2, 3)) AS ones, CAST(sum((i + 1) * (v NOT IN (2, 3))::INT) AS BIGINT) AS mask FROM t GROUP BY doc_id, n, x)
+SELECT doc_id, mask, CAST(coalesce(list_sum(x[n - ones + 1:]), 0) AS BIGINT) AS kept, CAST(x[1] + coalesce(x[3], 0) + coalesce(x[n], 0) AS BIGINT) AS gathered FROM k""")
+def turn_masks(spark, sf_dir):
+    """Words that open a document as ids: the mask of all turns, what is left of a sequence padded on the left, and ids by place."""
+    x = F.transform(F.split(F.substring(F.coalesce("text", F.lit("")), 1, 300), " "), lambda w: F.length(w))
+    rows = table(spark, sf_dir, "documents").select("doc_id", x.alias("x")).withColumn("m", messages.mask_of_all_turns(F.col("x"), [2, 3]))
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, v: a + F.coalesce(v, F.lit(0)))
+    at = F.transform("m", lambda v, i: (i + 1).cast("long") * v)
+    places = F.array(F.lit(0), F.lit(2), F.size("x") - 1)
+    return rows.select("doc_id", total(at).alias("mask"), total(messages.unpadded_left(F.col("x"), F.col("m"))).alias("kept"), total(messages.gathered(F.col("x"), places)).alias("gathered"))
