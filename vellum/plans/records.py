@@ -89,7 +89,7 @@ t AS (SELECT week, rank, list(t ORDER BY status) AS tokens FROM q GROUP BY ALL),
 r AS (SELECT CAST(epoch(week) AS BIGINT) // 604800 AS step, rank, tokens, samples, loss, least, most, list_sum(tokens) * 6e3 AS flops, 1.0 + samples % 7 AS seconds FROM m JOIN t USING (week, rank)),
 s AS (SELECT step, avg(loss) AS loss, sum(flops / 2 / 1e6) / count(*) AS mfu, sum(list_sum(tokens) / len(tokens)) / count(*) AS seq_len_avg, min(list_min(tokens)) AS seq_len_min, max(list_max(tokens)) AS seq_len_max, min(least) AS micro_seq_len_min,
   max(most) AS micro_seq_len_max, sum(list_sum(tokens) / 2) / sum(samples) AS micro_seq_len_avg, sum(list_sum(tokens) / 2) AS l, sum(samples) AS n, max(seconds) AS d, count(*) AS ranks FROM r GROUP BY step)
-SELECT step, round(loss, 6) AS loss, round_even(mfu, 2) AS mfu, round(seq_len_avg, 6) AS seq_len_avg, seq_len_min, seq_len_max, micro_seq_len_min, micro_seq_len_max, round(micro_seq_len_avg, 6) AS micro_seq_len_avg, round_even(d, 2) AS delta_time,
+SELECT step, round(loss, 6) AS loss, round_even(mfu, 2) AS mfu, round(seq_len_avg, 6) AS seq_len_avg, seq_len_min, seq_len_max, micro_seq_len_min, micro_seq_len_max, round(micro_seq_len_avg, 6) AS micro_seq_len_avg, CAST(round_even(d, 2) AS DOUBLE) AS delta_time,
   sum(l) OVER w AS total_tokens, CAST(sum(n) OVER w AS BIGINT) AS total_samples, CAST(round_even(l / d, 0) AS BIGINT) AS tokens_per_second, CAST(round_even(l / d / 2 / ranks, 0) AS BIGINT) AS tokens_per_device FROM s WINDOW w AS (ORDER BY step)""")
 def training_steps(spark, sf_dir):
     """Weeks of sales as steps of a training, priorities as ranks and statuses as batches."""
@@ -129,8 +129,8 @@ q AS (SELECT sale_id, count(*) AS n, count(*) FILTER (NOT ok) AS bad, max(CASE W
 f AS (SELECT e.*, coalesce(n, 0) AS n, coalesce(bad, 0) AS bad, coalesce(best, 0) AS best, coalesce(quality, 0) AS quality, CASE status WHEN 'done' THEN 2 WHEN 'open' THEN 1 ELSE 0 END AS m, status IS NOT NULL AS said, client_id % 7 > 0 AS opened FROM e LEFT JOIN q USING (sale_id)),
 g AS (SELECT *, m / 2.0 AS acc, (m = 2)::DOUBLE AS correct, pow(greatest(0, least(1, (144 - coalesce(dpi, 72)) / 72)), 2) AS factor, CASE WHEN n > 0 THEN quality / least(n, 1) ELSE 0 END AS iou, CASE WHEN n > 0 THEN least(1, 1.0 / n) ELSE 0 END AS eff, (said AND opened)::DOUBLE AS shape FROM f),
 h AS (SELECT *, CASE WHEN shape > 0 AND n <= 1 AND bad = 0 THEN 1.0 ELSE 0 END AS form, correct * factor * iou * eff AS tool FROM g)
-SELECT sale_id, round(0.8 * acc + 0.2 * form + 0.2 * tool, 6) AS score, round(acc, 6) AS acc_reward, CAST(m AS INTEGER) AS answer_matches, round(CASE WHEN m > 0 THEN 0 WHEN status = 'held' THEN 0.5 ELSE 0 END, 6) AS answer_partial, correct AS answer_correct,
-  said::DOUBLE AS final_answer_present, form AS format_reward, shape AS structural_format_reward, (n > bad)::DOUBLE AS actual_tool_called, coalesce(dpi, 72) AS dpi, round(factor, 6) AS dpi_factor, round(tool, 6) AS tool_reward,
+SELECT sale_id, round(0.8 * acc + 0.2 * form + 0.2 * tool, 6) AS score, round(acc, 6) AS acc_reward, CAST(m AS INTEGER) AS answer_matches, CAST(CASE WHEN m > 0 THEN 0 WHEN status = 'held' THEN 0.5 ELSE 0 END AS DOUBLE) AS answer_partial, correct AS answer_correct,
+  said::DOUBLE AS final_answer_present, CAST(form AS DOUBLE) AS format_reward, shape AS structural_format_reward, (n > bad)::DOUBLE AS actual_tool_called, CAST(coalesce(dpi, 72) AS DOUBLE) AS dpi, round(factor, 6) AS dpi_factor, round(tool, 6) AS tool_reward,
   CAST((quality > 0) AS INTEGER) AS matched_evidence, round(iou, 6) AS iou_reward, round(eff, 6) AS call_efficiency, round(greatest(0, n - 1) / greatest(1.0, n), 6) AS excess_call_ratio, round(best, 6) AS best_iou,
   CAST(n AS INTEGER) AS tool_calls, CAST(n - bad AS INTEGER) AS valid_tool_calls, CAST(bad AS INTEGER) AS invalid_tool_calls FROM h""")
 def document_reward_parts(spark, sf_dir):
