@@ -108,7 +108,9 @@ p AS (SELECT click_id, CASE WHEN o IS DISTINCT FROM 'OBJECT' THEN [':not_object'
 SELECT click_id, array_to_string(p, ' ') AS problems, len(p) = 0 AS valid FROM p""")
 def argument_problems(spark, sf_dir):
     """Arguments of unknown shape against a schema with required, typed, enumerated and nested fields."""
-    found = table(spark, sf_dir, "clicks").select("click_id", samples.problems(F.try_parse_json("props"), CLICK).alias("p"))
+    # parsed once, in a projection of its own
+    parsed = table(spark, sf_dir, "clicks").select("click_id", F.try_parse_json("props").alias("v"))
+    found = parsed.select("click_id", samples.problems(F.col("v"), CLICK).alias("p"))
     return found.select("click_id", F.array_join(F.transform("p", lambda x: F.concat_ws(":", x["parameter"], x["problem"])), " ").alias("problems"), (F.size("p") == 0).alias("valid"))
 
 
