@@ -3,6 +3,7 @@
 import json
 import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -192,3 +193,26 @@ def test_native_queries_have_no_python_in_their_plans(spark, sf_dir):
         if name not in PYTHON:
             plan = f(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
             assert not re.search("Python|Pandas|Arrow", plan), name
+
+
+def test_many_parts_take_no_more_work(spark):
+    """Half as many parts as lengths: as balanced as the plain form with all parts in every partial solution, and fast."""
+
+    def plain(lengths, parts):
+        heap = [(-n, i, [n] + [0] * (parts - 1)) for i, n in enumerate(sorted(lengths))]
+        serial = len(heap)
+        while len(heap) > 1:
+            heap.sort(key=lambda x: x[:2])
+            a, b = heap.pop(0)[2], heap.pop(0)[2]
+            met = sorted((x + y for x, y in zip(a, reversed(b), strict=True)), reverse=True)
+            heap.append((met[-1] - met[0], serial := serial + 1, met))
+        return heap[0][2]
+
+    rng = random.Random(3)
+    for n, parts in ((40, 20), (60, 7), (30, 30), (25, 2), (1, 3)):
+        lengths = [rng.choice((rng.randint(0, 5), rng.randint(1, 900))) for _ in range(n)]
+        dealt = sequences.karmarkar_karp(lengths, parts, False)
+        assert [sum(lengths[i] for i in own) for own in dealt] == plain(lengths, parts) and sorted(i for own in dealt for i in own) == list(range(n))
+    began = time.monotonic()
+    rows = spark.range(20_000).selectExpr("'s' AS s", "id", "10000 + xxhash64(id) % 5000 AS n")
+    assert sequences.micro_batches(rows, ["s"], "id", "n", 20_000).agg({"part": "max"}).first()[0] > 5000 and time.monotonic() - began < 60

@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 import heapq
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,7 +103,9 @@ def imbalance(rows: DataFrame, order: list[str], length: str, parts: int) -> Dat
 def karmarkar_karp(lengths: list[int], parts: int, equal: bool) -> list[list[int]]:
     """Indices dealt to parts by largest differencing: the two most uneven partial solutions are joined, large to small sums.
 
-    equal: all parts get as many indices, which needs a number of lengths that parts divides.
+    equal: all parts get as many indices, which needs a number of lengths that parts divides. A partial solution holds its
+    parts that have indices alone, by rising sums; the smaller one is sorted into the larger, so that work and memory grow
+    with the number of lengths, however many parts there are.
     """
     order = sorted(range(len(lengths)), key=lambda i: (lengths[i], i))
     if equal:
@@ -111,20 +114,31 @@ def karmarkar_karp(lengths: list[int], parts: int, equal: bool) -> list[list[int
         groups = [order[i : i + parts] for i in range(0, len(order), parts)]
     else:
         groups = [[i] for i in order]
-    heap, serial = [], 0
-    for group in groups:
-        sets = [(lengths[i], [i]) for i in group] + [(0, []) for _ in range(parts - len(group))]
-        sets.sort(key=lambda s: s[0], reverse=True)
-        heapq.heappush(heap, (sets[-1][0] - sets[0][0], serial, sets))
-        serial += 1
+    # a part is its sum, a number that orders equal sums, and its indices
+    spread = lambda sets: sets[0][0] * (len(sets) == parts) - sets[-1][0]
+    heap, serial = [], len(order)
+    for g, group in enumerate(groups):
+        sets = [(lengths[i], n, [i]) for n, i in enumerate(group)]
+        heap.append((spread(sets), g, sets))
+    heapq.heapify(heap)
     while len(heap) > 1:
-        _, _, a = heapq.heappop(heap)
-        _, _, b = heapq.heappop(heap)
-        met = [(x[0] + y[0], x[1] + y[1]) for x, y in zip(a, reversed(b), strict=True)]
-        met.sort(key=lambda s: s[0], reverse=True)
-        heapq.heappush(heap, (met[-1][0] - met[0][0], serial, met))
-        serial += 1
-    return [sorted(s[1]) for s in heap[0][2]] if heap else [[] for _ in range(parts)]
+        (_, _, small), (_, _, large) = heapq.heappop(heap), heapq.heappop(heap)
+        if len(small) > len(large):
+            small, large = large, small
+        # the largest of one meet the smallest of the other, first the parts without indices
+        empty = min(len(small), parts - len(large))
+        low, large[: len(small) - empty] = large[: len(small) - empty], []
+        met = small[len(small) - empty :]
+        for (x, _, own), (y, n, more) in zip(reversed(small[: len(small) - empty]), low, strict=True):
+            own, more = (own, more) if len(own) > len(more) else (more, own)
+            own.extend(more)
+            met.append((x + y, n, own))
+        for x, _, own in met:
+            serial += 1
+            bisect.insort(large, (x, serial, own))
+        heapq.heappush(heap, (spread(large), serial, large))
+    found = [sorted(own) for _, _, own in reversed(heap[0][2])] if heap else []
+    return found + [[] for _ in range(parts - len(found))]
 
 
 def balanced(rows: DataFrame, keys: list[str], order: str, length: str, parts: int, equal: bool = False) -> DataFrame:
@@ -133,9 +147,10 @@ def balanced(rows: DataFrame, keys: list[str], order: str, length: str, parts: i
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values(order, ignore_index=True)
         out = batch[[*keys, order]].copy()
-        out["part"] = 0
+        part = np.zeros(len(batch), int)
         for k, own in enumerate(karmarkar_karp(batch[length].tolist(), parts, equal)):
-            out.loc[own, "part"] = k
+            part[own] = k
+        out["part"] = part
         return out
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys, order).schema.fields)
@@ -149,9 +164,10 @@ def micro_batches(rows: DataFrame, keys: list[str], order: str, length: str, mos
         batch = batch.sort_values(order, ignore_index=True)
         out = batch[[*keys, order]].copy()
         parts = min(len(batch), max(1, -(-int(batch[length].sum()) // most_tokens)))
-        out["part"] = 0
+        part = np.zeros(len(batch), int)
         for k, own in enumerate(karmarkar_karp(batch[length].tolist(), parts, False)):
-            out.loc[own, "part"] = k
+            part[own] = k
+        out["part"] = part
         return out
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys, order).schema.fields)
