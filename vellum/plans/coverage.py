@@ -5,15 +5,12 @@ Readers and sinks work on tables that are written below the shared folder first,
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vellum.functions import geometry, messages, positions, prompts, text
 from vellum.operators import advantage, batches, measures, rollup, scoring, sequences
-from vellum.session import table
+from vellum.session import scratch, table
 from vellum.sources import manifests, sinks, training
 
 QUERIES: dict = {}
@@ -30,17 +27,6 @@ def query(sql: str | None = None):
     return put
 
 
-def scratch(spark, name: str) -> str:
-    """A new folder in the one that driver and executors share; one of our own on a single machine without any."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        shared = f"file://{tempfile.mkdtemp(prefix='vellum-')}"
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # --- readers and sinks ---
 
 

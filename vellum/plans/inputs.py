@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import geometry, positions, samples
 from vellum.operators import drops, ranks, streams
-from vellum.session import table
+from vellum.session import staged, table
 from vellum.sources import datasets
 
 QUERIES: dict = {}
@@ -219,7 +219,7 @@ def stream_pairs(spark, sf_dir):
     half = F.floor(n / 2).cast("int")
     changed = F.when(n < 3, F.col("s")).when(F.col("odd") == 1, F.concat(F.substring("s", F.lit(1), half), F.lit("#"), F.substring("s", half + 2, n))).when(F.col("odd") == 2, F.substring("s", F.lit(1), n - 2)).otherwise(F.col("s"))
     glyphs = lambda s, per_page: rows.select("k", F.posexplode(F.split(s, "")).alias("i", "text")).select("k", F.floor(F.col("i") / per_page).alias("page"), (F.col("i") % per_page).alias("order"), "text")
-    source, target = (streams.letters(glyphs(s, per_page), "k", "page", "order", "text") for s, per_page in ((F.col("s"), 70), (changed, 50)))
+    source, target = (staged(streams.letters(glyphs(s, per_page), "k", "page", "order", "text"), "letters") for s, per_page in ((F.col("s"), 70), (changed, 50)))
     found = streams.differences(source, target, "k", block=64)
     pairs = streams.paired(source, target, "k", found).groupBy("k").agg(F.count("*").alias("pairs"), F.count_distinct("source.page", "target.page").alias("page_pairs"))
     return found.join(pairs, "k", "left").select("k", "n_source", "n_target", "identical", "first_difference", F.coalesce("pairs", F.lit(0)).alias("pairs"), F.coalesce("page_pairs", F.lit(0)).alias("page_pairs"))
