@@ -132,8 +132,8 @@ def fanned_out(spark, sf_dir):
 
 @query("SELECT source_row // 1000 AS block, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM (SELECT n_chars, row_number() OVER () - 1 AS source_row FROM documents) WHERE source_row % 4 = 1 GROUP BY 1")
 def numbered_rows(spark, sf_dir):
-    """Documents of a strided shard by their row numbers in the file, reading one column."""
-    rows = manifests.numbered(spark, f"{sf_dir}/documents.parquet", ["n_chars"]).where(F.col("source_row") % 4 == 1)
+    """Documents of a strided shard by their row numbers over all files of the table, reading one column."""
+    rows = manifests.numbered_over(spark, f"{sf_dir}/documents.parquet", ["n_chars"]).where(F.col("source_row") % 4 == 1)
     return rows.groupBy(F.floor(F.col("source_row") / 1000).alias("block")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 

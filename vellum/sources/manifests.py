@@ -6,7 +6,7 @@ import json
 import os
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import geometry
@@ -130,6 +130,15 @@ def numbered(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     return spark.read.parquet(path).select(*columns, F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.row_index").alias("source_row"))
 
 
+def numbered_over(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """As numbered, but the rows of a table in many files are numbered on from file to file, in the order of their paths."""
+    rows = spark.read.parquet(path).select(*columns, F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.row_index").alias("own_"))
+    before = Window.orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1)
+    # one row a file
+    sizes = rows.groupBy("source_file").agg(F.count("*").alias("n_")).select("source_file", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("first_"))
+    return rows.join(F.broadcast(sizes), "source_file").withColumn("source_row", F.col("first_") + F.col("own_")).drop("own_", "first_")
+
+
 def image_sizes(spark: SparkSession, path: str) -> DataFrame:
     """path, width and height of PNG files, from their headers."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").option("recursiveFileLookup", "true").load(path)
