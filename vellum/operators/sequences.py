@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.session import staged
+
 
 def contiguous_shards(rows: DataFrame, order: str, shards: int) -> DataFrame:
     """Contiguous shards of a whole table, the first ones longer by one. Ranks come from sorted ranges, not from one task."""
@@ -28,8 +30,10 @@ def ranked(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """rows with their global rank (from 0) and total_, without sending all rows to one task.
 
     Rows are dealt by range of the order; ranks within a range are a window there, and add to the sizes of the ranges before.
+    The dealt rows are written once: bounds are sampled and parts put together anew each time a plan runs, so that sizes and
+    rows of two runs wouldn't fit.
     """
-    dealt = rows.repartitionByRange(*order).withColumn("range_", F.spark_partition_id())
+    dealt = staged(rows.repartitionByRange(*order).withColumn("range_", F.spark_partition_id()), "ranked")
     sizes = dealt.groupBy("range_").agg(F.count("*").alias("n_"))
     before = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
     # one row a partition
