@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from vellum.operators import streams
+from vellum.operators import batches, sequences, streams
+from vellum.sources import manifests
 
 
 def test_streams_are_not_broadcast(spark):
@@ -16,3 +17,29 @@ def test_streams_are_not_broadcast(spark):
     got = {r.k: (r.n_source, r.n_target, r.identical, r.first_difference) for r in found.collect()}
     assert got == {k: (9 + (k > 9), 0, False, 0) if k == 3 else (9 + (k > 9), 9 + (k > 9), True, None) for k in range(20)}
     assert pairs.count() == sum(9 + (k > 9) for k in range(20) if k != 3)
+
+
+def test_ranks_over_parts_that_are_put_together(spark):
+    """Enough rows that Spark puts small parts together, but not in the same way in each use of them."""
+    n = 300_000
+    rows = spark.range(0, n, 1, 16).select((F.col("id") * 7919 % n).alias("id"), F.expr("repeat(uuid(), 20)").alias("wide"), (F.col("id") % 50).alias("x"))
+    for conf in ("1000000", "64000000"):
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", conf)
+        at = sequences.ranked(rows, ["id"], "rank")
+        assert at.where("rank <> id OR total_ <> 300000").count() == 0
+    spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+def test_shuffled_epochs_of_places_with_gaps(spark):
+    """Rows of some places alone: every epoch's ranks begin at 0."""
+    rows = spark.range(0, 40).where("id % 3 > 0")
+    got = batches.minibatches(rows, "id", 4, 3, 40, seed=1).select("epoch", (F.col("step") * 4 + F.col("slot")).alias("at")).collect()
+    assert sorted((r.epoch, r["at"]) for r in got) == [(e, i) for e in range(3) for i in range(26)]
+
+
+def test_rows_are_numbered_over_all_files(spark, tmp_path):
+    """Row numbers go on from file to file, in the order of their paths."""
+    for k, n in (("b", 3), ("a", 5), ("c", 0), ("d", 2)):
+        spark.range(n).select(F.lit(k).alias("k"), "id").coalesce(1).write.parquet(str(tmp_path / f"t/part={k}"))
+    got = manifests.numbered_over(spark, str(tmp_path / "t"), ["k", "id"]).orderBy("source_row").collect()
+    assert [(r.k, r.id, r.source_row) for r in got] == [("a", i, i) for i in range(5)] + [("b", i, 5 + i) for i in range(3)] + [("d", i, 8 + i) for i in range(2)]

@@ -105,7 +105,8 @@ def minibatches(rows: DataFrame, place: str, size: int, epochs: int, total: int
     each = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn("at_", inside)
     if seed is not None:
         mixed = each.withColumn("mixed_", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.col("at_").cast("string"))))
-        each = ranked(mixed, ["epoch", "mixed_", "at_"], "rank_").withColumn("at_", F.col("rank_") % total).drop("mixed_", "rank_", "total_")
+        # every epoch has all rows, and so an equal share of the ranks
+        each = ranked(mixed, ["epoch", "mixed_", "at_"], "rank_").withColumn("at_", F.col("rank_") % F.floor(F.col("total_") / epochs)).drop("mixed_", "rank_", "total_")
     return each.withColumn("step", F.floor(F.col("at_") / size)).withColumn("slot", F.col("at_") % size).drop("at_")
 
 
