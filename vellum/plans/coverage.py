@@ -72,24 +72,24 @@ def training_readers(spark, sf_dir):
             rows.where(F.pmod(F.col(key), F.lit(2)) == part).write.parquet(f"{at}/{name}{part}")
         return [f"{at}/{name}0", f"{at}/{name}1"]
 
-    digest = lambda c: F.md5(F.array_join(F.array_sort(F.collect_list(c)), ","))
-    row = lambda name, df, key, n=None: df.agg(F.lit(name).alias("reader"), (F.count("*") if n is None else n).alias("n"), key.alias("digest"))
+    def row(name: str, df, key, order=None, n=None):
+        found = sinks.digest_of_all(df.select((key if order is None else order).alias("order"), key.alias("text"), (F.lit(1) if n is None else n).cast("long").alias("n")), "text", "order", "n")
+        return found.select(F.lit(name).alias("reader"), F.col("n") if n is None else F.when(F.col("digest").isNotNull(), F.col("n")).alias("n"), "digest")
+
     asked = training.rollouts(spark, two(docs, "rollouts", "doc_id"), "n_chars", 3000)
-    ids = F.md5(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ","))
     deep = docs.select("doc_id", F.struct("text").alias("extra"), F.array(F.struct(F.col("lang").alias("said"))).alias("reply"))
     taught = training.supervised(spark, two(deep, "supervised", "doc_id"), "extra", "reply", ["text"], ["said"])
     spoken = training.conversations(spark, two(turns, "chats", "conv_id")).select(F.array_join(F.transform("messages", lambda m: m["role"]), " ").alias("roles"))
     numbered = turns.select("conv_id", F.array_join(F.transform("messages", lambda m: m["role"]), " ").alias("roles"))
     spoken = spoken.groupBy("roles").count().join(numbered, "roles")
     pairs = training.stacked(training.preferences(spark, two(docs.select("doc_id", F.col("text").alias("prompt"), F.col("text").alias("chosen"), F.col("source").alias("rejected")), "pairs", "doc_id")))
-    both = pairs.groupBy("prompt", "is_chosen").agg(F.count("*").alias("c"), F.array_sort(F.collect_list("response")).alias("r"))
-    rejected = both.where("NOT is_chosen").select(F.explode(F.transform("r", lambda x: F.concat(F.col("prompt"), F.lit("+"), x))).alias("x"))
+    rejected = row("preferences", pairs.where("NOT is_chosen"), F.concat_ws("+", "prompt", "response"))
     graded = docs.select("doc_id", F.split("text", "\n").alias("responses"), F.col("lang").alias("data_source"), F.struct(F.col("source").alias("ground_truth")).alias("reward_model"))
     graded = training.evaluations(spark, two(graded, "graded", "doc_id")).groupBy("row", "data_source").agg(F.count("*").alias("n"))
-    total = pairs.agg(F.count("*").alias("n")).crossJoin(rejected.agg(digest("x").alias("digest"))).select(F.lit("preferences").alias("reader"), "n", "digest")  # one row each
+    total = pairs.agg(F.count("*").alias("n")).crossJoin(rejected.select("reader", "digest")).select("reader", "n", "digest")  # one row each
     parts = [
-        row("rollouts", asked, ids), row("supervised", taught, digest(F.concat("prompt", "response"))), row("conversations", spoken, digest(F.concat("roles", F.col("conv_id").cast("string")))),
-        total, row("evaluations", graded, digest(F.concat("data_source", F.col("n").cast("string"))), F.sum("n")),
+        row("rollouts", asked, F.col("doc_id").cast("string"), F.col("doc_id")), row("supervised", taught, F.concat("prompt", "response")), row("conversations", spoken, F.concat("roles", F.col("conv_id").cast("string"))),
+        total, row("evaluations", graded, F.concat("data_source", F.col("n").cast("string")), n=F.col("n")),
     ]
     return manifests.concatenated(parts)
 

@@ -5,10 +5,13 @@ from __future__ import annotations
 import hashlib
 import json
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.operators.tables import last_per_key, unfinished
+from vellum.session import staged
 
 
 def fan_out(rows: DataFrame, path: str, by: str = "dpi") -> int:
@@ -89,3 +92,23 @@ def reports(rows: DataFrame, path: str, by: list[str]) -> None:
 def running_order(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """rows with their place in each key."""
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+
+
+def digest_of_all(rows: DataFrame, text: str, order: str, n: str) -> DataFrame:
+    """One row: the sum of n, and digest, the md5 of all texts in order with commas between them; null without rows.
+
+    A digest is one stream, which no other task can go on with: one task reads the sorted parts one after the other, a
+    batch at a time, and keeps the digest's state alone. It is written at once, as few bytes that later steps read.
+    """
+
+    def run(batches):
+        state, total, some = hashlib.md5(), 0, False
+        for batch in batches:
+            total += pc.sum(batch.column(1)).as_py() or 0
+            for value in batch.column(0):
+                state.update(("," if some else "").encode() + value.as_py().encode())
+                some = True
+        yield pa.RecordBatch.from_pylist([{"n": total, "digest": state.hexdigest() if some else None}], pa.schema([("n", pa.int64()), ("digest", pa.string())]))
+
+    ordered = rows.orderBy(order).select(text, F.col(n).cast("long")).coalesce(1)
+    return staged(ordered.mapInArrow(run, "n long, digest string"), "digest")
