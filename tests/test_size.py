@@ -1,9 +1,12 @@
 """Plans and results that must not depend on how large tables are or on how they lie in files."""
 
 import hashlib
+import random
+import time
 
 from pyspark.sql import functions as F
 
+from vellum.functions import text
 from vellum.operators import batches, sequences, streams
 from vellum.sources import manifests, sinks
 
@@ -55,3 +58,17 @@ def test_digest_of_all_texts(spark):
         want.update((("," if i else "") + str(i % 10) * 1000).encode())
     assert sinks.digest_of_all(rows, "t", "id", "n").collect() == [(4800, want.hexdigest())]
     assert sinks.digest_of_all(rows.limit(0), "t", "id", "n").collect() == [(0, None)]
+
+
+def test_edits_of_like_and_unlike_texts(spark):
+    """As the plain distance, whatever the texts have in common; long texts that are alike in little time."""
+    rng = random.Random(4)
+    some = lambda n: "".join(rng.choice("abé😀 ") for _ in range(n))
+    pairs = [(some(rng.randint(0, 12)), some(rng.randint(0, 12))) for _ in range(150)]
+    pairs += [(a + b + c, a + d + c) for a, b, c, d in ([some(rng.randint(0, 9)) for _ in range(4)] for _ in range(150))]
+    pairs += [(x := some(200), x), ("", ""), ("", "ab"), (some(150), some(90)), ("ab" * 40, "ba" * 41), (None, "a"), ("a", None)]
+    rows = spark.createDataFrame(pairs, "a string, b string")
+    assert rows.select(text.char_edits(F.col("a"), F.col("b")).alias("got"), F.levenshtein("a", "b").alias("want")).where("NOT (got <=> want)").count() == 0
+    began = time.monotonic()
+    long = spark.range(8).select(F.concat(F.expr("repeat('lorem ipsum ', 12000)"), F.col("id")).alias("a"))
+    assert {r[0] for r in long.select(text.char_error_rate(F.col("a"), F.substr("a", F.lit(11)))).collect()} == {10 / 143_991} and time.monotonic() - began < 60

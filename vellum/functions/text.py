@@ -225,9 +225,29 @@ def choice_letter(text: Column) -> Column:
     return F.coalesce(pick(F.trim(last_of(boxes(text)))), F.upper(last_of(stated_letters(text))), lone(text))
 
 
+def common_length(a: Column, b: Column, end: Column) -> Column:
+    """How many characters two texts have in common at their beginning, or (end) at their end, by halving."""
+    most = F.least(F.length(a), F.length(b))
+    part = lambda t, n: F.when(end, F.right(t, n)).otherwise(F.substring(t, F.lit(1), n))
+    longer = lambda n, i: n + F.call_function("shiftleft", F.lit(1), i)
+    step = lambda n, i: F.when(longer(n, i) > most, n).when(part(a, longer(n, i)) == part(b, longer(n, i)), longer(n, i)).otherwise(n)
+    return F.aggregate(F.sequence(F.greatest(F.length(F.bin(most.cast("long"))) - 1, F.lit(0)), F.lit(0), F.lit(-1)), F.lit(0), step)
+
+
+def char_edits(a: Column, b: Column) -> Column:
+    """Character edit distance of two texts: what they have in common at both ends is left out, and the rest compared
+    within 64 and 1024 edits before it is compared as a whole, so that like texts cost little more than their length."""
+    both = F.struct(a.alias("a"), b.alias("b"))
+    cut = lambda t, first, n: F.substring(t, first, n)
+    behind = lambda p: let(common_length(p["a"], p["b"], F.lit(False)), lambda n: F.struct(*[cut(p[c], n + 1, F.length(p[c])).alias(c) for c in ("a", "b")]))
+    before = lambda p: let(common_length(p["a"], p["b"], F.lit(True)), lambda n: F.struct(*[cut(p[c], F.lit(1), F.length(p[c]) - n).alias(c) for c in ("a", "b")]))
+    edits = lambda p: F.coalesce(*[F.nullif(F.levenshtein(p["a"], p["b"], most), F.lit(-1)) for most in (64, 1024)], F.levenshtein(p["a"], p["b"]))
+    return let(let(let(both, behind), before), edits)
+
+
 def char_error_rate(pred: Column, gold: Column) -> Column:
     """Character edit distance of squeezed texts over the gold's length, 1 at least."""
-    return let(squeeze(gold), lambda g: F.levenshtein(squeeze(pred), g) / F.greatest(F.length(g), F.lit(1)))
+    return let(squeeze(gold), lambda g: char_edits(squeeze(pred), g) / F.greatest(F.length(g), F.lit(1)))
 
 
 def after_thinking(text: Column) -> Column:
