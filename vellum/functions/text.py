@@ -139,13 +139,18 @@ def rouge_l_lcs(pred: Column, gold: Column) -> Column:
     return let(longest_common(pred, gold), lambda n: f1_of(n, F.size(pred), F.size(gold)))
 
 
+def substring_hits(pred: Column, golds: Column) -> Column:
+    """Whether the prediction contains each gold, whatever the case. Its lower case is taken once a row."""
+    return let(F.lower(pred), lambda p: F.transform(golds, lambda g: F.contains(p, F.lower(g))))
+
+
 def substring_recall(pred: Column, golds: Column) -> Column:
     """Share of golds that the prediction contains, whatever the case; null without golds."""
-    return F.try_divide(F.size(F.filter(golds, lambda g: F.contains(F.lower(pred), F.lower(g)))), F.size(golds))
+    return let(substring_hits(pred, golds), lambda hits: F.try_divide(F.size(F.filter(hits, lambda h: h)), F.size(golds)))
 
 
 def substring_any(pred: Column, golds: Column) -> Column:
-    return F.exists(golds, lambda g: F.contains(F.lower(pred), F.lower(g))).cast("double")
+    return let(substring_hits(pred, golds), lambda hits: F.exists(hits, lambda h: h)).cast("double")
 
 
 def best_of(pred: Column, golds: Column, metric) -> Column:

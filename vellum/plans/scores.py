@@ -83,7 +83,9 @@ def substring_recall(spark, sf_dir):
     golds = words.agg(F.sort_array(F.collect_set("w")).alias("golds"))
     rows = table(spark, sf_dir, "documents").join(F.broadcast(golds))
     c = F.col("golds")
-    return rows.select("doc_id", F.round(text.substring_recall(F.col("text"), c), 6).alias("recall"), text.substring_any(F.col("text"), c).alias("any_hit"))
+    # both measures of the same hits
+    rows = rows.select("doc_id", text.let(text.substring_hits(F.col("text"), c), lambda hits: F.struct(F.try_divide(F.size(F.filter(hits, lambda h: h)), F.size(hits)).alias("recall"), F.exists(hits, lambda h: h).alias("any"))).alias("x"))
+    return rows.select("doc_id", F.round("x.recall", 6).alias("recall"), F.col("x.any").cast("double").alias("any_hit"))
 
 
 @query("""
