@@ -7,7 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from vellum.functions import text
-from vellum.operators import batches, sequences, streams
+from vellum.operators import batches, resample, sequences, streams
 from vellum.sources import manifests, sinks
 
 
@@ -72,3 +72,28 @@ def test_edits_of_like_and_unlike_texts(spark):
     began = time.monotonic()
     long = spark.range(8).select(F.concat(F.expr("repeat('lorem ipsum ', 12000)"), F.col("id")).alias("a"))
     assert {r[0] for r in long.select(text.char_error_rate(F.col("a"), F.substr("a", F.lit(11)))).collect()} == {10 / 143_991} and time.monotonic() - began < 60
+
+
+def test_majorities_draw_places_in_rows(spark):
+    """As drawn one by one in Python, nulls and ties included; no row a place is made."""
+    rng = random.Random(5)
+    rows = spark.createDataFrame([(g, rng.choice(["a", "b", "c", None]), float(rng.randint(0, 3))) for g in (1, 2, None) for _ in range(9)], "g int, vote string, v double")
+    found = resample.majorities(rows, ["g"], "vote", "v", draws=60, seed=3)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    places = spark.range(1, 61).select(F.col("id").cast("int").alias("draw")).crossJoin(rows.select(F.struct("g").alias("key")).distinct()).crossJoin(spark.createDataFrame([(2,), (4,), (8,), (9,)], "k long"))
+    places = places.select("key", "k", "draw", F.explode(F.sequence(F.lit(1).cast("long"), "k")).alias("p")).withColumn("at", F.pmod(F.xxhash64("key", "k", "draw", "p", F.lit(3)), F.lit(9)))
+    own = {}
+    for r in rows.collect():
+        own.setdefault(r.g, []).append((r.vote, r.v))
+    drawn = {}
+    for r in places.orderBy("p").collect():
+        ordered = sorted(own[r.key.g], key=lambda x: (x[0] is not None, x[0] or "", x[1]))
+        drawn.setdefault((r.key.g, r.k), {}).setdefault(r.draw, []).append(ordered[r["at"]])
+    for r in found.collect():
+        won = []
+        for seen in drawn[r.g, r.sample_size].values():
+            votes = [x for x, _ in seen]
+            won.append(max(seen, key=lambda x: (votes.count(x[0]), -votes.index(x[0])))[1])
+        assert len(won) == 60 and abs(r["mean"] - sum(won) / 60) < 1e-9
+    assert found.count() == 12
+
