@@ -97,3 +97,10 @@ def test_majorities_draw_places_in_rows(spark):
         assert len(won) == 60 and abs(r["mean"] - sum(won) / 60) < 1e-9
     assert found.count() == 12
 
+
+def test_nearest_of_many_queries(spark):
+    """Blocks of queries and of rows give what all at once would."""
+    rows = spark.range(900).select("id", F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: (F.xxhash64("id", i) % 1000).cast("float")).alias("v")).repartition(3)
+    want = resample.nearest(rows, "id", "v", F.col("id") % 3 == 0, 4).collect()
+    got = resample.nearest(rows, "id", "v", F.col("id") % 3 == 0, 4, block=7).collect()
+    assert len(got) == 1200 and sorted(map(tuple, got)) == sorted(map(tuple, want))
