@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vellum.functions.text import let
+
 TURNS = "array<struct<from:string,value:string,role:string,content:string>>"
 URL = "struct<url:string>"
 PARTS = f"array<struct<type:string,text:string,audio_text:string,image_url:{URL},audio_url:{URL},video_url:{URL}>>"
@@ -225,11 +227,17 @@ def places_of_object(value: Column) -> Column:
 def places_in(layout: Column) -> Column:
     """Pages and boxes of an evidence layout of any shape: an object of either kind, an array of these, or arrays of a page
     and four numbers. Places without a page number are left out; null has none."""
-    def item(x: Column) -> Column:
-        five = field(x, "$", "array<double>")
+    def flat_of(x: Column, five: Column) -> Column:
         flat = F.array(F.struct(five[0].cast("int").alias("page"), F.slice(five, 2, 4).alias("box"))).cast(PLACES)
         return F.when(kind_of(x) == "object", places_of_object(x)).when((kind_of(x) == "array") & (F.size(five) == 5), flat)
 
+    item = lambda x: let(field(x, "$", "array<double>"), lambda five: flat_of(x, five))
+    # taken once: a layout is often parsed on the way, and stands in many places here
+    return let(layout, lambda own: places_of_layout(own, item))
+
+
+def places_of_layout(layout: Column, item) -> Column:
+    """places_in of a layout, with the places of an array's items by item."""
     found = F.when(kind_of(layout) == "object", places_of_object(layout)).when(kind_of(layout) == "array", F.flatten(F.filter(F.transform(field(layout, "$", "array<variant>"), item), lambda x: x.isNotNull())))
     return F.filter(F.coalesce(found, F.array().cast(PLACES)), lambda p: p["page"].isNotNull())
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vellum.functions import geometry, positions, samples
+from vellum.functions import geometry, positions, samples, text
 from vellum.operators import drops, ranks, streams
 from vellum.session import staged, table
 from vellum.sources import datasets
@@ -251,8 +251,8 @@ def evidence_layouts(spark, sf_dir):
     five = F.concat(F.lit('{"evidence_bboxes_by_dpi": {"72": [['), page, F.lit(", "), F.substring(box, F.lit(2), F.length(box)), F.lit("]}}"))
     several = F.concat(F.lit('{"evidence_bboxes_by_dpi": {"dpi144": {}, "dpi72": [], "dpi96": {"'), page, F.lit('": ['), box, F.lit('], "'), more, F.lit('": '), box, F.lit("}}}"))
     raw = F.element_at(F.array(one, named, five, several, F.lit('{"evidence_locations": {"page": null, "bbox": [1, 2, 3]}}')), (F.col("item_id") % 5 + 1).cast("int"))
-    v = F.parse_json(raw)
-    found = rows.select("sale_id", samples.evidence_places(samples.field(v, "$.evidence_bboxes_by_dpi"), samples.field(v, "$.evidence_locations")).alias("p"))
+    places = lambda v: samples.evidence_places(samples.field(v, "$.evidence_bboxes_by_dpi"), samples.field(v, "$.evidence_locations"))
+    found = rows.select("sale_id", text.let(F.parse_json(raw), places).alias("p"))
     total = lambda f: F.aggregate("p", F.lit(0.0), lambda a, x: a + f(x))
     boxes = total(lambda x: F.aggregate(x["box"], F.lit(0.0), lambda a, b: a + b))
     return found.groupBy("sale_id").agg(F.count("*").alias("n"), F.sum(F.size("p")).alias("places"), F.sum(total(lambda x: x["page"].cast("double"))).cast("long").alias("pages"), F.sum(boxes).alias("boxes"))
