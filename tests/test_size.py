@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import time
 
 from pyspark.sql import functions as F
@@ -104,3 +105,19 @@ def test_nearest_of_many_queries(spark):
     want = resample.nearest(rows, "id", "v", F.col("id") % 3 == 0, 4).collect()
     got = resample.nearest(rows, "id", "v", F.col("id") % 3 == 0, 4, block=7).collect()
     assert len(got) == 1200 and sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_draws_of_many_keys_are_dealt(spark, monkeypatch):
+    """Rows that lie in one part are drawn in as many tasks as they need, large keys too, with the weights of poisson_weights."""
+    monkeypatch.setattr(resample, "DRAWN", 4000)
+    rows = spark.range(0, 3000, 1, 1).select(F.when(F.col("id") % 3 > 0, F.col("id") % 400).alias("k"), "id", (F.col("id") % 7).cast("double").alias("v"))
+    found = resample.drawn(rows, ["k"], "id", {"total": lambda w: F.sum(w * F.col("v")), "n": F.count}, 20, 5)
+    assert re.search(r"rangepartitioning\(.*, 16\)", found._jdf.queryExecution().executedPlan().toString())
+    each = rows.select("k", "v", F.posexplode(resample.poisson_weights(F.col("id"), 20, 5)).alias("draw", "w")).where("w > 0").collect()
+    want = {}
+    for r in each:
+        total, n = want.get((r.k, r.draw), (0, 0))
+        want[r.k, r.draw] = total + r.w * r.v, n + 1
+    assert {(r.k, r.draw): (r.total, r.n) for r in found.collect()} == want
+    ends = resample.bootstrap(rows, ["k"], "v", 20, 5, "id")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(k#\d+L, 16\), REPARTITION", ends)
