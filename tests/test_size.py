@@ -7,8 +7,9 @@ import time
 
 from pyspark.sql import functions as F
 
-from vellum.functions import text
+from vellum.functions import grading, text
 from vellum.operators import batches, resample, sequences, streams
+from vellum.plans import records
 from vellum.sources import manifests, sinks
 
 
@@ -121,3 +122,21 @@ def test_draws_of_many_keys_are_dealt(spark, monkeypatch):
     assert {(r.k, r.draw): (r.total, r.n) for r in found.collect()} == want
     ends = resample.bootstrap(rows, ["k"], "v", 20, 5, "id")._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"hashpartitioning\(k#\d+L, 16\), REPARTITION", ends)
+
+
+def test_parts_of_rewards_are_found_in_little_time(spark, sf_dir):
+    """Marks and calls as patterns find them, long white space too; one box or evidence as the Hungarian algorithm has it; parts of few bytes stay apart."""
+    rng = random.Random(6)
+    end, call = re.compile(r"(?:\s*<\|(?:im_end|endoftext)\|>)+\s*$"), re.compile(r"(?s)<tool_call>\s*(.*?)\s*</tool_call>")
+    pieces = ["<|im_end|>", "<|endoftext|>", " ", "\n", "\u2003", "x", "<|", "<tool_call>", "</tool_call>", '{"a": 1}', '{"a": 1} 2', "[1]", "NaN", "{"]
+    for _ in range(4000):
+        t = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 9)))
+        assert grading.without_end(t) == end.sub("", t), t
+        found = [c for b in call.findall(t) if b == '{"a": 1}' and (c := {"a": 1})]
+        assert grading.tool_calls(t) == (found, t.count("<tool_call>") - len(found)), t
+    began = time.monotonic()
+    assert grading.final_answer("<answer>a</answer>" + " " * 200_000 + "<|im_end|>") == "a" and grading.final_answer("a" + " " * 200_000 + "b") == "" and time.monotonic() - began < 5
+    for w in ([[0.25], [0.5], [0.5]], [[0.0, 0.125, 0.0]], [[0.0]]):
+        padded = [[*row, 0.0] for row in w] + [[0.0] * (len(w[0]) + 1)]
+        assert grading.assigned(w) == grading.assigned(padded)
+    assert "REPARTITION_BY_NUM" in records.document_reward_parts(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()

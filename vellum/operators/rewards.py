@@ -34,7 +34,7 @@ def parsed(rows: DataFrame) -> DataFrame:
     """
     kind = "answer string, matched int, formed boolean, calls int, invalid int, valid int, quality double, best_iou double, used int"
 
-    def judge(solution: str, golds, evidence, num_pages, prompt) -> dict:
+    def judge(solution: str, golds, places, areas, num_pages, prompt) -> tuple:
         answer = grading.final_answer(solution)
         said = "\n".join(grading.assistant_turns(solution))
         calls, broken = grading.tool_calls(said)
@@ -45,32 +45,38 @@ def parsed(rows: DataFrame) -> DataFrame:
             whole = isinstance(page, int) and not isinstance(page, bool) and 1 <= page and (num_pages is None or page <= num_pages)
             if c.get("name") == "zoom_region" and whole and is_box(box):
                 boxes.append((page, box))
-        ious = [[grading.box_iou(b, list(e["box"])) if p == e["page"] else 0.0 for e in evidence] for p, b in boxes]
+        evidence = [(p, b.tolist()) for p, b in zip(places, areas, strict=True)] if boxes else []
+        ious = [[grading.box_iou(b, box) if p == page else 0.0 for page, box in evidence] for p, b in boxes]
         # a box of more than half a page counts less, a whole page nothing
-        area = [min(1.0, 2 * (1 - (b[2] - b[0]) * (b[3] - b[1]) / 1e6)) for _, b in boxes]
-        quality, used = grading.assigned([[x * f for x in row] for row, f in zip(ious, area, strict=True)]) if boxes and len(evidence) else (0.0, 0)
-        end = grading.CHAT_END.sub("", said)
+        weights = [[x * min(1.0, 2 * (1 - (b[2] - b[0]) * (b[3] - b[1]) / 1e6)) if x else 0.0 for x in row] for row, (_, b) in zip(ious, boxes, strict=True)]
+        quality, used = grading.assigned(weights) if boxes and evidence else (0.0, 0)
+        end = grading.without_end(said)
         opened = end.count("<think>") + (prompt or "").rstrip().endswith(PREFILLED)
         formed = bool(answer) and opened == end.count("</think>") and not end.rpartition("</answer>")[2].strip()
-        return {
-            "answer": answer, "matched": grading.matched_golds(answer, list(golds)), "formed": formed, "calls": len(calls) + broken,
-            "invalid": broken + len(calls) - len(boxes), "valid": len(boxes), "quality": quality,
-            "best_iou": max((x for row in ious for x in row), default=0.0), "used": used,
-        }
+        best = max((x for row in ious for x in row), default=0.0)
+        return answer, grading.matched_golds_of(answer, tuple(golds)), formed, len(calls) + broken, broken + len(calls) - len(boxes), len(boxes), quality, best, used
 
     @F.pandas_udf(kind)
     def run(packed: pd.DataFrame) -> pd.DataFrame:
         pages = packed["num_pages"].map(lambda x: None if x is None or math.isnan(x) else int(x))
-        found = [judge(s or "", g, e, n, p) for s, g, e, n, p in zip(packed["solution"], packed["golds"], packed["evidence"], pages, packed["prompt"], strict=True)]
+        columns = (packed["solution"], packed["golds"], packed["places"], packed["areas"], pages, packed["prompt"])
+        found = [judge(s or "", *rest) for s, *rest in zip(*columns, strict=True)]
         return pd.DataFrame(found, columns=[c.split()[0] for c in kind.split(", ")])
 
+    # columns of numbers, as structs inside arrays reach Python one by one
+    evidence = (F.col("evidence")["page"].alias("places"), F.col("evidence")["box"].alias("areas"))
     prompt = F.col("prompt") if "prompt" in rows.columns else F.lit(None).cast("string")
-    return rows.withColumn("p", run(F.struct("solution", "golds", "evidence", F.col("num_pages").cast("double").alias("num_pages"), prompt.alias("prompt"))))
+    return rows.withColumn("p", run(F.struct("solution", "golds", *evidence, F.col("num_pages").cast("double").alias("num_pages"), prompt.alias("prompt"))))
 
 
 def is_box(box) -> bool:
-    number = lambda x: isinstance(x, int | float) and not isinstance(x, bool) and math.isfinite(x) and 0 <= x <= 1000
-    return isinstance(box, list) and len(box) == 4 and all(map(number, box)) and box[0] < box[2] and box[1] < box[3]
+    if not isinstance(box, list) or len(box) != 4:
+        return False
+    for x in box:
+        # what JSON holds is of these types themselves; NaN fails the comparison
+        if type(x) not in (int, float) or not 0 <= x <= 1000:
+            return False
+    return box[0] < box[2] and box[1] < box[3]
 
 
 def evidence_of(pairs: Column) -> Column:

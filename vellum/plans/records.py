@@ -142,7 +142,9 @@ def document_reward_parts(spark, sf_dir):
     numbers = F.concat_ws(", ", *[c.cast("int").cast("string") for c in (x, y, x + w, y + w)])
     body = F.concat(F.lit('<tool_call>{"name": "zoom_region", "arguments": {"page": '), F.coalesce(page, F.lit("null")), F.lit(', "bbox_2d": ['), numbers, F.lit("]}}</tool_call>"))
     calls = lines.select("sale_id", "line_no", body.alias("body")).groupBy("sale_id").agg(F.array_join(F.sort_array(F.collect_list("body")), " ").alias("calls"))
-    s = table(spark, sf_dir, "sales").where("client_id IS NOT NULL AND priority IS NOT NULL").join(calls, "sale_id", "left")
+    # few bytes, but much work: Spark may not put these parts together
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    s = table(spark, sf_dir, "sales").where("client_id IS NOT NULL AND priority IS NOT NULL").repartition(parts, "sale_id").join(calls, "sale_id", "left")
     c = F.col("client_id")
     answer = F.when(F.col("status") == "done", "alpha one and beta two").when(F.col("status") == "open", "alpha one").when(F.col("status") == "held", "two").otherwise("")
     said = F.concat(F.lit("look "), F.coalesce("calls", F.lit("")), F.lit("</think><answer>"), answer, F.lit("</answer>"))
