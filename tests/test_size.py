@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
@@ -140,3 +141,19 @@ def test_parts_of_rewards_are_found_in_little_time(spark, sf_dir):
         padded = [[*row, 0.0] for row in w] + [[0.0] * (len(w[0]) + 1)]
         assert grading.assigned(w) == grading.assigned(padded)
     assert "REPARTITION_BY_NUM" in records.document_reward_parts(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ratio_of_long_texts(monkeypatch):
+    """The blocks that difflib finds, in short texts by ranks too; a long text in little time."""
+    rng = random.Random(3)
+    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    for short in (0, grading.SHORT):
+        monkeypatch.setattr(grading, "SHORT", short)
+        for _ in range(200):
+            letters = rng.choice(["ab", "abcdefgh ", "".join(map(chr, range(200, 900))), "aé😀xyz \n"])
+            a = some(letters, rng.choice([0, 1, 5, 30, 199, 230, 600]))
+            b = rng.choice([a[10:], some(letters, rng.choice([0, 3, 50, 220])), "".join(c for c in a if rng.random() > 0.05) + a[:40]])
+            assert grading.Matcher(a, b).get_matching_blocks() == SequenceMatcher(None, a, b).get_matching_blocks()
+    long = "".join(rng.choices("etaoinsr " * 10 + "".join(map(chr, range(200, 230))), k=200_000))
+    began = time.monotonic()
+    assert grading.prefixed_ratio("k " + long, "k " + long[10:], "k ") > 0.9999 and time.monotonic() - began < 4
